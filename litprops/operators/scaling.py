@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litprops.operators.spread import lookup_join
+from litprops.operators.spread import attach_small
 
 
 def transform_for(prop, log_properties: Sequence[str]) -> Column:
@@ -65,7 +65,7 @@ def fit(train: DataFrame, by: Sequence[str], y: str = "y", transform: str = "tra
 
 def scale(df: DataFrame, scaler: DataFrame, by: Sequence[str], y: str = "y", out: str = "y_scaled", transform: str = "transform") -> DataFrame:
     """``(target - mean) / scale`` with the scaler row of each key."""
-    joined = lookup_join(df.drop(transform), scaler, by, "inner")
+    joined = attach_small(df.drop(transform), scaler, by, "inner")
     return joined.withColumn(out, (checked_target(y, transform) - F.col("mean")) / F.col("scale"))
 
 

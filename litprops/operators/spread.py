@@ -41,18 +41,25 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def heavy_keys(rows: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_from_counts(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``(on..., _fan)`` for keys above ``heavy_rows``. At most ``HEAVY_KEYS`` rows, so it may be broadcast."""
     return (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > heavy_rows) & ~_any_null(on))
-        .orderBy(F.desc("_n"))
+        counts.filter((F.col(n) > heavy_rows) & ~_any_null(on))
+        .orderBy(F.desc(n))
         .limit(HEAVY_KEYS)
-        .select(*on, F.ceil(F.col("_n") / F.lit(heavy_rows)).cast("int").alias("_fan"))
+        .select(*on, F.ceil(F.col(n) / F.lit(heavy_rows)).cast("int").alias("_fan"))
     )
 
 
+def heavy_keys(rows: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    return heavy_from_counts(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", heavy_rows)
+
+
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the fullest ``by`` key; one pass over the key columns, one number to the driver."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
@@ -60,17 +67,19 @@ def lookup_join(
     how: str = "left",
     heavy_rows: int = HEAVY_ROWS,
     spread_by: Sequence[str] | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique by ``on``).
 
     Rows of a heavy key are dealt over ``ceil(count / heavy_rows)`` salts by a hash of their other columns, and only the matching
-    table rows are copied that often. Rows with a NULL key match nothing and are dealt over tasks as well. No broadcast hint on
-    ``table``: adaptive execution broadcasts it when its measured size allows.
+    table rows are copied that often. Rows with a NULL key match nothing and are dealt over tasks as well. ``heavy`` takes the
+    answer of :func:`heavy_keys` from a caller that has counted already. No broadcast hint on ``table``: adaptive execution
+    broadcasts it when its measured size allows.
     """
     on = list(on)
     spread = list(spread_by) if spread_by is not None else _hashable(rows, on)
     dice = F.xxhash64(*[F.col(c) for c in (spread or on)])
-    heavy = F.broadcast(heavy_keys(rows, on, heavy_rows))
+    heavy = F.broadcast(heavy_keys(rows, on, heavy_rows) if heavy is None else heavy)
     salted = (
         rows.join(heavy, on, "left")
         .withColumn("_salt", F.when(_any_null(on), F.pmod(dice, F.lit(4096))).otherwise(F.pmod(dice, F.coalesce("_fan", F.lit(1)))).cast("int"))
@@ -84,6 +93,21 @@ def lookup_join(
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
+SMALL_ROWS = 10_000  # a table up to this many rows may be broadcast
+
+
+def attach_small(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", most: int = SMALL_ROWS) -> DataFrame:
+    """Join a table expected to be tiny (one row per dataset, split, scaler ...) whose keys are therefore all heavy.
+
+    Its rows are fetched once, no more than ``most``; if that is all of them they are broadcast and ``rows`` does not shuffle.
+    A larger table goes through :func:`lookup_join`.
+    """
+    found = table.limit(most + 1).collect()
+    if len(found) > most:
+        return lookup_join(rows, table, on, how)
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(found, table.schema)), list(on), how)
+
+
 def bucket_count(df: DataFrame, n: int | None = None) -> int:
     """Buckets to cut an order into: four per shuffle partition unless given."""
     return n or max(2, min(16384, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -158,13 +182,26 @@ def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str,
     return ranked.drop("_u", "_parts")
 
 
-def grouped_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median", cuts: list[float] | None = None) -> DataFrame:
+def mark_middle(df: DataFrame, by: Sequence[str], value: str, out: str = "_mid") -> DataFrame:
+    """Flag the one or two middle rows of each key. The sort spills and later aggregates by the same key need no second shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(value))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    marked = df.withColumn("_rank", rank).withColumn("_all", n)
+    return marked.withColumn(out, F.col("_rank").isin(F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2))).drop("_rank", "_all")
+
+
+def grouped_median(
+    df: DataFrame, by: Sequence[str], value: str, out: str = "median", cuts: list[float] | None = None, most: int | None = None
+) -> DataFrame:
     """Exact median (mean of the middle pair) per ``by`` key, however many rows one key holds.
 
-    1. equal ``(by, value)`` rows are counted before the shuffle; 2. per ``(by, bucket)`` counts tell which bucket holds each middle
-    position; 3. only those buckets are sorted. No task sees more than one bucket of a key.
+    While the fullest key has at most ``HEAVY_ROWS`` rows (``most``, counted here unless given) one sort per key does. Beyond that
+    the median is selected: 1. equal ``(by, value)`` rows are counted before the shuffle; 2. per ``(by, bucket)`` counts tell which
+    bucket holds each middle position; 3. only those buckets are sorted, so no task sees more than one bucket of a key.
     """
     by = list(by)
+    if cuts is None and (largest_group(df, by) if most is None else most) <= HEAVY_ROWS:
+        return mark_middle(df.filter(F.col(value).isNotNull()), by, value).groupBy(*by).agg(F.avg(F.when(F.col("_mid"), F.col(value))).alias(out))
     clean = df.select(*by, F.col(value).cast("double").alias("_y")).filter(F.col("_y").isNotNull())
     if cuts is None:
         cuts = borders(clean, "_y")

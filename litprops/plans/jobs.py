@@ -13,6 +13,7 @@ from litprops.operators.batches import article_batches
 from litprops.operators.metrics import epoch_loss
 from litprops.operators.prompts import default_extraction_template, extraction_prompt, review_prompt
 from litprops.operators.regress import evaluate
+from litprops.operators.spread import largest_group
 from litprops.operators.validate import route, validate
 
 
@@ -56,8 +57,8 @@ def curate(records: DataFrame, content: Sequence[str], prop: str = "property", s
 def memorisation_baseline(records: DataFrame, split: DataFrame) -> DataFrame:
     """Baseline of every (dataset, split) and both strategies. ``records``: ``dataset, row_idx, article_key, y``."""
     rows = splits.gather(records, split)
-    cols = ["dataset", "split_name", "article_key", "y"]
-    return baseline.article_baseline(rows.filter("part = 'train'").select(cols), rows.filter("part = 'test'").select(cols))
+    most = largest_group(split.filter("part = 'train'"), ["dataset", "split_name"])  # from the index table alone
+    return baseline.article_baseline(rows.select("dataset", "split_name", "part", "article_key", "y", "row_idx"), most=most)
 
 
 def evaluate_predictions(preds: DataFrame, train: DataFrame, by: Sequence[str], batch_size: int, seed: int) -> tuple[DataFrame, DataFrame]:

@@ -21,6 +21,9 @@ def local_session(cpus: int = 8, app: str = "litprops", memory: str = "16g") ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")  # small tables still use every core
+        .config("spark.sql.files.maxPartitionBytes", "4MB")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

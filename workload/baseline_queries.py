@@ -63,7 +63,7 @@ def domain_baseline(spark, d):
     r = records(spark, d)
     test = r.filter("part = 'test'").join(region, "article_key").select("dataset", "test_file", "article_key", "y")
     train = r.filter("part = 'train'").select("dataset", "article_key", "y")
-    out = baseline.article_baseline(train, test, ["dataset", "test_file"], train_by=["dataset"])
+    out = baseline.pool_baseline(train, test, ["dataset", "test_file"], ["dataset"])
     return rounded(out, "r2", "rmse", "mae")
 
 

@@ -35,7 +35,7 @@ def article_ranges(spark, d):
 
 
 _RANGES = f"""{REC}, rg AS (SELECT dataset, article_key, min(y) AS lo, max(y) AS hi FROM rec WHERE part = 'train' GROUP BY ALL HAVING min(y) < max(y)),
-sc AS (SELECT rec.*, (p BETWEEN lo AND hi)::INT AS hit, exp(-((p - (lo+hi)/2) * (p - (lo+hi)/2)) / (2 * ((hi-lo)/2) * ((hi-lo)/2))) AS score FROM rec JOIN rg USING (dataset, article_key) WHERE part <> 'train')"""
+sc AS (SELECT rec.*, lo, hi, (p BETWEEN lo AND hi)::INT AS hit, exp(-((p - (lo+hi)/2) * (p - (lo+hi)/2)) / (2 * ((hi-lo)/2) * ((hi-lo)/2))) AS score FROM rec JOIN rg USING (dataset, article_key) WHERE part <> 'train')"""
 
 
 @query(f"WITH {_RANGES} SELECT dataset, part, count(*) AS eligible, {R('avg(hit)')} AS hit_rate, {R('avg(score)')} AS nars FROM sc GROUP BY ALL")
@@ -46,7 +46,7 @@ def range_hit_rate_and_nars(spark, d):
     return rounded(out, "hit_rate", "nars")
 
 
-@query(f"WITH {_RANGES} SELECT row_idx, lo, hi, hit FROM sc")
+@query(f"WITH {_RANGES} SELECT row_idx, sc.lo, sc.hi, hit FROM sc")
 def range_check(spark, d):
     r = records(spark, d)
     ranges = am.article_ranges(r.filter("part = 'train'"), ["dataset", "article_key"])
