@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it. Keeps nested expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c) -> Column:
     """Trim every kind of Unicode white space (``trim`` removes blanks only)."""
     return F.regexp_replace(_col(c), _STRIP, "")
@@ -23,8 +30,7 @@ def strip(c) -> Column:
 
 def blank_to_null(c) -> Column:
     """Stripped text, NULL when nothing is left."""
-    s = strip(c)
-    return F.when(s != "", s)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def strip_fences(c, variant: str = "extractor") -> Column:
@@ -48,8 +54,7 @@ def h1_title(c) -> Column:
 
 def to_float(c) -> Column:
     """Text to DOUBLE by Python's float syntax; NULL where that would fail (``1d`` is not a number)."""
-    s = strip(c)
-    return F.when(s.rlike(_FLOAT), F.regexp_replace(s, "_", "").try_cast("double"))
+    return F.regexp_replace(F.regexp_substr(strip(c), F.lit(_FLOAT)), "_", "").try_cast("double")
 
 
 def parse_ratio(c, strict: bool = False) -> Column:
@@ -58,14 +63,17 @@ def parse_ratio(c, strict: bool = False) -> Column:
     A dash past the first character splits a range when both sides are numbers; otherwise the whole text must be one. NULL stays
     NULL. Unparsable text gives NULL, or fails the job when ``strict``.
     """
-    s = strip(_col(c).cast("string"))
-    dash = F.locate("-", s, 2)
-    low = to_float(F.substring(s, F.lit(1), dash - 1))
-    high = to_float(F.substring(s, dash + 1, F.length(s)))
-    value = F.coalesce(F.when(dash > 1, (low + high) / 2.0), to_float(s))
-    if strict:
-        value = F.when(s.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit("bad ratio: "), s)).cast("double")).otherwise(value)
-    return value
+
+    def parse(s: Column) -> Column:
+        dash = F.locate("-", s, 2)
+        low = to_float(F.substring(s, F.lit(1), dash - 1))
+        high = to_float(F.substring(s, dash + 1, F.length(s)))
+        value = F.coalesce(F.when(dash > 1, (low + high) / 2.0), to_float(s))
+        if not strict:
+            return value
+        return F.when(s.isNotNull(), F.coalesce(value, F.raise_error(F.concat(F.lit("bad ratio: "), s)).cast("double")))
+
+    return let(strip(_col(c).cast("string")), parse)
 
 
 def normalize_doi(c) -> Column:
@@ -88,8 +96,7 @@ def dataset_name(c, drop_part_suffix: bool = False) -> Column:
     stem = file_stem(c)
     if drop_part_suffix:
         stem = F.regexp_replace(stem, r"_(?:train|test)\z", "")
-    found = F.regexp_extract(stem, r"\Aval_(.+?)(?:_\d+)?\z", 1)
-    return F.when(found != "", found).otherwise(stem)
+    return F.regexp_replace(stem, r"\Aval_(.+?)(?:_\d+)?\z", "$1")
 
 
 def python_json_spacing(c) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litprops.functions import text
+from litprops.functions.text import let
 
 
 def _col(c) -> Column:
@@ -18,30 +19,40 @@ def child(v: Column, key: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
+def members(v: Column) -> Column:
+    """All members of an object as a map; NULL unless the value is an object. Cheaper than asking for the schema of a large value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def elements(v: Column) -> Column:
+    """The array's elements as ``array<variant>``; NULL unless the value is an array."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def kind(v: Column) -> Column:
-    """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``VOID`` (JSON null) or a numeric type name; NULL when missing."""
-    return F.regexp_extract(F.schema_of_variant(v), r"\A([A-Z]+)", 1)
+    """``OBJECT``, ``ARRAY``, ``STRING``, ``BOOLEAN``, ``VOID`` (JSON null) or a numeric type name; NULL when missing.
+
+    It walks the whole value: use :func:`members` or :func:`elements` where a container is expected.
+    """
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def is_kind(v: Column, *names: str) -> Column:
     return F.coalesce(kind(v).isin(*names), F.lit(False))
 
 
-def elements(v: Column) -> Column:
-    """The array's elements as ``array<variant>``; NULL unless the value is an array."""
-    return F.when(is_kind(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
-
-
 def strict_json(s: Column) -> Column:
     """VARIANT of text that is exactly one JSON value, else NULL.
 
     ``try_parse_json`` stops after the first value and ignores what follows. Text that parses both as the only element of an array
     and as the only member of an object has nothing behind its value.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    member = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
-    items = F.try_variant_get(boxed, "$", "array<variant>")
-    return F.when(member.isNotNull() & (F.size(items) == 1), F.get(items, F.lit(0)))
+
+    def only(items: Column) -> Column:
+        member = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+        return F.when((F.size(items) == 1) & member.isNotNull(), F.get(items, F.lit(0)))
+
+    return let(elements(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))), only)
 
 
 def lenient_json_array(c) -> Column:
@@ -50,14 +61,16 @@ def lenient_json_array(c) -> Column:
     An array is itself, an object becomes a one-element array, any other JSON gives NULL. Broken JSON is tried again on the text
     from the first ``[`` to the last ``]``. Blank or hopeless text gives NULL.
     """
-    s = text.blank_to_null(c)
-    whole = strict_json(s)
-    first = F.locate("[", s)
-    last = F.length(s) - F.locate("]", F.reverse(s)) + 1
-    inner = strict_json(F.when((first > 0) & (F.locate("]", s) > 0) & (last > first), F.substring(s, first, last - first + 1)))
-    return (
-        F.when(is_kind(whole, "ARRAY"), elements(whole))
-        .when(is_kind(whole, "OBJECT"), F.array(whole))
-        .when(whole.isNotNull(), F.lit(None))
-        .otherwise(elements(inner))
-    )
+
+    def parse(s: Column) -> Column:
+        first = F.locate("[", s)
+        last = F.length(s) - F.locate("]", F.reverse(s)) + 1
+        inner = F.when((first > 0) & F.contains(s, F.lit("]")) & (last > first), F.substring(s, first, last - first + 1))
+        return let(
+            strict_json(s),
+            lambda v: F.when(v.isNull(), let(strict_json(inner), elements)).otherwise(
+                F.coalesce(elements(v), F.when(members(v).isNotNull(), F.array(v)))
+            ),
+        )
+
+    return let(text.blank_to_null(c), parse)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litprops.functions.variants import child, elements, is_kind, kind
+from litprops.functions.text import let
+from litprops.functions.variants import elements, is_kind, kind, members
 
 # Rule messages.
 NOT_OBJECT = "entry is not a dict"
@@ -42,7 +43,7 @@ def _if(broken: Column, message) -> Column:
 
 def _text_or_null(v: Column, missing, wrong) -> Column:
     """Present, and a string or null."""
-    return F.when(v.isNull(), F.array(missing)).when(~is_kind(v, "STRING", "VOID"), F.array(wrong)).otherwise(_none())
+    return let(kind(v), lambda k: F.when(k.isNull(), F.array(missing)).when(~k.isin("STRING", "VOID"), F.array(wrong)).otherwise(_none()))
 
 
 def _each(items: Column, name: str, rules) -> Column:
@@ -55,92 +56,115 @@ def _each(items: Column, name: str, rules) -> Column:
     )
 
 
-def _monomer(m: Column) -> Column:
-    smiles = child(m, "smiles")
-    return F.when(~is_kind(m, "OBJECT"), F.array(F.lit(ITEM_NOT_OBJECT.format("monomer")))).otherwise(
-        F.concat(
-            _if(~is_kind(child(m, "name"), "STRING"), ITEM_TEXT.format("monomer", "name")),
-            _text_or_null(smiles, F.lit(ITEM_MISSING.format("monomer", "smiles")), F.lit(ITEM_STRING_OR_NULL.format("monomer", "smiles"))),
-            _if(child(m, "ratio_value").isNull(), ITEM_MISSING.format("monomer", "ratio_value")),
-            _if(child(m, "ratio_unit").isNull(), ITEM_MISSING.format("monomer", "ratio_unit")),
+def _member(m: Column, key: str) -> Column:
+    return F.try_element_at(m, F.lit(key))
+
+
+def _monomer(item: Column) -> Column:
+    def rules(m: Column) -> Column:
+        return F.when(m.isNull(), F.array(F.lit(ITEM_NOT_OBJECT.format("monomer")))).otherwise(
+            F.concat(
+                _if(~is_kind(_member(m, "name"), "STRING"), ITEM_TEXT.format("monomer", "name")),
+                _text_or_null(
+                    _member(m, "smiles"), F.lit(ITEM_MISSING.format("monomer", "smiles")), F.lit(ITEM_STRING_OR_NULL.format("monomer", "smiles"))
+                ),
+                _if(_member(m, "ratio_value").isNull(), ITEM_MISSING.format("monomer", "ratio_value")),
+                _if(_member(m, "ratio_unit").isNull(), ITEM_MISSING.format("monomer", "ratio_unit")),
+            )
         )
-    )
 
+    return let(members(item), rules)
 
-def _additive(a: Column) -> Column:
-    return F.when(~is_kind(a, "OBJECT"), F.array(F.lit(ITEM_NOT_OBJECT.format("additive")))).otherwise(
-        F.concat(
-            _if(~is_kind(child(a, "name"), "STRING"), ITEM_TEXT.format("additive", "name")),
-            _if(~is_kind(child(a, "type"), "STRING"), ITEM_TEXT.format("additive", "type")),
+
+def _additive(item: Column) -> Column:
+    def rules(m: Column) -> Column:
+        return F.when(m.isNull(), F.array(F.lit(ITEM_NOT_OBJECT.format("additive")))).otherwise(
+            F.concat(
+                _if(~is_kind(_member(m, "name"), "STRING"), ITEM_TEXT.format("additive", "name")),
+                _if(~is_kind(_member(m, "type"), "STRING"), ITEM_TEXT.format("additive", "type")),
+            )
         )
-    )
 
+    return let(members(item), rules)
+
+
+def _list_rules(v: Column, name: str, rules, wrong: str, may_lack: bool) -> Column:
+    """Rules of an array member; ``may_lack`` lets it be absent or null."""
+
+    def by_items(items: Column) -> Column:
+        bad = F.when(items.isNotNull(), _each(items, name, rules))
+        if may_lack:
+            bad = bad.when(v.isNull() | F.is_variant_null(v), _none())
+        return bad.otherwise(F.array(F.lit(wrong)))
+
+    return let(elements(v), by_items)
 
-def _composition(cc: Column) -> Column:
-    monomers, additives, homo = child(cc, "monomers"), child(cc, "additives"), child(cc, "is_homopolymer")
-    return F.when(~is_kind(cc, "OBJECT"), F.array(F.lit(COMPOSITION))).otherwise(
+
+def _composition(m: Column) -> Column:
+    return F.when(m.isNull(), F.array(F.lit(COMPOSITION))).otherwise(
         F.concat(
             _text_or_null(
-                child(cc, "repeat_unit_psmiles"),
+                _member(m, "repeat_unit_psmiles"),
                 F.lit(COMPOSITION_MISSING.format("repeat_unit_psmiles")),
                 F.lit(STRING_OR_NULL.format("repeat_unit_psmiles")),
             ),
-            F.when(~is_kind(monomers, "ARRAY"), F.array(F.lit(MONOMERS))).otherwise(_each(elements(monomers), "monomers", _monomer)),
-            F.when(additives.isNull() | is_kind(additives, "VOID"), _none())
-            .when(~is_kind(additives, "ARRAY"), F.array(F.lit(ADDITIVES)))
-            .otherwise(_each(elements(additives), "additives", _additive)),
-            F.when(homo.isNull(), F.array(F.lit(COMPOSITION_MISSING.format("is_homopolymer"))))
-            .when(~is_kind(homo, "BOOLEAN"), F.array(F.lit(HOMOPOLYMER)))
-            .otherwise(_none()),
+            _list_rules(_member(m, "monomers"), "monomers", _monomer, MONOMERS, may_lack=False),
+            _list_rules(_member(m, "additives"), "additives", _additive, ADDITIVES, may_lack=True),
+            let(
+                kind(_member(m, "is_homopolymer")),
+                lambda k: F.when(k.isNull(), F.array(F.lit(COMPOSITION_MISSING.format("is_homopolymer"))))
+                .when(k != "BOOLEAN", F.array(F.lit(HOMOPOLYMER)))
+                .otherwise(_none()),
+            ),
         )
     )
 
 
-def _property(props: Column, prop: Column, numbers: tuple[str, ...]) -> Column:
-    data = F.try_variant_get(props, F.concat(F.lit("$['"), prop, F.lit("']")), "variant") if not isinstance(prop, str) else child(props, prop)
-    label = F.concat(F.lit("properties."), F.lit(prop) if isinstance(prop, str) else prop)
-    value, unit = child(data, "value"), child(data, "unit")
-    items = elements(value)
-    bad_items = F.filter(
-        F.transform(
-            items,
-            lambda v, i: F.when(~is_kind(v, *numbers), F.concat(label, F.lit(".value["), i.cast("string"), F.lit(VALUE_NUMBER))),
-        ),
-        lambda e: e.isNotNull(),
-    )
-    missing = F.concat(F.lit("properties missing '"), F.lit(prop) if isinstance(prop, str) else prop, F.lit("'" + PROPERTY_MISSING))
-    return (
-        F.when(~is_kind(props, "OBJECT"), F.array(F.lit(PROPERTIES)))
-        .when(~is_kind(data, "OBJECT"), F.array(missing))
-        .otherwise(
+def _property(props: Column, prop: str, numbers: tuple[str, ...]) -> Column:
+    label = f"properties.{prop}"
+
+    def value_rules(items: Column) -> Column:
+        each = F.transform(items, lambda v, i: F.when(~is_kind(v, *numbers), F.concat(F.lit(f"{label}.value["), i.cast("string"), F.lit(VALUE_NUMBER))))
+        return F.when(items.isNull() | (F.size(items) == 0), F.array(F.lit(label + VALUE_EMPTY))).otherwise(F.filter(each, lambda e: e.isNotNull()))
+
+    def rules(data: Column) -> Column:
+        return F.when(data.isNull(), F.array(F.lit(f"properties missing '{prop}'{PROPERTY_MISSING}"))).otherwise(
             F.concat(
-                F.when(F.coalesce(F.size(items), F.lit(0)) <= 0, F.array(F.concat(label, F.lit(VALUE_EMPTY)))).otherwise(bad_items),
-                _text_or_null(unit, F.concat(label, F.lit(" missing 'unit'")), F.concat(label, F.lit(UNIT_TEXT))),
+                let(elements(_member(data, "value")), value_rules),
+                _text_or_null(_member(data, "unit"), F.lit(f"{label} missing 'unit'"), F.lit(label + UNIT_TEXT)),
             )
         )
-    )
+
+    return F.when(props.isNull(), F.array(F.lit(PROPERTIES))).otherwise(let(members(_member(props, prop)), rules))
 
 
 def entry_errors(entry: Column, prop: str, bool_is_number: bool = True) -> Column:
     """All rule violations of a VARIANT entry for property ``prop``.
 
-    ``bool_is_number`` keeps the source behaviour in which ``true`` passes as a year or a value.
+    ``bool_is_number`` keeps the source behaviour in which ``true`` passes as a year or a value. Containers are opened once each;
+    only scalars are asked for their type.
     """
     numbers = (*_NUMBERS, "BOOLEAN") if bool_is_number else _NUMBERS
-    field = lambda k: _text_or_null(child(entry, k), F.lit(MISSING.format(k)), F.lit(STRING_OR_NULL.format(k)))
-    year = child(entry, "year")
-    return F.when(~is_kind(entry, "OBJECT"), F.array(F.lit(NOT_OBJECT))).otherwise(
-        F.concat(
-            field("doi"),
-            F.when(year.isNull(), F.array(F.lit(MISSING.format("year"))))
-            .when(~is_kind(year, *numbers, "VOID"), F.array(F.lit(YEAR)))
-            .otherwise(_none()),
-            _composition(child(entry, "chemical_composition")),
-            field("processing_history"),
-            field("hierarchical_structure"),
-            _property(child(entry, "properties"), prop, numbers),
+
+    def rules(m: Column) -> Column:
+        field = lambda k: _text_or_null(_member(m, k), F.lit(MISSING.format(k)), F.lit(STRING_OR_NULL.format(k)))
+        return F.when(m.isNull(), F.array(F.lit(NOT_OBJECT))).otherwise(
+            F.concat(
+                field("doi"),
+                let(
+                    kind(_member(m, "year")),
+                    lambda k: F.when(k.isNull(), F.array(F.lit(MISSING.format("year"))))
+                    .when(~k.isin(*numbers, "VOID"), F.array(F.lit(YEAR)))
+                    .otherwise(_none()),
+                ),
+                let(members(_member(m, "chemical_composition")), _composition),
+                field("processing_history"),
+                field("hierarchical_structure"),
+                let(members(_member(m, "properties")), lambda p: _property(p, prop, numbers)),
+            )
         )
-    )
+
+    return let(members(entry), rules)
 
 
 def validate(df: DataFrame, entry: str, prop: str, bool_is_number: bool = True) -> DataFrame:
