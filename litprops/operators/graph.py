@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litprops.operators.spread import contiguous_index, lookup_join
+from litprops.operators.spread import HEAVY_ROWS, contiguous_index, heavy_from_counts, largest_group, lookup_join
 from litprops.operators.vectors import vector_sum
 
 PAD = -1_000_000  # fixed value: path position without a node
@@ -37,7 +37,7 @@ def triplet_id(atom1: Column, atom2: Column, bond: Column, n_atoms: int = ATOM_T
 def triplet_nodes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """``(mol_id, component, node, lo, hi, role)``: bonds by their sorted ends, then isolated atoms, numbered from 0.
 
-    Numbering is a prefix sum over chunks of atoms, so that one giant component is not one task.
+    One sort per component numbers its nodes. Should a component be heavy, numbering becomes a prefix sum over chunks of atoms.
     """
     ends = bonds.select(*_PART, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     touched = ends.select(*_PART, F.explode(F.array("lo", "hi")).alias("atom"))
@@ -46,7 +46,11 @@ def triplet_nodes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
         alone.select(*_PART, F.col("atom").alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit(-1).alias("role"))
     )
     order = F.when(F.col("role") == 0, F.lit(0)).otherwise(F.lit(2**40)) + F.col("lo").cast("bigint")
-    numbered = contiguous_index(nodes.withColumn("_o", order), "_o", "node", _PART, ["hi"], bucket=F.floor(F.col("_o") / _CHUNK))
+    nodes = nodes.withColumn("_o", order)
+    if max(largest_group(atoms, _PART), largest_group(bonds, _PART)) <= HEAVY_ROWS:
+        numbered = nodes.withColumn("node", F.row_number().over(Window.partitionBy(*_PART).orderBy("_o", "hi")) - 1)
+    else:
+        numbered = contiguous_index(nodes, "_o", "node", _PART, ["hi"], bucket=F.floor(F.col("_o") / _CHUNK))
     return numbered.select(*_PART, F.col("node").cast("int").alias("node"), "lo", "hi", "role")
 
 
@@ -117,112 +121,108 @@ def path_edges(nodes: DataFrame, max_length: int = 5) -> DataFrame:
 
 
 def component_sizes(nodes: DataFrame, n_local: int = 3) -> DataFrame:
-    """``(mol_id, component, base, total, node_offset, first_label)``: sizes and where each component's nodes start."""
-    before = Window.partitionBy("mol_id").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    """Per component ``base`` and ``total`` nodes, ``node_offset`` and ``first_label``; per molecule ``first_global`` (node number)
+    and ``global_label``. The windows run over components, of which a molecule has a few."""
+    molecule = Window.partitionBy("mol_id")
+    before = molecule.orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
     sizes = nodes.groupBy(*_PART).agg(F.count(F.lit(1)).cast("int").alias("base"))
     return (
         sizes.withColumn("total", (F.col("base") + n_local).cast("int"))
         .withColumn("node_offset", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("int"))
         .withColumn("first_label", (F.col("component") * n_local).cast("int"))
+        .withColumn("first_global", F.sum("total").over(molecule).cast("int"))
+        .withColumn("global_label", (F.count(F.lit(1)).over(molecule) * n_local + 1).cast("int"))
     )
 
 
-def local_nodes(sizes: DataFrame, n_local: int = 3) -> DataFrame:
-    """Virtual nodes of each component, numbered behind its real ones."""
-    js = F.explode(F.sequence(F.lit(0), F.lit(n_local - 1)))
-    return sizes.select(*_PART, "base", "first_label", js.alias("j")).select(
-        *_PART, (F.col("base") + F.col("j")).alias("node"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"),
-        (F.col("first_label") + F.col("j") + 1).alias("role"),
+def place(nodes: DataFrame, n_local: int = 3) -> DataFrame:
+    """Nodes with the sizes of their component beside them. Every edge but line and path edges is then a projection.
+
+    The result feeds all later steps: write it once (``session.settle``).
+    """
+    return lookup_join(nodes, component_sizes(nodes, n_local), _PART, "inner")
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _both_ways(a: Column, b: Column) -> Column:
+    return F.explode(F.array(F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst"))))
+
+
+def local_nodes(placed: DataFrame, n_local: int = 3) -> DataFrame:
+    """Virtual nodes of each component, numbered behind its real ones; every component has a node 0 to make them from."""
+    return placed.filter("node = 0").select("*", _each(n_local).alias("_j")).select(
+        *_PART, (F.col("base") + F.col("_j")).alias("node"), (F.col("first_label") + F.col("_j") + 1).alias("role"), "node_offset"
     )
 
 
-def local_edges(nodes: DataFrame, sizes: DataFrame, n_local: int = 3) -> DataFrame:
+def local_edges(placed: DataFrame, n_local: int = 3) -> DataFrame:
     """Each local virtual node to and from every real node of its component; ``label`` is the virtual node's role."""
-    js = F.explode(F.sequence(F.lit(0), F.lit(n_local - 1)))
-    pairs = lookup_join(nodes.select(*_PART, "node"), sizes.select(*_PART, "base", "first_label"), _PART, "inner").select(
-        *_PART, "node", "base", "first_label", js.alias("j")
+    pairs = placed.select("*", _each(n_local).alias("_j"))
+    ends = _both_ways(F.col("base") + F.col("_j"), F.col("node"))
+    return pairs.select(*_PART, "node_offset", (F.col("first_label") + F.col("_j") + 1).alias("label"), ends.alias("e")).select(
+        *_PART, "e.src", "e.dst", "label", "node_offset"
     )
-    virtual = F.col("base") + F.col("j")
-    ends = F.explode(F.array(F.struct(virtual.alias("src"), F.col("node").alias("dst")), F.struct(F.col("node").alias("src"), virtual.alias("dst"))))
-    return pairs.select(*_PART, (F.col("first_label") + F.col("j") + 1).alias("label"), ends.alias("e")).select(*_PART, "e.src", "e.dst", "label")
 
 
 def self_loops(nodes: DataFrame) -> DataFrame:
     return nodes.select(*_PART, F.col("node").alias("src"), F.col("node").alias("dst"))
 
 
-def graph_nodes(nodes: DataFrame, n_local: int = 3, n_global: int = 1) -> DataFrame:
+def graph_nodes(placed: DataFrame, n_local: int = 3, n_global: int = 1) -> DataFrame:
     """All nodes of a molecule with one numbering over components, then global virtual nodes: ``(mol_id, component, node, role, bid)``.
 
     ``bid`` is the bond's number inside its component, -1 for anything that is not a bond.
     """
-    sizes = component_sizes(nodes, n_local)
-    parts = nodes.select(*_PART, "node", "role")
+    shifted = (F.col("node") + F.col("node_offset")).alias("node")
+    out = placed.select(*_PART, shifted, "role", F.when(F.col("role") == 0, F.col("node")).otherwise(-1).alias("bid"))
     if n_local:
-        parts = parts.unionByName(local_nodes(sizes, n_local).select(*_PART, "node", "role"))
-    placed = lookup_join(parts, sizes.select(*_PART, "node_offset"), _PART, "inner").select(
-        *_PART, (F.col("node") + F.col("node_offset")).alias("node"), "role", F.when(F.col("role") == 0, F.col("node")).otherwise(-1).alias("bid")
-    )
-    if not n_global:
-        return placed
-    js = F.explode(F.sequence(F.lit(0), F.lit(n_global - 1)))
-    ends = _molecule_ends(sizes, n_local).select("mol_id", "first_global", "first_global_label", js.alias("j"))
-    extra = ends.select(
-        "mol_id", F.lit(-1).cast(nodes.schema["component"].dataType).alias("component"), (F.col("first_global") + F.col("j")).alias("node"),
-        (F.col("first_global_label") + F.col("j")).alias("role"), F.lit(-1).alias("bid"),
-    )
-    return placed.unionByName(extra)
-
-
-def _molecule_ends(sizes: DataFrame, n_local: int) -> DataFrame:
-    return sizes.groupBy("mol_id").agg(
-        F.sum("total").cast("int").alias("first_global"), (F.count(F.lit(1)) * n_local + 1).cast("int").alias("first_global_label")
-    )
+        out = out.unionByName(local_nodes(placed, n_local).select(*_PART, shifted, "role", F.lit(-1).alias("bid")))
+    if n_global:
+        extra = placed.filter("node = 0 AND node_offset = 0").select("*", _each(n_global).alias("_j"))
+        out = out.unionByName(
+            extra.select(
+                "mol_id", F.lit(-1).cast(placed.schema["component"].dataType).alias("component"), (F.col("first_global") + F.col("_j")).alias("node"),
+                (F.col("global_label") + F.col("_j")).alias("role"), F.lit(-1).alias("bid"),
+            )
+        )
+    return out
 
 
-def global_edges(nodes: DataFrame, n_local: int = 3, n_global: int = 1) -> DataFrame:
-    """Global virtual nodes to and from every node that is a bond or an isolated atom, in molecule numbering."""
-    sizes = component_sizes(nodes, n_local)
-    real = graph_nodes(nodes, n_local, 0).filter("role <= 0").select("mol_id", "node")
-    ends = _molecule_ends(sizes, n_local)
-    js = F.explode(F.sequence(F.lit(0), F.lit(n_global - 1)))
-    pairs = lookup_join(real, ends, ["mol_id"], "inner").select("*", js.alias("j"))
-    virtual = F.col("first_global") + F.col("j")
-    both = F.explode(F.array(F.struct(virtual.alias("src"), F.col("node").alias("dst")), F.struct(F.col("node").alias("src"), virtual.alias("dst"))))
-    return pairs.select("mol_id", (F.col("first_global_label") + F.col("j")).alias("label"), both.alias("e")).select("mol_id", "e.src", "e.dst", "label")
+def global_edges(placed: DataFrame, n_global: int = 1) -> DataFrame:
+    """Global virtual nodes to and from every bond or isolated atom, in molecule numbering."""
+    pairs = placed.select("*", _each(n_global).alias("_j"))
+    ends = _both_ways(F.col("first_global") + F.col("_j"), F.col("node") + F.col("node_offset"))
+    return pairs.select("mol_id", (F.col("global_label") + F.col("_j")).alias("label"), ends.alias("e")).select("mol_id", "e.src", "e.dst", "label")
 
 
-def graph_edges(nodes: DataFrame, max_length: int = 5, n_local: int = 3, n_global: int = 1, loops: bool = True) -> DataFrame:
+def graph_edges(placed: DataFrame, max_length: int = 5, n_local: int = 3, n_global: int = 1, loops: bool = True) -> DataFrame:
     """All edges in molecule numbering: ``(mol_id, src, dst, kind, label, path)``; kinds line, path, local, self, global."""
-    sizes = component_sizes(nodes, n_local)
+    shifted = placed.withColumn("node", (F.col("node") + F.col("node_offset")).cast("int"))
 
     def one(edges: DataFrame, kind: str) -> DataFrame:
+        move = F.col("node_offset") if "node_offset" in edges.columns else F.lit(0)
         label = F.col("label") if "label" in edges.columns else F.lit(0)
+        moved = edges.withColumns({"src": (F.col("src") + move).cast("int"), "dst": (F.col("dst") + move).cast("int")})
         path = F.col("path") if "path" in edges.columns else _direct("src", "dst", max_length)
-        return edges.select(*_PART, "src", "dst", F.lit(kind).alias("kind"), label.cast("int").alias("label"), path.alias("path"))
+        return moved.select("mol_id", "src", "dst", F.lit(kind).alias("kind"), label.cast("int").alias("label"), path.alias("path"))
 
-    out = one(line_edges(nodes), "line").unionByName(one(path_edges(nodes, max_length), "path"))
-    every = nodes.select(*_PART, "node")
+    out = one(line_edges(shifted), "line").unionByName(one(path_edges(shifted, max_length), "path"))
     if n_local:
-        out = out.unionByName(one(local_edges(nodes, sizes, n_local), "local"))
-        every = every.unionByName(local_nodes(sizes, n_local).select(*_PART, "node"))
+        out = out.unionByName(one(local_edges(placed, n_local), "local"))
     if loops:
+        every = graph_nodes(placed, n_local, 0)
         out = out.unionByName(one(self_loops(every), "self"))
-    shift = F.col("node_offset")
-    moved = lookup_join(out, sizes.select(*_PART, "node_offset"), _PART, "inner").select(
-        "mol_id", (F.col("src") + shift).alias("src"), (F.col("dst") + shift).alias("dst"), "kind", "label",
-        F.transform("path", lambda p: F.when(p >= 0, p + shift).otherwise(p)).alias("path"),
-    )
-    if not n_global:
-        return moved
-    top = global_edges(nodes, n_local, n_global)
-    return moved.unionByName(
-        top.select("mol_id", "src", "dst", F.lit("global").alias("kind"), F.col("label").cast("int").alias("label"), _direct("src", "dst", max_length).alias("path"))
-    )
+    if n_global:
+        out = out.unionByName(one(global_edges(placed, n_global), "global"))
+    return out
 
 
 def prompt_graph(nodes: DataFrame, max_length: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Graph used to map node vectors back: two local virtual nodes, no global one; nodes carry ``bid``."""
+    """Graph used to map node vectors back: two local virtual nodes, no global one; nodes carry ``bid``. ``nodes`` as placed with
+    two local nodes."""
     return graph_nodes(nodes, 2, 0), graph_edges(nodes, max_length, 2, 0)
 
 
@@ -245,7 +245,7 @@ def shift_paths(edges: DataFrame, offsets: DataFrame, graph: str, offset: str =
 
 
 def prompt_slots(sizes: DataFrame) -> DataFrame:
-    """First node of each component's prompt block: the running node count of the components before it."""
+    """First node of each component's prompt block (from :func:`component_sizes`): the node count of the components before it."""
     return sizes.select(*_PART, F.col("node_offset").alias("first_node"), F.col("base").alias("n_nodes"))
 
 
@@ -255,10 +255,11 @@ def edge_softmax(edges: DataFrame, score: str = "score", by: tuple[str, ...] = (
     Max and sum are partial aggregates that come back by salted lookups, so a node with very many edges is not one window.
     """
     by = list(by)
-    top = edges.groupBy(*by).agg(F.max(score).alias("_m"))
-    raised = lookup_join(edges, top, by, "inner").withColumn("_e", F.exp(F.col(score) - F.greatest(F.col("_m"), F.lit(-1e9)))).drop("_m")
+    top = edges.groupBy(*by).agg(F.max(score).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    heavy = heavy_from_counts(top, by)
+    raised = lookup_join(edges, top.drop("_n"), by, "inner", heavy=heavy).withColumn("_e", F.exp(F.col(score) - F.greatest(F.col("_m"), F.lit(-1e9)))).drop("_m")
     sums = raised.groupBy(*by).agg(F.sum("_e").alias("_s"))
-    return lookup_join(raised, sums, by, "inner").withColumn(out, F.col("_e") / (F.col("_s") + F.lit(1e-9))).drop("_e", "_s")
+    return lookup_join(raised, sums, by, "inner", heavy=heavy).withColumn(out, F.col("_e") / (F.col("_s") + F.lit(1e-9))).drop("_e", "_s")
 
 
 def neighbour_sum(edges: DataFrame, node_vectors: DataFrame, weight: str = "weight", vec: str = "vec", out: str = "message") -> DataFrame:

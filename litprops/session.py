@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "litprops", memory: str = "16g") -> SparkSession:
@@ -51,10 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df):
-    """Reliable ``checkpoint`` into the shared folder; survives the loss of any executor."""
+def settle(df: DataFrame, what: str = "table") -> DataFrame:
+    """Write a table that several later steps read into the shared folder, and read it back.
+
+    It is worked out once, survives the loss of any executor, and stays columnar so that later reads are pruned.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/litprops-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
