@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Sequence
 
@@ -32,15 +33,19 @@ def expand(spark: SparkSession, grid: dict[str, Sequence], linked: dict[str, tup
         raise ValueError(f"grid has {size} trials, more than {MAX_TRIALS}")
     out = spark.range(1).select(F.lit(0).cast("bigint").alias("trial"))
     for names, values in groups:
-        rows = F.array(*[F.struct(*[_literal(v).alias(n) for n, v in zip(names, row)]) for row in values])
+        # One JSON literal per dimension keeps the plan small, however many values it has.
+        fields = ", ".join(f"`{n}` {_type(v)}" for n, v in zip(names, values[0]))
+        rows = F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in values])), f"ARRAY<STRUCT<{fields}>>", {"mode": "FAILFAST"})
         out = out.select("*", F.posexplode(rows).alias("_i", "_g")).select(
             (F.col("trial") * len(values) + F.col("_i")).alias("trial"), *[c for c in out.columns if c != "trial"], "_g.*"
         )
     return out
 
 
-def _literal(v):
-    return F.array(*[F.lit(x) for x in v]) if isinstance(v, (list, tuple)) else F.lit(v)
+def _type(v) -> str:
+    if isinstance(v, (list, tuple)):
+        return f"ARRAY<{_type(v[0])}>"
+    return {bool: "BOOLEAN", int: "BIGINT", float: "DOUBLE", str: "STRING"}[type(v)]
 
 
 def score_grid(scores: DataFrame, weights: dict[str, Sequence[float]], keep: Sequence[str]) -> DataFrame:

@@ -171,7 +171,7 @@ def first_bad_targets(spark, d):
     return scaling.first_bad(_shifted(spark, d), "y", "transform")
 
 
-_SEEDS = f"""{REC}, seeds AS (SELECT dataset, row_idx % 3 AS seed, {METRICS.replace('AS r2', 'AS r2').replace('THEN 1.0 ELSE 0.0', 'THEN 1.0 ELSE 0.0')} FROM rec WHERE part = 'test' GROUP BY ALL)"""
+_SEEDS = f"""{REC}, seeds AS (SELECT dataset, row_idx % 3 AS seed, {METRICS} FROM rec WHERE part = 'test' GROUP BY ALL)"""
 
 
 def _per_seed(spark, d):

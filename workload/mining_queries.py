@@ -90,7 +90,7 @@ def _field(path: str, missing: str, wrong: str) -> str:
 
 
 _Q = "''"
-_ERRORS = f"""{ENTRY}, chk AS (SELECT row_idx, filename, entry_text, CASE WHEN json_type(entry_text) <> 'OBJECT' THEN ['entry is not a dict'] ELSE list_concat(
+ERRORS = f"""{ENTRY}, chk AS (SELECT row_idx, filename, entry_text, CASE WHEN json_type(entry_text) <> 'OBJECT' THEN ['entry is not a dict'] ELSE list_concat(
   {_field('$.doi', f'missing {_Q}doi{_Q} field', f'{_Q}doi{_Q} must be string or null')},
   CASE WHEN NOT {_HAS('$.year')} THEN ['missing ''year'' field'] WHEN {_T('$.year')} IN ('VARCHAR', 'ARRAY', 'OBJECT') THEN ['''year'' must be integer or null'] ELSE [] END,
   CASE WHEN coalesce({_T('$.chemical_composition')}, '') <> 'OBJECT' THEN ['missing or invalid ''chemical_composition'' (must be dict)'] ELSE list_concat(
@@ -124,19 +124,19 @@ def _validated(spark, d):
     return validate.validate(entries, "entry", "price")
 
 
-@query(f"WITH {_ERRORS} SELECT row_idx, len(errors)::INT AS n_errors, array_to_string(errors, '; ') AS errors FROM chk")
+@query(f"WITH {ERRORS} SELECT row_idx, len(errors)::INT AS n_errors, array_to_string(errors, '; ') AS errors FROM chk")
 def validation_errors(spark, d):
     """Every broken rule of every entry, in rule order."""
     v = _validated(spark, d)
     return v.select("row_idx", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"))
 
 
-@query(f"WITH {_ERRORS} SELECT filename, count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid FROM chk GROUP BY filename")
+@query(f"WITH {ERRORS} SELECT filename, count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid FROM chk GROUP BY filename")
 def route_counts(spark, d):
     return validate.route_counts(_validated(spark, d), ["filename"])
 
 
-@query(f"WITH {_ERRORS} SELECT filename AS source_file, row_idx, len(errors)::INT AS n_errors FROM chk WHERE len(errors) > 0")
+@query(f"WITH {ERRORS} SELECT filename AS source_file, row_idx, len(errors)::INT AS n_errors FROM chk WHERE len(errors) > 0")
 def error_rows(spark, d):
     """The error side of the routing, with its source file."""
     v = _validated(spark, d)
@@ -145,7 +145,7 @@ def error_rows(spark, d):
 
 
 @query(
-    f"""WITH {_ERRORS} SELECT row_idx, json_extract_string(entry_text, '$.doi') AS doi, json_array_length(entry_text, '$.chemical_composition.monomers')::INT AS n_monomers,
+    f"""WITH {ERRORS} SELECT row_idx, json_extract_string(entry_text, '$.doi') AS doi, json_array_length(entry_text, '$.chemical_composition.monomers')::INT AS n_monomers,
  json_extract_string(entry_text, '$.chemical_composition.monomers[0].ratio_value') AS ratio, json_extract(entry_text, '$.properties.price.value[0]')::DOUBLE AS price FROM chk WHERE len(errors) = 0"""
 )
 def typed_records(spark, d):
@@ -156,7 +156,7 @@ def typed_records(spark, d):
 
 
 @query(
-    f"""WITH {_ERRORS}, f AS (SELECT conv_id, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE turn = 0)
+    f"""WITH {ERRORS}, f AS (SELECT conv_id, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE turn = 0)
 SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM f WHERE k IN (3, 4, 6, 7)) AS error, (SELECT count(*) FROM f WHERE k = 5) AS no_data,
  (SELECT count(*) FROM chk WHERE len(errors) = 0) AS valid, (SELECT count(*) FROM chk WHERE len(errors) > 0) AS invalid"""
 )
