@@ -42,8 +42,7 @@ def predict(train: DataFrame, test: DataFrame, by: Sequence[str], key: str = "ar
     sizes = rows.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("_n"))
     known = article.withColumn("_key", F.col(key).cast("string")).drop(key)
     table = (
-        sizes.join(known, [*by, "_key"], "left")
-        .join(whole, by, "left")
+        attach_small(sizes.join(known, [*by, "_key"], "left"), whole, by)
         .select(*by, "_key", F.coalesce("mean", "_all_mean").alias("mean"), F.coalesce("median", "_all_median").alias("median"), "n_train")
     )
     return lookup_join(rows, table, [*by, "_key"], heavy=heavy_from_counts(sizes, [*by, "_key"])).drop("_key")

@@ -81,14 +81,14 @@ def no_data(stage: DataFrame, key: str = "filename") -> DataFrame:
 
 def run_counters(stage: DataFrame, validated: DataFrame) -> DataFrame:
     """One row: files with an error, files without data, valid and invalid entries."""
+    names = ("files", "error", "no_data", "valid", "invalid")
     files = stage.agg(
         F.count(F.lit(1)).alias("files"),
         F.count_if("error").alias("error"),
         F.count_if(~F.col("error") & (F.size("final_entries") == 0)).alias("no_data"),
     )
     entries = validated.agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"))
-    # One row each side: a one-row broadcast, not a product.
-    return files.join(F.broadcast(entries), how="inner")
+    return files.unionByName(entries, allowMissingColumns=True).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def titles(articles: DataFrame, key: str = "filename", text: str = "text") -> DataFrame:

@@ -71,11 +71,11 @@ def score_batches(
 
 
 def evaluate(preds: DataFrame, train: DataFrame, by: Sequence[str], article: str = "article_key") -> DataFrame:
-    """Metrics, range hit rate and NARS of predictions in physical units, per ``by`` key."""
+    """Metrics, range hit rate and NARS of predictions in physical units, per ``by`` key (at least one, such as the dataset)."""
+    if not by:
+        raise ValueError("name at least one key")
     scores = range_scores(preds, article_ranges(train, [*by, article]), [*by, article], by)
     metrics = regression_metrics(preds, by)
-    if not by:
-        return metrics.join(F.broadcast(scores), how="inner")  # one row each
     nan = F.lit(float("nan"))
     return metrics.join(scores, list(by), "left").fillna({"eligible": 0}).withColumns(
         {"hit_rate": F.coalesce("hit_rate", nan), "nars": F.coalesce("nars", nan)}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litprops.functions.hashing import hash_fraction
+from litprops.operators.spread import attach_small
 
 # Names of the frozen splits, e.g. split_random, split_article_40pct.
 _SPLIT_NAME = r"\Asplit_(random|article)(?:_(\d+)pct)?\z"
@@ -76,7 +77,7 @@ def overlaps(split: DataFrame) -> DataFrame:
 def uncovered(records: DataFrame, split: DataFrame) -> DataFrame:
     """Records of a dataset that one of its splits leaves out."""
     names = split.select("dataset", "split_name").distinct()
-    return records.select("dataset", "row_idx").join(names, "dataset").join(split, ["dataset", "split_name", "row_idx"], "left_anti")
+    return attach_small(records.select("dataset", "row_idx"), names, ["dataset"], "inner").join(split, ["dataset", "split_name", "row_idx"], "left_anti")
 
 
 def not_nested(split: DataFrame, small: str, large: str) -> DataFrame:

@@ -142,12 +142,16 @@ def running_total(
 ) -> DataFrame:
     """Inclusive prefix sum of ``value`` by ``order`` (then ``ties``), restarted for each ``by`` key.
 
-    Rows meet only inside ``(by, bucket)``; bucket totals (a small table) give the offset. ``bucket`` replaces the quantile
-    buckets by any expression that does not fall as ``order`` rises.
+    While no key holds more than ``HEAVY_ROWS`` rows one window per key does. Otherwise, and always for the whole table, rows meet
+    only inside ``(by, bucket)``, and bucket totals (a small table) give the offset. ``bucket`` replaces the quantile buckets by any
+    expression that does not fall as ``order`` rises; ``cuts`` gives their borders.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     df = df.withColumn("_v", value)
+    if by and bucket is None and cuts is None and largest_group(df, by) <= HEAVY_ROWS:
+        every = Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum("_v").over(every)).drop("_v")
     if bucket is not None:
         cut = df.withColumn("_bucket", bucket)
     else:
@@ -231,6 +235,15 @@ def grouped_median(
     return placed.groupBy(*by).agg(((low + high) / 2.0).alias(out))
 
 
+def widen(df: DataFrame, least: int | None = None) -> DataFrame:
+    """Spread the rows of a scan that has fewer partitions than the cluster has slots, before heavy per-row work.
+
+    Only for a plain scan with projections: asking for its partitions then runs nothing. Large inputs come back unchanged.
+    """
+    n = least or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Collect a table that must be small by its nature (vocabulary, grid, report); fails instead of growing past ``most``."""
     rows = df.limit(most + 1).collect()

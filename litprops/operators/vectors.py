@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litprops.functions import arrays as A
-from litprops.operators.spread import lookup_join
+from litprops.operators.spread import attach_small, lookup_join
 
 POOLINGS = ("last_token", "mean_pooling", "sum_pooling", "attention_pooling", "sigmoid_pooling")
 STRUCTURE_POOLINGS = ("mean_pooling", "sum_pooling", "attention_pooling", "sigmoid_pooling")
@@ -122,19 +122,19 @@ def pad_batch(records: DataFrame, batch: Sequence[str], tokens: str = "tokens",
     )
 
 
-def standardise(vectors: DataFrame, vec: str = "vec", over: DataFrame | None = None) -> DataFrame:
-    """Column-wise ``(x - mean) / population std`` (0 counts as 1), fitted on ``over`` (all rows by default).
+def standardise(vectors: DataFrame, by: Sequence[str], vec: str = "vec", over: DataFrame | None = None) -> DataFrame:
+    """Column-wise ``(x - mean) / population std`` (0 counts as 1) per ``by`` key, fitted on ``over`` (all rows by default).
 
-    The fitted means and deviations are one row, whatever the table's size; that row is what gets broadcast.
+    A key's means and deviations are one row; those few rows are checked and broadcast, so the vectors do not shuffle.
     """
-    source = (vectors if over is None else over).select(array_to_vector(A.doubles(vec)).alias("v"))
-    fitted = source.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select(
-        vector_to_array("s.mean").alias("_mean"), vector_to_array("s.variance").alias("_var"), F.col("s.count").alias("_n")
+    source = (vectors if over is None else over).select(*by, array_to_vector(A.doubles(vec)).alias("v"))
+    fitted = source.groupBy(*by).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select(
+        *by, vector_to_array("s.mean").alias("_mean"), vector_to_array("s.variance").alias("_var"), F.col("s.count").alias("_n")
     )
     std = F.transform("_var", lambda x: F.sqrt(x * (F.col("_n") - 1) / F.col("_n")))
-    fitted = fitted.select("_mean", F.transform(std, lambda s: F.when(s == 0, 1.0).otherwise(s)).alias("_std"))
+    fitted = fitted.select(*by, "_mean", F.transform(std, lambda s: F.when(s == 0, 1.0).otherwise(s)).alias("_std"))
     scaled = F.zip_with(F.zip_with(A.doubles(vec), F.col("_mean"), lambda x, m: x - m), F.col("_std"), lambda x, s: x / s)
-    return vectors.join(F.broadcast(fitted), how="inner").withColumn(vec, scaled).drop("_mean", "_std")
+    return attach_small(vectors, fitted, by, "inner").withColumn(vec, scaled).drop("_mean", "_std")
 
 
 def append_ratio(vec: Column, ratio: Column, width: int, ratio_width: int) -> Column:

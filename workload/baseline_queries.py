@@ -167,14 +167,14 @@ def split_sizes(spark, d):
 
 
 @query(
-    f"""WITH {SPLIT}, l AS (SELECT dataset, split_name, part, list(row_idx ORDER BY row_idx) AS rows FROM split WHERE part <> 'val' GROUP BY ALL)
+    f"""WITH {SPLIT}, l AS (SELECT dataset, split_name, part, list(row_idx ORDER BY row_idx) AS rows FROM split GROUP BY ALL)
 SELECT dataset, split_name, part, unnest(rows) AS row_idx, generate_subscripts(rows, 1) - 1 AS pos FROM l"""
 )
 def split_positions(spark, d):
     """Positions inside each part, as in an index list: a prefix count per (dataset, split, part), no group on one task."""
     from litprops.operators.spread import contiguous_index
 
-    rows = split(spark, d).filter("part <> 'val'").drop("pos")
+    rows = split(spark, d).drop("pos")
     return contiguous_index(rows, "row_idx", "pos", ["dataset", "split_name", "part"])
 
 

@@ -106,11 +106,11 @@ def generated_splits(spark, d):
     )
 
 
-@query(f"WITH {REC} SELECT row_idx, article_key, dataset FROM rec WHERE part = 'train'")
+@query(f"WITH {REC} SELECT row_idx, article_key, dataset FROM rec")
 def exported_dataset(spark, d):
     """Final dataset written as JSON lines per dataset without the file name, and read back."""
     folder = f"{shared_dir(spark).rstrip('/')}/litprops-export-{uuid.uuid4().hex}"
-    r = records(spark, d).filter("part = 'train'").select("row_idx", "article_key", "dataset", F.lit("f").alias("filename"))
+    r = records(spark, d).select("row_idx", "article_key", "dataset", F.lit("f").alias("filename"))
     sinks.write_dataset(r, folder)
     return spark.read.schema("row_idx BIGINT, article_key BIGINT, filename STRING, dataset STRING").json(folder).filter("filename IS NULL").drop("filename")
 

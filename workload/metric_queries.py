@@ -314,14 +314,13 @@ def joint_training_rows(spark, d):
 
 
 @query(
-    f"""WITH {SPLIT}, u AS (SELECT md5('42:fraction:' || row_idx) AS h, * FROM split WHERE split_name = 'split_random'),
+    f"""WITH {SPLIT}, u AS (SELECT md5('42:fraction:' || row_idx) AS h, * FROM split),
 f AS (SELECT u.*, pct FROM u, (SELECT unnest([20, 40, 60, 80, 100]) AS pct) WHERE part <> 'train' OR (('0x' || substr(h, 1, 13))::BIGINT / 4503599627370496.0) * 100 < pct)
 SELECT dataset, CASE WHEN pct = 100 THEN split_name ELSE split_name || '_' || pct || 'pct' END AS split_name, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'val') AS val, count(*) FILTER (part = 'test') AS test, count(*) AS total FROM f GROUP BY ALL"""
 )
 def nested_fractions(spark, d):
     """Nested training subsets with unchanged validation and test rows."""
-    full = split(spark, d).filter("split_name = 'split_random'")
-    return splits.sizes(splits.nested_fractions(full, ["row_idx"], 42))
+    return splits.sizes(splits.nested_fractions(split(spark, d), ["row_idx"], 42))
 
 
 @query(

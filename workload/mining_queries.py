@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from litprops.functions import variants
 from litprops.functions.text import json_string, strip_fences
 from litprops.operators import mining, prompts, validate
+from litprops.operators.spread import widen
 from workload.bindings import ENTRY, MD, entry_json, markdown
 from workload.registry import query, table
 
@@ -59,23 +60,28 @@ def stripped_fences(spark, d):
     return fenced.select("conv_id", "turn", F.md5(strip_fences("raw")).alias("extractor"), F.md5(strip_fences("raw", "generator")).alias("generator"))
 
 
-@query(
-    f"""WITH {_RESP}, s AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN k END) AS k0, max(CASE WHEN turn = 1 THEN k END) AS k1 FROM resp WHERE turn <= 1 GROUP BY conv_id),
-e AS (SELECT conv_id, CASE k0 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 5 THEN 0 END AS draft, CASE k1 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS review FROM s WHERE k0 IS NOT NULL)
-SELECT conv_id, draft, CASE WHEN review > 0 THEN review ELSE draft END AS final, draft IS NULL AS error FROM e"""
-)
+# Turns 2n and 2n + 1 of a conversation are the draft and the review of one file.
+_PAIRS = f"""{_RESP}, f AS (SELECT conv_id * 1000 + turn // 2 AS filename, max(CASE WHEN turn % 2 = 0 THEN k END) AS k0, max(CASE WHEN turn % 2 = 1 THEN k END) AS k1 FROM resp GROUP BY 1),
+e AS (SELECT filename, CASE k0 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 5 THEN 0 END AS draft, CASE k1 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS review FROM f WHERE k0 IS NOT NULL),
+st AS (SELECT filename, draft, CASE WHEN review > 0 THEN review ELSE draft END AS final, draft IS NULL AS error FROM e)"""
+
+
+def _stages(spark, d):
+    file = F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)
+    parsed = mining.stage_entries(_responses(spark, d)).withColumns({"filename": file, "reasoning": F.lit("")})
+    return mining.review_override(parsed.filter("turn % 2 = 0"), parsed.filter("turn % 2 = 1"))
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM st")
 def review_override(spark, d):
-    """Turn 0 is the draft, turn 1 the review; only a non-empty review replaces the draft."""
-    parsed = mining.stage_entries(_responses(spark, d)).withColumn("reasoning", F.lit(""))
-    stage = mining.review_override(parsed.filter("turn = 0"), parsed.filter("turn = 1"), "conv_id")
+    """Only a non-empty review replaces the draft."""
     n = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
-    return stage.select("conv_id", n("stage1_entries").alias("draft"), n("final_entries").alias("final"), "error")
+    return _stages(spark, d).select("filename", n("stage1_entries").alias("draft"), n("final_entries").alias("final"), "error")
 
 
-@query(f"WITH {_RESP} SELECT conv_id FROM resp WHERE turn = 0 AND k = 5 AND conv_id NOT IN (SELECT conv_id FROM resp WHERE turn = 1 AND k <= 2)")
+@query(f"WITH {_PAIRS} SELECT filename FROM st WHERE NOT error AND final = 0")
 def no_data_files(spark, d):
-    parsed = mining.stage_entries(_responses(spark, d)).withColumn("reasoning", F.lit(""))
-    return mining.no_data(mining.review_override(parsed.filter("turn = 0"), parsed.filter("turn = 1"), "conv_id"), "conv_id")
+    return mining.no_data(_stages(spark, d))
 
 
 # ---- validation
@@ -120,7 +126,7 @@ ERRORS = f"""{ENTRY}, chk AS (SELECT row_idx, filename, entry_text, CASE WHEN js
 
 
 def _validated(spark, d):
-    entries = entry_json(spark, d).select("row_idx", "filename", F.try_parse_json("entry_text").alias("entry"))
+    entries = widen(entry_json(spark, d)).select("row_idx", "filename", F.try_parse_json("entry_text").alias("entry"))
     return validate.validate(entries, "entry", "price")
 
 
@@ -156,14 +162,11 @@ def typed_records(spark, d):
 
 
 @query(
-    f"""WITH {ERRORS}, f AS (SELECT conv_id, (conv_id * 7 + turn) % 8 AS k FROM conversations WHERE turn = 0)
-SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM f WHERE k IN (3, 4, 6, 7)) AS error, (SELECT count(*) FROM f WHERE k = 5) AS no_data,
+    f"""WITH {_PAIRS}, {ERRORS} SELECT (SELECT count(*) FROM st) AS files, (SELECT count(*) FROM st WHERE error) AS error, (SELECT count(*) FROM st WHERE NOT error AND final = 0) AS no_data,
  (SELECT count(*) FROM chk WHERE len(errors) = 0) AS valid, (SELECT count(*) FROM chk WHERE len(errors) > 0) AS invalid"""
 )
 def run_counters(spark, d):
-    parsed = mining.stage_entries(_responses(spark, d)).filter("turn = 0")
-    stage = parsed.select("conv_id", F.col("entries").alias("final_entries"), F.col("entries").isNull().alias("error"))
-    return mining.run_counters(stage, _validated(spark, d))
+    return mining.run_counters(_stages(spark, d), _validated(spark, d))
 
 
 # ---- titles and progress

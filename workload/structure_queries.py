@@ -298,19 +298,25 @@ def prompt_graph_nodes(spark, d):
     return n.groupBy("mol_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("bid") >= 0).alias("bonds"), F.sum("bid").cast("bigint").alias("bids"))
 
 
-def _node_vectors(spark, d, n):
+def _node_vectors(n):
     """Two-wide vectors for nodes, from numbers the tables hold."""
     return n.withColumn("vec", F.array((F.col("node") * 1.0), (F.col("mol_id") % 7) * 1.0))
 
 
+def _numbered(spark, d):
+    """Nodes in molecule numbering (both components), written once."""
+    p = _placed(spark, d)
+    return p.withColumn("node", (F.col("node") + F.col("node_offset")).cast("int"))
+
+
 @query(
-    f"""WITH {_GNODES}, b AS (SELECT mol_id, bid FROM gn WHERE component = 0 AND bid >= 0), m AS (SELECT mol_id, bid, node FROM gn WHERE component = 0 AND bid >= 0 AND bid % 2 = 0)
+    f"""WITH {_GNODES}, b AS (SELECT mol_id * 2 + component AS mol_id, bid FROM gn WHERE bid >= 0), m AS (SELECT mol_id * 2 + component AS mol_id, bid, node FROM gn WHERE bid >= 0 AND bid % 2 = 0)
 SELECT mol_id, bid::INT AS bid, node::DOUBLE AS v0 FROM b LEFT JOIN m USING (mol_id, bid)"""
 )
 def map_back(spark, d):
-    """Vectors of an augmented graph (here one that made every other bond) back onto base bonds."""
-    n = graph.graph_nodes(_placed(spark, d)).filter("component = 0")
-    made = _node_vectors(spark, d, n).filter("bid % 2 = 0 OR bid < 0")
+    """Vectors of an augmented graph (here one that made every other bond) back onto base bonds; every component is a structure."""
+    n = graph.graph_nodes(_placed(spark, d), n_global=0).withColumn("mol_id", F.col("mol_id") * 2 + F.col("component"))
+    made = _node_vectors(n).filter("bid % 2 = 0 OR bid < 0")
     out = graph.map_back(n, made)
     return out.select("mol_id", F.col("bid").cast("int").alias("bid"), F.col("vec")[0].alias("v0"))
 
@@ -338,36 +344,35 @@ def shifted_paths(spark, d):
     return out.select("mol_id", "component", "src", "dst", F.col("path")[0].alias("first"), F.col("path")[1].alias("pad"))
 
 
-_SCORED = f"""{GRAPH}, {_LINE}, se AS (SELECT mol_id, component, src, dst, ((src * 7 + dst * 3 + mol_id) % 11) / 4.0 AS score FROM line WHERE component = 0)"""
+_SCORED = f"""{GRAPH}, {_LINE}, {_SIZES}, se AS (SELECT mol_id, src + node_offset AS src, dst + node_offset AS dst, ((src + node_offset) * 7 + (dst + node_offset) * 3 + mol_id) % 11 / 4.0 AS score FROM line JOIN off USING (mol_id, component))"""
 
 
-def _scored_edges(spark, d):
-    e = graph.line_edges(_placed(spark, d)).filter("component = 0")
-    return e.withColumn("score", ((F.col("src") * 7 + F.col("dst") * 3 + F.col("mol_id")) % 11) / 4.0)
+def _scored_edges(nodes):
+    return graph.line_edges(nodes).withColumn("score", ((F.col("src") * 7 + F.col("dst") * 3 + F.col("mol_id")) % 11) / 4.0)
 
 
 @query(
     f"""WITH {_SCORED}, m AS (SELECT *, exp(score - max(score) OVER (PARTITION BY mol_id, dst)) AS e FROM se) SELECT mol_id, src, dst, {R('e / (sum(e) OVER (PARTITION BY mol_id, dst) + 1e-9)')} AS alpha FROM m"""
 )
 def edge_softmax(spark, d):
-    return graph.edge_softmax(_scored_edges(spark, d)).select("mol_id", "src", "dst", rnd("alpha").alias("alpha"))
+    return graph.edge_softmax(_scored_edges(_numbered(spark, d))).select("mol_id", "src", "dst", rnd("alpha").alias("alpha"))
 
 
 @query(f"WITH {_SCORED} SELECT mol_id, dst, {R('sum(score * src)')} AS m0, {R('sum(score * (mol_id % 7))')} AS m1 FROM se GROUP BY mol_id, dst")
 def neighbour_sum(spark, d):
     """One message-passing step with given weights."""
-    v = _node_vectors(spark, d, _placed(spark, d).filter("component = 0"))
-    out = graph.neighbour_sum(_scored_edges(spark, d).withColumnRenamed("score", "weight"), v)
+    n = _numbered(spark, d)
+    out = graph.neighbour_sum(_scored_edges(n).withColumnRenamed("score", "weight"), _node_vectors(n))
     return out.select("mol_id", "dst", rnd(F.col("message")[0]).alias("m0"), rnd(F.col("message")[1]).alias("m1"))
 
 
 @query(
-    f"""WITH {GRAPH}, {_PATH}, p AS (SELECT mol_id, src, dst, list_filter(path, lambda x: x >= 0) AS q FROM pth WHERE component = 0) SELECT mol_id, src, dst, len(q)::BIGINT AS path_len, {R('list_avg(q)')} AS v0 FROM p"""
+    f"""WITH {GRAPH}, {_PATH}, {_SIZES}, p AS (SELECT mol_id, src + node_offset AS src, dst + node_offset AS dst, list_transform(list_filter(path, lambda x: x >= 0), lambda x: x + node_offset) AS q FROM pth JOIN off USING (mol_id, component)) SELECT mol_id, src, dst, len(q)::BIGINT AS path_len, {R('list_avg(q)')} AS v0 FROM p"""
 )
 def path_vectors(spark, d):
     """Length of each padded path and mean of the node vectors on it."""
-    n = _placed(spark, d).filter("component = 0")
-    out = graph.path_vectors(settle(graph.path_edges(n, 5), "paths"), _node_vectors(spark, d, n), ["src", "dst"])
+    n = _numbered(spark, d)
+    out = graph.path_vectors(settle(graph.path_edges(n, 5), "paths"), _node_vectors(n), ["src", "dst"])
     return out.select("mol_id", "src", "dst", "path_len", rnd(F.col("path_vec")[0]).alias("v0"))
 
 

@@ -78,7 +78,7 @@ def layer_norm(spark, d):
 )
 def standardise_columns(spark, d):
     """Column-wise standardisation over all vectors."""
-    n = vectors.standardise(tokens(spark, d))
+    n = vectors.standardise(tokens(spark, d), ["dataset"])
     return n.select("pos", F.posexplode("vec").alias("dim", "value")).select("pos", F.col("dim").cast("bigint").alias("dim"), rnd("value").alias("value"))
 
 
