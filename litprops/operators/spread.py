@@ -41,8 +41,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def heavy_from_counts(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_from_counts(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy_rows: int | None = None) -> DataFrame:
     """``(on..., _fan)`` for keys above ``heavy_rows``. At most ``HEAVY_KEYS`` rows, so it may be broadcast."""
+    heavy_rows = heavy_rows or HEAVY_ROWS
     return (
         counts.filter((F.col(n) > heavy_rows) & ~_any_null(on))
         .orderBy(F.desc(n))
@@ -51,7 +52,7 @@ def heavy_from_counts(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy
     )
 
 
-def heavy_keys(rows: DataFrame, on: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def heavy_keys(rows: DataFrame, on: Sequence[str], heavy_rows: int | None = None) -> DataFrame:
     return heavy_from_counts(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", heavy_rows)
 
 
@@ -65,7 +66,7 @@ def lookup_join(
     table: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    heavy_rows: int = HEAVY_ROWS,
+    heavy_rows: int | None = None,
     spread_by: Sequence[str] | None = None,
     heavy: DataFrame | None = None,
 ) -> DataFrame:
@@ -174,12 +175,12 @@ def contiguous_index(df: DataFrame, order: str, out: str = "idx", by: Sequence[s
     return running_total(df, order, F.lit(1).cast("bigint"), out, by, ties, **kw).withColumn(out, F.col(out) - 1)
 
 
-def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str, ties: Sequence[str] = (), target_rows: int = HEAVY_ROWS) -> DataFrame:
+def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str, ties: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:
     """0-based rank inside each ``by`` key by a uniform ``fraction`` in [0, 1).
 
     A key of up to ``target_rows`` rows is one bucket; a larger one is cut into as many even buckets as it needs.
     """
-    by = list(by)
+    by, target_rows = list(by), target_rows or HEAVY_ROWS
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(target_rows)).cast("int").alias("_parts"))
     sized = lookup_join(df.withColumn("_u", fraction), sizes, by, "left", spread_by=["_u"]).fillna(64, subset=["_parts"])
     ranked = contiguous_index(sized, "_u", out, by, ties, bucket=F.floor(F.col("_u") * F.col("_parts")).cast("int"))
