@@ -68,7 +68,12 @@ def attention_weights(tokens: DataFrame, by: Sequence[str], score: Column, bound
     shift = _shift(bound)
     raised = tokens.withColumn("_e", F.exp(score - F.lit(shift)) * _active(mask))
     sums = raised.groupBy(*by).agg(F.sum("_e").alias("_s"))
-    return lookup_join(raised, sums, by, "inner").withColumn(out, F.col("_e") / F.col("_s")).drop("_e", "_s")
+    return lookup_join(raised, sums, by, "inner").withColumn(out, F.col("_e") * _inverse("_s")).drop("_e", "_s")
+
+
+def _inverse(total: str) -> Column:
+    """1 / total; a record whose tokens are all masked has no softmax and gets NaN."""
+    return F.when(F.col(total) == 0, F.lit(float("nan"))).otherwise(1.0 / F.col(total))
 
 
 def _shift(bound: float) -> float:
@@ -84,7 +89,7 @@ def attention_pooling(
     e = F.exp(score - F.lit(_shift(bound))) * _active(mask)
     raised = tokens.select(*by, vec, e.alias("_e"))
     sums = raised.groupBy(*by).agg(vector_sum(F.col(vec), F.col("_e")).alias(out), F.sum("_e").alias("_s"))
-    return sums.withColumn(out, A.scale(F.col(out), 1.0 / F.col("_s"))).drop("_s")
+    return sums.withColumn(out, A.scale(F.col(out), _inverse("_s"))).drop("_s")
 
 
 def sigmoid_pooling(tokens: DataFrame, by: Sequence[str], score: Column, vec: str = "vec", mask: str | None = None, out: str = "pooled") -> DataFrame:

@@ -15,17 +15,19 @@ from litprops.operators.prompts import default_extraction_template, extraction_p
 from litprops.operators.regress import evaluate
 from litprops.operators.spread import largest_group
 from litprops.operators.validate import route, validate
+from litprops.session import settle
 
 
 def extract(articles_df: DataFrame, prop: str, model: Callable, review_model: Callable | None = None, templates: DataFrame | None = None) -> DataFrame:
     """Articles (``filename, text``) through extraction and optional review: one stage row per file with the final entries.
 
-    Both model steps are maps, so the only shuffle is the 1:1 join of drafts and reviews on ``filename``.
+    Both model steps are maps, so the only shuffle is the 1:1 join of drafts and reviews on ``filename``. Responses are written to the
+    shared folder as they come: a lost executor or a second look at the result never asks the model again.
     """
     spark = articles_df.sparkSession
     templates = templates if templates is not None else spark.createDataFrame([(prop, default_extraction_template(prop))], "property string, template string")
     asked = extraction_prompt(articles_df.withColumn("property", F.lit(prop)), templates)
-    draft = mining.stage_entries(mining.map_model(asked, "prompt", ["filename"], model))
+    draft = mining.stage_entries(settle(mining.map_model(asked, "prompt", ["filename"], model), "drafts"))
     if review_model is None:
         empty = draft.select("filename", F.lit(None).cast("array<variant>").alias("entries"), F.lit(None).cast("string").alias("reasoning"))
         return mining.review_override(draft, empty)
@@ -33,7 +35,7 @@ def extract(articles_df: DataFrame, prop: str, model: Callable, review_model: Ca
     shown = draft.filter("entries IS NOT NULL").join(articles_df, "filename").withColumn(
         "prompt", review_prompt(template, F.lit(prop), F.lit("Answer [] when all is right, else the full corrected array."), F.to_json("entries"), F.col("text"))
     )
-    review = mining.stage_entries(mining.map_model(shown, "prompt", ["filename"], review_model))
+    review = mining.stage_entries(settle(mining.map_model(shown, "prompt", ["filename"], review_model), "reviews"))
     return mining.review_override(draft, review)
 
 
