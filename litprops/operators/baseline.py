@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litprops.operators.metrics import NAN, regression_metrics
-from litprops.operators.spread import HEAVY_ROWS, attach_small, borders, grouped_median, heavy_from_counts, largest_group, lookup_join, mark_middle
+from litprops.operators.spread import HEAVY_ROWS, attach_small, borders, grouped_median, heavy_keys, largest_group, lookup_join, mark_middle
 
 STRATEGIES = ("mean", "median")
 _NO_ARTICLE = "\u0000none"  # stands for a NULL article key inside the lookup
@@ -45,7 +45,7 @@ def predict(train: DataFrame, test: DataFrame, by: Sequence[str], key: str = "ar
         attach_small(sizes.join(known, [*by, "_key"], "left"), whole, by)
         .select(*by, "_key", F.coalesce("mean", "_all_mean").alias("mean"), F.coalesce("median", "_all_median").alias("median"), "n_train")
     )
-    return lookup_join(rows, table, [*by, "_key"], heavy=heavy_from_counts(sizes, [*by, "_key"])).drop("_key")
+    return lookup_join(rows, table, [*by, "_key"], heavy=heavy_keys(sizes, [*by, "_key"])).drop("_key")
 
 
 def predict_parts(rows: DataFrame, by: Sequence[str], key: str = "article_key", y: str = "y", part: str = "part", most: int | None = None) -> DataFrame:
@@ -69,19 +69,13 @@ def predict_parts(rows: DataFrame, by: Sequence[str], key: str = "article_key",
     seen = (
         rows.filter(F.col(part).isin("train", "test"))
         .withColumn("_key", F.coalesce(F.col(key).cast("string"), alone))
-        .withColumn("_rank", F.row_number().over(article.orderBy(F.when(train, 0).otherwise(1), y)))
-        .withColumn("_all", trained)
-        .withColumn("mean", F.avg(F.when(train, F.col(y))).over(article))
-        .withColumn("median", F.avg(F.when(train & middle, F.col(y))).over(article))
+        .withColumns({"_rank": F.row_number().over(article.orderBy(F.when(train, 0).otherwise(1), y)), "_all": trained})
+        .withColumns({"mean": F.avg(F.when(train, F.col(y))).over(article), "median": F.avg(F.when(train & middle, F.col(y))).over(article)})
         .filter(F.col(part) == "test")
         .drop("_key", "_rank", "_all")
     )
-    return (
-        attach_small(seen, whole, by)
-        .withColumn("mean", F.coalesce("mean", "_all_mean"))
-        .withColumn("median", F.coalesce("median", "_all_median"))
-        .drop("_all_mean", "_all_median")
-    )
+    filled = {"mean": F.coalesce("mean", "_all_mean"), "median": F.coalesce("median", "_all_median")}
+    return attach_small(seen, whole, by).withColumns(filled).drop("_all_mean", "_all_median")
 
 
 def score(predicted: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:

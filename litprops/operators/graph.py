@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litprops.operators.spread import HEAVY_ROWS, contiguous_index, heavy_from_counts, largest_group, lookup_join
+from litprops.operators.spread import HEAVY_ROWS, contiguous_index, heavy_keys, largest_group, lookup_join
 from litprops.operators.vectors import vector_sum
+from litprops.session import settle
 
 PAD = -1_000_000  # fixed value: path position without a node
 ATOM_TYPES, BOND_TYPES = 102, 5  # fixed values: vocabulary size
@@ -47,7 +48,7 @@ def triplet_nodes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     )
     order = F.when(F.col("role") == 0, F.lit(0)).otherwise(F.lit(2**40)) + F.col("lo").cast("bigint")
     nodes = nodes.withColumn("_o", order)
-    if max(largest_group(atoms, _PART), largest_group(bonds, _PART)) <= HEAVY_ROWS:
+    if largest_group(atoms.select(*_PART).unionByName(bonds.select(*_PART)), _PART) <= HEAVY_ROWS:
         numbered = nodes.withColumn("node", F.row_number().over(Window.partitionBy(*_PART).orderBy("_o", "hi")) - 1)
     else:
         numbered = contiguous_index(nodes, "_o", "node", _PART, ["hi"], bucket=F.floor(F.col("_o") / _CHUNK))
@@ -138,9 +139,15 @@ def component_sizes(nodes: DataFrame, n_local: int = 3) -> DataFrame:
 def place(nodes: DataFrame, n_local: int = 3) -> DataFrame:
     """Nodes with the sizes of their component beside them. Every edge but line and path edges is then a projection.
 
-    The result feeds all later steps: write it once (``session.settle``).
+    ``nodes`` is read three times here and the result by all later steps, so both belong in a table: see :func:`build_nodes`.
     """
-    return lookup_join(nodes, component_sizes(nodes, n_local), _PART, "inner")
+    sizes = component_sizes(nodes, n_local)
+    return lookup_join(nodes, sizes, _PART, "inner", heavy=heavy_keys(sizes, _PART, "base"))
+
+
+def build_nodes(atoms: DataFrame, bonds: DataFrame, n_local: int = 3) -> DataFrame:
+    """Numbered and placed nodes in a table of the shared folder, ready for the edge functions."""
+    return settle(place(settle(triplet_nodes(atoms, bonds), "nodes"), n_local), "placed")
 
 
 def _each(n: int) -> Column:
@@ -256,7 +263,7 @@ def edge_softmax(edges: DataFrame, score: str = "score", by: tuple[str, ...] = (
     """
     by = list(by)
     top = edges.groupBy(*by).agg(F.max(score).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    heavy = heavy_from_counts(top, by)
+    heavy = heavy_keys(top, by)
     raised = lookup_join(edges, top.drop("_n"), by, "inner", heavy=heavy).withColumn("_e", F.exp(F.col(score) - F.greatest(F.col("_m"), F.lit(-1e9)))).drop("_m")
     sums = raised.groupBy(*by).agg(F.sum("_e").alias("_s"))
     return lookup_join(raised, sums, by, "inner", heavy=heavy).withColumn(out, F.col("_e") / (F.col("_s") + F.lit(1e-9))).drop("_e", "_s")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +41,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
 
 
-def heavy_from_counts(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy_rows: int | None = None) -> DataFrame:
-    """``(on..., _fan)`` for keys above ``heavy_rows``. At most ``HEAVY_KEYS`` rows, so it may be broadcast."""
+def heavy_keys(counts: DataFrame, on: Sequence[str], n: str = "_n", heavy_rows: int | None = None) -> list[Row]:
+    """``(on..., _fan)`` of the keys above ``heavy_rows``, heaviest first, from a table of key counts. At most ``HEAVY_KEYS`` rows,
+    so they may come to the driver and be broadcast. A NULL key is listed like any other."""
     heavy_rows = heavy_rows or HEAVY_ROWS
-    return (
-        counts.filter((F.col(n) > heavy_rows) & ~_any_null(on))
-        .orderBy(F.desc(n))
-        .limit(HEAVY_KEYS)
-        .select(*on, F.ceil(F.col(n) / F.lit(heavy_rows)).cast("int").alias("_fan"))
-    )
+    fan = F.ceil(F.col(n) / F.lit(heavy_rows)).cast("int").alias("_fan")
+    return counts.filter(F.col(n) > heavy_rows).orderBy(F.desc(n)).limit(HEAVY_KEYS).select(*on, fan).collect()
 
 
-def heavy_keys(rows: DataFrame, on: Sequence[str], heavy_rows: int | None = None) -> DataFrame:
-    return heavy_from_counts(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", heavy_rows)
+def key_counts(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -68,32 +65,35 @@ def lookup_join(
     how: str = "left",
     heavy_rows: int | None = None,
     spread_by: Sequence[str] | None = None,
-    heavy: DataFrame | None = None,
+    heavy: list[Row] | None = None,
 ) -> DataFrame:
     """Join ``rows`` to ``table`` (unique by ``on``).
 
-    Rows of a heavy key are dealt over ``ceil(count / heavy_rows)`` salts by a hash of their other columns, and only the matching
-    table rows are copied that often. Rows with a NULL key match nothing and are dealt over tasks as well. ``heavy`` takes the
-    answer of :func:`heavy_keys` from a caller that has counted already. No broadcast hint on ``table``: adaptive execution
-    broadcasts it when its measured size allows.
+    The keys of ``rows`` are counted first (a pass over the key columns; ``heavy`` takes the answer of :func:`heavy_keys` from a
+    caller that has counted already). Without a heavy key this is a plain join, and adaptive execution broadcasts ``table`` when its
+    measured size allows. Otherwise rows of a heavy key are dealt over ``ceil(count / heavy_rows)`` salts by a hash of their other
+    columns, only the matching table rows are copied that often, and rows with a NULL key, which match nothing, are dealt over tasks
+    as well.
     """
     on = list(on)
+    if heavy is None:
+        heavy = heavy_keys(key_counts(rows, on), on, heavy_rows=heavy_rows)
+    if not heavy:
+        return rows.join(table, on, how)
     spread = list(spread_by) if spread_by is not None else _hashable(rows, on)
     dice = F.xxhash64(*[F.col(c) for c in (spread or on)])
-    heavy = F.broadcast(heavy_keys(rows, on, heavy_rows) if heavy is None else heavy)
-    salted = (
-        rows.join(heavy, on, "left")
-        .withColumn("_salt", F.when(_any_null(on), F.pmod(dice, F.lit(4096))).otherwise(F.pmod(dice, F.coalesce("_fan", F.lit(1)))).cast("int"))
-        .drop("_fan")
-    )
-    copies = (
-        table.join(heavy, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1)))
-        .drop("_fan")
-    )
+    schema = T.StructType([*[rows.schema[c] for c in on], T.StructField("_fan", T.IntegerType())])
+    fans = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in heavy], _nullable(schema)))
+    salt = F.when(_any_null(on), F.pmod(dice, F.lit(4096))).otherwise(F.pmod(dice, F.coalesce("_fan", F.lit(1)))).cast("int")
+    salted = rows.join(fans, on, "left").withColumn("_salt", salt).drop("_fan")
+    copies = table.join(fans, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_fan", F.lit(1)) - 1))).drop("_fan")
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 SMALL_ROWS = 10_000  # a table up to this many rows may be broadcast
 
 
@@ -178,9 +178,12 @@ def contiguous_index(df: DataFrame, order: str, out: str = "idx", by: Sequence[s
 def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str, ties: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:
     """0-based rank inside each ``by`` key by a uniform ``fraction`` in [0, 1).
 
-    A key of up to ``target_rows`` rows is one bucket; a larger one is cut into as many even buckets as it needs.
+    While no key has more than ``target_rows`` rows one window does it; a larger key is cut into as many even buckets as it needs.
     """
     by, target_rows = list(by), target_rows or HEAVY_ROWS
+    if largest_group(df, by) <= target_rows:
+        order = Window.partitionBy(*by).orderBy(fraction, *ties)
+        return df.withColumn(out, (F.row_number().over(order) - 1).cast("bigint"))
     sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(target_rows)).cast("int").alias("_parts"))
     sized = lookup_join(df.withColumn("_u", fraction), sizes, by, "left", spread_by=["_u"]).fillna(64, subset=["_parts"])
     ranked = contiguous_index(sized, "_u", out, by, ties, bucket=F.floor(F.col("_u") * F.col("_parts")).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from workload.registry import table
@@ -164,9 +164,8 @@ def atoms(spark: SparkSession, d: str) -> DataFrame:
 
 def bonds(spark: SparkSession, d: str) -> DataFrame:
     """Bond between two neighbouring line numbers of one component, if both are there."""
-    a = atoms(spark, d)
-    b = a.select("mol_id", "component", (F.col("atom") - 1).alias("atom"))
-    return a.join(b, ["mol_id", "component", "atom"], "left_semi").select("mol_id", "component", F.col("atom").alias("a"), (F.col("atom") + 1).alias("b"))
+    line = Window.partitionBy("mol_id", "component").orderBy("atom")
+    return atoms(spark, d).withColumn("b", F.lead("atom").over(line)).filter("b = atom + 1").select("mol_id", "component", F.col("atom").alias("a"), "b")
 
 
 GRAPH = """atoms AS (SELECT DISTINCT l_orderkey AS mol_id, CASE WHEN l_linenumber <= 4 THEN 0 ELSE 1 END AS component, l_linenumber AS atom FROM lineitem),

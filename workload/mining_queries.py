@@ -235,7 +235,7 @@ def _prompt_records(spark, d):
         ),
         F.lit('"properties":{"price":{"value":[1],"unit":'), F.when(k % 3 == 0, "null").otherwise('"EUR"'), F.lit("}}}"),
     )
-    return table(spark, d, "part").select(k.alias("row_idx"), entry.alias("entry"))
+    return widen(table(spark, d, "part").select(k.alias("row_idx"), entry.alias("entry")))
 
 
 _CC = """'{"repeat_unit_psmiles": null, "monomers": [{"name": "' || p_name || '", "smiles": "C:C,\\"x", "ratio_value": ' || p_size || ', "ratio_unit": "mol%"}], "is_homopolymer": ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""

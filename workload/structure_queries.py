@@ -206,7 +206,7 @@ def _nodes(spark, d):
 
 def _placed(spark, d, n_local=3):
     """Numbered and placed nodes, written once because every graph step reads them."""
-    return settle(graph.place(_nodes(spark, d), n_local), "nodes")
+    return graph.build_nodes(atoms(spark, d), bonds(spark, d), n_local)
 
 
 @query(f"WITH {GRAPH} SELECT * FROM nodes")
