@@ -8,22 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litprops.operators.metrics import NAN, regression_metrics
-from litprops.operators.spread import HEAVY_ROWS, attach_small, borders, grouped_median, heavy_keys, largest_group, lookup_join, mark_middle
+from litprops.operators.spread import HEAVY_ROWS, attach_small, grouped_median, heavy_keys, largest_group, lookup_join, mark_middle
 
 STRATEGIES = ("mean", "median")
 _NO_ARTICLE = "\u0000none"  # stands for a NULL article key inside the lookup
 
 
-def training_statistics(train: DataFrame, by: Sequence[str], y: str = "y", cuts: list[float] | None = None, most: int | None = None) -> DataFrame:
-    """Mean, exact median and row count of the training values per key. NULL keys are left out."""
+def training_statistics(train: DataFrame, by: Sequence[str], y: str = "y", most: int | None = None) -> DataFrame:
+    """Mean, exact median and row count of the training values per key. NULL keys are left out. ``most``: rows of the fullest key or
+    of a wider group, where known."""
     named = train
     for c in by:
         named = named.filter(F.col(c).isNotNull())
-    if cuts is None and (largest_group(named, by) if most is None else most) <= HEAVY_ROWS:
+    if (largest_group(named, by) if most is None else most) <= HEAVY_ROWS:
         middle = F.avg(F.when(F.col("_mid"), F.col(y)))
         return mark_middle(named, by, y).groupBy(*by).agg(F.avg(y).alias("mean"), middle.alias("median"), F.count(F.lit(1)).alias("n_train"))
     mean = named.groupBy(*by).agg(F.avg(y).alias("mean"), F.count(F.lit(1)).alias("n_train"))
-    return mean.join(grouped_median(named, by, y, "median", borders(named, y) if cuts is None else cuts), list(by))
+    return mean.join(grouped_median(named, by, y), list(by))
 
 
 def predict(train: DataFrame, test: DataFrame, by: Sequence[str], key: str = "article_key", y: str = "y", most: int | None = None) -> DataFrame:
@@ -35,9 +36,8 @@ def predict(train: DataFrame, test: DataFrame, by: Sequence[str], key: str = "ar
     """
     by = list(by)
     most = largest_group(train, by) if most is None else most  # an article never has more rows than its group
-    cuts = None if most <= HEAVY_ROWS else borders(train, y)
-    article = training_statistics(train, [*by, key], y, cuts, most).drop("n_train")
-    whole = training_statistics(train, by, y, cuts, most).withColumnsRenamed({"mean": "_all_mean", "median": "_all_median"})
+    article = training_statistics(train, [*by, key], y, most).drop("n_train")
+    whole = training_statistics(train, by, y, most).withColumnsRenamed({"mean": "_all_mean", "median": "_all_median"})
     rows = test.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit(_NO_ARTICLE)))
     sizes = rows.groupBy(*by, "_key").agg(F.count(F.lit(1)).alias("_n"))
     known = article.withColumn("_key", F.col(key).cast("string")).drop(key)
@@ -59,8 +59,7 @@ def predict_parts(rows: DataFrame, by: Sequence[str], key: str = "article_key",
     most = largest_group(rows.filter(train), by) if most is None else most
     if most > HEAVY_ROWS and largest_group(rows.filter(F.col(key).isNotNull()), [*by, key]) > HEAVY_ROWS:
         return predict(rows.filter(train), rows.filter(F.col(part) == "test"), by, key, y, most)
-    cuts = None if most <= HEAVY_ROWS else borders(rows.filter(train), y)
-    whole = training_statistics(rows.filter(train), by, y, cuts, most).withColumnsRenamed({"mean": "_all_mean", "median": "_all_median"})
+    whole = training_statistics(rows.filter(train), by, y, most).withColumnsRenamed({"mean": "_all_mean", "median": "_all_median"})
     # Rows without a key would be one huge group; each becomes a group of its own, which holds no training row for a test row.
     alone = F.concat(F.lit(_NO_ARTICLE), F.col(part), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))
     article = Window.partitionBy(*by, "_key")

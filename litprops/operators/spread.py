@@ -94,6 +94,14 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+def split_heavy(df: DataFrame, by: Sequence[str], heavy: list[Row]) -> tuple[DataFrame, DataFrame]:
+    """``(cold rows, rows of the heavy keys with their _fan)``; the listed keys are few and broadcast."""
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("_fan", T.IntegerType())])
+    fans = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in heavy], _nullable(schema)))
+    marked = null_safe_join(df, fans, by, "left")
+    return marked.filter("_fan IS NULL").drop("_fan"), marked.filter("_fan IS NOT NULL")
+
+
 SMALL_ROWS = 10_000  # a table up to this many rows may be broadcast
 
 
@@ -178,16 +186,20 @@ def contiguous_index(df: DataFrame, order: str, out: str = "idx", by: Sequence[s
 def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str, ties: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:
     """0-based rank inside each ``by`` key by a uniform ``fraction`` in [0, 1).
 
-    While no key has more than ``target_rows`` rows one window does it; a larger key is cut into as many even buckets as it needs.
+    Keys of up to ``target_rows`` rows take one window; a larger key is cut into as many even buckets as it needs.
     """
-    by, target_rows = list(by), target_rows or HEAVY_ROWS
-    if largest_group(df, by) <= target_rows:
+    by = list(by)
+
+    def ranked(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy(*by).orderBy(fraction, *ties)
-        return df.withColumn(out, (F.row_number().over(order) - 1).cast("bigint"))
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(target_rows)).cast("int").alias("_parts"))
-    sized = lookup_join(df.withColumn("_u", fraction), sizes, by, "left", spread_by=["_u"]).fillna(64, subset=["_parts"])
-    ranked = contiguous_index(sized, "_u", out, by, ties, bucket=F.floor(F.col("_u") * F.col("_parts")).cast("int"))
-    return ranked.drop("_u", "_parts")
+        return rows.withColumn(out, (F.row_number().over(order) - 1).cast("bigint"))
+
+    heavy = heavy_keys(key_counts(df, by), by, heavy_rows=target_rows)
+    if not heavy:
+        return ranked(df)
+    cold, hot = split_heavy(df, by, heavy)
+    cut = contiguous_index(hot.withColumn("_u", fraction), "_u", out, by, ties, bucket=F.floor(F.col("_u") * F.col("_fan")).cast("int"))
+    return ranked(cold).unionByName(cut.drop("_u", "_fan"))
 
 
 def mark_middle(df: DataFrame, by: Sequence[str], value: str, out: str = "_mid") -> DataFrame:
@@ -203,16 +215,30 @@ def grouped_median(
 ) -> DataFrame:
     """Exact median (mean of the middle pair) per ``by`` key, however many rows one key holds.
 
-    While the fullest key has at most ``HEAVY_ROWS`` rows (``most``, counted here unless given) one sort per key does. Beyond that
-    the median is selected: 1. equal ``(by, value)`` rows are counted before the shuffle; 2. per ``(by, bucket)`` counts tell which
-    bucket holds each middle position; 3. only those buckets are sorted, so no task sees more than one bucket of a key.
+    Keys of up to ``HEAVY_ROWS`` rows take one sort each. For the heavy ones the median is selected: 1. equal ``(by, value)`` rows
+    are counted before the shuffle; 2. per ``(by, bucket)`` counts tell which bucket holds each middle position; 3. only those buckets
+    are sorted, so no task sees more than one bucket of a key. ``most``: rows of the fullest key, where known. ``cuts`` gives the
+    bucket borders and sends every key through the selection.
     """
     by = list(by)
-    if cuts is None and (largest_group(df, by) if most is None else most) <= HEAVY_ROWS:
-        return mark_middle(df.filter(F.col(value).isNotNull()), by, value).groupBy(*by).agg(F.avg(F.when(F.col("_mid"), F.col(value))).alias(out))
     clean = df.select(*by, F.col(value).cast("double").alias("_y")).filter(F.col("_y").isNotNull())
-    if cuts is None:
-        cuts = borders(clean, "_y")
+    if cuts is not None:
+        return _selected_median(clean, by, out, cuts)
+
+    def sorted_median(rows: DataFrame) -> DataFrame:
+        return mark_middle(rows, by, "_y").groupBy(*by).agg(F.avg(F.when(F.col("_mid"), F.col("_y"))).alias(out))
+
+    heavy = [] if most is not None and most <= HEAVY_ROWS else heavy_keys(key_counts(clean, by), by)
+    if not heavy:
+        return sorted_median(clean)
+    if not by:
+        return _selected_median(clean, by, out, borders(clean, "_y"))
+    cold, hot = split_heavy(clean, by, heavy)
+    hot = hot.drop("_fan")
+    return sorted_median(cold).unionByName(_selected_median(hot, by, out, borders(hot, "_y")))
+
+
+def _selected_median(clean: DataFrame, by: list[str], out: str, cuts: list[float]) -> DataFrame:
     counted = with_bucket(clean.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("_c")), "_y", cuts)
     upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
