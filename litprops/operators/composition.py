@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litprops.functions.arrays import zeros
 from litprops.functions.text import blank_to_null, parse_ratio
-from litprops.operators.spread import bounded_rows, contiguous_index, lookup_join
+from litprops.operators.spread import bounded_rows, lookup_join
 
 DEFAULT_UNIT = "mol%"  # fixed value: unit of a homopolymer
 MAX_UNITS = 1000
@@ -93,12 +94,5 @@ def multimer_requests(smiles: DataFrame, units: tuple[int, ...] = (3, 6, 9)) ->
 def attach_features(records: DataFrame, features: DataFrame, on: str, width: int, vec: str = "vec") -> DataFrame:
     """Join features (unique by ``on``) back to records; missing ones become zero vectors. A structure shared by very many records
     is salted."""
-    from litprops.functions.arrays import zeros
-
     joined = lookup_join(records, features.select(on, vec), [on])
     return joined.withColumn(vec, F.coalesce(F.col(vec), zeros(width)))
-
-
-def number_units(units: DataFrame, order: str) -> DataFrame:
-    """Same numbering as :func:`unit_vocabulary` for a table with a numeric order column (no driver step)."""
-    return contiguous_index(units, order, "idx")

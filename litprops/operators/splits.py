@@ -17,16 +17,15 @@ _SPLIT_NAME = r"\Asplit_(random|article)(?:_(\d+)pct)?\z"
 def gather(records: DataFrame, split: DataFrame, strict: bool = True) -> DataFrame:
     """Records of each split row; ``pos`` keeps the list order and repeats are kept.
 
-    ``strict`` makes an index that is not in the dataset fail the job, by an outer join whose hit flag is checked: no second pass.
-    ``(dataset, row_idx)`` is unique in ``records``, so no key is hot.
+    ``strict`` makes an index that is not in the dataset fail the job: an outer join whose hit flag a filter checks, so that no column
+    pruning can lose the check and no second pass is needed. ``(dataset, row_idx)`` is unique in ``records``, so no key is hot.
     """
     keys = ["dataset", "row_idx"]
     if not strict:
         return split.join(records, keys, "inner")
     found = split.join(records.withColumn("_hit", F.lit(True)), keys, "left")
     message = F.concat(F.lit("split index out of range: "), F.col("dataset"), F.lit(" "), F.col("row_idx").cast("string"))
-    checked = F.when(F.col("_hit"), F.col("pos")).otherwise(F.raise_error(message).cast("bigint"))
-    return found.withColumn("pos", checked).drop("_hit")
+    return found.filter(F.when(F.col("_hit"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_hit")
 
 
 def missing_rows(records: DataFrame, split: DataFrame) -> DataFrame:

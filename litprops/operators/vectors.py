@@ -151,9 +151,3 @@ def token_weights(tokens: DataFrame, by: Sequence[str], pos: str = "pos", token:
     """Per-record list of ``(pos, token, weight)`` in token order, for the weight report. A record is one prompt, so its list is as
     long as a model's context."""
     return tokens.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(token).alias("token"), F.col(weight).alias("weight")))).alias("weights"))
-
-
-def explode_vector(df: DataFrame, keys: Sequence[str], vec: str = "pooled", digits: int | None = None) -> DataFrame:
-    """Long form ``(keys, dim, value)``."""
-    long = df.select(*keys, F.posexplode(vec).alias("dim", "value"))
-    return long if digits is None else long.withColumn("value", F.round("value", digits) + F.lit(0.0))

@@ -40,15 +40,15 @@ def extract(articles_df: DataFrame, prop: str, model: Callable, review_model: Ca
 
 
 def validate_and_route(stage: DataFrame, prop: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(valid entries, error rows, counters)`` of a stage table."""
-    checked = validate(mining.explode_entries(stage), "entry", prop)
+    """``(valid entries, error rows, counters)`` of a stage table; the checked entries are written once for the three of them."""
+    checked = settle(validate(mining.explode_entries(stage), "entry", prop), "checked")
     valid, errors = route(checked)
     return valid, errors, mining.run_counters(stage, checked)
 
 
 def curate(records: DataFrame, content: Sequence[str], prop: str = "property", seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Clean records and a split table (random and article-disjoint)."""
-    clean = curation.drop_duplicates(records, content)
+    """Clean records and a split table (random and article-disjoint), which is made from the records as written."""
+    clean = settle(curation.drop_duplicates(records, content), "clean")
     random = clean.select("dataset", F.lit("split_random").alias("split_name"), splits.assign_parts("row_idx", seed).alias("part"), F.col("row_idx").alias("pos"), "row_idx")
     disjoint = clean.select(
         "dataset", F.lit("split_article").alias("split_name"), splits.assign_parts("article_key", seed).alias("part"), F.col("row_idx").alias("pos"), "row_idx"

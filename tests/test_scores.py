@@ -219,6 +219,8 @@ def test_split_checks(spark):
     assert rows(splits.missing_rows(recs, split).select("part", "pos", "row_idx")) == [("test", 1, 9)]
     with pytest.raises(Exception, match="out of range: d 9"):
         splits.gather(recs, split).collect()
+    with pytest.raises(Exception, match="out of range: d 9"):
+        splits.gather(recs, split).select("part").groupBy("part").count().collect()
     kept = splits.gather(recs, split.filter("row_idx < 9")).orderBy("part", "pos").select("part", "row_idx", "y")
     assert rows(kept) == [("test", 0, 0.0), ("train", 3, 30.0), ("train", 1, 10.0), ("train", 1, 10.0)]
     assert rows(splits.uncovered(recs, split).select("row_idx"), "row_idx") == [(2,), (4,), (5,)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litprops.functions.text import dataset_name
 from litprops.operators import articles, baseline, curation, splits
+from litprops.operators.spread import contiguous_index
 from litprops.plans.jobs import memorisation_baseline
 from litprops.sources.records import domain_test_files
 from workload.bindings import REC, SPLIT, records, split
@@ -172,8 +174,6 @@ SELECT dataset, split_name, part, unnest(rows) AS row_idx, generate_subscripts(r
 )
 def split_positions(spark, d):
     """Positions inside each part, as in an index list: a prefix count per (dataset, split, part), no group on one task."""
-    from litprops.operators.spread import contiguous_index
-
     rows = split(spark, d).drop("pos")
     return contiguous_index(rows, "row_idx", "pos", ["dataset", "split_name", "part"])
 
@@ -195,8 +195,6 @@ SELECT split_name, row_number() OVER (ORDER BY k, c, CASE WHEN named THEN split_
 )
 def split_order(spark, d):
     """Semantic order of split names: random fractions, article fractions, domains, others."""
-    from pyspark.sql import Window
-
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey") % 5
     pct = F.when(c == 4, "").otherwise(F.concat(F.lit("_"), ((c + 1) * 20).cast("string"), F.lit("pct")))
     name = (
@@ -206,4 +204,4 @@ def split_order(spark, d):
         .otherwise(F.col("o_orderstatus"))
     )
     names = table(spark, d, "orders").select(name.alias("split_name")).distinct()  # a handful of names: one small window
-    return names.select("split_name", F.row_number().over(Window.orderBy(*splits.split_rank("split_name"))).alias("position"))
+    return names.select("split_name", F.row_number().over(Window.orderBy(*splits.split_rank("split_name"))).cast("bigint").alias("position"))

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from litprops.functions.text import normalize_doi
-from litprops.operators import curation, regress, splits
+from litprops.operators import curation, regress, splits, validate
+from litprops.operators.metrics import improvement_row, regression_metrics
 from litprops.session import settle, shared_dir
 from litprops.sources import sinks
 from litprops.streaming import ingest
@@ -144,8 +145,6 @@ def joint_ridge_fit(spark, d):
 @query()
 def domain_tuning(spark, d):
     """Before / after: a fit on one domain scored on the other, then fitted on both; with the improvement row."""
-    from litprops.operators.metrics import improvement_row, regression_metrics
-
     rows = settle(_regression_rows(spark, d).withColumn("k", F.lit("all")), "regression")
     target = rows.filter("dataset = 'high' AND part = 'test'")
     source = rows.filter("dataset = 'low'")
@@ -189,8 +188,6 @@ def streamed_validation(spark, d):
 @query(f"WITH {ERRORS} SELECT o_orderpriority, count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid FROM chk JOIN orders ON o_orderkey = row_idx GROUP BY 1")
 def routed_files(spark, d):
     """Valid and error rows appended to two outputs, then counted from what was written."""
-    from litprops.operators import validate
-
     folder = f"{shared_dir(spark).rstrip('/')}/litprops-routed-{uuid.uuid4().hex}"
     entries = entry_json(spark, d).select("row_idx", F.col("o_orderpriority").alias("filename"), F.try_parse_json("entry_text").alias("entry"))
     sinks.write_routed(validate.validate(entries, "entry", "price"), folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litprops.operators import article_metrics as am
 from litprops.operators import batches, grid, metrics, scaling, splits
 from litprops.operators.regress import evaluate
+from litprops.operators.spread import bounded_rows
 from workload.baseline_queries import METRICS
 from workload.bindings import REC, SPLIT, records, split
 from workload.registry import R, query, rnd, rounded, table
@@ -236,7 +237,7 @@ def improvement_rows(spark, d):
     return rounded(metrics.improvement_row(_stages(spark, d), ["dataset"]), "r2", "rmse", "mae")
 
 
-_TRIALS = f"""{REC}, cfg AS (SELECT (i.v * 3 + j.v)::BIGINT AS trial, [1.0, 0.5][i.v + 1] AS shrink, [0, 1, 2][j.v + 1] AS seed FROM (SELECT unnest([0, 1]) AS v) i, (SELECT unnest([0, 1, 2]) AS v) j),
+_TRIALS = f"""{REC}, cfg AS (SELECT (i.v * 3 + j.v)::BIGINT AS trial, [1.0, 0.5][i.v + 1] AS shrink, [0, 1, 2][j.v + 1]::BIGINT AS seed FROM (SELECT unnest([0, 1]) AS v) i, (SELECT unnest([0, 1, 2]) AS v) j),
 run AS (SELECT trial, shrink::DOUBLE AS shrink, seed, y, y + (p - y) * shrink AS p FROM rec JOIN cfg ON row_idx % 3 = seed WHERE part = 'val' AND trial <> 4),
 sc AS (SELECT trial, shrink, seed, count(*) AS n, {METRICS} FROM run GROUP BY trial, shrink, seed)"""
 
@@ -270,8 +271,6 @@ SELECT 'd1_eq_2d2' AS rule, count(*) AS pairs, sum(d1 * 1000 + d2)::BIGINT AS ch
 )
 def constrained_pairs(spark, d):
     """Constrained grid dimensions whose candidates are the part sizes (a small domain, checked)."""
-    from litprops.operators.spread import bounded_rows
-
     sizes = [r[0] for r in bounded_rows(table(spark, d, "part").select("p_size").distinct(), 1000, "grid dimension")]
     out = None
     for rule in ("d1_eq_2d2", "d1_gt_d2"):
@@ -361,4 +360,4 @@ def trial_order(spark, d):
     """Trials by number, not by text (a few dozen names)."""
     names = table(spark, d, "part").select(F.concat(F.lit("trial_"), F.col("p_size").cast("string")).alias("trial_name")).distinct()
     number = F.regexp_extract("trial_name", r"(\d+)\z", 1).cast("int")
-    return names.select("trial_name", F.row_number().over(Window.orderBy(number)).alias("position"))
+    return names.select("trial_name", F.row_number().over(Window.orderBy(number)).cast("bigint").alias("position"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litprops.functions import arrays as A
 from litprops.functions.text import parse_ratio
 from litprops.operators import batches, composition, graph
-from litprops.operators.spread import bounded_rows
+from litprops.operators.spread import bounded_rows, contiguous_index
 from litprops.session import settle
 from workload.bindings import GRAPH, atoms, bonds
 from workload.registry import R, query, rnd, table
@@ -170,8 +170,6 @@ o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN k = 0
 )
 def keep_base_and_random(spark, d):
     """Per brand the first structure and up to nine random others."""
-    from litprops.operators.spread import contiguous_index
-
     part = table(spark, d, "part").select("p_brand", "p_partkey")
     numbered = contiguous_index(part, "p_partkey", "k", ["p_brand"])
     return batches.keep_base_and_random(numbered, ["p_brand"], "k", 9, 10).select("p_brand", "k", "p_partkey")

@@ -106,7 +106,7 @@ def batch_max_length(spark, d):
 
 
 @query(
-    """SELECT doc_id, lang, sum(n_chars) OVER w - n_chars AS "start", sum(n_chars) OVER w AS "end" FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id)"""
+    """SELECT doc_id, lang, (sum(n_chars) OVER w - n_chars)::BIGINT AS "start", (sum(n_chars) OVER w)::BIGINT AS "end" FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id)"""
 )
 def ragged_offsets(spark, d):
     """Running (start, end) of text lengths per language, without one task per language."""
@@ -115,7 +115,7 @@ def ragged_offsets(spark, d):
     return out.select("doc_id", "lang", (F.col("end") - F.col("n_chars")).alias("start"), "end")
 
 
-@query("SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS \"end\" FROM documents")
+@query("SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS \"end\" FROM documents")
 def global_offsets(spark, d):
     """The same over the whole table: no partition key, still no single-task window over rows."""
     return running_total(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", "end").select("doc_id", "end")
