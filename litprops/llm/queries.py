@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from litprops.llm import ngram_join
+from litprops.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, quality, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +52,131 @@ FROM s LEFT JOIN k ON list_sort(s.s) = k.s LEFT JOIN c ON c.rep = k.rep"""
 )
 def op2_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query(
+    rf"""
+WITH w AS (SELECT doc_id, {words("text")} AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM w)),
+d AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT x) AS gone FROM (SELECT doc_id, unnest(range(p, p + 20)) AS x FROM d) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(w.w) AS n, coalesce(len(gone), 0) AS r,
+  CASE WHEN gone IS NULL THEN w.w ELSE list_filter(w.w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n AS n_words, r AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+)
+def op5_substring_dedup(spark, sf_dir):
+    kept = substrings.remove_repeated_passages(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    rf"""
+WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line, x, {words("x")} AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+f AS (SELECT w, min((doc_id, line)) AS top FROM l WHERE len(w) >= 5 GROUP BY w),
+a AS (SELECT l.doc_id, l.line FROM l JOIN f ON l.w = f.w WHERE (l.doc_id, l.line) > f.top),
+v AS (SELECT w, top, i, list_concat(w[1:i - 1], w[i + 1:]) AS v FROM (SELECT w, top, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 10)),
+b AS (SELECT top FROM (SELECT top, min(top) OVER (PARTITION BY i, v) AS least FROM v) WHERE top > least),
+c AS (SELECT v.top AS longer, f.top AS shorter FROM v JOIN f ON f.w = v.v WHERE len(f.w) >= 10),
+gone AS (SELECT doc_id, line FROM a UNION SELECT top[1], top[2] FROM b UNION SELECT longer[1], longer[2] FROM c WHERE longer > shorter
+  UNION SELECT shorter[1], shorter[2] FROM c WHERE shorter > longer)
+SELECT d.doc_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, count(*) AS n, count(gone.line) AS r, string_agg(l.x, chr(10) ORDER BY l.line) FILTER (WHERE gone.line IS NULL) AS kept
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line GROUP BY l.doc_id) k USING (doc_id)"""
+)
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.remove_repeated_lines(read(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+WITH s AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
+r AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM s) * sqrt(size) / (SELECT sum(sqrt(size)) FROM s) / size ELSE 1 END AS rate FROM s),
+c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
+  SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) AS p FROM r, range(0, 200) t(k))),
+u AS (SELECT *, CAST(('0x' || substr(md5('mix:' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+n AS (SELECT u.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.c <= u.u) AS n FROM u),
+e AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy_no, md5('mix:place:' || doc_id || ':' || k) AS mix_key FROM e"""
+)
+def op9_mixing_sources(spark, sf_dir):
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, {words(ASCII_LOWER)} AS w FROM documents),
+b AS (SELECT item_id, w AS item FROM (SELECT item_id, {words(ASCII_LOWER)} AS w FROM benchmark) WHERE len(w) > 0),
+m(k, m) AS (VALUES (0, [0, 1, 2, 3, 6, 7]), (1, [0, 1, 3, 5, 6, 7])),
+ds AS (SELECT doc_id, k, p, list_transform(m, lambda o: w[p + o]) AS s FROM (SELECT doc_id, k, m, w, unnest(range(1, len(w) + 1 - m[6])) AS p FROM d, m)),
+bs AS (SELECT item_id, k, p, list_transform(m, lambda o: item[p + o]) AS s FROM (SELECT item_id, k, m, item, unnest(range(1, len(item) + 1 - m[6])) AS p FROM b, m)),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.s = bs.s),
+s AS (SELECT doc_id, item_id, len(item) AS n_item, least(13, len(item)) AS size, list_transform(
+    range(greatest(0, -shift) + 1, least(len(item), len(w) - shift) + 1), lambda p: CAST(item[p] = w[p + shift] AS INTEGER)) AS same
+  FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
+f AS (SELECT doc_id, item_id, n_item, list_sum(same) AS n FROM s WHERE len(same) >= size
+  AND len(list_filter(range(1, len(same) - size + 2), lambda p: 100 * list_sum(same[p:p + size - 1]) >= 80 * size)) > 0)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_matched, CAST(max(n_item) AS BIGINT) AS n_item FROM f GROUP BY 1, 2"""
+)
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+#: The added conversation: control strings of a template inside both texts.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query(
+    rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{TRICKY}'), (-7, 1, 'assistant', '{TRICKY}')),
+e AS (SELECT *, replace(replace(text, '\', '\s'), '<', '\l') AS body, replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(15 + length(head) + length(body)) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+)
+def op10_chat_formatting(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    done = chat.format_conversations(chat.linear(rows.unionByName(added)))
+    turns = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    read_back = done.select("tree_id", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted")
+    return read_back.select(
+        F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query()
+def op1_quality_rules(spark, sf_dir):
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op3_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.filter("not held_out"))
+    return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query(
+    """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(host, path, action) AS (VALUES """
+    + ", ".join(map(str, URL_RULES))
+    + """),
+f AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.action FROM p LEFT JOIN r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(action, length(rule)), 'allow') AS verdict FROM f GROUP BY 1, 2, 3"""
+)
+def op8_url_filters(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_filter.apply_rules(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
