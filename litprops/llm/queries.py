@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litprops.llm import chat, decontaminate, langid, line_dedup, mixing, ngram_join, quality, substrings, url_filter
+from litprops.llm import chat, decontaminate, html_extract, langid, line_dedup, mixing, ngram_join, quality, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,9 @@ SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_ma
 def op8_url_filters(spark, sf_dir):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_filter.apply_rules(read(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@query()
+def op4_html_extraction(spark, sf_dir):
+    texts = html_extract.main_texts(read(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
