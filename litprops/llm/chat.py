@@ -40,26 +40,30 @@ def branch_messages(messages: DataFrame, scratch: Scratch, top: int | None = 1)
     known = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
     linked = nodes.join(known, (F.col("tree_id").eqNullSafe(F.col("t"))) & (F.col("parent_id") == F.col("p")) & (F.col("parent_id") != F.col("node_id")), "left")
     level = scratch.put(linked.select("tree_id", "node_id", F.col("p").alias("up"), F.lit(1).alias("steps"), "score"), "up-0")
-    levels = [level]
+    levels = [level]  # table k has the messages with a 2^k-th ancestor or, with a null ``up``, those that met their first message in round k
+    ended = level.filter("up is null")
+    total = level.count()
     while True:
-        above = level.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
-        level = level.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree_id", "node_id", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")
+        rest = level.filter("up is not null")
+        open_, longest = rest.agg(F.count("*"), F.max("steps")).first()
+        if not open_ or longest > total:
+            break
+        above = ended.unionByName(rest).select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("score").alias("score2"))
+        level = rest.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n"))).select(
+            "tree_id", "node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("score") + F.col("score2")).alias("score")
         )
         level = scratch.put(level, f"up-{len(levels)}")
         levels.append(level)
-        open_, longest, total = level.agg(F.count("up"), F.max("steps"), F.count("*")).first()
-        if not open_ or longest > total:
-            break
+        ended = ended.unionByName(level.filter("up is null"))
     replied = levels[0].filter("up is not null").select(F.col("tree_id").alias("t"), F.col("up").alias("n")).distinct()
-    leaves = level.filter("up is null").join(replied, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
+    leaves = ended.join(replied, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
     ranked = leaves.select("tree_id", F.col("node_id").alias("leaf"), "steps", F.col("score").alias("branch_score"))
     ranked = ranked.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf")))
     if top is not None:
         ranked = ranked.filter(F.col("branch_rank") <= top)
     ranked = scratch.put(ranked, "branches")
     found = ranked.select("tree_id", "leaf", F.col("leaf").alias("node_id"), F.col("steps").alias("depth"))
-    for k in range(len(levels) - 2, -1, -1):
+    for k in range(len(levels) - 1, -1, -1):
         jump = levels[k].filter("up is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up")
         higher = found.join(jump, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n"))).select(
             "tree_id", "leaf", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth")
