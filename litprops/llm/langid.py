@@ -42,7 +42,7 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     low = [(t or "").lower() for t in texts]
     sizes = np.fromiter(map(len, low), np.int64, len(low))
     codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(low)), sizes)
+    row = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
     letter = _letter_table()[codes]
     has = np.bincount(row[letter], minlength=len(low)) > 0
     stay = letter.copy()
@@ -60,14 +60,14 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             h ^= h >> np.uint64(29)
         same = row[:m] == row[n - 1 :]
         rows.append(row[:m][same])
-        buckets.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)[same])
+        buckets.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)[same])
     if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), has
+        return np.empty(0, np.int32), np.empty(0, np.int32), has
     return np.concatenate(rows), np.concatenate(buckets), has
 
 
 def _small(iterator):
-    return batches(iterator, rows=400, size=2 << 20)
+    return batches(iterator, rows=200, size=1 << 20)
 
 
 def _frequencies(iterator):
@@ -89,7 +89,7 @@ def _counts(iterator):
     for piece in _small(iterator):
         texts = piece.column(0).to_pylist()
         row, bucket, _ = ngrams(texts)
-        key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
+        key, count = np.unique(row.astype(np.int64) * BUCKETS + bucket, return_counts=True)
         cut = np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
         at = [(key[a:b] % BUCKETS).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
         n = [count[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:])]

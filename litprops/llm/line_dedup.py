@@ -58,7 +58,7 @@ def _describe(min_words: int, near_words: int):
     def run(iterator):
         for part in iterator:
             got = [[] for _ in range(5)]
-            for piece in batches([part], rows=1 << 30, size=8 << 20):
+            for piece in batches([part], rows=1 << 30, size=2 << 20):
                 lines, row, number = _split(piece.column(1).to_pylist())
                 first, words = word_hashes(pa.array(lines, pa.string()))
                 spans, a, b = _Spans(words), first[:-1], first[1:]

@@ -47,7 +47,7 @@ def _repeats(windows: np.ndarray) -> int:
 
 
 def _statistics(iterator):
-    for piece in batches(iterator, size=8 << 20):
+    for piece in batches(iterator, size=2 << 20):
         texts = piece.column(1).to_pylist()
         first, words = word_hashes(piece.column(1))
         windows = window_hashes(words, WINDOW)

@@ -59,7 +59,7 @@ def _deal(size: int):
     def run(iterator):
         for part in iterator:
             seen = {k: [] for k in ("doc", "start", "n", "anchor", "key")}
-            for piece in batches([part], rows=1 << 30, size=8 << 20):
+            for piece in batches([part], rows=1 << 30, size=2 << 20):
                 first, words = word_hashes(piece.column(1))
                 row, start, n, anchor, key = segments(first, words, size)
                 ids = piece.column(0).to_numpy()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240131))
 _TABLE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64)
 _LOWER = _TABLE.copy()
@@ -27,7 +27,7 @@ STEP = _rng.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, BLOCK), base, np.uint64)
+        p = np.full(max(n, BLOCK // 4), base, np.uint64)
         p[0] = 1
         have = _powers[base] = np.cumprod(p, dtype=np.uint64)
     return have
@@ -113,9 +113,10 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def batches(iterator, rows: int = 2000, size: int = 16 << 20):
+def batches(iterator, rows: int = 2000, size: int = 4 << 20):
     """Cut record batches so that a part has at most ``rows`` rows and, where rows allow, ``size`` bytes."""
     for batch in iterator:
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+        pa.default_memory_pool().release_unused()
