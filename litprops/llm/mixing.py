@@ -60,9 +60,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     join. Copies go to their places by ranges of ``mix_key``, which is uniform, so partitions are even.
     """
     docs = docs.drop("copy_no", "mix_key")
-    found = rates(docs, weights).select(F.col("source").alias("rate_source"), "steps")
-    n = F.size(F.filter("steps", lambda c: c <= uniform(seed, F.col("doc_id"))))
-    counted = docs.join(found, docs.source.eqNullSafe(found.rate_source)).withColumn("n_copies", n).filter("n_copies > 0").drop("rate_source", "steps")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).drop("n_copies")
-    copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("doc_id").cast("string"), F.col("copy_no").cast("string"))))
+    found = rates(docs, weights).select(F.col("source").alias("name"), "steps")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # apart from the names used here
+    n = F.size(F.filter("steps", lambda c: c <= uniform(seed, F.col("row.doc_id"))))
+    counted = rows.join(found, F.col("row.source").eqNullSafe(F.col("name"))).select("row", n.alias("n")).filter("n > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("row.doc_id").cast("string"), F.col("copy_no").cast("string")))
+    copies = copies.select("row.*", "copy_no", key.alias("mix_key"))
     return copies.repartitionByRange("mix_key", "doc_id", "copy_no").sortWithinPartitions("mix_key", "doc_id", "copy_no")
