@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-1. Every page becomes a tree of its block elements in which siblings of one label (tag, class, id without digits) are one node. Blocks of
+1. Every page becomes a tree of its block elements in which siblings of one label (tag, class and role, and ids that name a part of a page) are one node. Blocks of
    text hang on nodes.
-2. The most frequent tree of a host is its reference. Every other tree of the host is aligned with it by simple tree matching: children are
+2. The most frequent tree of a host, of equals the largest, is its reference. Every other tree of the host is aligned with it by simple tree matching: children are
    matched in order so that the most nodes find a partner of equal label.
 3. Over all pages of the host, a text that stands on one aligned node of most pages is template; what varies is a slot. Pages of one title
    count once, so copies of one article do not turn it into template.
@@ -133,7 +133,7 @@ class Page:
         for k, v in ATTRIBUTE.findall(rest):
             k, v = k.lower(), v.strip("\"'").lower()
             if k in ("class", "id", "role"):
-                words = sorted({w for w in re.split(r"[^a-z]+", v) if w})
+                words = sorted({w for w in re.split(r"[^a-z]+", v) if w and (k != "id" or w in BOILER_WORDS or w in HEADER_WORDS)})  # other ids name the page
                 found += [("@" if k == "role" else ".") + w for w in words]
             elif k == "hidden" or k == "style" and re.search(r"display\s*:\s*none", v):
                 found.append("!hidden")
@@ -344,7 +344,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     seen = scratch.put(seen.withColumn("tree", F.xxhash64("skeleton")), "seen")
     trees = seen.groupBy("host", "tree").agg(F.first("skeleton").alias("skeleton"), F.count("*").alias("n"))
     trees = scratch.put(trees, "trees")
-    reference = trees.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"))
+    reference = trees.groupBy("host").agg(F.max_by("skeleton", F.struct("n", F.length("skeleton"), "skeleton")).alias("reference"))
     aligned = trees.join(reference, "host").select("host", "tree", "skeleton", "reference").mapInArrow(_align, "host string, tree long, partner array<int>")
     aligned = scratch.put(aligned, "aligned")
     rows = seen.join(aligned, ["host", "tree"]).select("host", "title", "partner", F.explode("blocks").alias("b"))
