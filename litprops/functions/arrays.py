@@ -44,18 +44,17 @@ def blend(a: Column, b: Column, beta: Column) -> Column:
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
-    """``(x - mean) / sqrt(population variance + eps)``; mean and variance come from one pass over the array."""
-    stats = F.aggregate(
-        a,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")),
-        lambda acc: F.struct(
-            (acc["s"] / F.size(a)).alias("m"),
-            F.sqrt(F.greatest(acc["q"] / F.size(a) - F.pow(acc["s"] / F.size(a), F.lit(2.0)), F.lit(0.0)) + eps).alias("d"),
-        ),
-    )
-    # The one-element array binds the statistics once, so that they are not worked out again for each x.
-    return F.flatten(F.transform(F.array(stats), lambda t: F.transform(a, lambda x: (x - t["m"]) / t["d"])))
+    """``(x - mean) / sqrt(population variance + eps)``. The variance sums squared distances from the mean, in a second pass over the
+    array, so large values do not cancel."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+    # The one-element arrays bind the mean and the scale once, so that they are not worked out again for each x.
+    centred = F.flatten(F.transform(F.array(total(a)), lambda m: F.transform(a, lambda x: x - m)))
+
+    def scaled(d: Column) -> Column:
+        scale = F.sqrt(total(F.transform(d, lambda x: x * x)) + eps)
+        return F.flatten(F.transform(F.array(scale), lambda t: F.transform(d, lambda x: x / t)))
+
+    return F.flatten(F.transform(F.array(centred), scaled))
 
 
 def one_hot(value: Column, allowed: list, unknown: bool = False) -> Column:

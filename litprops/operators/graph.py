@@ -286,7 +286,8 @@ def path_vectors(edges: DataFrame, node_vectors: DataFrame, key: list[str], vec:
 
 
 def readout(node_vectors: DataFrame, n_local: int = 3, how: str = "mean", vec: str = "vec") -> DataFrame:
-    """Graph vector: per virtual role the average over two components, the global node, then the mean or sum of real nodes."""
+    """Graph vector: per virtual role the average over two components, the global node, then the mean or sum of real nodes. A molecule of
+    one component counts it twice."""
     if how not in ("mean", "sum"):
         raise ValueError(f"unknown readout: {how!r}")
     real = node_vectors.filter("role = 0").groupBy("mol_id").agg(vector_sum(F.col(vec)).alias("_r"), F.count(F.lit(1)).alias("_n"))
@@ -294,7 +295,8 @@ def readout(node_vectors: DataFrame, n_local: int = 3, how: str = "mean", vec: s
         *[F.max_by(A.doubles(vec), F.when(F.col("role") == r, 1)).alias(f"_v{r}") for r in range(1, 2 * n_local + 2)]
     )
     joined = by_role.join(real, "mol_id", "left")
-    halves = [A.scale(A.add(F.col(f"_v{r}"), F.col(f"_v{r + n_local}")), F.lit(0.5)) for r in range(1, n_local + 1)]
+    slot = lambda r, other: F.coalesce(F.col(f"_v{r}"), F.col(f"_v{other}"))
+    halves = [A.scale(A.add(slot(r, r + n_local), slot(r + n_local, r)), F.lit(0.5)) for r in range(1, n_local + 1)]
     width = F.size(f"_v{2 * n_local + 1}")
     body = F.coalesce(F.col("_r"), A.zeros(width))
     if how == "mean":

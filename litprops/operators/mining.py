@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,29 +27,38 @@ def map_model(
     make_model: Callable[[], Callable[[list[str]], list[tuple[str, str]]]],
     batch_rows: int = 32,
     tries: int = 3,
+    wait: float = 0.0,
 ) -> DataFrame:
     """Send each prompt through a user's model; adds ``content`` and ``reasoning``.
 
-    ``make_model`` runs once per task and returns a callable over a short list of prompts. After ``tries`` failures of a list its
-    rows get empty strings, so one bad response never loses a row. No shuffle: prompts stay where they are.
+    ``make_model`` runs once per task and returns a callable over a short list of prompts. If a list fails, its prompts are sent one by
+    one, each up to ``tries`` times with ``wait * 2^k`` seconds in between; only a prompt that keeps failing gets empty strings, and no
+    row is lost. No shuffle: prompts stay where they are.
     """
     keep = df.select(*key, prompt)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema if f.name != prompt) + ", content string, reasoning string"
 
+    def ask(model, prompts: list[str], attempts: int) -> list[tuple[str, str]] | None:
+        for k in range(attempts):
+            if k and wait:
+                time.sleep(wait * 2 ** (k - 1))
+            try:
+                answers = list(model(prompts))
+                if len(answers) == len(prompts):
+                    return answers
+            except Exception:  # noqa: BLE001 - a model may fail in any way; the contract is an empty answer
+                continue
+        return None
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for frame in frames:
             for start in range(0, len(frame), batch_rows):
                 part = frame.iloc[start : start + batch_rows]
-                answers = None
-                for _ in range(tries):
-                    try:
-                        answers = model(part[prompt].tolist())
-                        break
-                    except Exception:  # noqa: BLE001 - a model may fail in any way; the contract is an empty answer
-                        answers = None
+                prompts = part[prompt].tolist()
+                answers = ask(model, prompts, 1)
                 if answers is None:
-                    answers = [("", "")] * len(part)
+                    answers = [(ask(model, [p], tries) or [("", "")])[0] for p in prompts]
                 yield part[key].assign(content=[a[0] for a in answers], reasoning=[a[1] for a in answers])
 
     return keep.mapInPandas(run, schema)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from litprops.functions.hashing import pick
 from litprops.functions.text import json_string, python_json_spacing
 from litprops.functions.variants import child, elements, is_kind
-from litprops.operators.spread import bounded_rows
 
 STRUCT = "struct"
 WITH = "analysis_with_hierarchical_structure"
@@ -125,15 +124,12 @@ def missing_input(df: DataFrame, entry: str, input_type: int, by: list[str]) ->
 
 
 def extraction_prompt(df: DataFrame, templates: DataFrame, text: str = "text", prop: str = "property") -> DataFrame:
-    """Template of each row's property, a line feed, the article text. ``templates`` is ``(property, template)``, a few rows."""
-    rows = bounded_rows(templates.select("property", "template"), 1000, "prompt template table")
-    out = None
-    for r in rows:
-        hit = F.col(prop) == r["property"]
-        out = F.when(hit, F.lit(r["template"])) if out is None else out.when(hit, F.lit(r["template"]))
-    if out is None:
-        raise ValueError("no prompt templates")
-    return df.withColumn("prompt", F.concat(out, F.lit("\n"), F.col(text)))
+    """Template of each row's property, a line feed, the article text. ``templates`` is ``(property, template)``, one row per property;
+    a property without a template is an error."""
+    known = templates.select(F.col("property").alias("_known"), F.col("template").alias("_template"))
+    missing = F.raise_error(F.concat(F.lit("no prompt template for property "), F.coalesce(F.col(prop), F.lit("NULL"))))
+    template = F.when(F.col("_template").isNull(), missing).otherwise(F.col("_template"))
+    return df.join(known, F.col(prop) == F.col("_known"), "left").withColumn("prompt", F.concat(template, F.lit("\n"), F.col(text))).drop("_known", "_template")
 
 
 def default_extraction_template(prop: str) -> str:

@@ -35,9 +35,10 @@ def read_record_arrays(spark: SparkSession, path: str, schema: str = RECORD) ->
 
 
 def read_record_json(spark: SparkSession, path: str) -> DataFrame:
-    """Like :func:`read_record_arrays`, but each record as VARIANT ``entry`` (nothing typed yet)."""
-    files = spark.read.text(path, wholetext=True).select("value", dataset_name(F.col("_metadata.file_name")).alias("dataset"))
+    """Like :func:`read_record_arrays`, but each record as VARIANT ``entry`` (nothing typed yet). A file that does not parse is an error."""
+    files = spark.read.text(path, wholetext=True).select("value", dataset_name(F.col("_metadata.file_name")).alias("dataset"), F.col("_metadata.file_path").alias("file"))
     items = elements(strict_json(F.col("value")))
+    items = F.when(items.isNull(), F.raise_error(F.concat(F.lit("not a JSON array, or too large for one value: "), F.col("file")))).otherwise(items)
     return files.select("dataset", F.posexplode(items).alias("row_idx", "entry")).withColumn("row_idx", F.col("row_idx").cast("bigint"))
 
 
