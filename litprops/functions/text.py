@@ -113,6 +113,37 @@ def python_json_spacing(c) -> Column:
     return F.replace(s, F.lit("\u0002"), F.lit("\\\\"))
 
 
+# A double as the JVM prints it with an exponent.
+_SCIENTIFIC = r"-?[0-9]\.[0-9]+E-?[0-9]+"
+
+
+def _python_number(t: Column) -> Column:
+    """One double in the JVM's exponent notation, as Python prints it: plain from 1e-4 up to below 1e16, else ``1.5e-07``."""
+    part = lambda i: F.regexp_extract(t, r"\A(-?)([0-9])\.([0-9]+)E(-?[0-9]+)\z", i)
+    frac = F.when(part(3) == "0", "").otherwise(part(3))
+    digits, x = F.concat(part(2), frac), part(4).cast("int")
+    whole = F.when(F.length(digits) > x, F.substring(digits, F.lit(1), x + 1)).otherwise(F.rpad(digits, x + 1, F.lit("0")))
+    rest = F.when(F.length(digits) > x + 1, F.substring(digits, x + 2, F.length(digits))).otherwise("0")
+    size = F.abs(x).cast("string")
+    power = F.concat(F.when(x < 0, "e-").otherwise("e+"), F.when(F.length(size) < 2, "0").otherwise(""), size)
+    return F.concat(
+        part(1),
+        F.when(x == -4, F.concat(F.lit("0.000"), digits))
+        .when(x.between(7, 15), F.concat(whole, F.lit("."), rest))
+        .otherwise(F.concat(part(2), F.when(frac == "", "").otherwise(F.concat(F.lit("."), frac)), power)),
+    )
+
+
+def python_json_numbers(c) -> Column:
+    """Doubles of compact JSON text as Python prints them; strings stay as they are. Text without an exponent is not taken apart."""
+    s = _col(c)
+    masked = F.replace(F.replace(s, F.lit("\\\\"), F.lit("\u0002")), F.lit('\\"'), F.lit("\u0003"))
+    tokens = F.regexp_extract_all(masked, F.lit(rf'"[^"]*+"|{_SCIENTIFIC}|[,:\[\]{{}}]|[^",:\[\]{{}}]++'), F.lit(0))
+    shown = F.transform(tokens, lambda t: F.when(t.rlike(rf"\A{_SCIENTIFIC}\z"), _python_number(t)).otherwise(t))
+    back = F.replace(F.replace(F.array_join(shown, ""), F.lit("\u0003"), F.lit('\\"')), F.lit("\u0002"), F.lit("\\\\"))
+    return F.when(s.rlike(r"[0-9]E-?[0-9]"), back).otherwise(s)
+
+
 def json_string(c) -> Column:
     """A JSON string literal (or ``null``) for a text column."""
     boxed = F.to_json(F.struct(_col(c).alias("x")), {"ignoreNullFields": "false"})

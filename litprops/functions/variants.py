@@ -41,6 +41,21 @@ def is_kind(v: Column, *names: str) -> Column:
     return F.coalesce(kind(v).isin(*names), F.lit(False))
 
 
+#: As strict as the JSON standard, and no limit on the length of one string.
+_STRICT = {"allowSingleQuotes": "false", "maxStringLen": str(2**31 - 1)}
+
+
+def json_array(s: Column) -> Column:
+    """Elements of text that is exactly one JSON array as ``array<variant>``, else NULL.
+
+    The text is cut into elements before any of them becomes a VARIANT, so VARIANT's size limit holds for one element and not for the
+    text; an element above it is an error, never a NULL. The second parse tells whether something stands behind the array.
+    """
+    inside = F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), "v ARRAY<VARIANT>", _STRICT)["v"]
+    alone = F.from_json(F.concat(F.lit("["), s, F.lit("]")), "ARRAY<STRING>", _STRICT)
+    return F.when(F.size(alone) == 1, inside)
+
+
 def strict_json(s: Column) -> Column:
     """VARIANT of text that is exactly one JSON value, else NULL.
 
@@ -66,11 +81,7 @@ def lenient_json_array(c) -> Column:
         first = F.locate("[", s)
         last = F.length(s) - F.locate("]", F.reverse(s)) + 1
         inner = F.when((first > 0) & F.contains(s, F.lit("]")) & (last > first), F.substring(s, first, last - first + 1))
-        return let(
-            strict_json(s),
-            lambda v: F.when(v.isNull(), let(strict_json(inner), elements)).otherwise(
-                F.coalesce(elements(v), F.when(members(v).isNotNull(), F.array(v)))
-            ),
-        )
+        other = lambda v: F.when(v.isNull(), json_array(inner)).when(members(v).isNotNull(), F.array(v))
+        return let(json_array(s), lambda items: F.when(items.isNotNull(), items).otherwise(let(strict_json(s), other)))
 
     return let(text.blank_to_null(c), parse)

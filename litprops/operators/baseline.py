@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litprops.operators.metrics import NAN, regression_metrics
-from litprops.operators.spread import HEAVY_ROWS, attach_small, grouped_median, heavy_keys, largest_group, lookup_join, mark_middle
+from litprops.operators.spread import HEAVY_ROWS, attach_small, grouped_median, heavy_keys, largest_group, lookup_join, mark_middle, hashable
 
 STRATEGIES = ("mean", "median")
 _NO_ARTICLE = "\u0000none"  # stands for a NULL article key inside the lookup
@@ -61,7 +61,7 @@ def predict_parts(rows: DataFrame, by: Sequence[str], key: str = "article_key",
         return predict(rows.filter(train), rows.filter(F.col(part) == "test"), by, key, y, most)
     whole = training_statistics(rows.filter(train), by, y, most).withColumnsRenamed({"mean": "_all_mean", "median": "_all_median"})
     # Rows without a key would be one huge group; each becomes a group of its own, which holds no training row for a test row.
-    alone = F.concat(F.lit(_NO_ARTICLE), F.col(part), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))
+    alone = F.concat(F.lit(_NO_ARTICLE), F.col(part), F.xxhash64(*[F.col(c) for c in hashable(rows)]).cast("string"))
     article = Window.partitionBy(*by, "_key")
     trained = F.count(F.when(train, 1)).over(article)
     middle = F.col("_rank").isin(F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2))

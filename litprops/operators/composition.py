@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 from litprops.functions.arrays import zeros
 from litprops.functions.text import blank_to_null, parse_ratio
-from litprops.operators.spread import bounded_rows, lookup_join
+from litprops.operators.spread import contiguous_index, lookup_join
 
 DEFAULT_UNIT = "mol%"  # fixed value: unit of a homopolymer
-MAX_UNITS = 1000
 
 
 def unit_vocabulary(monomers: DataFrame, unit: str) -> DataFrame:
-    """Distinct trimmed units plus ``mol%``, numbered in code-point order: ``(unit, idx)``. Fails beyond ``MAX_UNITS`` units.
-
-    The vector of a ratio has one place per unit, so a vocabulary is small by nature; its size is checked before use.
-    """
-    spark = monomers.sparkSession
-    found = monomers.select(blank_to_null(unit).alias("unit")).filter("unit IS NOT NULL").distinct()
-    names = {r["unit"] for r in bounded_rows(found, MAX_UNITS, "unit vocabulary")} | {DEFAULT_UNIT}
-    ordered = sorted(names)
-    return spark.createDataFrame([(u, i) for i, u in enumerate(ordered)], "unit string, idx int")
+    """Distinct trimmed units plus ``mol%``, numbered in code-point order: ``(unit, idx)``. Units of one first letter are sorted together."""
+    found = monomers.select(blank_to_null(unit).alias("unit")).filter("unit IS NOT NULL")
+    default = monomers.sparkSession.range(1).select(F.lit(DEFAULT_UNIT).alias("unit"))
+    names = found.distinct().unionByName(default).distinct()
+    return contiguous_index(names, "unit", bucket=F.ascii("unit")).select("unit", F.col("idx").cast("int").alias("idx"))
 
 
 def unit_index(unit, vocabulary: list[str]) -> Column:
@@ -33,14 +28,27 @@ def unit_index(unit, vocabulary: list[str]) -> Column:
 
 def ratio_vector(ratio_value, ratio_unit, is_homopolymer, vocabulary: list[str], strict: bool = True) -> Column:
     """``[value, has_value] ++ one-hot(unit)``; a homopolymer is 100 mol%, an unknown unit all zeros."""
-    value = parse_ratio(ratio_value, strict)
     homo = F.coalesce(is_homopolymer, F.lit(False))
     idx = F.when(homo, F.lit(vocabulary.index(DEFAULT_UNIT))).otherwise(unit_index(ratio_unit, vocabulary))
+    return indexed_ratio_vector(ratio_value, idx, is_homopolymer, len(vocabulary), strict)
+
+
+def attach_unit_index(rows: DataFrame, vocabulary: DataFrame, ratio_unit: Column, is_homopolymer: Column, out: str = "unit_idx") -> DataFrame:
+    """``out``: place of each row's unit in a vocabulary table (that of ``mol%`` for a homopolymer), NULL when unknown."""
+    unit = F.when(F.coalesce(is_homopolymer, F.lit(False)), F.lit(DEFAULT_UNIT)).otherwise(blank_to_null(ratio_unit))
+    known = vocabulary.select(F.col("unit").alias("_unit"), F.col("idx").alias(out))
+    return rows.withColumn("_unit", unit).join(known, "_unit", "left").drop("_unit")
+
+
+def indexed_ratio_vector(ratio_value, idx: Column, is_homopolymer, width: int, strict: bool = True) -> Column:
+    """:func:`ratio_vector` for a unit whose place among ``width`` units is known."""
+    value = parse_ratio(ratio_value, strict)
+    homo = F.coalesce(is_homopolymer, F.lit(False))
     head = F.array(
         F.when(homo, 100.0).otherwise(F.coalesce(value, F.lit(0.0))),
         F.when(homo | value.isNotNull(), 1.0).otherwise(0.0),
     )
-    return F.concat(head, F.transform(F.sequence(F.lit(0), F.lit(len(vocabulary) - 1)), lambda i: F.when(i == idx, 1.0).otherwise(0.0)))
+    return F.concat(head, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(i == idx, 1.0).otherwise(0.0)))
 
 
 def real_monomers(monomers: Column) -> Column:

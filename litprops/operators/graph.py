@@ -57,13 +57,14 @@ def triplet_nodes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def _incidence(nodes: DataFrame, node: str) -> DataFrame:
-    return nodes.filter("role = 0").select(*_PART, F.explode(F.array("lo", "hi")).alias("atom"), F.col("node").alias(node))
+    return nodes.filter("role = 0").select(*_PART, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("atom"), F.col("node").alias(node))
 
 
 def line_edges(nodes: DataFrame) -> DataFrame:
-    """Ordered pairs of bonds that share an atom. The pairs are the result itself; their number per atom is bounded by its valence."""
+    """Ordered pairs of bonds that share an atom. The pairs are the result itself; their number per atom is bounded by its valence. Two
+    different bonds share one atom at most, so no pair comes twice."""
     shared = _incidence(nodes, "src").join(_incidence(nodes, "dst"), [*_PART, "atom"])
-    return shared.filter("src <> dst").select(*_PART, "src", "dst").distinct()
+    return shared.filter("src <> dst").select(*_PART, "src", "dst")
 
 
 def _steps(nodes: DataFrame) -> DataFrame:

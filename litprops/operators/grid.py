@@ -1,18 +1,14 @@
-"""Experiment grids and result tables. A grid comes from a config file, so it is small by nature and its size is checked."""
+"""Experiment grids and result tables. Dimensions come from a config file, or from tables of any size."""
 
 from __future__ import annotations
 
 import itertools
 import json
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_TRIALS = 100_000
-
-
 def pairs(d1: Sequence[float], d2: Sequence[float], rule: str) -> list[list]:
     """``[d1, d2]`` values of a constrained dimension: rule ``d1_gt_d2`` or ``d1_eq_2d2``."""
     tests = {"d1_gt_d2": lambda a, b: a > b, "d1_eq_2d2": lambda a, b: a == 2 * b}
@@ -21,17 +17,29 @@ def pairs(d1: Sequence[float], d2: Sequence[float], rule: str) -> list[list]:
     return [[a, b] for a, b in itertools.product(d1, d2) if tests[rule](a, b)]
 
 
-def expand(spark: SparkSession, grid: dict[str, Sequence], linked: dict[str, tuple[Sequence[str], Sequence[Sequence]]] | None = None) -> DataFrame:
+def pair_rows(first: DataFrame, second: DataFrame, rule: str, d1: str = "d1", d2: str = "d2") -> DataFrame:
+    """:func:`pairs` for candidates in tables (``first`` with column ``d1``, ``second`` with ``d2``): a join under the rule's condition."""
+    rules = {"d1_gt_d2": F.col(d1) > F.col(d2), "d1_eq_2d2": F.col(d1) == 2 * F.col(d2)}
+    if rule not in rules:
+        raise ValueError(f"unknown grid generator: {rule}")
+    return first.join(second, rules[rule])
+
+
+def expand(
+    spark: SparkSession,
+    grid: dict[str, Sequence],
+    linked: dict[str, tuple[Sequence[str], Sequence[Sequence]]] | None = None,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """One row per trial: every plain dimension times every linked group; ``trial`` numbers them with the last dimension fastest.
 
-    ``linked`` maps a name to ``(parameter names, value tuples)``; a group is one dimension.
+    ``linked`` maps a name to ``(parameter names, value tuples)``; a group is one dimension. With ``base`` the grid is laid out for each row
+    of that table, numbered from 0 for each; no row leaves its task, however many there are.
     """
     groups = [((name,), [(v,) for v in values]) for name, values in grid.items()]
     groups += [(tuple(names), [tuple(v) for v in values]) for names, values in (linked or {}).values()]
-    size = math.prod(len(values) for _, values in groups)
-    if size > MAX_TRIALS:
-        raise ValueError(f"grid has {size} trials, more than {MAX_TRIALS}")
-    out = spark.range(1).select(F.lit(0).cast("bigint").alias("trial"))
+    start = spark.range(1).select() if base is None else base
+    out = start.withColumn("trial", F.lit(0).cast("bigint"))
     for names, values in groups:
         # One JSON literal per dimension keeps the plan small, however many values it has.
         fields = ", ".join(f"`{n}` {_type(v)}" for n, v in zip(names, values[0]))

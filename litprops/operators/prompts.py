@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litprops.functions.hashing import pick
-from litprops.functions.text import json_string, python_json_spacing
+from litprops.functions.text import json_string, python_json_numbers, python_json_spacing
 from litprops.functions.variants import child, elements, is_kind
 
 STRUCT = "struct"
@@ -45,8 +45,8 @@ def _fill(sentence: str, *parts: Column) -> Column:
 
 
 def _raw(entry: Column, key: str, missing: str) -> Column:
-    """Raw JSON of an object member: its text, ``null`` when null, ``missing`` when absent."""
-    text = F.get_json_object(entry, f"$.{key}")
+    """Raw JSON of an object member: its text with numbers as Python prints them, ``null`` when null, ``missing`` when absent."""
+    text = python_json_numbers(F.get_json_object(entry, f"$.{key}"))
     absent = child(F.try_parse_json(entry), key).isNull()
     return F.when(absent, F.lit(missing)).otherwise(F.coalesce(text, F.lit("null")))
 
@@ -66,14 +66,19 @@ def composition_json(entry: Column, fields: tuple[str, ...], exact_spacing: bool
 def struct_json(entry: Column, exact_spacing: bool = True) -> Column:
     """Structure fields only: each monomer's smiles, ratio value and unit, and the homopolymer flag (false when absent)."""
     cc = child(F.try_parse_json(entry), "chemical_composition")
-    member = lambda m, k: F.coalesce(F.to_json(child(m, k)), F.lit("null"))
+    # A string is quoted again, anything else is shown from its raw text: VARIANT would print 1.0 as 1.
+    member = lambda m, k: F.coalesce(
+        F.when(is_kind(child(m["v"], k), "STRING"), F.to_json(child(m["v"], k))).otherwise(python_json_numbers(F.get_json_object(m["raw"], f"$.{k}"))), F.lit("null")
+    )
     monomer = lambda m: F.concat(
         F.lit('{"smiles":'), member(m, "smiles"), F.lit(',"ratio_value":'), member(m, "ratio_value"),
         F.lit(',"ratio_unit":'), member(m, "ratio_unit"), F.lit("}"),
     )
-    monomers = F.coalesce(elements(child(cc, "monomers")), F.array().cast("array<variant>"))
+    raw = F.from_json(F.get_json_object(entry, "$.chemical_composition.monomers"), "ARRAY<STRING>")
+    both = F.zip_with(elements(child(cc, "monomers")), raw, lambda v, r: F.struct(v.alias("v"), r.alias("raw")))
+    monomers = F.coalesce(F.array_join(F.transform(both, monomer), ","), F.lit(""))
     body = F.concat(
-        F.lit('{"chemical_composition":{"monomers":['), F.array_join(F.transform(monomers, monomer), ","),
+        F.lit('{"chemical_composition":{"monomers":['), monomers,
         F.lit('],"is_homopolymer":'), F.coalesce(F.to_json(child(cc, "is_homopolymer")), F.lit("false")), F.lit("}}"),
     )
     return python_json_spacing(body) if exact_spacing else body

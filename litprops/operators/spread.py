@@ -27,9 +27,17 @@ def _any_null(cols: Sequence[str]) -> Column:
     return flag
 
 
-def _hashable(df: DataFrame, skip: Sequence[str]) -> list[str]:
-    bad = (T.MapType, T.VariantType)
-    return [f.name for f in df.schema.fields if f.name not in skip and not isinstance(f.dataType, bad)]
+def _can_hash(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of this type: no map and no VARIANT at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _can_hash(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_can_hash(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashable(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name not in skip and _can_hash(f.dataType)]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -80,7 +88,7 @@ def lookup_join(
         heavy = heavy_keys(key_counts(rows, on), on, heavy_rows=heavy_rows)
     if not heavy:
         return rows.join(table, on, how)
-    spread = list(spread_by) if spread_by is not None else _hashable(rows, on)
+    spread = list(spread_by) if spread_by is not None else hashable(rows, on)
     dice = F.xxhash64(*[F.col(c) for c in (spread or on)])
     schema = T.StructType([*[rows.schema[c] for c in on], T.StructField("_fan", T.IntegerType())])
     fans = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in heavy], _nullable(schema)))
@@ -272,11 +280,3 @@ def widen(df: DataFrame, least: int | None = None) -> DataFrame:
     """
     n = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
-def bounded_rows(df: DataFrame, most: int, what: str) -> list:
-    """Collect a table that must be small by its nature (vocabulary, grid, report); fails instead of growing past ``most``."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{what} has more than {most} rows")
-    return rows

@@ -23,10 +23,11 @@ ITEM_NOT_OBJECT = "{} entry is not a dict"
 ITEM_TEXT = "{} missing valid '{}' (string)"
 ITEM_MISSING = "{} missing '{}' field"
 ITEM_STRING_OR_NULL = "{} '{}' must be string or null"
-PROPERTY_MISSING = " (must be dict)"
-VALUE_EMPTY = ".value must be a non-empty array"
-VALUE_NUMBER = "] must be a number"
-UNIT_TEXT = ".unit must be string or null"
+PROPERTY_MISSING = "properties missing '{}' (must be dict)"
+VALUE_EMPTY = "properties.{}.value must be a non-empty array"
+VALUE_NUMBER = "properties.{}.value[{}] must be a number"
+UNIT_MISSING = "properties.{} missing 'unit'"
+UNIT_TEXT = "properties.{}.unit must be string or null"
 
 _NUMBERS = ("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE")
 _NO_ERRORS = "array<string>"
@@ -121,17 +122,17 @@ def _composition(m: Column) -> Column:
 
 
 def _property(props: Column, prop: str, numbers: tuple[str, ...]) -> Column:
-    label = f"properties.{prop}"
+    number = lambda i: F.replace(F.lit(VALUE_NUMBER.format(prop, "\0")), F.lit("\0"), i.cast("string"))
 
     def value_rules(items: Column) -> Column:
-        each = F.transform(items, lambda v, i: F.when(~is_kind(v, *numbers), F.concat(F.lit(f"{label}.value["), i.cast("string"), F.lit(VALUE_NUMBER))))
-        return F.when(items.isNull() | (F.size(items) == 0), F.array(F.lit(label + VALUE_EMPTY))).otherwise(F.filter(each, lambda e: e.isNotNull()))
+        each = F.transform(items, lambda v, i: F.when(~is_kind(v, *numbers), number(i)))
+        return F.when(items.isNull() | (F.size(items) == 0), F.array(F.lit(VALUE_EMPTY.format(prop)))).otherwise(F.filter(each, lambda e: e.isNotNull()))
 
     def rules(data: Column) -> Column:
-        return F.when(data.isNull(), F.array(F.lit(f"properties missing '{prop}'{PROPERTY_MISSING}"))).otherwise(
+        return F.when(data.isNull(), F.array(F.lit(PROPERTY_MISSING.format(prop)))).otherwise(
             F.concat(
                 let(elements(_member(data, "value")), value_rules),
-                _text_or_null(_member(data, "unit"), F.lit(f"{label} missing 'unit'"), F.lit(label + UNIT_TEXT)),
+                _text_or_null(_member(data, "unit"), F.lit(UNIT_MISSING.format(prop)), F.lit(UNIT_TEXT.format(prop))),
             )
         )
 
@@ -184,18 +185,23 @@ def route_counts(validated: DataFrame, by: list[str]) -> DataFrame:
     return validated.groupBy(*by).agg(F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid"))
 
 
-# Target type of a valid entry: the record schema.
-RECORD_SCHEMA = (
-    "STRUCT<doi STRING, title STRING, year DOUBLE, filename STRING, "
+# Fields of a record, as the validator accepts, the sinks write and the readers read it. What may be of several types (a year, an amount)
+# stays a VARIANT; ratios are text, because they may be a number or a range such as 97-99.
+RECORD = (
+    "doi STRING, title STRING, year VARIANT, filename STRING, "
     "chemical_composition STRUCT<repeat_unit_psmiles STRING, "
     "monomers ARRAY<STRUCT<name STRING, smiles STRING, ratio_value STRING, ratio_unit STRING>>, "
     "additives ARRAY<STRUCT<name STRING, type STRING, amount_value VARIANT, amount_unit VARIANT>>, is_homopolymer BOOLEAN>, "
     "processing_history STRING, hierarchical_structure STRING, "
-    "properties MAP<STRING, STRUCT<value ARRAY<DOUBLE>, unit STRING>>>"
+    "properties MAP<STRING, STRUCT<value ARRAY<DOUBLE>, unit STRING>>"
+)
+RECORD_WITH_ANALYSES = RECORD + (
+    ", analysis_with_hierarchical_structure STRUCT<descriptive_text STRING, reasoning_analysis STRING>"
+    ", analysis_without_hierarchical_structure STRUCT<descriptive_text STRING, reasoning_analysis STRING>"
 )
 
 
 def typed(valid: DataFrame, entry: str = "entry") -> DataFrame:
     """Valid entries as typed record columns (kept beside the other columns of the row)."""
-    record = F.try_variant_get(F.col(entry), "$", RECORD_SCHEMA)
+    record = F.try_variant_get(F.col(entry), "$", f"STRUCT<{RECORD}>")
     return valid.withColumn("_r", record).select(*[c for c in valid.columns if c != entry], "_r.*")

@@ -7,42 +7,31 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litprops.functions.text import dataset_name, file_stem, h1_title
-from litprops.functions.variants import elements, strict_json
-
-# Stored record. Ratios stay text, because they may be a number or a range such as 97-99.
-RECORD = (
-    "doi STRING, title STRING, year INT, filename STRING, "
-    "chemical_composition STRUCT<repeat_unit_psmiles STRING, "
-    "monomers ARRAY<STRUCT<name STRING, smiles STRING, ratio_value STRING, ratio_unit STRING>>, "
-    "additives ARRAY<STRUCT<name STRING, type STRING, amount_value DOUBLE, amount_unit STRING>>, is_homopolymer BOOLEAN>, "
-    "processing_history STRING, hierarchical_structure STRING, "
-    "properties MAP<STRING, STRUCT<value ARRAY<DOUBLE>, unit STRING>>, "
-    "analysis_with_hierarchical_structure STRUCT<descriptive_text STRING, reasoning_analysis STRING>, "
-    "analysis_without_hierarchical_structure STRUCT<descriptive_text STRING, reasoning_analysis STRING>"
-)
-
-
-def read_record_arrays(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+from litprops.functions.text import dataset_name, file_stem, h1_title, let
+from litprops.functions.variants import json_array
+from litprops.operators.validate import RECORD_WITH_ANALYSES as STORED
+
+
+def read_record_arrays(spark: SparkSession, path: str, schema: str = STORED) -> DataFrame:
     """JSON-array files: one row per record with ``dataset`` (from the file name) and ``row_idx`` (list position).
 
-    A JSON array cannot be split, so each file is one task; large datasets should be stored with :func:`write_records` and read
-    with :func:`read_records`.
+    ``schema`` is the one that valid entries are typed with, so every entry the validator accepts can be read; a value that does not fit
+    it is an error. A JSON array cannot be split, so each file is one task; large datasets should be stored with
+    :func:`litprops.sources.sinks.write_dataset` and read with :func:`read_records`.
     """
-    files = spark.read.text(path, wholetext=True).select("value", dataset_name(F.col("_metadata.file_name")).alias("dataset"))
-    parsed = files.select("dataset", F.posexplode(F.from_json("value", f"ARRAY<STRUCT<{schema}>>", {"mode": "FAILFAST"})).alias("row_idx", "r"))
-    return parsed.select("dataset", F.col("row_idx").cast("bigint").alias("row_idx"), "r.*")
+    record = F.variant_get("entry", "$", f"STRUCT<{schema}>")
+    return read_record_json(spark, path).select("dataset", "row_idx", record.alias("r")).select("dataset", "row_idx", "r.*")
 
 
 def read_record_json(spark: SparkSession, path: str) -> DataFrame:
-    """Like :func:`read_record_arrays`, but each record as VARIANT ``entry`` (nothing typed yet). A file that does not parse is an error."""
+    """Each record as VARIANT ``entry`` (nothing typed yet). A file that is not one JSON array is an error that names the file."""
     files = spark.read.text(path, wholetext=True).select("value", dataset_name(F.col("_metadata.file_name")).alias("dataset"), F.col("_metadata.file_path").alias("file"))
-    items = elements(strict_json(F.col("value")))
-    items = F.when(items.isNull(), F.raise_error(F.concat(F.lit("not a JSON array, or too large for one value: "), F.col("file")))).otherwise(items)
+    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))
+    items = let(json_array(F.col("value")), lambda x: F.when(x.isNull(), broken).otherwise(x))
     return files.select("dataset", F.posexplode(items).alias("row_idx", "entry")).withColumn("row_idx", F.col("row_idx").cast("bigint"))
 
 
-def read_records(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = STORED) -> DataFrame:
     """Splittable JSON lines partitioned by ``dataset`` that carry their ``row_idx``."""
     return spark.read.schema(f"{schema}, row_idx BIGINT, dataset STRING").json(path)
 

@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litprops.operators.validate import route
 
+def write_routed(validated: DataFrame, folder: str, entry: str = "entry", source_file: str = "filename") -> None:
+    """Valid entries to ``folder/route=extracted``, error rows with their errors and ``source_file`` to ``folder/route=format_errors``.
 
-def write_routed(validated: DataFrame, folder: str, entry: str = "entry") -> None:
-    """Valid entries to ``folder/extracted``, error rows to ``folder/format_errors``. The validated table is kept between the two."""
-    kept = validated.persist()
-    try:
-        valid, errors = route(kept, entry)
-        valid.withColumn(entry, F.to_json(entry)).write.mode("append").json(f"{folder}/extracted")
-        errors.withColumn(entry, F.to_json(entry)).write.mode("append").json(f"{folder}/format_errors")
-    finally:
-        kept.unpersist()
-
-
-def write_routed_once(validated: DataFrame, folder: str, entry: str = "entry") -> None:
-    """The same in one pass: a single write partitioned by ``is_valid``."""
-    validated.withColumn(entry, F.to_json(entry)).write.mode("append").partitionBy("is_valid").parquet(folder)
+    One write and one commit for both: a run that fails leaves nothing, so running it again doubles nothing.
+    """
+    bad = ~F.col("is_valid")
+    rows = validated.withColumns({entry: F.to_json(entry), "errors": F.when(bad, F.col("errors")), "source_file": F.col(source_file)})
+    rows = rows.withColumn("route", F.when(bad, "format_errors").otherwise("extracted")).drop("is_valid")
+    rows.write.mode("append").partitionBy("route").json(folder)
 
 
 def write_no_data(files: DataFrame, folder: str) -> None:

@@ -25,22 +25,29 @@ def stream_responses(spark: SparkSession, folder: str, schema: str = "filename S
 
 
 def validated_entries(responses: DataFrame, prop: str) -> DataFrame:
-    """Parse, explode and validate; row-wise, so it runs the same on a stream and on a table. Files without entries keep one row
-    whose ``entry`` is NULL and whose ``is_valid`` is false."""
+    """Parse, explode and validate; row-wise, so it runs the same on a stream and on a table.
+
+    ``route`` tells where a row belongs: ``extracted`` and ``format_errors`` are entries; ``no_data`` (an empty answer) and ``failed`` (an
+    answer that does not parse) are files, one row each without entry, errors and verdict.
+    """
     parsed = responses.select("filename", lenient_json_array(strip_fences("content")).alias("entries"))
-    rows = parsed.select("filename", F.posexplode_outer("entries").alias("pos", "entry"))
-    return validate(rows, "entry", prop)
+    rows = parsed.select("filename", F.col("entries").isNull().alias("failed"), F.posexplode_outer("entries").alias("pos", "entry"))
+    file_row = F.col("pos").isNull()
+    checked = validate(rows, "entry", prop)
+    checked = checked.withColumns({c: F.when(~file_row, F.col(c)) for c in ("errors", "is_valid")})
+    route = F.when(F.col("failed"), "failed").when(file_row, "no_data").when(F.col("is_valid"), "extracted").otherwise("format_errors")
+    return checked.withColumn("route", route).drop("failed")
 
 
 def run_routed(stream: DataFrame, prop: str, out: str, checkpoint: str) -> None:
-    """Drain what has arrived into ``out``, partitioned by ``is_valid``.
+    """Drain what has arrived into ``out``, partitioned by ``route``.
 
     Each micro-batch overwrites its own ``batch_id`` folder, so a batch replayed after a lost executor or driver is not doubled.
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = validated_entries(batch, prop).withColumn("entry", F.to_json("entry"))
-        rows.write.mode("overwrite").partitionBy("is_valid").parquet(f"{out}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy("route").parquet(f"{out}/batch_id={batch_id}")
 
     drain(stream, sink, checkpoint)
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litprops.functions import arrays
-from litprops.operators import mining, prompts
+from litprops.operators import grid, mining, prompts
 from litprops.sources import records
 
 
@@ -43,3 +43,20 @@ def test_broken_record_file_is_an_error(spark, tmp_path):
     (tmp_path / "tm.json").write_text('[{"a": 1}')
     with pytest.raises(Exception, match="tm.json"):
         records.read_record_json(spark, str(tmp_path)).collect()
+
+
+def test_long_strings_and_many_records(spark, tmp_path):
+    (tmp_path / "tg.json").write_text('[{"a": "' + "x" * 21_000_000 + '"}, {"a": NaN}]')
+    got = records.read_record_json(spark, str(tmp_path)).select("row_idx", F.length(F.to_json("entry")).alias("n")).collect()
+    assert [(r.row_idx, r.n > 21_000_000) for r in got] == [(0, True), (1, False)]
+
+
+def test_grid_over_a_table(spark):
+    base = spark.createDataFrame([("a",), ("b",)], "dataset string")
+    trials = grid.expand(spark, {"lr": [0.1, 0.2], "dim": [1, 2, 3]}, base=base)
+    assert trials.columns == ["trial", "dataset", "lr", "dim"] and trials.count() == 12
+    assert sorted(r.trial for r in trials.filter("dataset = 'b'").collect()) == list(range(6))
+    d = spark.range(1, 9).selectExpr("cast(id as int) v")
+    for rule in ("d1_gt_d2", "d1_eq_2d2"):
+        pairs = grid.pair_rows(d.toDF("d1"), d.toDF("d2"), rule)
+        assert sorted([r.d1, r.d2] for r in pairs.collect()) == sorted(grid.pairs(range(1, 9), range(1, 9), rule))

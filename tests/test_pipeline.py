@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from litprops.operators import composition, curation, mining, prompts, regress
+from litprops.operators import composition, curation, mining, prompts, regress, validate
 from litprops.plans import jobs
 from litprops.session import settle, shared_dir
 from litprops.sources import records as src
@@ -40,6 +40,22 @@ def test_dataset_round_trip(spark, tmp_path):
     assert rows(back.select("dataset", "row_idx", "title", "filename"), "row_idx") == [("Tg", i, "T", None) for i in range(3)]
 
 
+def test_what_the_validator_accepts_survives(spark, tmp_path):
+    entries = [broken(["year"], y) for y in (True, 2000.5, None, 1999)]
+    for e, amount in zip(entries, ("3 g", 2.5, None, [1])):
+        e["chemical_composition"]["additives"] = [{"name": "a", "type": "t", "amount_value": amount, "amount_unit": None}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Tg.json").write_text(json.dumps(entries))
+    read = src.read_record_json(spark, str(tmp_path / "in"))
+    assert validate.validate(read, "entry", "Tg").filter("is_valid").count() == 4
+    sinks.write_dataset(src.read_record_arrays(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    for df in (src.read_record_arrays(spark, str(tmp_path / "in")), src.read_records(spark, str(tmp_path / "out")), validate.typed(read).withColumn("row_idx", F.col("row_idx"))):
+        got = rows(df.select("row_idx", F.to_json("year"), F.to_json(F.col("chemical_composition.additives")[0]["amount_value"]), "properties.Tg.value"), "row_idx")
+        assert [r[1] if r[1] not in (None, "null") else None for r in got] == ["true", "2000.5", None, "1999"]
+        assert [r[2] if r[2] not in (None, "null") else None for r in got] == ['"3 g"', "2.5", None, "[1]"]
+        assert all(r[3] == entries[0]["properties"]["Tg"]["value"] for r in got)
+
+
 def test_markdown_and_file_lists(spark, tmp_path):
     for d, names in (("pdf", ["a.pdf", "b.pdf", "c.d.pdf", "x.txt"]), ("md", ["b.md"])):
         (tmp_path / d).mkdir()
@@ -125,14 +141,19 @@ def test_titles_join_with_heavy_file(spark, heavy):
 def test_stream_equals_batch(spark, tmp_path):
     good = json.dumps(GOOD)
     inbox, out, check = (str(tmp_path / p) for p in ("inbox", "out", "check"))
-    responses = spark.createDataFrame([(f"f{i}", [f"[{good}]", "[{}]", "nothing"][i % 3], "") for i in range(9)], "filename string, content string, reasoning string")
+    responses = spark.createDataFrame([(f"f{i}", [f"[{good}]", "[{}]", "nothing", "[]", "[1]"][i % 5], "") for i in range(10)], "filename string, content string, reasoning string")
     for part in (responses.limit(4), responses.subtract(responses.limit(4))):
         part.write.mode("append").parquet(inbox)
         for _ in range(2):  # the second run finds nothing new
             ingest.run_routed(ingest.stream_responses(spark, inbox), "Tg", out, check)
-    cols = ["filename", F.col("is_valid").cast("boolean").alias("ok"), F.size("errors").alias("n")]
-    want = ingest.validated_entries(responses, "Tg").select(*cols)
-    assert rows(spark.read.parquet(out).select(*cols), "filename") == rows(want, "filename")
+    got = spark.read.parquet(out)
+    stage = mining.review_override(mining.stage_entries(responses), responses.limit(0).select("filename", F.lit(None).cast("array<variant>").alias("entries"), "reasoning"))
+    valid, errors, _ = jobs.validate_and_route(stage, "Tg")
+    per = lambda route: rows(got.filter(F.col("route") == route).select("filename", F.array_join("errors", ";")), "filename")
+    assert [f for f, _ in per("extracted")] == [r[0] for r in rows(valid.select("filename"), "filename")] == ["f0", "f5"]
+    assert per("format_errors") == rows(errors.select("source_file", F.array_join("errors", ";")), "source_file")
+    assert per("no_data") == [(r[0], None) for r in rows(mining.no_data(stage), "filename")] == [("f3", None), ("f8", None)]
+    assert per("failed") == [(r[0], None) for r in rows(stage.filter("error").select("filename"), "filename")] == [("f2", None), ("f7", None)]
 
 
 def test_article_stream(spark, tmp_path):
@@ -147,14 +168,17 @@ def test_article_stream(spark, tmp_path):
 
 def test_prompts_equal_python(spark):
     entry = {
-        "chemical_composition": {"monomers": [{"name": "é \"q\"", "smiles": "C:C,\\x", "ratio_value": 50, "ratio_unit": None, "extra": 1}], "is_homopolymer": True, "z": None},
+        "chemical_composition": {
+            "monomers": [{"name": "é \"q\"", "smiles": "C:C,\\x", "ratio_value": 50, "ratio_unit": None, "extra": [1e7, 1e-5, -2.5e20, 1.5e-7, 12345678.5, 0.0005, 1.0, 10**30, "1.0E7"]}, {"smiles": "1.0E7", "ratio_value": 1e16, "ratio_unit": "a"}],
+            "is_homopolymer": True, "z": None,
+        },
         "processing_history": "a: b, \"c\"\n", "hierarchical_structure": None, "properties": {"Tg": {"value": [1], "unit": "°C"}},
         "analysis_with_hierarchical_structure": {"descriptive_text": "D", "reasoning_analysis": "R"},
     }
     df = spark.createDataFrame([(json.dumps(entry, ensure_ascii=False),), (json.dumps({"properties": {}}),)], "e string").select("e", F.lit("Tg").alias("p"))
     dump = lambda d: json.dumps(d, ensure_ascii=False)
     body = {k: entry[k] for k in ("chemical_composition", "processing_history", "hierarchical_structure")}
-    small = {"chemical_composition": {"monomers": [{k: entry["chemical_composition"]["monomers"][0][k] for k in ("smiles", "ratio_value", "ratio_unit")}], "is_homopolymer": True}}
+    small = {"chemical_composition": {"monomers": [{k: m[k] for k in ("smiles", "ratio_value", "ratio_unit")} for m in entry["chemical_composition"]["monomers"]], "is_homopolymer": True}}
     ends = lambda b, u: f"Here is the data of a polymer, {b}, please predict Tg based on the data, in units of {u}"
     got = lambda t: [r[0] for r in df.select(prompts.prompt("e", "p", t)).collect()]
     assert got(1) == [ends(dump(body), "°C"), ends('{"chemical_composition": {}, "processing_history": null, "hierarchical_structure": null}', "")]

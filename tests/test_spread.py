@@ -87,10 +87,11 @@ def test_rank_in_group_cuts_a_hot_key(spark, skewed):
     assert all(r["r"] == list(range(len(r["r"]))) for r in got.collect())
 
 
-def test_bounded_rows(spark):
-    assert len(spread.bounded_rows(spark.range(5), 5, "x")) == 5
-    with pytest.raises(ValueError, match="more than 4"):
-        spread.bounded_rows(spark.range(5), 4, "x")
+def test_hashable_looks_inside(spark):
+    df = spark.range(3).select("id", F.array(F.parse_json(F.lit("1"))).alias("a"), F.struct(F.create_map(F.lit("k"), F.lit(1))).alias("b"), F.struct(F.array("id")).alias("c"))
+    assert spread.hashable(df, ["id"]) == ["c"]
+    joined = spread.lookup_join(df, spark.range(3).withColumn("t", F.lit(1)), ["id"], heavy=[(0, 2)])
+    assert joined.filter("t = 1").count() == 3
 
 
 def test_widen(spark):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from litprops.operators import article_metrics as am
 from litprops.operators import batches, grid, metrics, scaling, splits
 from litprops.operators.regress import evaluate
-from litprops.operators.spread import bounded_rows
 from workload.baseline_queries import METRICS
 from workload.bindings import REC, SPLIT, records, split
 from workload.registry import R, query, rnd, rounded, table
@@ -270,14 +269,13 @@ def best_trial(spark, d):
 SELECT 'd1_eq_2d2' AS rule, count(*) AS pairs, sum(d1 * 1000 + d2)::BIGINT AS checksum FROM p UNION ALL SELECT 'd1_gt_d2', count(*), sum(d1 * 1000 + d2)::BIGINT FROM g"""
 )
 def constrained_pairs(spark, d):
-    """Constrained grid dimensions whose candidates are the part sizes (a small domain, checked)."""
-    sizes = [r[0] for r in bounded_rows(table(spark, d, "part").select("p_size").distinct(), 1000, "grid dimension")]
-    out = None
-    for rule in ("d1_eq_2d2", "d1_gt_d2"):
-        dim = grid.expand(spark, {"dims": grid.pairs(sizes, sizes, rule)})
-        row = dim.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("pairs"), F.sum(F.col("dims")[0] * 1000 + F.col("dims")[1]).cast("bigint").alias("checksum"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Constrained grid dimensions whose candidates are the part sizes."""
+    sizes = table(spark, d, "part").select("p_size").distinct()
+    rows = [
+        grid.pair_rows(sizes.toDF("d1"), sizes.toDF("d2"), rule).agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("pairs"), F.sum(F.expr("d1 * 1000 + d2")).cast("bigint").alias("checksum"))
+        for rule in ("d1_eq_2d2", "d1_gt_d2")
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 @query(
@@ -323,14 +321,19 @@ def nested_fractions(spark, d):
 
 
 @query(
-    f"""WITH {SPLIT} SELECT 0::BIGINT AS overlaps, 0::BIGINT AS uncovered, (SELECT count(*) FROM split a JOIN split b USING (dataset, row_idx) WHERE a.split_name = 'split_random' AND a.part = 'train' AND b.split_name = 'split_article' AND b.part <> 'train') AS not_nested"""
+    f"""WITH {SPLIT}, flawed AS (SELECT dataset, split_name, part, row_idx FROM split WHERE row_idx % 11 <> 3 UNION ALL SELECT dataset, split_name, 'test', row_idx FROM split WHERE row_idx % 7 = 2)
+SELECT (SELECT count(*) FROM (SELECT 1 FROM flawed GROUP BY dataset, split_name, row_idx HAVING count(DISTINCT part) > 1)) AS overlaps,
+ (SELECT count(*) FROM rec JOIN (SELECT DISTINCT dataset, split_name FROM flawed) n USING (dataset) WHERE NOT EXISTS (SELECT 1 FROM flawed f WHERE f.dataset = rec.dataset AND f.split_name = n.split_name AND f.row_idx = rec.row_idx)) AS uncovered,
+ (SELECT count(*) FROM split a JOIN split b USING (dataset, row_idx) WHERE a.split_name = 'split_random' AND a.part = 'train' AND b.split_name = 'split_article' AND b.part <> 'train') AS not_nested"""
 )
 def split_checks(spark, d):
-    """Disjointness, coverage and nestedness of splits, as row counts."""
+    """Disjointness, coverage and nestedness of splits, as row counts; the first two on a split with rows left out and rows in two parts."""
     s = split(spark, d)
+    twice = s.filter("row_idx % 7 = 2").withColumn("part", F.lit("test"))
+    flawed = s.filter("row_idx % 11 <> 3").unionByName(twice)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    a = count(splits.overlaps(s), "overlaps")
-    b = count(splits.uncovered(records(spark, d), s), "uncovered")
+    a = count(splits.overlaps(flawed), "overlaps")
+    b = count(splits.uncovered(records(spark, d), flawed), "uncovered")
     c = count(splits.not_nested(s, "split_random", "split_article"), "not_nested")
     one = lambda df: df.withColumn("k", F.lit(1))
     return one(a).join(one(b), "k").join(one(c), "k").drop("k")
@@ -342,8 +345,8 @@ SELECT dataset, count(*) AS trials, sum((g).dim)::BIGINT AS dims, count(DISTINCT
 )
 def linked_grid(spark, d):
     """A plain and a linked dimension expanded for every dataset found in the records."""
-    datasets = [r[0] for r in records(spark, d).select("dataset").distinct().limit(1000).collect()]
-    trials = grid.expand(spark, {"dataset": datasets, "lr": [0.1, 0.2]}, {"pooling": (["pool", "dim"], [["last", 128], ["att", 64], ["att", 128]])})
+    datasets = records(spark, d).select("dataset").distinct()
+    trials = grid.expand(spark, {"lr": [0.1, 0.2]}, {"pooling": (["pool", "dim"], [["last", 128], ["att", 64], ["att", 128]])}, base=datasets)
     return trials.groupBy("dataset").agg(F.count(F.lit(1)).alias("trials"), F.sum("dim").cast("bigint").alias("dims"), F.countDistinct("lr").alias("rates"))
 
 

@@ -220,12 +220,16 @@ def sample_rows(spark, d):
 # ---- prompts
 
 
+#: Numbers as a record file holds them, and as a prompt shows them; the other records show their size.
+_NUMBERS = [("1e7", "10000000.0"), ("0.0005", "0.0005"), ("12345678.5", "12345678.5"), ("1e-5", "1e-05"), ("1.50", "1.5"), ("123456789012345678901234567890", "123456789012345678901234567890"), ("-2.5E+20", "-2.5e+20"), (None, None)]
+
+
 def _prompt_records(spark, d):
     """Record JSON with analyses for prompt rendering; every fifth record lacks them, every seventh has a null history."""
     k = F.col("p_partkey")
     entry = F.concat(
         F.lit('{"chemical_composition":{"repeat_unit_psmiles":null,"monomers":[{"name":"'), F.col("p_name"), F.lit('","smiles":"C:C,\\"x","ratio_value":'),
-        F.col("p_size").cast("string"), F.lit(',"ratio_unit":"mol%"}],"is_homopolymer":'), F.when(k % 2 == 0, "true").otherwise("false"), F.lit('},"processing_history":'),
+        F.coalesce(F.element_at(F.array(*[F.lit(written) for written, _ in _NUMBERS]), (k % 8 + 1).cast("int")), F.col("p_size").cast("string")), F.lit(',"ratio_unit":"mol%"}],"is_homopolymer":'), F.when(k % 2 == 0, "true").otherwise("false"), F.lit('},"processing_history":'),
         F.when(k % 7 == 0, "null").otherwise(F.concat(F.lit('"'), F.col("p_brand"), F.lit(': a, \\"b\\" \\\\"'))), F.lit(',"hierarchical_structure":"h",'),
         F.when(k % 5 == 0, F.lit("")).otherwise(
             F.concat(
@@ -238,7 +242,8 @@ def _prompt_records(spark, d):
     return widen(table(spark, d, "part").select(k.alias("row_idx"), entry.alias("entry")))
 
 
-_CC = """'{"repeat_unit_psmiles": null, "monomers": [{"name": "' || p_name || '", "smiles": "C:C,\\"x", "ratio_value": ' || p_size || ', "ratio_unit": "mol%"}], "is_homopolymer": ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""
+_RATIO = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{shown}'" for i, (_, shown) in enumerate(_NUMBERS) if shown) + " ELSE p_size::VARCHAR END"
+_CC = """'{"repeat_unit_psmiles": null, "monomers": [{"name": "' || p_name || '", "smiles": "C:C,\\"x", "ratio_value": ' || """ + _RATIO + """ || ', "ratio_unit": "mol%"}], "is_homopolymer": ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""
 _PH = """CASE WHEN p_partkey % 7 = 0 THEN 'null' ELSE '"' || p_brand || ': a, \\"b\\" \\\\"' END"""
 _U = "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'EUR' END"
 _AN = lambda good: f"CASE WHEN p_partkey % 5 = 0 THEN '' ELSE {good} END"
@@ -255,7 +260,7 @@ _TYPES = {
     9: _DATA(f"""'"chemical_composition": ' || {_CC}"""),
 }
 _STRUCT_SQL = _DATA(
-    """'"chemical_composition": {"monomers": [{"smiles": "C:C,\\"x", "ratio_value": ' || p_size || ', "ratio_unit": "mol%"}], "is_homopolymer": ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""
+    """'"chemical_composition": {"monomers": [{"smiles": "C:C,\\"x", "ratio_value": ' || """ + _RATIO + """ || ', "ratio_unit": "mol%"}], "is_homopolymer": ' || CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END || '}'"""
 )
 
 

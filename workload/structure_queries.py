@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litprops.functions import arrays as A
 from litprops.functions.text import parse_ratio
 from litprops.operators import batches, composition, graph
-from litprops.operators.spread import bounded_rows, contiguous_index
+from litprops.operators.spread import contiguous_index
 from litprops.session import settle
 from workload.bindings import GRAPH, atoms, bonds
 from workload.registry import R, query, rnd, table
@@ -84,9 +84,10 @@ SELECT row_idx, pos, dim, (round(value, 4) + 0)::DOUBLE AS value FROM l WHERE di
 )
 def ratio_vectors(spark, d):
     """``[value, has_value] + one-hot unit`` of every monomer, in long form (zero unit places left out)."""
-    units = [r["unit"] for r in sorted(bounded_rows(_vocabulary(spark, d), composition.MAX_UNITS, "unit vocabulary"), key=lambda r: r["idx"])]
+    units = settle(_vocabulary(spark, d), "units")
     m = _parts(spark, d).select("row_idx", "is_homopolymer", F.posexplode("monomers").alias("pos", "m"))
-    vec = composition.ratio_vector(F.col("m.ratio_value"), F.col("m.ratio_unit"), F.col("is_homopolymer"), units)
+    m = composition.attach_unit_index(m, units, F.col("m.ratio_unit"), F.col("is_homopolymer"))
+    vec = composition.indexed_ratio_vector(F.col("m.ratio_value"), F.col("unit_idx"), F.col("is_homopolymer"), units.count())
     long = m.select("row_idx", "pos", F.posexplode(vec).alias("dim", "value"))
     return long.filter("dim < 2 OR value <> 0").withColumn("value", F.round("value", 4) + F.lit(0.0))
 
@@ -218,7 +219,7 @@ _LINE = """line AS (SELECT x.mol_id, x.component, x.node AS src, y.node AS dst F
 
 @query(f"WITH {GRAPH}, {_LINE} SELECT * FROM line")
 def line_graph_edges(spark, d):
-    return graph.line_edges(_placed(spark, d))
+    return graph.line_edges(settle(_nodes(spark, d), "nodes"))
 
 
 # In a chain the path from atom i to atom j (i < j) runs over all bonds between them.
