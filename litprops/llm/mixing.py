@@ -14,6 +14,8 @@ replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,33 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def poisson_least(rate: Column) -> Column:
+    """The first count of the table of :func:`poisson_steps`.
+
+    It is 0 unless the rate is so large that the counts below are less likely than a double can tell from 0.
+    """
+    low = F.floor(rate - 12 * F.sqrt(rate) - 30).cast("int")
+    return F.when(low < 30, F.lit(0)).otherwise(low)
+
+
 def poisson_steps(rate: Column) -> Column:
-    """Values of the cumulative distribution at 0, 1, 2, ... until it cannot grow any more."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    """Values of the cumulative distribution at :func:`poisson_least` and all counts after it, until it cannot grow any more.
+
+    For large rates the first value comes from logarithms, since ``exp(-rate)`` would be 0.
+    """
+    least, last = poisson_least(rate), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    n = least.cast("double")
+    log_factorial = n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)  # Stirling; n is 30 or more here
+    first = F.when(least == 0, F.exp(-rate)).otherwise(F.exp(n * F.log(rate) - rate - log_factorial))
     step = lambda acc, k: F.struct(
         (acc["p"] * rate / k).alias("p"), F.concat(acc["c"], F.array(F.element_at(acc["c"], -1) + acc["p"] * rate / k)).alias("c")
     )
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["c"])
+    start = F.struct(first.alias("p"), F.array(first).alias("c"))
+    return F.aggregate(F.sequence(least + 1, last), start, step, lambda acc: acc["c"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """``source, size, rate, steps``: one row per source."""
+    """``source, size, rate, least, steps``: one row per source."""
     size = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
     if weights is None:
         share = size.select("source", "size", F.pow("size", F.lit(POWER)).alias("w"))
@@ -50,7 +67,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     share = Scratch(docs.sparkSession, "mixing").put(share, "sources")
     all_size, all_w = share.agg(F.sum("size"), F.sum("w")).first()
     rate = F.when(F.col("size") > 0, F.lit(all_size or 0.0) * F.col("w") / F.lit(all_w or 1.0) / F.col("size")).otherwise(F.lit(1.0))
-    return share.select("source", "size", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    share = share.select("source", "size", rate.alias("rate"))
+    return share.withColumn("least", poisson_least(F.col("rate"))).withColumn("steps", poisson_steps(F.col("rate")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "mix") -> DataFrame:
@@ -60,9 +78,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = "m
     join. Copies go to their places by ranges of ``mix_key``, which is uniform, so partitions are even.
     """
     docs = docs.drop("copy_no", "mix_key")
-    found = rates(docs, weights).select(F.col("source").alias("name"), "steps")
+    found = rates(docs, weights).select(F.col("source").alias("name"), "least", "steps")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # apart from the names used here
-    n = F.size(F.filter("steps", lambda c: c <= uniform(seed, F.col("row.doc_id"))))
+    n = F.col("least") + F.size(F.filter("steps", lambda c: c <= uniform(seed, F.col("row.doc_id"))))
     counted = rows.join(found, F.col("row.source").eqNullSafe(F.col("name"))).select("row", n.alias("n")).filter("n > 0")
     copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("place"), F.col("row.doc_id").cast("string"), F.col("copy_no").cast("string")))
