@@ -73,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percen
     hits = scratch.put(hits.distinct(), "hits")
 
     looked = only_ids(texts, hits.select("doc_id").distinct(), "doc_id").select("doc_id", words(F.col("text")).alias("w"))
-    pairs = looked.join(hits, "doc_id").join(items, "item_id")
+    pairs = hits.join(items, "item_id").join(looked, "doc_id")  # a text that is hit at many offsets is not shuffled once for each
     lo, hi = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("item"), F.size("w") - F.col("shift"))
     same = F.transform(F.sequence(lo, hi - 1), lambda p: (F.get("item", p) == F.get("w", p + F.col("shift"))).cast("int"))
     size = F.least(F.lit(window), F.size("item"))
