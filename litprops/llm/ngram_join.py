@@ -10,7 +10,9 @@ A document's set is its distinct five-word shingles. Steps:
    compared. That joins groups of near copies by a star of links instead of by all pairs.
 4. A posting list that still holds more than one component goes through a signature tree: items sorted by size, every node with the range
    of sizes and components below it and the OR of the shingle bitmaps below it. Two nodes are compared by the largest overlap they allow;
-   a pair of nodes inside one component, of unfit sizes, or with too few common bits is dropped with all that stands below.
+   a pair of nodes inside one component, of unfit sizes, or with too few common bits is dropped with all that stands below. A list of
+   more than :data:`CELL` items is cut into blocks by hash, and every two blocks make a cell with a tree of its own; so no task holds a
+   whole long list, and every two items meet in exactly one cell.
 5. Pairs that the leaves cannot rule out are compared by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litprops.llm.store import Scratch, components, only_ids
@@ -36,6 +38,8 @@ LOCAL_FREQUENT = 16
 #: ... and the order knows this many of the most frequent ones. Any choice gives the same links; it only spares work.
 FREQUENT = 100_000
 LEAF, FAN = 8, 4
+#: Posting lists with more items than this are dealt into cells of at most about twice as many.
+CELL = 2000
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -180,8 +184,9 @@ def _may_link(a: Node, b: Node, percent: int) -> bool:
     return most >= _need(a.n0, b.n0, percent)
 
 
-def tree_pairs(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Index pairs of different components that the bitmaps cannot rule out; a dual traversal of one tree with itself."""
+def tree_pairs(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs of different components that the bitmaps cannot rule out; a dual traversal of one tree with itself. With ``side``, only
+    pairs of different sides."""
     root = build_tree(n, comp, signs)
     out, stack = [], [(root, root)]
     while stack:
@@ -191,7 +196,7 @@ def tree_pairs(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray], percent
         if a.below is None and b.below is None:
             for i in range(a.lo, a.hi):
                 for j in range(max(i + 1, b.lo), b.hi):
-                    if comp[i] == comp[j] or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
+                    if comp[i] == comp[j] or (side is not None and side[i] == side[j]) or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
                         continue
                     width = min(len(signs[i]), len(signs[j]))
                     x, y = _fold(signs[i], width), _fold(signs[j], width)
@@ -208,29 +213,30 @@ def tree_pairs(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray], percent
 
 
 def _search(percent: int):
-    """Over rows sorted by token and size: one tree per posting list. Only one list is held at a time."""
+    """Over rows sorted by token, cell and size: one tree per cell of a posting list. Only one cell is held at a time."""
 
     def lists(iterator):
         key, held = None, []
         for batch in iterator:
-            tokens = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b > a:
-                    if held and tokens[a] != key:
-                        yield pa.Table.from_batches(held)
+                    here = tuple(keys[a].tolist())
+                    if held and here != key:
+                        yield key, pa.Table.from_batches(held)
                         held = []
-                    key = tokens[a]
+                    key = here
                     held.append(batch.slice(a, b - a))
         if held:
-            yield pa.Table.from_batches(held)
+            yield key, pa.Table.from_batches(held)
 
     def run(iterator):
         a, b = [], []
-        for t in lists(iterator):
-            comp, n, rep = (t.column(c).to_numpy() for c in ("comp", "n", "rep"))
+        for (_, row, column), t in lists(iterator):
+            comp, n, rep, block = (t.column(c).to_numpy() for c in ("comp", "n", "rep", "block"))
             signs = [np.frombuffer(s, np.uint64) for s in t.column("sign").to_pylist()]
-            for i, j in tree_pairs(n, comp, signs, percent):
+            for i, j in tree_pairs(n, comp, signs, percent, block if row != column else None):
                 a.append(min(int(rep[i]), int(rep[j])))
                 b.append(max(int(rep[i]), int(rep[j])))
             if len(a) > 50_000:
@@ -241,6 +247,11 @@ def _search(percent: int):
     return run
 
 
+def _cells(blocks: Column, block: Column) -> Column:
+    """The cells ``row, column`` of an item of ``block``: one with every block of its list."""
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(block, k).alias("row"), F.greatest(block, k).alias("column")))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` whose whole sets are similar enough."""
     pairs = scratch.put(pairs.distinct(), f"{name}-pairs")
@@ -295,9 +306,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     placed = posts.select("token", "rep", "n").join(first, posts.rep == first.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     placed = scratch.put(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("token")
-    items = placed.join(mixed, "token").join(base.select("rep", "sign"), "rep").select("token", "comp", "n", "rep", "sign")
-    found = items.repartition("token").sortWithinPartitions("token", "n", "rep").mapInArrow(_search(percent), "a long, b long")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
+    mixed = mixed.select("token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
+    items = placed.join(mixed, "token").join(base.select("rep", "sign"), "rep")
+    items = items.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "rep", "block", "sign")
+    cell = ["token", "row", "column"]
+    found = items.repartition(*cell).sortWithinPartitions(*cell, "n", "rep").mapInArrow(_search(percent), "a long, b long")
     more = _verified(found, texts, scratch, "tree", percent)
     scratch.drop("base", "posts", "placed", "described")
 
