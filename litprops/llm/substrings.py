@@ -9,7 +9,8 @@ passages are sure to meet, and each shard gets its own automaton:
    The rest meet by anchor: a segment equal to an earlier one is marked whole, and anchors with a single segment are done.
 3. Where different segments share an anchor, their words are fetched. The segments of a shard go through a suffix automaton in corpus
    order: matching statistics against all earlier ones mark each window of ``size`` matched words, then the segment is added. An anchor
-   with very many different segments is dealt out further, window by window, by the hash of the window.
+   with very many different segments is dealt out further, window by window, by the hash of the window, and of equal windows in a batch
+   only the earliest goes there.
 4. Marked windows go to their documents and the words under them are cut.
 
 Words are compared as 64-bit hashes; a window counts as equal if anchor and all its word hashes are.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litprops.llm.store import Scratch, only_ids
@@ -90,31 +91,41 @@ def _deal(size: int):
 
 
 def _fetch(size: int):
-    """Words of the listed segments; crowded ones window by window under the window's hash."""
+    """Words of the listed segments; crowded ones window by window under the window's hash.
+
+    Of equal crowded windows in a batch the earliest is kept, the others come without words as ``again``, under any shard.
+    """
 
     def run(iterator):
-        for piece in batches(iterator, rows=500):
-            first, words = word_hashes(piece.column(1))
-            grams = window_hashes(words, size)
-            shard, doc, at, got = [], [], [], []
-            for i, (d, items) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
-                for s in items:
-                    lo = int(first[i]) + s["start"]
-                    if s["crowded"]:
-                        for k in range(s["n"]):
-                            shard.append(int(grams[lo + k : lo + k + 1].view(np.int64)[0]))
+        for part in iterator:
+            earliest: dict[int, tuple[int, int]] = {}
+            for piece in batches([part], rows=500):
+                shard, doc, at, got, again = [], [], [], [], []
+                first, words = word_hashes(piece.column(1))
+                grams = window_hashes(words, size).view(np.int64)
+                for i, (d, items) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
+                    for s in items:
+                        lo = int(first[i]) + s["start"]
+                        if not s["crowded"]:
+                            shard.append(s["anchor"])
                             doc.append(d)
-                            at.append(s["start"] + k)
-                            got.append(words[lo + k : lo + k + size].view(np.int64))
-                    else:
-                        shard.append(s["anchor"])
-                        doc.append(d)
-                        at.append(s["start"])
-                        got.append(words[lo : lo + s["n"] + size - 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(got, pa.list_(pa.int64()))],
-                names=["shard", "doc_id", "start", "words"],
-            )
+                            at.append(s["start"])
+                            got.append(words[lo : lo + s["n"] + size - 1].view(np.int64))
+                            again.append(False)
+                            continue
+                        for k, gram in enumerate(grams[lo : lo + s["n"]].tolist()):
+                            here = (d, s["start"] + k)
+                            later = here > earliest.setdefault(gram, here)
+                            earliest[gram] = min(here, earliest[gram])
+                            shard.append(hash(here) if later else gram)
+                            doc.append(d)
+                            at.append(here[1])
+                            got.append(words[:0].view(np.int64) if later else words[lo + k : lo + k + size].view(np.int64))
+                            again.append(later)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(got, pa.list_(pa.int64())), pa.array(again, pa.bool_())],
+                    names=["shard", "doc_id", "start", "words", "again"],
+                )
 
     return run
 
@@ -176,7 +187,11 @@ def _match(size: int):
         shard, machine, same = None, None, None
         for batch in iterator:
             docs, starts = [], []
-            for key, doc, start, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for key, doc, start, words, again in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if again:
+                    docs.append(doc)
+                    starts.append(start)
+                    continue
                 if key != shard:
                     shard, machine, same = key, SuffixAutomaton(), None
                 if (doc, start) != same:  # a row repeated under one id is no earlier than itself
@@ -220,24 +235,29 @@ def remove_repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substrings")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     dealt = texts.mapInArrow(_deal(size), "doc_id long, start int, n int, anchor long, key long, later boolean")
-    equal = Window.partitionBy("anchor", "key").orderBy("doc_id", "start")
-    near = Window.partitionBy("anchor")
-    here = F.struct("doc_id", "start")
+    fresh, here = dealt.filter("not later"), F.struct("doc_id", "start")
+    busy = fresh.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.count("*").alias("c")).filter("c > 1")
+    busy = scratch.put(busy.select("anchor", (F.col("k0") < F.col("k1")).alias("mixed")), "busy")
+    rows = scratch.put(fresh.drop("later").join(busy, "anchor"), "rows")
+    earliest = scratch.put(rows.groupBy("anchor", "key").agg(F.min(here).alias("top"), F.count("*").alias("c")).filter("c > 1"), "earliest")
+    kinds = rows.groupBy("anchor", "key").agg(F.lit(1).alias("x")).groupBy("anchor").agg(F.count("*").alias("kinds"))
+    crowded = scratch.put(kinds.filter(F.col("kinds") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
     met = (
-        dealt.filter("not later")
-        .select("*", (F.first(here).over(equal) < here).alias("again"), F.row_number().over(equal).alias("nth"))
-        .select("*", F.min("key").over(near).alias("k0"), F.max("key").over(near).alias("k1"), F.sum((F.col("nth") == 1).cast("int")).over(near).alias("different"))
-        .filter("again or k0 < k1")
-        .select("doc_id", "start", "n", "anchor", "again", (F.col("different") > CROWDED).alias("crowded"))
+        rows.join(earliest.select("anchor", "key", "top"), ["anchor", "key"], "left")
+        .join(crowded, "anchor", "left")
+        .select("doc_id", "start", "n", "anchor", F.coalesce(here > F.col("top"), F.lit(False)).alias("again"), F.coalesce("crowded", F.lit(False)).alias("crowded"), "mixed")
+        .filter("again or mixed")
+        .drop("mixed")
     )
     met = scratch.put(met, "met")
+    scratch.drop("busy", "rows", "earliest", "crowded")
     later = scratch.put(dealt.filter("later").select("doc_id", "start", "n"), "later")
 
     open_ = scratch.put(
         met.filter("not again").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor", "crowded")).alias("items")), "open"
     )
     fetched = only_ids(texts, open_.select("doc_id"), "doc_id").join(open_, "doc_id").select("doc_id", "text", "items")
-    shards = fetched.mapInArrow(_fetch(size), "shard long, doc_id long, start int, words array<long>")
+    shards = fetched.mapInArrow(_fetch(size), "shard long, doc_id long, start int, words array<long>, again boolean")
     matched = shards.repartition("shard").sortWithinPartitions("shard", "doc_id", "start").mapInArrow(_match(size), "doc_id long, start int")
     marks = met.filter("again").select("doc_id", "start", "n").unionByName(later).unionByName(matched.select("doc_id", "start", F.lit(1).alias("n")))
     marks = scratch.put(marks.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("marks")), "marks")
