@@ -66,6 +66,32 @@ def test_ngram_join(docs, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_long_posting_lists_in_cells(spark, monkeypatch):
+    """Documents round one shared passage, linked in chains, with every posting list cut into cells."""
+    rng = random.Random(23)
+    shared = [rng.choice(VOCAB) + str(i) for i in range(40)]
+    texts = {}
+    for i in range(90):
+        own = [rng.choice(VOCAB) + str(rng.randint(0, 4)) for _ in range(rng.randint(0, 14))]
+        texts[i] = " ".join(shared[rng.randint(0, 3) :] + own)
+    want = plain_components(texts)
+    got = {}
+    for cell in (2000, 3, 1):
+        monkeypatch.setattr(ngram_join, "CELL", cell)
+        found = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+        got[cell] = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
+    assert got[2000] == got[3] == got[1] == want and len({c for _, c in want.values()}) > 5
+
+
+def test_cells_hold_every_pair_once(spark):
+    """A list's items meet in one cell each, and a cell of two blocks pairs only items of different blocks."""
+    cells = spark.range(5).select("id", F.inline(ngram_join._cells(F.lit(5), F.col("id").cast("int")))).collect()
+    held = {}
+    for r in cells:
+        held.setdefault((r.row, r.column), set()).add(r.id)
+    assert len(held) == 15 and all(v == set(k) for k, v in held.items())
+
+
 def test_signature_tree_keeps_every_link():
     import numpy as np
 
@@ -222,6 +248,28 @@ def test_poisson_counts(spark):
     assert abs(mean - 2.5) < 0.05 and abs(var - 2.5) < 0.12
 
 
+@pytest.mark.parametrize("rate", [250.0, 400.0, 50_000.0])
+def test_poisson_counts_of_large_rates(spark, rate):
+    """Rates for which ``exp(-rate)`` is next to or equal to 0."""
+    table = spark.range(1).select(mixing.poisson_least(F.lit(rate)).alias("least"), mixing.poisson_steps(F.lit(rate)).alias("c")).first()
+    assert abs(table.c[-1] - 1) < 1e-6 and table.c[0] < 1e-9
+    u = spark.range(4_000).select(mixing.uniform("t", F.col("id")).alias("u"))
+    import bisect
+
+    counts = [table.least + bisect.bisect_right(table.c, r.u) for r in u.collect()]
+    mean = sum(counts) / len(counts)
+    var = sum((c - mean) ** 2 for c in counts) / (len(counts) - 1)
+    assert abs(mean - rate) < 5 * (rate / 4_000) ** 0.5 and abs(var / rate - 1) < 0.15
+
+
+def test_a_tiny_source_is_repeated_often(spark):
+    """A source of one short text gets half of the mix: about 1,000 copies."""
+    rows = [(0, "x" * 10, "small")] + [(i, "y" * 1000, "big") for i in range(1, 21)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"small": 1.0, "big": 1.0})
+    n = out.filter("source = 'small'").count()
+    assert abs(n - 1000.5) < 200
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.org/en/1x?y", "http://a.example.org/es/", "http://org/", "http://xorg/", "http://a.com/de/#/fr/", "ftp://com?x", "http://a..org/x", "http://a.com/fr/" + "z" * 100_000]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(6, "http://org/", "x")], "page_id long, url string, rule string")
