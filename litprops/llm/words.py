@@ -7,6 +7,8 @@ block and not the text.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,10 +115,20 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere nothing is trimmed
+
+
+def release() -> None:
+    """Hand freed memory back to the system. Spark keeps its Python workers from stage to stage, so what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 def batches(iterator, rows: int = 2000, size: int = 4 << 20):
     """Cut record batches so that a part has at most ``rows`` rows and, where rows allow, ``size`` bytes."""
     for batch in iterator:
         step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.nbytes))))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
-        pa.default_memory_pool().release_unused()
+        release()
