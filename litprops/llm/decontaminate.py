@@ -3,10 +3,11 @@
 A mask picks some of a run of neighbouring words and ignores the others. For every place of a text and every mask the picked words are
 hashed; equal hashes of a document and a benchmark item line the two up at one offset. At that offset all words of the item are compared,
 and the document is contaminated if some stretch of ``window`` item words (all of them, if the item is shorter) has at least ``percent``
-per cent equal words. The two default masks meet every stretch of 13 words with two replaced ones.
+per cent equal words. The two default masks meet every stretch of 13 words with two replaced ones. An item shorter than ``window`` has masks
+of its own length that meet every set of as many replaced words as it may have.
 
-Words are compared without case (ASCII) and with their punctuation. Items of fewer words than a mask spans are compared as a whole with
-every run of as many words. Hashes decide only which offsets are looked at; the words decide the result.
+Words are compared without case (ASCII) and with their punctuation. Hashes decide only which offsets are looked at; the words decide the
+result.
 
 Defined results: null and empty texts and items match nothing; of rows repeated under one id any match counts; a null id is left out;
 other columns are ignored; an empty table on either side gives an empty table.
@@ -15,6 +16,7 @@ other columns are ignored; an empty table on either side gives an empty table.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +51,22 @@ def _seeds(column: str, masks) -> Column:
     return F.concat(*out)
 
 
-def _short_seeds(column: str, length: int) -> Column:
+def short_masks(length: int, percent: int) -> list[tuple[int, ...]]:
+    """Masks over an item of ``length`` words, one of which is clear of every set of words that may be replaced.
+
+    Its places are dealt into two groups more than words may be replaced (as far as there are places); each mask leaves out as many groups
+    as words may be replaced.
+    """
+    replaced = length * (100 - percent) // 100
+    groups = min(length, replaced + 2)
+    return [tuple(p for p in range(length) if p % groups not in out) for out in combinations(range(groups), replaced)]
+
+
+def _short_seeds(column: str, length: int, percent: int) -> Column:
     """Seeds of all runs of ``length`` words."""
-    n = F.size(column)
-    run = F.transform(F.sequence(F.lit(0), n - length), _seed(F.col(column), -length, range(length)))
-    return F.when(n >= length, run).otherwise(F.array().cast(NO_SEEDS))
+    n, places = F.size(column), F.sequence(F.lit(0), F.size(column) - length)
+    runs = [F.transform(places, _seed(F.col(column), -1000 * length - k, mask)) for k, mask in enumerate(short_masks(length, percent))]
+    return F.when(n >= length, F.concat(*runs)).otherwise(F.array().cast(NO_SEEDS))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 80, masks=MASKS) -> DataFrame:
@@ -61,14 +74,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, percen
     scratch = Scratch(docs.sparkSession, "decontaminate")
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     items = scratch.put(benchmark.select("item_id", words(F.col("text")).alias("item")).filter("item_id is not null and size(item) > 0"), "items")
-    span = min(max(m) for m in masks) + 1
-    short = [r.n for r in items.filter(F.size("item") < span).select(F.size("item").alias("n")).distinct().collect()]
-    listed = [_seeds("item", masks)] + [F.when(F.size("item") == n, _short_seeds("item", n)).otherwise(F.array().cast(NO_SEEDS)) for n in short]
+    short = [r.n for r in items.filter(F.size("item") < window).select(F.size("item").alias("n")).distinct().collect()]
+    none = F.array().cast(NO_SEEDS)
+    listed = [F.when(F.size("item") >= window, _seeds("item", masks)).otherwise(none)]
+    listed += [F.when(F.size("item") == n, _short_seeds("item", n, percent)).otherwise(none) for n in short]
     seeds = items.select("item_id", F.inline(reduce(F.concat, listed))).select("item_id", F.col("pos").alias("item_pos"), "seed")
     seeds = scratch.put(seeds, "seeds")
     few = seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
     split = texts.select("doc_id", words(F.col("text")).alias("w"))
-    placed = split.select("doc_id", F.inline(reduce(F.concat, [_seeds("w", masks)] + [_short_seeds("w", n) for n in short])))
+    placed = split.select("doc_id", F.inline(reduce(F.concat, [_seeds("w", masks)] + [_short_seeds("w", n, percent) for n in short])))
     hits = placed.join(F.broadcast(seeds) if few else seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
     hits = scratch.put(hits.distinct(), "hits")
 

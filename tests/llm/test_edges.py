@@ -234,6 +234,33 @@ def test_masks_meet_two_replaced_words_in_13():
         assert any(all(p + o not in gone for o in m) for m in decontaminate.MASKS for p in range(13 - max(m)))
 
 
+def test_masks_of_short_items_meet_every_allowed_replacement():
+    from itertools import combinations
+
+    for n in range(1, 13):
+        masks = decontaminate.short_masks(n, 80)
+        assert len(masks) <= 6 and all(masks)
+        for gone in combinations(range(n), n // 5):
+            assert any(not set(m) & set(gone) for m in masks)
+
+
+def test_contamination_of_short_items(spark):
+    """Items of 1 to 13 words inside other words: every allowed set of replaced words is found, and no larger one."""
+    from itertools import combinations
+
+    items, rows, want = [], [], set()
+    for n in range(1, 14):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for replaced in range(n // 5 + 2):
+            for gone in combinations(range(n), replaced):
+                if replaced <= n // 5:
+                    want.add((len(rows), n, n - replaced))
+                rows.append((len(rows), " ".join(["a"] * (len(rows) % 3) + [f"x{k}" if k in gone else w for k, w in enumerate(item)] + ["z"] * (len(rows) % 2))))
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.n_matched) for r in found.collect()} == want
+
+
 def test_mixing(docs, none):
     out = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}).collect()
     assert {r.source for r in out} <= {"s0", "s1"} and set(out[0].asDict()) >= {"copy_no", "mix_key", "rep", "steps"}
