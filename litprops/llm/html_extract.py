@@ -6,15 +6,17 @@
    matched in order so that the most nodes find a partner of equal label.
 3. Over all pages of the host, a text that stands on one aligned node of most pages is template; what varies is a slot. Pages of one title
    count once, so copies of one article do not turn it into template.
-4. Slots inside the host's main node are content: the article or main element, else the deepest node that holds most of the text. Elements
-   that are no article text by tag, class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) are
-   left out, and so are nodes whose text is nearly all links.
+4. Slots inside the host's main node are content. It is chosen by the text that varies over the host's pages, equal texts counted once:
+   article and main elements if they hold at least half of it (only the one with most of their text, if there is one), else the deepest
+   node that holds most of the text outside them. A page on which more text stands in nodes without a partner than in the main node gets
+   the main node of these by the same rule as well. Elements that are no article text by tag, class, id or role (menus, headers, footers,
+   sidebars, notices, adverts, forms, reader comments) are left out, and so are nodes whose text is nearly all links.
 
 Counting is by aggregates over (host, node, text hash), so a host with a third of all pages is no single group; only one row per host, its
 reference with a verdict for each node, is joined to the pages.
 
-Defined results: null, empty or markup-only html gives an empty text; pages of a host with fewer than three different titles are judged by
-their elements alone; a null or unparsable url is a host of its own; repeated rows each get a result; html cut off anywhere is read as far
+Defined results: null, empty or markup-only html gives an empty text; pages of a host with fewer than three different titles have no
+template; a null or unparsable url is a host of its own; repeated rows each get a result; html cut off anywhere is read as far
 as it goes; other columns are ignored; an empty table gives an empty table.
 """
 
@@ -59,6 +61,8 @@ CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",))
 #: Different titles that a text must stand under, and the share of the host's titles, to be template.
 LEAST, SHARE = 3, 0.6
 LINKED = 0.9
+#: Share of the text that a main node has at least.
+MOST = 0.7
 
 
 class Page:
@@ -262,35 +266,52 @@ def _is_main(label: str) -> bool:
     return label.startswith(("article", "main")) or "@main" in label or "@article" in label
 
 
+def main_nodes(parent: list[int], label: list[str], article: list[bool], text: np.ndarray) -> list[bool]:
+    """Which nodes are or stand in the main node, by the text on each node; ``article``: nodes in article or main elements."""
+    n = len(parent)
+
+    def sums(own):
+        below = own.copy()
+        for i in range(n - 1, 0, -1):  # parents come before their children
+            below[parent[i]] += below[i]
+        return below
+
+    below = sums(text)
+    roots = [i for i in range(1, n) if article[i] and not article[parent[i]]]
+    held = sum(below[i] for i in roots)
+    if roots and 2 * held >= below[0]:
+        roots = [i for i in roots if held and below[i] >= MOST * held] or roots
+    else:
+        below, at = sums(np.where(article, 0.0, text)), 0
+        while below[0] > 0 and (big := [k for k in range(at + 1, n) if parent[k] == at and below[k] >= MOST * below[0] and not label[k].startswith(("p", "h1", "h2", "h3"))]):
+            at = big[0]
+        roots = [at]
+    main = [i in roots for i in range(n)]
+    for i in range(1, n):
+        main[i] = main[i] or main[parent[i]]
+    return main
+
+
 class Wrapper:
     """What a host's reference says about its nodes."""
 
     def __init__(self, reference: str, sizes, template):
         self.reference = reference
-        self.parent, self.label, kids = _tree(reference)
+        self.parent, self.label, _ = _tree(reference)
         n = len(self.label)
         self.template = {(t["node"], t["text"]) for t in template or ()}
-        own, link = np.zeros(n), np.zeros(n)
+        own, link, vary = np.zeros(n), np.zeros(n), np.zeros(n)
         for s in sizes or ():
-            own[s["node"]], link[s["node"]] = s["size"], s["link"]
+            own[s["node"]], link[s["node"]], vary[s["node"]] = s["size"], s["link"], s["once"]
+        for t in template or ():
+            vary[t["node"]] -= t["once"]
         self.menu = (own > 0) & (link >= LINKED * own)
         self.article, self.boiler = [False] * n, [False] * n
         for i in range(1, n):
             p = self.parent[i]
             self.boiler[i] = self.boiler[p] or boiler(self.label[i], self.article[p])
             self.article[i] = self.article[p] or (_is_main(self.label[i]) and not self.boiler[i])
-        below = np.where(np.array(self.boiler) | self.menu, 0.0, own)
-        for i in range(n - 1, 0, -1):  # parents come before their children
-            below[self.parent[i]] += below[i]
-        if any(self.article):
-            self.main = list(self.article)
-        else:
-            at = 0
-            while below[0] > 0 and (big := [k for k in kids[at] if below[k] >= 0.7 * below[0] and not self.label[k].startswith(("p", "h1", "h2", "h3"))]):
-                at = big[0]
-            self.main = [i == at for i in range(n)]
-            for i in range(1, n):
-                self.main[i] = self.main[i] or self.main[self.parent[i]]
+        self.main = main_nodes(self.parent, self.label, self.article, np.where(np.array(self.boiler) | self.menu, 0.0, vary))
 
 
 #: Wrappers of the hosts that a worker has met lately.
@@ -309,15 +330,23 @@ def extract(html: str | None, wrapper: Wrapper) -> str:
         if i:
             out_[i] = out_[p] or boiler(page.label[i], article[p]) or (j >= 0 and bool(wrapper.menu[j]))
             article[i] = article[p] or (_is_main(page.label[i]) and not out_[i])
-    own_main = any(article)
     for i, j in enumerate(partner):
-        p = page.parent[i]
-        main[i] = article[i] if own_main else (wrapper.main[j] if j >= 0 else main[p] if i else False)
+        main[i] = wrapper.main[j] if j >= 0 else main[page.parent[i]]
     hashes = _text_hashes([t for _, t, _ in page.blocks]) if wrapper.template else None
-    kept = []
-    for k, (node, text, _) in enumerate(page.blocks):
-        if main[node] and not out_[node] and not (wrapper.template and (partner[node], int(hashes[k])) in wrapper.template):
-            kept.append(text)
+    slots = [
+        (node, text)
+        for k, (node, text, _) in enumerate(page.blocks)
+        if not out_[node] and not (wrapper.template and (partner[node], int(hashes[k])) in wrapper.template)
+    ]
+    strange = np.zeros(n)
+    for node, text in slots:
+        if partner[node] < 0 and not main[node]:
+            strange[node] += len(text)
+    if strange.sum() > (known := sum(len(text) for node, text in slots if main[node])):
+        own = main_nodes(page.parent, page.label, article, strange)
+        if strange[own].sum() > known:
+            main = [m or (o and j < 0) for m, o, j in zip(main, own, partner)]
+    kept = [text for node, text in slots if main[node]]
     return " ".join(kept)
 
 
@@ -325,7 +354,7 @@ def _extract(iterator):
     for piece in batches(iterator, rows=300):
         texts = []
         for host, html, reference, sizes, template in zip(*(piece.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
-            key = (host, reference, len(sizes or ()), sum(s["size"] for s in sizes or ()), tuple(sorted((t["node"], t["text"]) for t in template or ())))
+            key = (host, reference, len(sizes or ()), sum(s["size"] for s in sizes or ()), sum(s["once"] for s in sizes or ()), tuple(sorted((t["node"], t["text"]) for t in template or ())))
             if key not in _wrappers:
                 if len(_wrappers) > 2000:
                     _wrappers.clear()
@@ -349,12 +378,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     aligned = scratch.put(aligned, "aligned")
     rows = seen.join(aligned, ["host", "tree"]).select("host", "title", "partner", F.explode("blocks").alias("b"))
     rows = rows.select("host", "title", F.get("partner", F.col("b.node")).alias("node"), "b.text", "b.size", "b.link").filter("node >= 0")
-    sizes = rows.groupBy("host", "node").agg(F.sum("size").alias("size"), F.sum("link").alias("link"))
-    sizes = sizes.groupBy("host").agg(F.collect_list(F.struct("node", "size", "link")).alias("sizes"))
+    texts = rows.groupBy("host", "node", "text", "title").agg(F.sum("size").alias("size"), F.sum("link").alias("link"), F.max("size").alias("once"))
+    texts = texts.groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("link").alias("link"), F.max("once").alias("once"))
+    texts = scratch.put(texts, "texts")
+    sizes = texts.groupBy("host", "node").agg(F.sum("size").alias("size"), F.sum("link").alias("link"), F.sum("once").alias("once"))
+    sizes = sizes.groupBy("host").agg(F.collect_list(F.struct("node", "size", "link", "once")).alias("sizes"))
     titles = seen.select("host", "title").distinct().groupBy("host").agg(F.count("*").alias("titles"))
-    often = rows.select("host", "node", "text", "title").distinct().groupBy("host", "node", "text").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
-    template = often.join(titles, "host").filter(F.col("n") >= SHARE * F.col("titles")).groupBy("host").agg(F.collect_list(F.struct("node", "text")).alias("template"))
+    often = texts.filter(F.col("n") >= LEAST)
+    template = often.join(titles, "host").filter(F.col("n") >= SHARE * F.col("titles")).groupBy("host").agg(F.collect_list(F.struct("node", "text", "once")).alias("template"))
     wrappers = scratch.put(reference.join(sizes, "host", "left").join(template, "host", "left"), "wrappers")
-    scratch.drop("seen", "trees", "aligned")
+    scratch.drop("seen", "trees", "aligned", "texts")
     joined = pages.join(wrappers, "host").select("page_id", "url", "host", "html", "reference", "sizes", "template")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")

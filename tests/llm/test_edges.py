@@ -340,6 +340,32 @@ def test_html(spark):
     assert html_extract.main_texts(pages.limit(0)).count() == 0
 
 
+def sentence(rng):
+    return " ".join(rng.choice(VOCAB) for _ in range(30))
+
+
+def test_html_main_node_beside_teaser_articles(spark):
+    """The body stands in a div, or in an article among others; teasers beside it are articles too. One host has no article at all."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    teasers = [sentence(rng) for _ in range(5)]
+    cards = lambda: "".join(f"<article class='card'><p>{t}</article>" for t in rng.sample(teasers, 3))
+    for i in range(8):
+        body = [sentence(rng) for _ in range(4 if i else 1)]
+        text = "".join(f"<p>{b}" for b in body)
+        for k, page in enumerate((
+            f"<div class='story'>{text}</div><div class='more'>{cards()}</div>",
+            f"<article class='post'>{text}</article><div class='more'>{cards()}</div>",
+            f"<div class='story'>{text}</div><div class='more'><p>{rng.choice(teasers)}</div>",
+            f"<article class='post tag-{VOCAB[i]}'>{text}</article><div class='x'><p>own {VOCAB[i]}</div>",
+        )):
+            want[10 * i + k] = " ".join(body)
+            rows.append((10 * i + k, f"http://h{k}.org/{i}", f"<html><head><title>t {i}</title></head><body>{page}</body></html>"))
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, text in want.items():
+        assert got[i] == text if i % 10 < 3 else text in got[i], i
+
+
 def test_simple_tree_matching():
     a, b = html_extract.Page("<div class=x><ul><li>1</ul><p>t</div><footer>f"), html_extract.Page("<nav>n</nav><div class=x><p>t</div><footer>f")
     partner = html_extract.simple_tree_matching(a.skeleton, b.skeleton)
