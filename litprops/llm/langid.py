@@ -3,7 +3,9 @@
 A text is lower-cased, every run of other characters than letters becomes one space, and its runs of two and three characters are hashed
 to :data:`BUCKETS` features. A feature's value is its share of the text's n-grams times its inverse document frequency, which is counted
 over all documents to learn from. The weights are trained with follow-the-regularised-leader (one rate per weight, L1 and L2 penalties) on
-:data:`SAMPLE` of these documents, chosen by the hash of their id; one in five of them is left out and sets the temperature of the
+:data:`SAMPLE` of these documents, dealt over the languages: a language with no more than its equal share of the sample gives all its
+documents, the others share what is left, each giving its first by the hash of the id. What that changes in the shares of the languages is
+taken back in the probabilities, by full counts. Every fifth document of a language is left out and sets the temperature of the
 probabilities. Prediction reads whole texts and is a sum of weights.
 
 Defined results: null text or text without a letter is ``und`` with score 0, and so is everything when nothing can be learned from; rows
@@ -17,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litprops.llm.store import Scratch
 from litprops.llm.words import batches
 
 BITS = 15
@@ -102,6 +105,7 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages, with the inverse document frequencies in them
     bias: np.ndarray
     temperature: float
+    prior: np.ndarray  # logarithm of a language's share of all documents over its share of the sample
 
 
 class FollowTheLeader:
@@ -131,11 +135,12 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, by golden sections over its logarithm."""
+def _temperature(logits: np.ndarray, labels: np.ndarray, prior: np.ndarray) -> float:
+    """The temperature with the least log loss over documents as frequent as all are, by golden sections over its logarithm."""
     if not len(labels):
         return 1.0
-    loss = lambda t: -np.log(np.maximum(softmax(logits / np.exp(t))[np.arange(len(labels)), labels], 1e-12)).mean()
+    at, weight = np.arange(len(labels)), np.exp(prior)[labels]
+    loss = lambda t: -(weight * np.log(np.maximum(softmax(logits / np.exp(t) + prior)[at, labels], 1e-12))).sum()
     lo, hi, r = -3.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
         a, b = hi - r * (hi - lo), lo + r * (hi - lo)
@@ -143,6 +148,35 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
+def quotas(counts: dict[str, int], sample: int) -> dict[str, int]:
+    """How many documents each language gives: the smallest first, each at most an equal share of what is left, and at least one."""
+    out, left = {}, sample
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = max(1, min(counts[lang], left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def _sample(docs: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
+    """``doc_id, lang`` of the sample; the documents and the quota of each language. No language is sorted as a whole: counts of ranges of
+    the hash say which range its last document is in."""
+    spark, place = docs.sparkSession, F.shiftrightunsigned(F.xxhash64("doc_id"), 52)
+    ids = docs.filter("doc_id is not null").select("doc_id", "lang").distinct().withColumn("place", place)
+    scratch = Scratch(spark, "langid")
+    ranges = scratch.put(ids.groupBy("lang", "place").agg(F.count("*").alias("n")), "ranges")
+    counts = {r.lang: r.n for r in ranges.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    quota = quotas(counts, sample)
+    wanted = F.broadcast(spark.createDataFrame(list(quota.items()), "lang string, quota long"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("place"))
+    last = ranges.withColumn("upto", upto).join(wanted, "lang").filter(F.col("upto") - F.col("n") < F.col("quota"))
+    last = last.groupBy("lang", "quota").agg(F.max("place").alias("last"))
+    near = ids.join(F.broadcast(last), "lang").filter("place <= last")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", F.xxhash64("doc_id"), "doc_id"))
+    chosen = scratch.put(near.withColumn("nth", nth).filter("nth <= quota").select("doc_id", "lang"), "chosen")
+    scratch.drop("ranges")
+    return chosen, counts, quota
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3) -> Model | None:
     """A model from ``doc_id, text, lang``; None if no document has a language and a letter."""
     docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
@@ -154,9 +188,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3) -> Model | Non
     idf = np.zeros(BUCKETS)
     at = np.fromiter(seen, np.int64, len(seen))
     idf[at] = np.log((1 + total) / (1 + np.fromiter(seen.values(), np.int64, len(seen)))) + 0.1
-    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = chosen.select("doc_id", F.xxhash64("doc_id").alias("nth"))
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "nth", "lang")
+    chosen, counts, quota = _sample(docs, sample)
+    chosen = chosen.withColumn("nth", F.xxhash64(F.lit(1), "doc_id"))  # another order, as only small languages have documents of large hashes
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "nth", "lang")
     rows = texts.mapInArrow(_counts, "nth long, lang string, at binary, n binary").collect()
     rows = sorted(((r.nth, r.lang, bytes(r.at), bytes(r.n)) for r in rows if len(r.at)), key=lambda r: r[:3])
     languages = sorted({r[1] for r in rows})
@@ -166,15 +200,19 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 3) -> Model | Non
     for _, lang, where, n in rows:
         where, n = np.frombuffer(where, np.int32).astype(np.int64), np.frombuffer(n, np.int32)
         data.append((np.append(where, BUCKETS), np.append(n / n.sum() * idf[where] * SCALE, 1.0), languages.index(lang)))
-    fit, check = [d for i, d in enumerate(data) if i % 5], data[::5]
+    prior = np.log([counts[x] / quota[x] * sum(quota.values()) / sum(counts.values()) for x in languages])
+    fit, check, met = [], [], [0] * len(languages)
+    for d in data:
+        met[d[2]] += 1
+        (fit if met[d[2]] % 5 else check).append(d)
     leader = FollowTheLeader(BUCKETS + 1, len(languages))
     for _ in range(epochs):
         for where, x, label in fit:
             leader.learn(where, x, label)
     w = leader.weights(np.arange(BUCKETS + 1))
     logits = np.array([x @ w[where] for where, x, _ in check])
-    t = _temperature(logits, np.array([label for *_, label in check], np.int64))
-    return Model(languages, w[:-1] * idf[:, None] * SCALE, w[-1], t)
+    t = _temperature(logits, np.array([label for *_, label in check], np.int64), prior)
+    return Model(languages, w[:-1] * idf[:, None] * SCALE, w[-1], t, prior)
 
 
 def _predict(model: Model | None):
@@ -187,7 +225,7 @@ def _predict(model: Model | None):
             else:
                 n = np.maximum(np.bincount(row, minlength=len(texts)), 1)
                 sums = np.stack([np.bincount(row, weights=model.weights[bucket, c], minlength=len(texts)) for c in range(len(model.languages))], axis=1)
-                p = softmax((sums / n[:, None] + model.bias) / model.temperature)
+                p = softmax((sums / n[:, None] + model.bias) / model.temperature + model.prior)
                 best = p.argmax(axis=1)
                 names = [model.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
                 score = np.where(has, p[np.arange(len(texts)), best], 0.0)

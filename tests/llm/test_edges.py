@@ -219,6 +219,23 @@ def test_language(docs, none):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    """Two languages, one with 12 of 8,012 documents, learned from 100 documents."""
+    rng = random.Random(4)
+    speak = lambda syllables: " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(12))
+    often, seldom = ["ka", "to", "mi", "re", "su"], ["wyx", "zhq", "ffo", "jup"]
+    rows = [(i, speak(often), "often") for i in range(8_000)] + [(i, speak(seldom), "seldom") for i in range(8_000, 8_012)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    fresh = spark.createDataFrame([(i, speak(seldom if i % 2 else often)) for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(fresh, model).collect()}
+    assert model.languages == ["often", "seldom"] and got == {i: "seldom" if i % 2 else "often" for i in range(40)}
+
+
+def test_language_quotas():
+    assert langid.quotas({"a": 5000, "b": 3, "c": 700}, 1000) == {"b": 3, "c": 498, "a": 499}
+    assert langid.quotas({"a": 7, "b": 2}, 100) == {"a": 7, "b": 2} and langid.quotas({}, 100) == {}
+
+
 def test_contamination(docs, none, spark):
     items = [(1, None), (2, ""), (3, " ".join(NEAR[5:25])), (4, "one two"), (5, " ".join(BASE[:3] + ["z"] + BASE[4:9] + ["z"] + BASE[10:13])), (None, "a b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
