@@ -129,25 +129,24 @@ def _runs(iterator: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tu
         yield key, _table(held)
 
 
-def packed(rows: DataFrame, width: int, count: int, scratch: Scratch) -> DataFrame:
+def packed(rows: DataFrame, width: int, count: int, scratch: Scratch, leaf: int = LEAF, grove: int = GROVE) -> DataFrame:
     """``leaf, vec_id, label, q`` in packed order, written to the shared folder."""
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).select("q").toArrow()
-    axes, borders = tile_borders(matrix(sample.column("q"), width), max(1, min(-(-count // GROVE), SAMPLE // 8)))
+    axes, borders = tile_borders(matrix(sample.column("q"), width), max(1, min(-(-count // grove), SAMPLE // 8)))
 
     def place(iterator):
         for b in iterator:
             yield pa.RecordBatch.from_arrays([pa.array(tile_of(matrix(b.column(2), width), axes, borders), pa.int64()), *b.columns], names=["tile", "vec_id", "label", "q"])
 
     tiled = scratch.put(rows.select("vec_id", "label", "q").mapInArrow(place, "tile long, vec_id long, label long, q array<int>"), "tiled")
-    parts = tiled.groupBy("tile").agg(F.ceil(F.count("*") / GROVE).alias("parts"))
+    parts = tiled.groupBy("tile").agg(F.ceil(F.count("*") / grove).alias("parts"))
     tiled = tiled.join(parts, "tile").select("tile", F.pmod(F.xxhash64("vec_id"), "parts").alias("part"), "vec_id", "label", "q")
 
     def pack(iterator):
         for _, t in _runs(iterator, 2):
             x = matrix(t.column("q"), width)
-            for number, leaf in enumerate(str_leaves(x)):
-                t_leaf = t.take(pa.array(np.sort(leaf)))
-                for b in t_leaf.combine_chunks().to_batches():
+            for number, rows_of in enumerate(str_leaves(x, leaf)):
+                for b in t.take(pa.array(np.sort(rows_of))).combine_chunks().to_batches():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number), pa.int64()), *(b.column(c) for c in ("tile", "part", "vec_id", "label", "q"))], names=["leaf", "tile", "part", "vec_id", "label", "q"])
             release()
 
@@ -223,8 +222,8 @@ class Tree:
                     w[3] = heapq.nsmallest(k, found + new) if len(new) > k else sorted(found + new)[:k]
 
 
-def trees(iterator: Iterator[pa.RecordBatch], width: int) -> Iterator[Tree]:
-    """Trees over about :data:`GROVE` rows each of a stream in packed order."""
+def trees(iterator: Iterator[pa.RecordBatch], width: int, grove: int = GROVE) -> Iterator[Tree]:
+    """Trees over about ``grove`` rows each of a stream in packed order."""
 
     def build(held):
         t = _table(held)
@@ -235,10 +234,10 @@ def trees(iterator: Iterator[pa.RecordBatch], width: int) -> Iterator[Tree]:
 
     held, n = [], 0
     for batch in iterator:
-        for k in range(0, batch.num_rows, GROVE):
-            held.append(batch.slice(k, GROVE))
+        for k in range(0, batch.num_rows, grove):
+            held.append(batch.slice(k, grove))
             n += held[-1].num_rows
-            if n >= GROVE:
+            if n >= grove:
                 yield build(held)
                 held, n = [], 0
                 release()
@@ -246,13 +245,13 @@ def trees(iterator: Iterator[pa.RecordBatch], width: int) -> Iterator[Tree]:
         yield build(held)
 
 
-def _search(anchors, width: int, same: bool, k: int):
+def _search(anchors, width: int, same: bool, k: int, grove: int):
     """``anchors.value``: ids, labels, vectors and, per anchor, the windows ``(mark, least, greatest)``."""
 
     def run(iterator):
         ids, labels, vectors, windows = anchors.value
         state = [[[least, greatest, k, []] for _, least, greatest in w] for w in windows]
-        for tree in trees(iterator, width):
+        for tree in trees(iterator, width, grove):
             most = float(np.abs(tree.x).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(width, 1)
             kind = np.float64 if most < 2**52 else np.int64  # both exact; the first is faster
             tree.x = tree.x.astype(kind)
@@ -271,18 +270,23 @@ def _search(anchors, width: int, same: bool, k: int):
     return run
 
 
-def _best(index: DataFrame, anchors: tuple, width: int, same: bool, k: int, scratch: Scratch, name: str) -> DataFrame:
+def _best(index: DataFrame, anchors: tuple, width: int, same: bool, k: int, grove: int, scratch: Scratch, name: str) -> DataFrame:
     """``anchor_id, mark, vec_id, score, rank`` of the ``k`` best rows per window, over all tasks."""
     sent = index.sparkSession.sparkContext.broadcast(anchors)
-    found = index.select("leaf", "tile", "part", "vec_id", "label", "q").mapInArrow(_search(sent, width, same, k), "anchor_id long, mark long, vec_id long, score long")
+    found = index.select("leaf", "tile", "part", "vec_id", "label", "q").mapInArrow(_search(sent, width, same, k, grove), "anchor_id long, mark long, vec_id long, score long")
     order = Window.partitionBy("anchor_id", "mark").orderBy(F.desc("score"), "vec_id")
     out = scratch.put(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), name)
     sent.destroy()
     return out
 
 
-def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256) -> DataFrame:
-    """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for the rows ``vec_id, label, embedding``."""
+def mine(
+    vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, scale: int = 256,
+    leaf: int = LEAF, grove: int = GROVE, at_once: int = ANCHORS,
+) -> DataFrame:
+    """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for the rows ``vec_id, label, embedding``.
+
+    ``leaf``, ``grove`` and ``at_once`` (anchors of a pass) set sizes of work, never what is found."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hard-negatives")
     rows = scratch.put(quantised(vectors, scale), "rows")
@@ -290,17 +294,17 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     schema = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not n or not width:
         return spark.createDataFrame([], schema)
-    index = packed(rows, width, count, scratch)
-    chunks, out = -(-n // ANCHORS), None
+    index = packed(rows, width, count, scratch, leaf, grove)
+    chunks, out = -(-n // at_once), None
     anywhere = -(1 << 62), 1 << 62
     for chunk in range(chunks):
         picked = rows.filter(is_anchor & (F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(chunks)) == chunk)).orderBy("vec_id").toArrow()
         ids, labels, a = picked.column("vec_id").to_numpy(), picked.column("label").to_numpy(), matrix(picked.column("q"), width)
-        near = _best(index, (ids, labels, a, [[(0, *anywhere)]] * len(ids)), width, True, positives, scratch, f"positives-{chunk}")
+        near = _best(index, (ids, labels, a, [[(0, *anywhere)]] * len(ids)), width, True, positives, grove, scratch, f"positives-{chunk}")
         windows: dict[int, list] = {int(i): [] for i in ids}
         for r in near.select("anchor_id", "vec_id", "score").collect():  # at most ``positives`` for each anchor of a chunk
             windows[r.anchor_id].append((r.vec_id, -(-low * r.score // 100), high * r.score // 100))
-        hard = _best(index, (ids, labels, a, [windows[int(i)] for i in ids]), width, False, negatives, scratch, f"negatives-{chunk}")
+        hard = _best(index, (ids, labels, a, [windows[int(i)] for i in ids]), width, False, negatives, grove, scratch, f"negatives-{chunk}")
         pair = near.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
         told = hard.select("anchor_id", F.col("mark").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
         told = told.join(pair, ["anchor_id", "positive_id"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litprops.llm import chat, decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, quality, runs, substrings, url_filter
+from litprops.llm import chat, decontaminate, hard_negatives, html_extract, langid, line_dedup, mixing, ngram_join, pii, quality, runs, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -238,3 +238,11 @@ def op13_periodic_runs(spark, sf_dir):
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"),
     )
     return told.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("1000 * top.length DIV top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query()
+def op12_pii(spark, sf_dir):
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.array_sort(F.concat("base", "learned"))).alias("spans"))
