@@ -1,58 +1,86 @@
-"""Ridge regression on pooled vectors, swept over seeds, splits and settings with Spark ML; scored like any other predictions."""
+"""Ridge regression on pooled vectors: fits, sweeps over settings and training fractions, and before/after tuning, all from the additive statistics
+of :mod:`litprops.operators.gram`; scored like any other predictions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litprops.functions.hashing import hash_fraction
+from litprops.operators import gram
 from litprops.operators.article_metrics import article_ranges, range_scores
-from litprops.operators.metrics import regression_metrics
-from litprops.operators.scaling import fit as fit_scaler
-from litprops.operators.scaling import inverse, scale
+from litprops.operators.metrics import improvement_row, regression_metrics
+from litprops.session import settle
 
 
-def with_features(df: DataFrame, vec: str = "pooled", out: str = "features") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.col(vec).cast("array<double>")))
-
-
-def estimator(ridge: float = 0.1, label: str = "y_scaled") -> LinearRegression:
-    return LinearRegression(featuresCol="features", labelCol=label, predictionCol="p_scaled", regParam=float(ridge), elasticNetParam=0.0, solver="normal")
+def _fitted(stats: DataFrame, on: Sequence[str], by: Sequence[str], ridges: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """``(models, scalers)`` as settled tables: targets scaled per ``by`` key, one fit for each ``on`` key over all groups that share it."""
+    scaler = settle(gram.scalers(stats, by), "scalers")
+    models = gram.solve(gram.merge(gram.in_standard_units(stats), on), on, ridges)
+    return settle(models, "models"), scaler
 
 
 def fit_predict(rows: DataFrame, by: Sequence[str], ridge: float = 0.1, train_part: str = "train") -> DataFrame:
     """Scale targets on training rows, fit, predict every row; ``p`` is back in physical units.
 
     ``rows``: ``part, y, transform, pooled`` and the scaler key ``by``. One model over all rows (a joint fit when ``by`` names
-    several properties).
+    several properties). Training rows are read once.
     """
-    train = rows.filter(F.col("part") == train_part)
-    scaler = fit_scaler(train, by)
-    scaled = with_features(scale(rows, scaler, by))
-    model = estimator(ridge).fit(scaled.filter(F.col("part") == train_part).select("features", "y_scaled"))
-    return model.transform(scaled).withColumn("p", inverse("p_scaled")).drop("features")
+    stats = settle(gram.moments(rows.filter(F.col("part") == train_part), by).withColumn("_fit", F.lit(0)), "moments")
+    models, scaler = _fitted(stats, ["_fit"], by, [ridge])
+    return gram.predict(rows.withColumn("_fit", F.lit(0)), models, scaler, ["_fit"], by).drop("_fit", "trial", "ridge")
 
 
 def sweep(rows: DataFrame, by: Sequence[str], ridges: Sequence[float], eval_part: str = "val") -> DataFrame:
     """Metrics of every ridge setting on the validation rows only: ``trial, ridge, n, r2, rmse, mae``.
 
-    All settings share one scaled table; the loop is over settings, never over rows.
+    All settings share one statistic of the training rows, and validation rows are scored under all of them in one pass.
+    """
+    stats = settle(gram.moments(rows.filter("part = 'train'"), by).withColumn("_fit", F.lit(0)), "moments")
+    models, scaler = _fitted(stats, ["_fit"], by, ridges)
+    scored = gram.predict(rows.filter(F.col("part") == eval_part).withColumn("_fit", F.lit(0)), models, scaler, ["_fit"], by)
+    return regression_metrics(scored, ["trial", "ridge"])
+
+
+def fraction_sweep(
+    rows: DataFrame, by: Sequence[str], unit: Sequence[str], seed: int | str, percents: Sequence[int] = (20, 40, 60, 80, 100), ridges: Sequence[float] = (0.1,), eval_part: str = "val"
+) -> DataFrame:
+    """``by..., pct, trial, ridge, n_train, n, r2, rmse, mae``: every property fitted alone on nested training subsets under every ridge value.
+
+    A row belongs to the subsets of :func:`litprops.operators.splits.nested_fractions`. Rows are summed once, under the smallest subset
+    that holds them; the larger subsets are sums of those.
+    """
+    least = gram.least_percent(hash_fraction(f"{seed}:fraction", *unit), percents)
+    train = rows.filter("part = 'train'").withColumn("_least", least).filter("_least IS NOT NULL")
+    stats = gram.moments(train, [*by, "_least"])
+    stats = settle(gram.cumulative(stats, [*by, "transform"], "_least", percents), "moments")
+    key = [*by, "pct"]
+    models, scaler = _fitted(stats, key, key, ridges)
+    tried = rows.filter(F.col("part") == eval_part).withColumn("pct", F.explode(F.array(*[F.lit(int(p)) for p in percents])))
+    scored = gram.predict(tried, models, scaler, key, key)
+    trained = scaler.groupBy(*key).agg(F.sum("n").alias("n_train"))
+    return regression_metrics(scored, [*key, "trial", "ridge"]).join(trained, key)
+
+
+def tune_domain(rows: DataFrame, source: Column, target: Column, ridge: float = 0.1, by: Sequence[str] = (), eval_part: str = "test") -> DataFrame:
+    """``by..., stage, r2, rmse, mae``: a fit on the ``source`` domain scored on the target's held-out rows (``before``), the same with the target's
+    training rows added (``after``), and the improvement.
+
+    The training rows of both domains are summed once; the second fit is the sum of two statistics. Each stage scales targets on the
+    rows it is fitted on.
     """
-    train = rows.filter(F.col("part") == "train")
-    scaled = with_features(scale(rows.filter(F.col("part").isin("train", eval_part)), fit_scaler(train, by), by))
-    base = estimator()
-    grid = [{base.regParam: float(r)} for r in ridges]
-    fitting = scaled.filter("part = 'train'").select("features", "y_scaled")
-    out = None
-    for trial, model in base.fitMultiple(fitting, grid):
-        scored = model.transform(scaled.filter(F.col("part") == eval_part)).withColumn("p", inverse("p_scaled"))
-        row = regression_metrics(scored).select(F.lit(trial).alias("trial"), F.lit(float(ridges[trial])).alias("ridge"), "n", "r2", "rmse", "mae")
-        out = row if out is None else out.unionByName(row)
-    return out
+    train = rows.filter("part = 'train'").filter(source | target).withColumn("_from", F.when(source, "before").otherwise("after"))
+    stats = gram.moments(train, [*by, "_from"])
+    stages = F.when(F.col("_from") == "before", F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("after")))
+    key = [*by, "stage"]
+    stats = settle(gram.merge(stats.withColumn("stage", F.explode(stages)), [*key, "transform"]), "moments")
+    models, scaler = _fitted(stats, key, key, [ridge])
+    held_out = rows.filter(target & (F.col("part") == eval_part)).withColumn("stage", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    scored = regression_metrics(gram.predict(held_out, models, scaler, key, key), key)
+    return improvement_row(scored.drop("n"), list(by))
 
 
 def score_batches(

@@ -7,28 +7,24 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litprops.functions.text import dataset_name, file_stem, h1_title, let
-from litprops.functions.variants import json_array
+from litprops.functions.text import dataset_name, file_stem, h1_title
 from litprops.operators.validate import RECORD_WITH_ANALYSES as STORED
+from litprops.sources.json_arrays import read_json_arrays
 
 
 def read_record_arrays(spark: SparkSession, path: str, schema: str = STORED) -> DataFrame:
     """JSON-array files: one row per record with ``dataset`` (from the file name) and ``row_idx`` (list position).
 
     ``schema`` is the one that valid entries are typed with, so every entry the validator accepts can be read; a value that does not fit
-    it is an error. A JSON array cannot be split, so each file is one task; large datasets should be stored with
-    :func:`litprops.sources.sinks.write_dataset` and read with :func:`read_records`.
+    it is an error. A file may be as large as it likes: it is cut into splits, see :mod:`litprops.sources.json_arrays`.
     """
     record = F.variant_get("entry", "$", f"STRUCT<{schema}>")
     return read_record_json(spark, path).select("dataset", "row_idx", record.alias("r")).select("dataset", "row_idx", "r.*")
 
 
 def read_record_json(spark: SparkSession, path: str) -> DataFrame:
-    """Each record as VARIANT ``entry`` (nothing typed yet). A file that is not one JSON array is an error that names the file."""
-    files = spark.read.text(path, wholetext=True).select("value", dataset_name(F.col("_metadata.file_name")).alias("dataset"), F.col("_metadata.file_path").alias("file"))
-    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("file")))
-    items = let(json_array(F.col("value")), lambda x: F.when(x.isNull(), broken).otherwise(x))
-    return files.select("dataset", F.posexplode(items).alias("row_idx", "entry")).withColumn("row_idx", F.col("row_idx").cast("bigint"))
+    """Each record as VARIANT ``entry`` (nothing typed yet). A file that is not one JSON array of objects is an error that names the file."""
+    return read_json_arrays(spark, path).select(dataset_name(F.col("name")).alias("dataset"), F.col("position").alias("row_idx"), "entry")
 
 
 def read_records(spark: SparkSession, path: str, schema: str = STORED) -> DataFrame:

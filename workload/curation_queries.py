@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from litprops.functions.text import normalize_doi
 from litprops.operators import curation, regress, splits, validate
-from litprops.operators.metrics import improvement_row, regression_metrics
 from litprops.session import settle, shared_dir
 from litprops.sources import sinks
 from litprops.streaming import ingest
@@ -126,14 +125,53 @@ def _regression_rows(spark, d):
     return v.join(o, "row_idx").withColumns({"dataset": F.when(F.col("label") < 5, "low").otherwise("high"), "transform": F.lit("identity")})
 
 
-@query()
+#: Vectors with their targets; `part` and `dataset` as in `_regression_rows`.
+_VECTORS = f"""{REC}, v AS (SELECT rec.row_idx, article_key, y, part, CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset,
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings JOIN rec ON vec_id = row_idx)"""
+
+
+def _normal_equations(keys: str, train: str, ridges: str) -> str:
+    """CTEs that fit ``train`` (``keys``, x, scaled target t) by the normal equations of all coordinates, solved by elimination.
+
+    Ends in ``fit``: keys, ridge, w, b.
+    """
+    return f"""tr AS ({train}), co AS (SELECT {keys}, id, t, j, x[j] AS xj FROM (SELECT *, row_number() OVER () AS id FROM tr), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM tr))) AS j)),
+mo AS (SELECT {keys}, j, avg(xj) AS m, stddev_pop(xj) AS s, covar_pop(xj, t) / stddev_pop(xj) AS c, avg(t) AS tm FROM co GROUP BY {keys}, j),
+cr AS (SELECT {keys}, j, list(r ORDER BY j2) AS r FROM (SELECT {keys}, a.j, b.j AS j2, corr(a.xj, b.xj) AS r FROM co a JOIN co b USING ({keys}, id) GROUP BY {keys}, a.j, b.j) GROUP BY {keys}, j),
+st AS (SELECT {keys}, ridge, list(list_append(list_transform(r, lambda e, i: e + CASE WHEN i = j THEN ridge ELSE 0 END), c) ORDER BY j) AS a
+  FROM cr JOIN mo USING ({keys}, j), (SELECT unnest({ridges}) AS ridge) GROUP BY {keys}, ridge),
+gj AS (SELECT {keys}, ridge, 1 AS k, a FROM st UNION ALL SELECT {keys}, ridge, k + 1, list_transform(a, lambda e, i: CASE WHEN i = k
+  THEN list_transform(e, lambda z: z / a[k][k]) ELSE list_transform(e, lambda z, q: z - e[k] * a[k][q] / a[k][k]) END) FROM gj WHERE k <= len(a)),
+fi AS (SELECT {keys}, ridge, j, a[j][len(a) + 1] / s AS w, m, tm FROM gj JOIN mo USING ({keys}) WHERE k = len(a) + 1),
+fit AS (SELECT {keys}, ridge, list(w ORDER BY j) AS w, any_value(tm) - sum(w * m) AS b FROM fi GROUP BY {keys}, ridge)"""
+
+
+_SCALED = "SELECT 0 AS f, x, (y - mean) / scale AS t FROM v JOIN sc USING (dataset) WHERE part = 'train'"
+_SCALERS = "sc AS (SELECT dataset, avg(y) AS mean, stddev_pop(y) AS scale FROM v WHERE part = 'train' GROUP BY dataset)"
+_SCORED = "(list_dot_product(x, w) + b) * scale + mean"
+_METRICS = f"count(*) AS n, {R('1 - sum((y-p)*(y-p)) / (var_pop(y) * count(*))')} AS r2, {R('sqrt(avg((y-p)*(y-p)))')} AS rmse, {R('avg(abs(y-p))')} AS mae"
+
+
+@query(
+    f"""WITH RECURSIVE {_VECTORS}, {_SCALERS}, {_normal_equations('f', _SCALED, '[0.01::DOUBLE, 0.1, 1.0]')},
+pr AS (SELECT ridge, y, {_SCORED} AS p FROM v JOIN sc USING (dataset), fit WHERE part = 'val')
+SELECT (CASE ridge WHEN 0.01 THEN 0 WHEN 0.1 THEN 1 ELSE 2 END)::INT AS trial, ridge, {_METRICS} FROM pr GROUP BY ridge"""
+)
 def ridge_sweep(spark, d):
-    """Validation metrics of three ridge settings on one scaled table."""
+    """Validation metrics of three ridge settings from one statistic of the training rows."""
     rows = settle(_regression_rows(spark, d), "regression")
     return rounded(regress.sweep(rows, ["dataset"], [0.01, 0.1, 1.0]), "r2", "rmse", "mae")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_VECTORS}, {_SCALERS}, {_normal_equations('f', _SCALED, '[0.1::DOUBLE]')},
+pr AS (SELECT dataset, article_key, y, {_SCORED} AS p FROM v JOIN sc USING (dataset), fit WHERE part = 'test'),
+rg AS (SELECT dataset, article_key, min(y) AS lo, max(y) AS hi FROM v WHERE part = 'train' GROUP BY ALL HAVING min(y) < max(y)),
+hits AS (SELECT dataset, count(*) AS eligible, {R('avg((p BETWEEN lo AND hi)::INT)')} AS hit_rate, {R('avg(exp(-((p - (lo+hi)/2) * (p - (lo+hi)/2)) / (2 * ((hi-lo)/2) * ((hi-lo)/2))))')} AS nars
+  FROM pr JOIN rg USING (dataset, article_key) GROUP BY dataset)
+SELECT m.*, coalesce(eligible, 0) AS eligible, coalesce(hit_rate, 'nan'::DOUBLE) AS hit_rate, coalesce(nars, 'nan'::DOUBLE) AS nars
+FROM (SELECT dataset, {_METRICS} FROM pr GROUP BY dataset) m LEFT JOIN hits USING (dataset)"""
+)
 def joint_ridge_fit(spark, d):
     """One fit over two properties, each with its own scaler; test metrics, hit rate and NARS per property."""
     rows = settle(_regression_rows(spark, d), "regression")
@@ -142,17 +180,35 @@ def joint_ridge_fit(spark, d):
     return rounded(out, "r2", "rmse", "mae", "hit_rate", "nars")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_VECTORS}, u AS (SELECT *, ('0x' || substr(md5('7:fraction:' || row_idx), 1, 13))::BIGINT / 4503599627370496.0 * 100 AS u FROM v WHERE part = 'train'),
+su AS (SELECT dataset, pct, x, y FROM u, (SELECT unnest([40, 70, 100])::INT AS pct) WHERE u < pct),
+sc AS (SELECT dataset, pct, avg(y) AS mean, stddev_pop(y) AS scale, count(*) AS n_train FROM su GROUP BY ALL),
+{_normal_equations('dataset, pct', 'SELECT dataset, pct, x, (y - mean) / scale AS t FROM su JOIN sc USING (dataset, pct)', '[0.5::DOUBLE, 2.0]')},
+pr AS (SELECT dataset, pct, ridge, n_train, y, {_SCORED} AS p FROM v JOIN sc USING (dataset) JOIN fit USING (dataset, pct) WHERE part = 'val')
+SELECT dataset, pct, (CASE ridge WHEN 0.5 THEN 0 ELSE 1 END)::INT AS trial, ridge, n_train, {_METRICS} FROM pr GROUP BY dataset, pct, ridge, n_train"""
+)
+def fraction_sweep(spark, d):
+    """Every property on nested training subsets under two ridge settings, from one pass over the training rows."""
+    rows = settle(_regression_rows(spark, d), "regression")
+    out = regress.fraction_sweep(rows, ["dataset"], ["row_idx"], 7, [40, 70, 100], [0.5, 2.0])
+    return rounded(out, "r2", "rmse", "mae")
+
+
+@query(
+    f"""WITH RECURSIVE {_VECTORS}, tn AS (SELECT stage, x, y FROM v, (SELECT unnest(['before', 'after']) AS stage) WHERE part = 'train' AND (dataset = 'low' OR stage = 'after')),
+sc AS (SELECT stage, avg(y) AS mean, stddev_pop(y) AS scale FROM tn GROUP BY stage),
+{_normal_equations('stage', 'SELECT stage, x, (y - mean) / scale AS t FROM tn JOIN sc USING (stage)', '[0.1::DOUBLE]')},
+pr AS (SELECT stage, y, {_SCORED} AS p FROM v, sc JOIN fit USING (stage) WHERE part = 'test' AND dataset = 'high'),
+ms AS (SELECT stage, 1 - sum((y-p)*(y-p)) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y-p)*(y-p))) AS rmse, avg(abs(y-p)) AS mae FROM pr GROUP BY stage),
+al AS (SELECT * FROM ms UNION ALL SELECT 'improvement', a.r2 - b.r2, b.rmse - a.rmse, b.mae - a.mae FROM ms a, ms b WHERE a.stage = 'after' AND b.stage = 'before')
+SELECT stage, {R('r2')} AS r2, {R('rmse')} AS rmse, {R('mae')} AS mae FROM al"""
+)
 def domain_tuning(spark, d):
-    """Before / after: a fit on one domain scored on the other, then fitted on both; with the improvement row."""
-    rows = settle(_regression_rows(spark, d).withColumn("k", F.lit("all")), "regression")
-    target = rows.filter("dataset = 'high' AND part = 'test'")
-    source = rows.filter("dataset = 'low'")
-    before = regress.fit_predict(source.unionByName(target), ["k"], 0.1).filter("dataset = 'high'").withColumn("stage", F.lit("before"))
-    after = regress.fit_predict(rows, ["k"], 0.1).filter("dataset = 'high' AND part = 'test'").withColumn("stage", F.lit("after"))
-    cols = ["dataset", "stage", "y", "p"]
-    stages = regression_metrics(before.select(cols).unionByName(after.select(cols)), ["dataset", "stage"]).drop("n")
-    return rounded(improvement_row(stages, ["dataset"]), "r2", "rmse", "mae")
+    """Before / after: a fit on one domain scored on the other, then on both; with the improvement row."""
+    rows = settle(_regression_rows(spark, d), "regression")
+    out = regress.tune_domain(rows, F.col("dataset") == "low", F.col("dataset") == "high", 0.1)
+    return rounded(out, "r2", "rmse", "mae")
 
 
 @query("SELECT vec_id AS row_idx, (round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) + 1e-7, 4) + 0) AS p FROM embeddings")
