@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litprops.functions.arrays import zeros
 from litprops.functions.text import blank_to_null, parse_ratio
 from litprops.operators.spread import contiguous_index, lookup_join
+from litprops.session import settle
 
 DEFAULT_UNIT = "mol%"  # fixed value: unit of a homopolymer
 
@@ -99,6 +102,31 @@ def multimer_requests(smiles: DataFrame, units: tuple[int, ...] = (3, 6, 9)) ->
     return smiles.select("smiles", F.explode(F.array(*[F.lit(u) for u in units])).alias("units"))
 
 
+def multimer_features(smiles: DataFrame, generate: Callable[[Column, Column], Column], compute: Callable[[DataFrame], DataFrame], units: tuple[int, ...] = (3, 6, 9)) -> DataFrame:
+    """``smiles, units, chain, vec``: features of every distinct structure at every chain length.
+
+    ``generate(smiles, units)`` gives the text of a chain; structures may share chains, and ``compute`` (``chain`` to ``chain, vec``) sees each
+    distinct chain once. Both levels, and so the costly features, are worked out once and written to the shared folder.
+    """
+    asked = multimer_requests(smiles.select("smiles").distinct(), units)
+    asked = settle(asked.withColumn("chain", generate(F.col("smiles"), F.col("units"))), "chains")
+    made = settle(compute(asked.select("chain").distinct()).select("chain", "vec"), "chain-features")
+    return asked.join(made, "chain", "left").select("smiles", "units", "chain", "vec")
+
+
+def attach_slot_features(records: DataFrame, features: DataFrame, key: Sequence[str], width: int, units: tuple[int, ...] = (3, 6, 9), slots: str = "slots") -> DataFrame:
+    """``key..., slot, smiles, by_units``: for both slots of every record its features at all chain lengths, in the order of ``units``.
+
+    Slots and lengths come back by one join on the structure: features are a map by length, one row per structure. A structure without
+    features, or a blank slot, has zero vectors.
+    """
+    lengths = features.groupBy("smiles").agg(F.map_from_entries(F.collect_list(F.struct("units", "vec"))).alias("_map"))  # one entry per length
+    long = records.select(*key, F.posexplode(slots).alias("slot", "_m")).select(*key, "slot", F.col("_m.smiles").alias("smiles"))
+    joined = lookup_join(long, lengths, ["smiles"])
+    vectors = F.array(*[F.coalesce(F.try_element_at("_map", F.lit(u)), zeros(width)) for u in units])
+    return joined.select(*key, "slot", "smiles", vectors.alias("by_units"))
+
+
 def attach_features(records: DataFrame, features: DataFrame, on: str, width: int, vec: str = "vec") -> DataFrame:
     """Join features (unique by ``on``) back to records; missing ones become zero vectors. A structure shared by very many records
     is salted."""

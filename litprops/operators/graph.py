@@ -125,14 +125,15 @@ def path_edges(nodes: DataFrame, max_length: int = 5) -> DataFrame:
 
 def component_sizes(nodes: DataFrame, n_local: int = 3) -> DataFrame:
     """Per component ``base`` and ``total`` nodes, ``node_offset`` and ``first_label``; per molecule ``first_global`` (node number)
-    and ``global_label``. The windows run over components, of which a molecule has a few."""
+    and ``global_label``. Labels follow the order of the components that are there. The windows run over components, of which a molecule has
+    a few."""
     molecule = Window.partitionBy("mol_id")
     before = molecule.orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
     sizes = nodes.groupBy(*_PART).agg(F.count(F.lit(1)).cast("int").alias("base"))
     return (
         sizes.withColumn("total", (F.col("base") + n_local).cast("int"))
         .withColumn("node_offset", F.coalesce(F.sum("total").over(before), F.lit(0)).cast("int"))
-        .withColumn("first_label", (F.col("component") * n_local).cast("int"))
+        .withColumn("first_label", ((F.row_number().over(molecule.orderBy("component")) - 1) * n_local).cast("int"))
         .withColumn("first_global", F.sum("total").over(molecule).cast("int"))
         .withColumn("global_label", (F.count(F.lit(1)).over(molecule) * n_local + 1).cast("int"))
     )
@@ -287,22 +288,23 @@ def path_vectors(edges: DataFrame, node_vectors: DataFrame, key: list[str], vec:
 
 
 def readout(node_vectors: DataFrame, n_local: int = 3, how: str = "mean", vec: str = "vec") -> DataFrame:
-    """Graph vector: per virtual role the average over two components, the global node, then the mean or sum of real nodes. A molecule of
-    one component counts it twice."""
+    """Graph vector: per virtual role the average over two components, the global node (the highest role), then the mean or sum of real
+    nodes. A molecule of one component counts it twice."""
     if how not in ("mean", "sum"):
         raise ValueError(f"unknown readout: {how!r}")
     real = node_vectors.filter("role = 0").groupBy("mol_id").agg(vector_sum(F.col(vec)).alias("_r"), F.count(F.lit(1)).alias("_n"))
     by_role = node_vectors.filter("role > 0").groupBy("mol_id").agg(
-        *[F.max_by(A.doubles(vec), F.when(F.col("role") == r, 1)).alias(f"_v{r}") for r in range(1, 2 * n_local + 2)]
+        *[F.max_by(A.doubles(vec), F.when(F.col("role") == r, 1)).alias(f"_v{r}") for r in range(1, 2 * n_local + 2)], F.max("role").alias("_top")
     )
     joined = by_role.join(real, "mol_id", "left")
-    slot = lambda r, other: F.coalesce(F.col(f"_v{r}"), F.col(f"_v{other}"))
-    halves = [A.scale(A.add(slot(r, r + n_local), slot(r + n_local, r)), F.lit(0.5)) for r in range(1, n_local + 1)]
-    width = F.size(f"_v{2 * n_local + 1}")
-    body = F.coalesce(F.col("_r"), A.zeros(width))
+    alone = F.col("_top") <= n_local + 1
+    glob = F.when(alone, F.col(f"_v{n_local + 1}")).otherwise(F.col(f"_v{2 * n_local + 1}"))
+    second = lambda r: F.when(alone, F.col(f"_v{r}")).otherwise(F.col(f"_v{r + n_local}"))
+    halves = [A.scale(A.add(F.col(f"_v{r}"), second(r)), F.lit(0.5)) for r in range(1, n_local + 1)]
+    body = F.coalesce(F.col("_r"), A.zeros(F.size(glob)))
     if how == "mean":
         body = A.scale(body, 1.0 / F.greatest(F.coalesce(F.col("_n"), F.lit(1)), F.lit(1)))
-    return joined.select("mol_id", F.concat(*halves, F.col(f"_v{2 * n_local + 1}"), body).alias("graph_vec"))
+    return joined.select("mol_id", F.concat(*halves, glob, body).alias("graph_vec"))
 
 
 def geometric_statistic(distances: DataFrame, by: list[str], d: str = "d") -> DataFrame:

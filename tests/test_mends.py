@@ -47,7 +47,7 @@ def test_broken_record_file_is_an_error(spark, tmp_path):
 
 def test_long_strings_and_many_records(spark, tmp_path):
     (tmp_path / "tg.json").write_text('[{"a": "' + "x" * 21_000_000 + '"}, {"a": NaN}]')
-    got = records.read_record_json(spark, str(tmp_path)).select("row_idx", F.length(F.to_json("entry")).alias("n")).collect()
+    got = records.read_record_json(spark, str(tmp_path)).select("row_idx", F.length(F.to_json("entry")).alias("n")).orderBy("row_idx").collect()
     assert [(r.row_idx, r.n > 21_000_000) for r in got] == [(0, True), (1, False)]
 
 

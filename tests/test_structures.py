@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litprops.functions import arrays as A
 from litprops.operators import composition, graph, vectors
+from litprops.session import settle
 from litprops.sources import vector_cache as cache
 from tests.conftest import rows
 
@@ -276,3 +277,38 @@ def test_readout_and_statistic(spark):
     d = spark.createDataFrame([("a", 1e200), ("a", 1e300), ("b", None)], "k string, d double")
     got = dict(rows(graph.geometric_statistic(d, ["k"])))
     assert got["a"] == pytest.approx(2e-250) and got["b"] is None
+
+
+def test_readout_of_one_component(spark):
+    nodes = [(1, role, [float(role), float(i)]) for i, role in enumerate([1, 2, 3, 4, 0, 0])]
+    df = spark.createDataFrame(nodes, "mol_id long, role int, vec array<double>")
+    assert graph.readout(df).first()["graph_vec"] == [1.0, 0.0, 2.0, 1.0, 3.0, 2.0, 4.0, 3.0, 0.0, 4.5]
+
+
+def test_labels_follow_the_components_that_are_there(spark):
+    nodes = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 5, 0)], "mol_id long, component int, node int")
+    got = rows(graph.component_sizes(nodes).select("mol_id", "component", "first_label", "global_label"), "mol_id", "component")
+    assert got == [(1, 1, 0, 4), (2, 0, 0, 7), (2, 5, 3, 7)]
+
+
+def test_chains_are_computed_once(spark):
+    """Two structures share a chain; each distinct chain reaches the user's function once, and both slots get all lengths."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def compute(chains):
+        def run(frames):
+            for f in frames:
+                seen.add(len(f))
+                yield f.assign(vec=[[float(len(c)), float(c.count("a"))] for c in f["chain"]])
+
+        return chains.mapInPandas(run, "chain string, vec array<double>")
+
+    smiles = spark.createDataFrame([("ab",), ("abab",), ("ab",), ("c",)], "smiles string")
+    made = settle(composition.multimer_features(smiles, lambda s, u: F.repeat(s, u), compute, (3, 6)))
+    assert made.count() == 6 and seen.value == 5  # ab x 6 is abab x 3
+    recs = spark.createDataFrame([(0, [("ab",), ("abab",)]), (1, [("c",), (None,)]), (2, [("zz",), ("zz",)])], "row_idx long, slots array<struct<smiles string>>")
+    got = rows(composition.attach_slot_features(recs, made, ["row_idx"], 2, (3, 6)), "row_idx", "slot")
+    assert [(r[0], r[1], r[3]) for r in got] == [
+        (0, 0, [[6.0, 3.0], [12.0, 6.0]]), (0, 1, [[12.0, 6.0], [24.0, 12.0]]), (1, 0, [[3.0, 0.0], [6.0, 0.0]]), (1, 1, [[0.0, 0.0]] * 2), (2, 0, [[0.0, 0.0]] * 2), (2, 1, [[0.0, 0.0]] * 2),
+    ]
+    assert composition.attach_slot_features(recs.limit(0), made, ["row_idx"], 2).count() == 0

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from litprops.functions.text import normalize_doi
 from litprops.operators import curation, regress, splits, validate
+from litprops.operators.spread import contiguous_index
 from litprops.session import settle, shared_dir
+from litprops.sources import records as records_source
 from litprops.sources import sinks
+from litprops.sources.json_arrays import read_json_arrays
 from litprops.streaming import ingest
 from workload.bindings import REC, entry_json, records
 from workload.mining_queries import ERRORS
@@ -106,13 +109,52 @@ def generated_splits(spark, d):
     )
 
 
-@query(f"WITH {REC} SELECT row_idx, article_key, dataset FROM rec")
+@query(
+    f"""WITH {REC} SELECT row_idx, article_key, dataset, y, CASE WHEN row_idx % 3 = 0 THEN NULL ELSE dataset || ' "' || row_idx || '}}\\' END AS note,
+  CASE WHEN row_idx % 4 = 0 THEN 0 ELSE row_idx % 4 END AS n_monomers, CASE WHEN row_idx % 4 >= 2 THEN 'm' || row_idx || '-1' END AS second, [y, -y] AS "values" FROM rec"""
+)
 def exported_dataset(spark, d):
-    """Final dataset written as JSON lines per dataset without the file name, and read back."""
+    """Final dataset with target, nested monomers and property values, written as JSON lines per dataset without the file name, and read back."""
     folder = f"{shared_dir(spark).rstrip('/')}/litprops-export-{uuid.uuid4().hex}"
-    r = records(spark, d).select("row_idx", "article_key", "dataset", F.lit("f").alias("filename"))
-    sinks.write_dataset(r, folder)
-    return spark.read.schema("row_idx BIGINT, article_key BIGINT, filename STRING, dataset STRING").json(folder).filter("filename IS NULL").drop("filename")
+    r = _nested_records(spark, d)
+    sinks.write_dataset(r.withColumn("filename", F.lit("f")), folder)
+    back = records_source.read_records(spark, folder, f"{_NESTED}, filename STRING").filter("filename IS NULL")
+    return back.select(
+        "row_idx", "article_key", "dataset", "y", "note", F.size("monomers").cast("bigint").alias("n_monomers"), F.get("monomers", F.lit(1))["smiles"].alias("second"), F.col("properties.price.value").alias("values")
+    )
+
+
+_NESTED = "article_key BIGINT, y DOUBLE, note STRING, monomers ARRAY<STRUCT<smiles: STRING, ratio_value: STRING>>, properties STRUCT<price: STRUCT<value: ARRAY<DOUBLE>, unit: STRING>>"
+
+
+def _nested_records(spark, d):
+    """Records with nulls, lists of structures and text that has JSON's own signs in it."""
+    k = F.col("row_idx")
+    one = lambda i: F.struct(F.concat(F.lit("m"), k.cast("string"), F.lit("-"), i.cast("string")).alias("smiles"), F.when(i == 0, "97-99").alias("ratio_value"))
+    monomers = F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (k % 4).cast("int")), one)
+    note = F.when(k % 3 != 0, F.concat("dataset", F.lit(' "'), k.cast("string"), F.lit("}\\")))
+    price = F.struct(F.array("y", -F.col("y")).alias("value"), F.when(k % 2 == 0, "USD").alias("unit"))
+    return records(spark, d).select("row_idx", "article_key", "dataset", "y", note.alias("note"), monomers.alias("monomers"), F.struct(price.alias("price")).alias("properties"))
+
+
+@query(
+    f"""WITH {REC} SELECT dataset AS dataset, row_number() OVER (PARTITION BY dataset ORDER BY row_idx) - 1 AS position, row_idx, y,
+  CASE WHEN row_idx % 3 <> 0 THEN dataset || ' "' || row_idx || '}}\\' END AS note, (row_idx % 4)::BIGINT AS n_monomers FROM rec"""
+)
+def record_arrays_read(spark, d):
+    """One JSON array per dataset, each in one file, cut into splits and read back with list positions."""
+    folder = f"{shared_dir(spark).rstrip('/')}/litprops-arrays-{uuid.uuid4().hex}"
+    r = contiguous_index(_nested_records(spark, d), "row_idx", "at", ["dataset"])
+    sizes = r.groupBy("dataset").agg(F.max("at").alias("last"))
+    line = F.concat(F.when(F.col("at") == 0, "[").otherwise(" ,"), F.to_json(F.struct("row_idx", "dataset", "y", "note", "monomers")), F.when(F.col("at") == F.col("last"), "]").otherwise(""))
+    lines = r.join(sizes, "dataset").select("dataset", "at", line.alias("line"))
+    lines.repartition("dataset").sortWithinPartitions("dataset", "at").select("dataset", "line").write.partitionBy("dataset").text(folder)
+    back = read_json_arrays(spark, f"{folder}/*/*.txt")
+    take = lambda path, kind: F.variant_get("entry", path, kind)
+    return back.select(
+        take("$.dataset", "string").alias("dataset"), "position", take("$.row_idx", "bigint").alias("row_idx"), take("$.y", "double").alias("y"), F.try_variant_get("entry", "$.note", "string").alias("note"),
+        F.size(take("$.monomers", "array<variant>")).cast("bigint").alias("n_monomers"),
+    )
 
 
 # ---- regression on vectors (no SQL: iterative or linear-algebra results)

@@ -120,22 +120,27 @@ def smiles_counts(spark, d):
 
 
 @query(
-    f"""WITH {_SMILES}, f AS (SELECT smiles, length(smiles) * 3 AS v FROM smi WHERE length(smiles) > 3)
-SELECT row_idx, coalesce(f.v, 0)::DOUBLE AS f0, CASE WHEN f.v IS NULL THEN 0 ELSE 3 END::DOUBLE AS f1 FROM mono LEFT JOIN f ON f.smiles = CASE WHEN n >= 1 THEN s1 END"""
+    f"""WITH {_PARTS}, sl AS (SELECT row_idx, unnest([0, 1])::INT AS slot, unnest([CASE WHEN n >= 1 THEN s1 END, CASE n WHEN 0 THEN NULL WHEN 1 THEN s1 ELSE p_brand END]) AS smiles FROM mono),
+f AS (SELECT *, CASE WHEN length(smiles) > 3 THEN repeat(smiles, units) END AS chain FROM sl, (SELECT unnest([3, 6, 9])::INT AS units))
+SELECT row_idx, slot, units, coalesce(length(chain), 0)::DOUBLE AS f0, coalesce(length(chain) - length(replace(chain, 'r', '')), 0)::DOUBLE AS f1 FROM f"""
 )
 def distinct_structure_features(spark, d):
-    """Features computed once per distinct structure and chain length by a user's function, then joined back; none gives zeros."""
-    p = _parts(spark, d)
-    asked = composition.multimer_requests(composition.distinct_smiles(p).filter(F.length("smiles") > 3))
+    """Features of both slots at all chain lengths. They are computed once per distinct chain by a user's function; none gives zeros."""
+    p = settle(_parts(spark, d).select("row_idx", "monomers"), "parts")
 
-    def compute(frames):
-        for f in frames:
-            yield f.assign(vec=[[float(len(s) * u), float(u)] for s, u in zip(f["smiles"], f["units"])])
+    def compute(chains):
+        def run(frames):
+            for f in frames:
+                yield f.assign(vec=[[float(len(c)), float(c.count("r"))] for c in f["chain"]])
 
-    made = asked.mapInPandas(compute, "smiles string, units int, vec array<double>").filter("units = 3")
-    rows = p.select("row_idx", F.get(composition.component_slots(F.col("monomers")), F.lit(0))["smiles"].alias("smiles"))
-    out = composition.attach_features(rows, made, "smiles", 2)
-    return out.select("row_idx", F.col("vec")[0].alias("f0"), F.col("vec")[1].alias("f1"))
+        return chains.mapInPandas(run, "chain string, vec array<double>")
+
+    valid = composition.distinct_smiles(p).filter(F.length("smiles") > 3)
+    made = settle(composition.multimer_features(valid, lambda smiles, units: F.repeat(smiles, units), compute), "features")
+    rows = p.select("row_idx", composition.component_slots(F.col("monomers")).alias("slots"))
+    out = composition.attach_slot_features(rows, made, ["row_idx"], 2)
+    out = out.select("row_idx", "slot", F.explode(F.arrays_zip(F.array(*map(F.lit, (3, 6, 9))).alias("units"), F.col("by_units").alias("vec"))).alias("x"))
+    return out.select("row_idx", "slot", "x.units", F.col("x.vec")[0].alias("f0"), F.col("x.vec")[1].alias("f1"))
 
 
 @query(
@@ -152,14 +157,15 @@ def one_hot_features(spark, d):
 
 
 @query(
-    """SELECT vec_id, dim, (round(CASE WHEN isnan(v) THEN 0 ELSE greatest(-1, least(1, v)) END, 4) + 0)::DOUBLE AS value FROM (
- SELECT vec_id, unnest(range(4)) AS dim, unnest([CASE WHEN vec_id % 3 = 0 THEN 'NaN'::DOUBLE ELSE embedding[1]::DOUBLE END, CASE WHEN vec_id % 3 = 1 THEN 'Infinity'::DOUBLE ELSE embedding[2]::DOUBLE END, embedding[3]::DOUBLE * 50, -1e300]) AS v FROM embeddings)"""
+    """WITH r AS (SELECT vec_id, unnest(range(len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+v AS (SELECT vec_id, dim, CASE (vec_id + dim) % 5 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN x * 50 WHEN 3 THEN -1e300 ELSE x END AS v FROM r)
+SELECT vec_id, dim, (round(CASE WHEN isnan(v) THEN 0 ELSE greatest(-1, least(1, v)) END, 4) + 0)::DOUBLE AS value FROM v"""
 )
 def clean_descriptors(spark, d):
-    k, e = F.col("vec_id"), F.col("embedding").cast("array<double>")
-    raw = F.array(
-        F.when(k % 3 == 0, F.lit(float("nan"))).otherwise(e[0]), F.when(k % 3 == 1, F.lit(float("inf"))).otherwise(e[1]), e[2] * 50, F.lit(-1e300)
-    )
+    """Whole vectors in which four of five coordinates were spoilt."""
+    flaw = lambda x, i: (F.col("vec_id") + i) % 5
+    spoilt = lambda x, i: F.when(flaw(x, i) == 0, F.lit(float("nan"))).when(flaw(x, i) == 1, F.lit(float("inf"))).when(flaw(x, i) == 2, x * 50).when(flaw(x, i) == 3, F.lit(-1e300)).otherwise(x)
+    raw = F.transform(F.col("embedding").cast("array<double>"), spoilt)
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(A.clean_descriptors(raw, 1.0)).alias("dim", "v")).select(
         "vec_id", F.col("dim").cast("bigint").alias("dim"), (F.round("v", 4) + F.lit(0.0)).alias("value")
     )
@@ -236,8 +242,12 @@ def path_edges(spark, d):
     return p.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ","))
 
 
-_SIZES = """sz AS (SELECT mol_id, component, count(*)::INT AS base, (count(*) + 3)::INT AS total FROM nodes GROUP BY ALL),
-off AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY mol_id ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS node_offset, (component * 3)::INT AS first_label FROM sz)"""
+def _sizes(n_local: int) -> str:
+    return f"""sz AS (SELECT mol_id, component, count(*)::INT AS base, (count(*) + {n_local})::INT AS total FROM nodes GROUP BY ALL),
+off AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY mol_id ORDER BY component ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS node_offset, ((row_number() OVER (PARTITION BY mol_id ORDER BY component) - 1) * {n_local})::INT AS first_label FROM sz)"""
+
+
+_SIZES = _sizes(3)
 
 
 @query(f"WITH {GRAPH}, {_SIZES} SELECT * FROM off")
@@ -251,18 +261,23 @@ def prompt_slots(spark, d):
     return graph.prompt_slots(graph.component_sizes(_nodes(spark, d)))
 
 
-_LOCAL = """loc AS (SELECT n.mol_id, n.component, o.base + j AS v, n.node, first_label + j + 1 AS label FROM nodes n JOIN off o USING (mol_id, component), (SELECT unnest([0, 1, 2]) AS j)),
+def _local(n_local: int) -> str:
+    return f"""loc AS (SELECT n.mol_id, n.component, o.base + j AS v, n.node, first_label + j + 1 AS label FROM nodes n JOIN off o USING (mol_id, component), (SELECT unnest(range({n_local})) AS j)),
 local AS (SELECT mol_id, component, v::INT AS src, node AS dst, label::INT AS label FROM loc UNION ALL SELECT mol_id, component, node, v::INT, label::INT FROM loc)"""
 
 
+_LOCAL = _local(3)
+
+
 @query(f"WITH {GRAPH}, {_SIZES}, {_LOCAL} SELECT * FROM local")
 def local_virtual_edges(spark, d):
     return graph.local_edges(_placed(spark, d)).drop("node_offset")
 
 
-_ALL = f"""{GRAPH}, {_LINE}, {_PATH}, {_SIZES}, {_LOCAL},
-ends AS (SELECT mol_id, sum(total)::INT AS first_global, (count(*) * 3 + 1)::INT AS glabel FROM sz GROUP BY mol_id),
-globe AS (SELECT mol_id, first_global AS src, node + node_offset AS dst, glabel AS label FROM nodes JOIN off USING (mol_id, component) JOIN ends USING (mol_id)),
+def _all(n_local: int, n_global: int) -> str:
+    return f"""{GRAPH}, {_LINE}, {_PATH}, {_sizes(n_local)}, {_local(n_local)},
+ends AS (SELECT mol_id, sum(total)::INT AS first_global, (count(*) * {n_local} + 1)::INT AS glabel FROM sz GROUP BY mol_id),
+globe AS (SELECT mol_id, first_global AS src, node + node_offset AS dst, glabel AS label FROM nodes JOIN off USING (mol_id, component) JOIN ends USING (mol_id) WHERE {n_global} = 1),
 edge AS (
   SELECT mol_id, 'line' AS kind, src + node_offset AS src, dst + node_offset AS dst, 0 AS label, [src + node_offset, -1000000, -1000000, -1000000, dst + node_offset]::BIGINT[] AS path FROM line JOIN off USING (mol_id, component)
   UNION ALL SELECT mol_id, 'path', src + node_offset, dst + node_offset, 0, list_transform(path, lambda p: CASE WHEN p >= 0 THEN p + node_offset ELSE p END) FROM pth JOIN off USING (mol_id, component)
@@ -272,11 +287,24 @@ edge AS (
   UNION ALL SELECT mol_id, 'global', dst, src, label, [dst, -1000000, -1000000, -1000000, src] FROM globe)"""
 
 
-@query(f"WITH {_ALL} SELECT mol_id, kind, src::BIGINT AS src, dst::BIGINT AS dst, label, array_to_string(path, ',') AS path FROM edge")
+_ALL = _all(3, 1)
+_EDGES = "SELECT mol_id, kind, src::BIGINT AS src, dst::BIGINT AS dst, label, array_to_string(path, ',') AS path FROM edge"
+
+
+def _shown(e):
+    return e.select("mol_id", "kind", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query(f"WITH {_ALL} {_EDGES}")
 def graph_edges(spark, d):
     """All edges of every molecule in one numbering: line, path, local, self and global."""
-    e = graph.graph_edges(_placed(spark, d))
-    return e.select("mol_id", "kind", F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), "label", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return _shown(graph.graph_edges(_placed(spark, d)))
+
+
+@query(f"WITH {_all(2, 0)} {_EDGES}")
+def prompt_graph_edges(spark, d):
+    """Edges of the map-back graph: two local virtual nodes per component, none global."""
+    return _shown(graph.prompt_graph(_placed(spark, d, 2))[1])
 
 
 _GNODES = f"""{GRAPH}, {_SIZES}, gn AS (SELECT mol_id, component, node + node_offset AS node, role, CASE WHEN role = 0 THEN node ELSE -1 END AS bid FROM nodes JOIN off USING (mol_id, component)
@@ -310,14 +338,14 @@ def _numbered(spark, d):
 
 @query(
     f"""WITH {_GNODES}, b AS (SELECT mol_id * 2 + component AS mol_id, bid FROM gn WHERE bid >= 0), m AS (SELECT mol_id * 2 + component AS mol_id, bid, node FROM gn WHERE bid >= 0 AND bid % 2 = 0)
-SELECT mol_id, bid::INT AS bid, node::DOUBLE AS v0 FROM b LEFT JOIN m USING (mol_id, bid)"""
+SELECT mol_id, bid::INT AS bid, node::DOUBLE AS v0, CASE WHEN node IS NOT NULL THEN (mol_id % 7)::DOUBLE END AS v1 FROM b LEFT JOIN m USING (mol_id, bid)"""
 )
 def map_back(spark, d):
     """Vectors of an augmented graph (here one that made every other bond) back onto base bonds; every component is a structure."""
     n = graph.graph_nodes(_placed(spark, d), n_global=0).withColumn("mol_id", F.col("mol_id") * 2 + F.col("component"))
     made = _node_vectors(n).filter("bid % 2 = 0 OR bid < 0")
     out = graph.map_back(n, made)
-    return out.select("mol_id", F.col("bid").cast("int").alias("bid"), F.col("vec")[0].alias("v0"))
+    return out.select("mol_id", F.col("bid").cast("int").alias("bid"), F.col("vec")[0].alias("v0"), F.col("vec")[1].alias("v1"))
 
 
 @query(
@@ -366,22 +394,20 @@ def neighbour_sum(spark, d):
 
 
 @query(
-    f"""WITH {GRAPH}, {_PATH}, {_SIZES}, p AS (SELECT mol_id, src + node_offset AS src, dst + node_offset AS dst, list_transform(list_filter(path, lambda x: x >= 0), lambda x: x + node_offset) AS q FROM pth JOIN off USING (mol_id, component)) SELECT mol_id, src, dst, len(q)::BIGINT AS path_len, {R('list_avg(q)')} AS v0 FROM p"""
+    f"""WITH {GRAPH}, {_PATH}, {_SIZES}, p AS (SELECT mol_id, src + node_offset AS src, dst + node_offset AS dst, list_transform(list_filter(path, lambda x: x >= 0), lambda x: x + node_offset) AS q FROM pth JOIN off USING (mol_id, component)) SELECT mol_id, src, dst, len(q)::BIGINT AS path_len, {R('list_avg(q)')} AS v0, {R('(mol_id % 7)::DOUBLE')} AS v1 FROM p"""
 )
 def path_vectors(spark, d):
     """Length of each padded path and mean of the node vectors on it."""
     n = _numbered(spark, d)
     out = graph.path_vectors(settle(graph.path_edges(n, 5), "paths"), _node_vectors(n), ["src", "dst"])
-    return out.select("mol_id", "src", "dst", "path_len", rnd(F.col("path_vec")[0]).alias("v0"))
+    return out.select("mol_id", "src", "dst", "path_len", rnd(F.col("path_vec")[0]).alias("v0"), rnd(F.col("path_vec")[1]).alias("v1"))
 
 
 @query(
     f"""WITH {_GNODES}, r AS (SELECT mol_id, avg(node) FILTER (role = 0) AS body, max(node) FILTER (role = 1) AS r1, max(node) FILTER (role = 2) AS r2, max(node) FILTER (role = 3) AS r3, max(node) FILTER (role = 4) AS r4, max(node) FILTER (role = 5) AS r5, max(node) FILTER (role = 6) AS r6, max(node) FILTER (role = 7) AS r7 FROM gn GROUP BY mol_id)
-SELECT mol_id, (r1 + r4) / 2.0 AS f0, (r2 + r5) / 2.0 AS f1, (r3 + r6) / 2.0 AS f2, r7::DOUBLE AS f3, {R('coalesce(body, 0)')} AS f4 FROM r WHERE r7 IS NOT NULL"""
+SELECT mol_id, CASE WHEN r7 IS NULL THEN r1 ELSE (r1 + r4) / 2.0 END AS f0, CASE WHEN r7 IS NULL THEN r2 ELSE (r2 + r5) / 2.0 END AS f1, CASE WHEN r7 IS NULL THEN r3 ELSE (r3 + r6) / 2.0 END AS f2, coalesce(r7, r4)::DOUBLE AS f3, {R('coalesce(body, 0)')} AS f4 FROM r"""
 )
 def graph_readout(spark, d):
-    """Graph vectors of two-component molecules: slot averages, global node, mean of real nodes."""
-    n = graph.graph_nodes(_placed(spark, d)).withColumn("vec", F.array(F.col("node") * 1.0))
-    two = n.filter("component = 0").select("mol_id").distinct().join(n.filter("component = 1").select("mol_id").distinct(), "mol_id")
-    out = graph.readout(n.join(two, "mol_id", "left_semi"))
+    """Graph vectors: slot averages (one component counts twice), global node, mean of real nodes."""
+    out = graph.readout(graph.graph_nodes(_placed(spark, d)).withColumn("vec", F.array(F.col("node") * 1.0)))
     return out.select("mol_id", *[(rnd(F.col("graph_vec")[i]) if i == 4 else F.col("graph_vec")[i]).alias(f"f{i}") for i in range(5)])
