@@ -10,9 +10,11 @@ A document's set is its distinct five-word shingles. Steps:
    compared. That joins groups of near copies by a star of links instead of by all pairs.
 4. A posting list that still holds more than one component goes through a signature tree: items sorted by size, every node with the range
    of sizes and components below it and the OR of the shingle bitmaps below it. Two nodes are compared by the largest overlap they allow;
-   a pair of nodes inside one component, of unfit sizes, or with too few common bits is dropped with all that stands below. A list of
-   more than :data:`CELL` items is cut into blocks by hash, and every two blocks make a cell with a tree of its own; so no task holds a
-   whole long list, and every two items meet in exactly one cell.
+   a pair of nodes inside one component, of unfit sizes, with too few common bits or too late positions is dropped with all that stands
+   below (where a pair's first common shingle stands at places ``i, j``, it has at most ``min(a - i, b - j)`` in common). The trees of all lists
+   of a batch are walked together, many node pairs at a time. A list of more than :data:`CELL` items is cut into blocks by hash, and every
+   two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Bitmaps
+   have one width, so what is shuffled grows with the number of postings.
 5. Pairs that the leaves cannot rule out are compared by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litprops.llm.store import Scratch, components, only_ids
-from litprops.llm.words import STEP, batches, mix, window_hashes, word_hashes
+from litprops.llm.words import STEP, batches, mix, release, window_hashes, word_hashes
 
 SHINGLE = 5
 #: A shingle counts as frequent from this many documents of one batch on ...
@@ -38,6 +40,8 @@ LOCAL_FREQUENT = 16
 #: ... and the order knows this many of the most frequent ones. Any choice gives the same links; it only spares work.
 FREQUENT = 100_000
 LEAF, FAN = 8, 4
+#: Bits of a bitmap, and node pairs compared at a time.
+SKETCH, AT_ONCE = 512, 4096
 #: Posting lists with more items than this are dealt into cells of at most about twice as many.
 CELL = 2000
 
@@ -90,11 +94,10 @@ def _describe(iterator):
         )
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set with two to four bits for each shingle; the width is a power of two, so that wide ones fold onto narrow ones."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+def sketch(s: np.ndarray) -> bytes:
+    """Bitmap of a set, always :data:`SKETCH` bits wide, so that a posting costs the same whatever the length of its document."""
+    bits = np.zeros(SKETCH, bool)
+    bits[((s >> np.uint64(20)) & np.uint64(SKETCH - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -114,7 +117,7 @@ def _post(frequent: np.ndarray, percent: int):
                 ids.append(d)
                 sizes.append(n)
                 prefixes.append(ordered[: n - -(-percent * n // 100) + 1].view(np.int64))
-                signs.append(signature(s))
+                signs.append(sketch(s))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
                 names=["rep", "n", "prefix", "sign"],
@@ -129,120 +132,129 @@ def _whole_sets(iterator):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "tokens"])
 
 
-class Node:
-    """A node of a signature tree over items ``lo:hi``."""
-
-    __slots__ = ("lo", "hi", "n0", "n1", "c0", "c1", "bits", "slack", "below")
-
-    def __init__(self, lo, hi, n, comp, bits, slack, below):
-        self.lo, self.hi, self.below, self.bits, self.slack = lo, hi, below, bits, slack
-        self.n0, self.n1 = int(n[lo]), int(n[hi - 1])
-        self.c0, self.c1 = int(comp[lo:hi].min()), int(comp[lo:hi].max())
-
-
-def _fold(bits: np.ndarray, words: int) -> np.ndarray:
-    return bits if len(bits) == words else np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
-
-
-def build_tree(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray]) -> Node:
-    """Tree over items sorted by size. A node's bitmap has the width of its narrowest item; ``slack`` is the most shingles that any item
-    below has beyond its distinct bits, so that ``common bits + slack`` bounds an overlap."""
-    level = []
-    for lo in range(0, len(n), LEAF):
-        hi = min(len(n), lo + LEAF)
-        width = min(len(s) for s in signs[lo:hi])
-        folded = [_fold(s, width) for s in signs[lo:hi]]
-        slack = max(int(n[lo + i]) - int(np.bitwise_count(f).sum()) for i, f in enumerate(folded))
-        level.append(Node(lo, hi, n, comp, np.bitwise_or.reduce(folded, axis=0), slack, None))
-    while len(level) > 1:
-        up = []
-        for i in range(0, len(level), FAN):
-            kids = level[i : i + FAN]
-            width = min(len(k.bits) for k in kids)
-            bits = np.bitwise_or.reduce([_fold(k.bits, width) for k in kids], axis=0)
-            slack = max(k.slack + int(np.bitwise_count(k.bits).sum()) - int(np.bitwise_count(_fold(k.bits, width)).sum()) if len(k.bits) != width else k.slack for k in kids)
-            if any(len(k.bits) != width for k in kids):  # folding loses distinct bits of single items; fall back on a bound that always holds
-                slack = max(int(n[k.hi - 1]) for k in kids)
-            up.append(Node(kids[0].lo, kids[-1].hi, n, comp, bits, slack, kids))
-        level = up
-    return level[0]
-
-
-def _may_link(a: Node, b: Node, percent: int) -> bool:
-    if a.c0 == a.c1 == b.c0 == b.c1:
-        return False
-    small, large = (a, b) if a.n0 <= b.n0 else (b, a)
-    if 100 * small.n1 < percent * large.n0:
-        return False
-    width = min(len(a.bits), len(b.bits))
-    x, y = _fold(a.bits, width), _fold(b.bits, width)
-    if len(a.bits) != len(b.bits):  # the wide node's slack does not hold for its folded bitmap
-        slack = a.slack if len(a.bits) == width else b.slack
-    else:
-        slack = min(a.slack, b.slack)
-    most = min(a.n1, b.n1, int(np.bitwise_count(x & y).sum()) + slack)
-    return most >= _need(a.n0, b.n0, percent)
-
-
-def tree_pairs(n: np.ndarray, comp: np.ndarray, signs: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Index pairs of different components that the bitmaps cannot rule out; a dual traversal of one tree with itself. With ``side``, only
-    pairs of different sides."""
-    root = build_tree(n, comp, signs)
-    out, stack = [], [(root, root)]
+class Level:
+    """Nodes of one level over the trees of many lists; node ``k`` has the children ``start[k]:start[k + 1]`` of the level below."""
+
+    def __init__(self, start, n0, n1, c0, c1, left, bits, slack):
+        self.start, self.n0, self.n1, self.c0, self.c1, self.left, self.bits, self.slack = start, n0, n1, c0, c1, left, bits, slack
+
+
+def _groups(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cut every list ``first[k]:first[k + 1]`` into groups of ``size``: the groups' borders, and the lists' borders among the groups."""
+    many = -(-np.diff(first) // size)
+    lists = np.concatenate(([0], np.cumsum(many)))
+    start = np.repeat(first[:-1], many) + (np.arange(lists[-1]) - np.repeat(lists[:-1], many)) * size
+    return np.append(start, first[-1]), lists
+
+
+def build_trees(first: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, bits: np.ndarray) -> list[Level]:
+    """One tree per list of items, which are sorted by size inside their list; the leaves' level first, one node per list in the last.
+
+    A node holds the ranges of sizes and components, the greatest overlap that positions allow (``left``), the OR of the bitmaps and ``slack``,
+    the most shingles that any item below has beyond its distinct bits, so that ``common bits + slack`` bounds an overlap.
+    """
+    start, lists = _groups(first, LEAF)
+    at = start[:-1]
+    slack = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    level = Level(start, np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at), np.maximum.reduceat(left, at), np.bitwise_or.reduceat(bits, at, axis=0), np.maximum.reduceat(slack, at))
+    levels = [level]
+    while (np.diff(lists) > 1).any():
+        start, lists = _groups(lists, FAN)
+        at, low = start[:-1], levels[-1]
+        levels.append(Level(start, np.minimum.reduceat(low.n0, at), np.maximum.reduceat(low.n1, at), np.minimum.reduceat(low.c0, at), np.maximum.reduceat(low.c1, at), np.maximum.reduceat(low.left, at), np.bitwise_or.reduceat(low.bits, at, axis=0), np.maximum.reduceat(low.slack, at)))
+    return levels
+
+
+def _may_link(level: Level, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the node pairs (``a`` not after ``b``) may hold a link between two components."""
+    ok = (level.c0[a] != level.c1[b]) | (level.c1[a] != level.c0[b])
+    ok &= 100 * level.n1[a] >= percent * level.n0[b]
+    common = np.bitwise_count(level.bits[a] & level.bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(level.slack[a], level.slack[b])
+    most = np.minimum(np.minimum(level.left[a], level.left[b]), common)
+    return ok & ((a == b) | (most >= _need(level.n0[a], level.n0[b], percent)))
+
+
+def _children(start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a child of ``a`` and a child of ``b``; those of a node with itself once."""
+    width = start[b + 1] - start[b]
+    many = (start[a + 1] - start[a]) * width
+    pair = np.repeat(np.arange(len(a)), many)
+    inside = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+    i, j = start[a][pair] + inside // width[pair], start[b][pair] + inside % width[pair]
+    keep = (a[pair] != b[pair]) | (i <= j)
+    return i[keep], j[keep]
+
+
+def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Item pairs of one list and of different components that positions and bitmaps cannot rule out: dual traversal of every list's tree with
+    itself, many node pairs at a time. Items with a ``side`` (not negative) pair with those of another side only."""
+    levels = build_trees(first, n, comp, left, bits)
+    roots = np.arange(len(levels[-1].n0))
+    found, stack = [], [(len(levels) - 1, roots, roots)]
     while stack:
-        a, b = stack.pop()
-        if a is not b and not _may_link(a, b, percent):
+        depth, a, b = stack.pop()
+        if len(a) > AT_ONCE:
+            stack += [(depth, a[k : k + AT_ONCE], b[k : k + AT_ONCE]) for k in range(0, len(a), AT_ONCE)]
             continue
-        if a.below is None and b.below is None:
-            for i in range(a.lo, a.hi):
-                for j in range(max(i + 1, b.lo), b.hi):
-                    if comp[i] == comp[j] or (side is not None and side[i] == side[j]) or 100 * min(n[i], n[j]) < percent * max(n[i], n[j]):
-                        continue
-                    width = min(len(signs[i]), len(signs[j]))
-                    x, y = _fold(signs[i], width), _fold(signs[j], width)
-                    bound = min(int(n[i]) - int(np.bitwise_count(x & ~y).sum()), int(n[j]) - int(np.bitwise_count(y & ~x).sum()))
-                    if bound >= _need(int(n[i]), int(n[j]), percent):
-                        out.append((i, j))
-        elif b.below is None or (a.below is not None and a.hi - a.lo >= b.hi - b.lo and a is not b):
-            stack.extend((k, b) for k in a.below)
-        elif a is b:
-            stack.extend((k, m) for i, k in enumerate(a.below) for m in a.below[i:])
-        else:
-            stack.extend((a, k) for k in b.below)
-    return out
+        level = levels[depth]
+        ok = _may_link(level, a, b, percent)
+        i, j = _children(level.start, a[ok], b[ok])
+        if not len(i):
+            continue
+        if depth:
+            stack.append((depth - 1, i, j))
+            continue
+        ok = (i != j) & (comp[i] != comp[j]) & (100 * n[i] >= percent * n[j])
+        if side is not None:
+            ok &= (side[i] < 0) | (side[i] != side[j])
+        i, j = i[ok], j[ok]
+        need = _need(n[i], n[j], percent)
+        ok = np.minimum(left[i], left[j]) >= need
+        i, j, need = i[ok], j[ok], need[ok]
+        x, y = bits[i], bits[j]
+        most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+        found.append((i[most >= need], j[most >= need]))
+    return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (zip(*found) if found else ((), ())))
+
+
+def _bitmaps(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), SKETCH // 8).view(np.uint64)
 
 
 def _search(percent: int):
-    """Over rows sorted by token, cell and size: one tree per cell of a posting list. Only one cell is held at a time."""
+    """Over rows sorted by token, cell and size: one tree per cell of a posting list. The cells of a batch are searched together; a cell that
+    goes on in the next batch is held back."""
+
+    def search(rows: pa.Table):
+        cell = np.stack([rows.column(c).to_numpy() for c in ("token", "row", "column")], axis=1)
+        first = np.concatenate(([0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(cell)]))
+        n, comp, rep = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "rep"))
+        side = np.where(cell[:, 1] != cell[:, 2], rows.column("block").to_numpy(), -1)
+        i, j = tree_pairs(first, n, comp, n - rows.column("pos").to_numpy(), _bitmaps(rows.column("sign")), percent, side)
+        pairs = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    def lists(iterator):
-        key, held = None, []
+    def run(iterator):
+        held: list[pa.RecordBatch] = []
         for batch in iterator:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    here = tuple(keys[a].tolist())
-                    if held and here != key:
-                        yield key, pa.Table.from_batches(held)
-                        held = []
-                    key = here
-                    held.append(batch.slice(a, b - a))
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            changes = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+            if held and any(held[-1].column(c)[held[-1].num_rows - 1].as_py() != int(cell[0, c]) for c in range(3)):
+                yield search(pa.Table.from_batches(held))
+                held = []
+            if len(changes):
+                yield search(pa.Table.from_batches([*held, batch.slice(0, int(changes[-1]))]))
+                held = [batch.slice(int(changes[-1]))]
+                release()
+            else:
+                held.append(batch)
         if held:
-            yield key, pa.Table.from_batches(held)
-
-    def run(iterator):
-        a, b = [], []
-        for (_, row, column), t in lists(iterator):
-            comp, n, rep, block = (t.column(c).to_numpy() for c in ("comp", "n", "rep", "block"))
-            signs = [np.frombuffer(s, np.uint64) for s in t.column("sign").to_pylist()]
-            for i, j in tree_pairs(n, comp, signs, percent, block if row != column else None):
-                a.append(min(int(rep[i]), int(rep[j])))
-                b.append(max(int(rep[i]), int(rep[j])))
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield search(pa.Table.from_batches(held))
 
     return run
 
@@ -290,8 +302,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     copies = members.filter("rep <> doc_id or n = 0").select("doc_id")
     base = only_ids(texts, copies, "doc_id", "left_anti").mapInArrow(_post(frequent, percent), "rep long, n int, prefix array<long>, sign binary")
     base = scratch.put(base, "base")
-    posts = base.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi")
+    posts = base.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    # of two similar sets the smaller one has its first common shingle among these, so a list without one links nothing
+    early = F.col("n") - F.col("pos") >= F.ceil(2 * percent * F.col("n") / (100 + percent))
+    shared = posts.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max(early).alias("early")).filter("lo < hi and early").drop("early")
     posts = scratch.put(posts.join(shared, "token"), "posts")
 
     near = (
@@ -304,13 +318,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     star = _verified(near.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), texts, scratch, "star", percent)
     first = scratch.put(components(star, scratch, "first"), "first")
 
-    placed = posts.select("token", "rep", "n").join(first, posts.rep == first.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    placed = posts.select("token", "rep", "n", "pos").join(first, posts.rep == first.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     placed = scratch.put(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
     mixed = mixed.select("token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
     items = placed.join(mixed, "token").join(base.select("rep", "sign"), "rep")
     items = items.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "rep", "block", "sign")
+    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign")
     cell = ["token", "row", "column"]
     found = items.repartition(*cell).sortWithinPartitions(*cell, "n", "rep").mapInArrow(_search(percent), "a long, b long")
     more = _verified(found, texts, scratch, "tree", percent)

@@ -104,10 +104,22 @@ def test_signature_tree_keeps_every_link():
             sets.append(np.unique(keep if len(keep) else base))
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    signs = [np.frombuffer(ngram_join.signature(s), np.uint64) for s in sets]
-    got = set(ngram_join.tree_pairs(n, np.arange(len(sets)), signs, 80))
+    signs = np.stack([np.frombuffer(ngram_join.sketch(s), np.uint64) for s in sets])
+    whole = np.array([0, len(n)])
+    i, j = ngram_join.tree_pairs(whole, n, np.arange(len(sets)), n, signs, 80)
+    got = set(zip(i.tolist(), j.tolist()))
+    assert len(got) == len(i)
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (n[i] + n[j] - k)}
     assert want <= got and len(got) < len(sets) * len(sets) / 8
+    # many lists at once give the pairs of each list alone; sides and components keep pairs apart
+    first = np.array([0, 1, 4, 50, 51, 120, len(n)])
+    i, j = ngram_join.tree_pairs(first, n, np.arange(len(sets)), n, signs, 80)
+    lists = np.searchsorted(first, np.arange(len(n)), "right")
+    assert set(zip(i.tolist(), j.tolist())) == {(i, j) for i, j in got if lists[i] == lists[j]}
+    comp, side = np.arange(len(n)) // 3, np.arange(len(n)) % 2
+    i, j = ngram_join.tree_pairs(whole, n, comp, n, signs, 80, side)
+    assert set(zip(i.tolist(), j.tolist())) == {(i, j) for i, j in got if comp[i] != comp[j] and side[i] != side[j]}
+    assert ngram_join.tree_pairs(whole, n, np.zeros(len(n), int), n, signs, 80)[0].size == 0
 
 
 def plain_passages(rows, size=20):
