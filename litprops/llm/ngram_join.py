@@ -15,12 +15,13 @@ A document's set is its distinct five-word shingles. Steps:
    of a batch are walked together, many node pairs at a time. A list of more than :data:`CELL` items is cut into blocks by hash, and every
    two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Bitmaps
    have one width, so what is shuffled grows with the number of postings.
-5. Pairs that the leaves cannot rule out are compared by whole sets. Links of steps 3 and 5 make the components.
+5. Pairs that the leaves cannot rule out are compared by bitmaps as wide as their sets are large, then by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
 
 Defined results: null, empty or word-less text has an empty set, no link, and its own id as component; fewer than five words are one
-shingle, the whole sequence; repeated rows of one id count as one document; columns other than ``doc_id`` and ``text`` are ignored; an
+shingle, the whole sequence; repeated rows of one id count as one document; a document without an id comes after all others, its row has a null
+id, and so has its component unless it holds a document with an id; columns other than ``doc_id`` and ``text`` are ignored; an
 empty table gives an empty table.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litprops.llm.store import Scratch, components, only_ids
+from litprops.llm.store import Scratch, components, named, only_ids, unnamed
 from litprops.llm.words import STEP, batches, mix, release, window_hashes, word_hashes
 
 SHINGLE = 5
@@ -101,10 +102,27 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bitmap of a set with two to four bits for each shingle; the width is a power of two, so that wide ones fold onto narrow ones."""
+    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """Whether two signatures of sets of ``n`` and ``m`` shingles allow a link."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in (x, y))
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return most >= _need(n, m, percent)
+
+
 def _post(frequent: np.ndarray, percent: int):
     def run(iterator):
         for part in batches(iterator):
-            ids, sizes, prefixes, signs = [], [], [], []
+            ids, sizes, prefixes, signs, wide = [], [], [], [], []
             for d, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1))):
                 n = len(s)
                 if not n:
@@ -118,9 +136,10 @@ def _post(frequent: np.ndarray, percent: int):
                 sizes.append(n)
                 prefixes.append(ordered[: n - -(-percent * n // 100) + 1].view(np.int64))
                 signs.append(sketch(s))
+                wide.append(signature(s))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                names=["rep", "n", "prefix", "sign"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(wide, pa.binary())],
+                names=["rep", "n", "prefix", "sign", "wide"],
             )
 
     return run
@@ -264,9 +283,21 @@ def _cells(blocks: Column, block: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(block, k).alias("row"), F.greatest(block, k).alias("column")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose whole sets are similar enough."""
-    pairs = scratch.put(pairs.distinct(), f"{name}-pairs")
+def _likely(percent: int):
+    def run(iterator):
+        for batch in iterator:
+            keep = [may_be_similar(x, n, y, m, percent) for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, base: DataFrame, texts: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """Those of the pairs ``a, b`` whose whole sets are similar enough. Their wide bitmaps are compared first, which are a sixteenth of a set."""
+    one = base.select(F.col("rep").alias("a"), F.col("n").alias("n"), F.col("wide").alias("x"))
+    other = base.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    pairs = pairs.distinct().join(one, "a").join(other, "b").select("a", "b", "n", "x", "m", "y").mapInArrow(_likely(percent), "a long, b long")
+    pairs = scratch.put(pairs, f"{name}-pairs")
     ids = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), f"{name}-ids")
     sets = only_ids(texts, ids, "doc_id").mapInArrow(_whole_sets, "rep long, tokens array<long>")
     sets = scratch.put(sets.dropDuplicates(["rep"]), f"{name}-sets")
@@ -282,15 +313,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, p
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, keyed: bool = False) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id`` for every document.
 
     ``class_id`` is the smallest document with the same set, ``component_id`` the smallest one reachable by links of at least ``percent``
-    per cent similarity. See the module for the steps and for unusual input.
+    per cent similarity. See the module for the steps and for unusual input. ``keyed``: the ids come from :func:`litprops.llm.store.named`
+    and stay in the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = named(docs.select("doc_id", "text"))
     seen = scratch.put(texts.mapInArrow(_describe, "doc_id long, n long, k1 long, k2 long"), "described")
     sets = seen.filter("doc_id is not null").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("k1").alias("k1"), F.min("k2").alias("k2"))
     classes = sets.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -299,8 +331,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     top = seen.filter("doc_id is null").groupBy("k1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "k1").limit(FREQUENT)
     frequent = np.sort(np.array([r.k1 for r in top.select("k1").collect()], np.int64).view(np.uint64))
 
+    scratch.drop("described")
     copies = members.filter("rep <> doc_id or n = 0").select("doc_id")
-    base = only_ids(texts, copies, "doc_id", "left_anti").mapInArrow(_post(frequent, percent), "rep long, n int, prefix array<long>, sign binary")
+    base = only_ids(texts, copies, "doc_id", "left_anti").mapInArrow(_post(frequent, percent), "rep long, n int, prefix array<long>, sign binary, wide binary")
     base = scratch.put(base, "base")
     posts = base.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     # of two similar sets the smaller one has its first common shingle among these, so a list without one links nothing
@@ -315,11 +348,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         .agg(F.count("*").alias("c"), F.first("n").alias("n"))
         .filter(F.col("c") * 4 >= F.col("n") * (1 - percent / 100))
     )
-    star = _verified(near.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), texts, scratch, "star", percent)
+    star = _verified(near.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), base, texts, scratch, "star", percent)
     first = scratch.put(components(star, scratch, "first"), "first")
 
     placed = posts.select("token", "rep", "n", "pos").join(first, posts.rep == first.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     placed = scratch.put(placed, "placed")
+    scratch.drop("posts")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
     mixed = mixed.select("token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
     items = placed.join(mixed, "token").join(base.select("rep", "sign"), "rep")
@@ -327,8 +361,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign")
     cell = ["token", "row", "column"]
     found = items.repartition(*cell).sortWithinPartitions(*cell, "n", "rep").mapInArrow(_search(percent), "a long, b long")
-    more = _verified(found, texts, scratch, "tree", percent)
-    scratch.drop("base", "posts", "placed", "described")
+    more = _verified(scratch.put(found, "found"), base, texts, scratch, "tree", percent)
+    scratch.drop("base", "placed", "found")
 
     last = scratch.put(components(star.unionByName(more), scratch, "last"), "last")
     out = members.join(last, members.rep == last.node, "left").select(
@@ -336,4 +370,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     out = scratch.put(out, "result")
     scratch.drop("members", "first", "last", "star-links", "tree-links")
-    return out
+    return out if keyed else unnamed(unnamed(unnamed(out), "component_id"), "class_id")

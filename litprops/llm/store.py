@@ -46,6 +46,22 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str, how: str = "left_semi")
     return df.join(F.broadcast(ids) if few else ids, column, how)
 
 
+#: Ids from here on are reserved for rows without one.
+UNNAMED = 1 << 62
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` as long, rows without an id under a key of their own: a hash of the text, above all ids in use, so that such a row is
+    examined like any other and is never the earlier one. Rows without an id and with equal texts share a key, like repeated rows of one id."""
+    key = F.lit(UNNAMED) + F.pmod(F.xxhash64(F.lit(13), F.col("text")), F.lit(UNNAMED))
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), key))
+
+
+def unnamed(rows: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Takes back the keys that :func:`named` gave."""
+    return rows.withColumn(column, F.when(F.col(column) < UNNAMED, F.col(column)))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, component`` for every node of the edges ``a, b``; the component is its smallest node.
 
