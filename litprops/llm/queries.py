@@ -75,7 +75,7 @@ def op5_substring_dedup(spark, sf_dir):
     rf"""
 WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS line, x, {words("x")} AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-f AS (SELECT w, min((doc_id, line)) AS top FROM l WHERE len(w) >= 5 GROUP BY w),
+f AS (SELECT w, min((doc_id, line)) AS top FROM l WHERE len(w) > 0 GROUP BY w),
 a AS (SELECT l.doc_id, l.line FROM l JOIN f ON l.w = f.w WHERE (l.doc_id, l.line) > f.top),
 v AS (SELECT w, top, i, list_concat(w[1:i - 1], w[i + 1:]) AS v FROM (SELECT w, top, unnest(range(1, len(w) + 1)) AS i FROM f WHERE len(w) >= 10)),
 b AS (SELECT top FROM (SELECT top, min(top) OVER (PARTITION BY i, v) AS least FROM v) WHERE top > least),

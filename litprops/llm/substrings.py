@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litprops.llm.store import Scratch, only_ids
+from litprops.llm.store import Scratch, named, only_ids, unnamed
 from litprops.llm.words import STEP, _power, batches, mix, window_hashes, word_hashes
 
 ANCHOR = 10
@@ -233,7 +233,7 @@ def _cut(size: int):
 def remove_repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each text without the words of windows that also start earlier."""
     scratch = Scratch(docs.sparkSession, "substrings")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    texts = named(docs.select("doc_id", "text"))
     dealt = texts.mapInArrow(_deal(size), "doc_id long, start int, n int, anchor long, key long, later boolean")
     fresh, here = dealt.filter("not later"), F.struct("doc_id", "start")
     busy = fresh.groupBy("anchor").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.count("*").alias("c")).filter("c > 1")
@@ -268,4 +268,4 @@ def remove_repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     none = F.lit(None).cast("array<struct<start:int,n:int>>").alias("marks")
     clean = only_ids(texts, hit, "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(_cut(size), out)
     cut = only_ids(texts, hit, "doc_id").join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_cut(size), out)
-    return clean.unionByName(cut)
+    return unnamed(clean.unionByName(cut))

@@ -169,7 +169,7 @@ def one_edit(a, b):
 
 def plain_lines(rows):
     lines = [(i, k, line.encode().split()) for i, t in dict(rows).items() if t is not None for k, line in enumerate(t.split("\n"))]
-    gone = {(i, k) for i, k, w in lines if len(w) >= 5 and any((j, m) < (i, k) and (v == w or len(w) >= 10 and len(v) >= 10 and one_edit(v, w)) for j, m, v in lines)}
+    gone = {(i, k) for i, k, w in lines if w and any((j, m) < (i, k) and (v == w or len(w) >= 10 and len(v) >= 10 and one_edit(v, w)) for j, m, v in lines)}
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
@@ -415,13 +415,39 @@ def test_stages(docs, none, spark, tmp_path):
                 assert kept == {1, 2, 3, 4, 6, 7, 11, 12, 13, 14, 15}
 
 
+def test_documents_without_an_id(spark):
+    """They are examined like others: copies, repeated lines and passages go, junk and leaks leave the pipeline, and every row has a result."""
+    rng = random.Random(8)
+    body = " ".join(rng.choice(VOCAB) for _ in range(60))
+    line = " ".join(rng.choice(VOCAB) for _ in range(12))
+    other = " ".join(rng.choice(VOCAB) for _ in range(60))
+    rows = [(1, body), (None, body), (None, other), (None, f"{line}\n{line}"), (2, line), (None, None), (None, "ab cd"), (None, "ab cd")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.near_duplicates(table).collect()}
+    assert got[1, 56] == 1 and got[None, 56] in (1, None) and sum(r.component_id == 1 for r in ngram_join.near_duplicates(table).collect()) == 2
+    kept = {(r.doc_id, r.kept) for r in line_dedup.remove_repeated_lines(table).collect()}
+    assert kept == {(1, body), (None, ""), (None, other), (2, line), (None, None), (None, "ab cd")}
+    left = [(r.doc_id, r.n_removed) for r in substrings.remove_repeated_passages(table).collect()]
+    assert len(left) == len(rows) and sorted(n for i, n in left if i is None) == [0, 0, 0, 0, 0, 60]
+    stages = dict(corpus_pipeline.STAGES)
+    after = stages["line dedup"](spark, table, "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in after) == sorted(str(x) for x in [(1, body), (2, line), (None, other), (None, None), (None, "ab cd"), (None, "ab cd")])
+    after = stages["n-gram Jaccard join"](spark, table, "").collect()
+    assert sorted(str((r.doc_id, r.text)) for r in after) == sorted(str(x) for x in rows if x != (None, body))
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first().text
+    leak = spark.createDataFrame([(None, f"{body} {item}", "en", "s", 1), (None, other, "en", "s", 1)], table.schema)
+    assert [r.text for r in stages["benchmark decontamination"](spark, leak, "/root/testdata/sf0.001").collect()] == [other]
+    mixed = stages["mixing sources to target weights"](spark, leak, "")
+    assert {r.doc_id for r in mixed.collect()} <= {None}
+
+
 def test_pipeline_against_plain_version(spark):
     """The language stage's decisions are taken as they are; everything after it is worked out again in plain Python."""
     sf_dir = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     start = {r.doc_id: r.text for r in corpus_pipeline.language_id(spark, rows, sf_dir).collect()}
     lines = plain_lines(sorted(start.items()))
-    left = {i: t for i, t in lines.items() if t == start[i] or any(x.strip(" ") for x in t.split("\n")) and t != start[i]}
+    left = {i: t for i, t in lines.items() if t == start[i] or any(x.encode().split() for x in t.split("\n"))}
     groups = plain_components(left)
     left = {i: t for i, t in left.items() if groups[i][1] == i}
     bench = [r.text.lower().split() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
