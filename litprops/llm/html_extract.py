@@ -4,18 +4,19 @@
    text hang on nodes.
 2. The most frequent tree of a host, of equals the largest, is its reference. Every other tree of the host is aligned with it by simple tree matching: children are
    matched in order so that the most nodes find a partner of equal label.
-3. Over all pages of the host, a text that stands on one aligned node of most pages is template; what varies is a slot. Pages of one title
-   count once, so copies of one article do not turn it into template.
+3. Over all pages of the host, a text that stands on one aligned node of most pages is template; what varies is a slot. Pages that agree in title
+   and longest blocks count once, so copies of one article do not turn it into template.
 4. Slots inside the host's main node are content. It is chosen by the text that varies over the host's pages, equal texts counted once:
    article and main elements if they hold at least half of it (only the one with most of their text, if there is one), else the deepest
    node that holds most of the text outside them. A page on which more text stands in nodes without a partner than in the main node gets
    the main node of these by the same rule as well. Elements that are no article text by tag, class, id or role (menus, headers, footers,
-   sidebars, notices, adverts, forms, reader comments) are left out, and so are nodes whose text is nearly all links.
+   sidebars, notices, adverts, forms, reader comments) are left out, and so are nodes whose text is nearly all links. Words in classes and ids are
+   evidence only: a node that holds most of the text is kept whatever it is called, see :func:`left_out`.
 
 Counting is by aggregates over (host, node, text hash), so a host with a third of all pages is no single group; only one row per host, its
 reference with a verdict for each node, is joined to the pages.
 
-Defined results: null, empty or markup-only html gives an empty text; pages of a host with fewer than three different titles have no
+Defined results: null, empty or markup-only html gives an empty text; pages of a host with fewer than three different pages have no
 template; a null or unparsable url is a host of its own; repeated rows each get a result; html cut off anywhere is read as far
 as it goes; other columns are ignored; an empty table gives an empty table.
 """
@@ -55,14 +56,19 @@ BOILER_WORDS = frozenset(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login register share sharing social follow comment comments commentlist "
     "reply replies respond discussion disqus related recommended recommendations breadcrumb breadcrumbs pagination pager paging widget toolbar skip copyright legal disclaimer search tags masthead topbar".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus".split())
 HEADER_WORDS = frozenset(("header", "head", "top"))
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar note".split())
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "option": ("option", ("select",))}
-#: Different titles that a text must stand under, and the share of the host's titles, to be template.
+#: Different pages that a text must stand on, and the share of the host's pages, to be template.
 LEAST, SHARE = 3, 0.6
 LINKED = 0.9
 #: Share of the text that a main node has at least.
 MOST = 0.7
+#: How many times the remaining text a node must hold for its names to be overruled without further evidence.
+OVERRULE = 3
+#: A page is known by its title and so many of its longest blocks; pages that agree in these count once.
+KNOWN_BY = 3
 
 
 class Page:
@@ -222,7 +228,8 @@ def _describe(iterator):
             named = [t for n, t, _ in page.blocks if page.label[n].startswith("title")]
             host.append(h)
             skeleton.append(page.skeleton)
-            title.append(named[0] if named else max((t for _, t, _ in page.blocks), key=len, default=""))
+            longest = sorted({t for _, t, _ in page.blocks}, key=lambda t: (-len(t), t))[:KNOWN_BY]
+            title.append("\n".join([*named[:1], *longest]))
             count.append(len(page.blocks))
             for n, t, k in page.blocks:
                 node.append(n)
@@ -251,15 +258,65 @@ def _align(iterator):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], names=["host", "tree", "partner"])
 
 
-def boiler(label: str, in_article: bool) -> bool:
-    """Whether an element is no article text by its own names."""
+@lru_cache(maxsize=1 << 16)
+def boiler(label: str, in_article: bool) -> int:
+    """Whether an element is no article text by its own names: 2 by tag, role or hidden state, 1 by a class or id word or as a form, else 0."""
     tag, *names = re.split(r"(?=[.@!])", label)
-    if tag in BOILER_TAGS or "!hidden" in names or (tag == "header" and not in_article):
-        return True
-    for n in names:
-        if n[0] == "@" and n[1:] in BOILER_ROLES or n[0] == "." and (n[1:] in BOILER_WORDS or n[1:] in HEADER_WORDS and not in_article and tag not in ("body", "html", "article", "main")):
-            return True
-    return False
+    if tag in BOILER_TAGS and tag != "form" or "!hidden" in names or (tag == "header" and not in_article) or any(n[0] == "@" and n[1:] in BOILER_ROLES for n in names):
+        return 2
+    if tag in ("html", "body"):
+        return 0
+    words = {n[1:] for n in names if n[0] == "."}
+    return int(tag == "form" or bool(words & BOILER_WORDS) or bool(words & HEADER_WORDS) and not in_article and tag not in ("article", "main"))
+
+
+def sums_below(parent: list[int], own: np.ndarray) -> np.ndarray:
+    below = own.astype(float)
+    for i in range(len(parent) - 1, 0, -1):  # parents come before their children
+        below[parent[i]] += below[i]
+    return below
+
+
+def left_out(parent: list[int], label: list[str], own: np.ndarray, lifted: list[bool] | None = None) -> tuple[list[bool], list[bool], list[bool]]:
+    """Per node: whether it is no article text, whether it stands in an article or main element, and whether its names were overruled.
+
+    Names are evidence, weighed against the text below a node (``own``: text on each node). From the top, a node that only its words (or being a
+    form) speak against is taken in all the same if it holds more text than all that would stay without it and also the page's main heading, main
+    element or largest article, or if it holds :data:`OVERRULE` times as much and is not named after reader comments. ``lifted`` nodes are taken in anyway.
+    """
+    n = len(parent)
+    hard = [False] * n
+    for i in range(1, n):
+        hard[i] = hard[parent[i]] or boiler(label[i], True) == 2
+    text = np.where(hard, 0.0, own)
+    below = sums_below(parent, text)
+    core = np.array([not h and (x.startswith("h1") or x.startswith("main") or "@main" in x) for h, x in zip(hard, label)], float)
+    articles = [i for i in range(1, n) if not hard[i] and label[i].startswith("article")]
+    largest = max(articles, key=lambda i: below[i], default=0)
+    if largest and 2 * below[largest] >= sum(below[i] for i in articles):
+        core[largest] = 1
+    core = sums_below(parent, core)
+    out, article, free = [False] * n, [False] * n, list(lifted or [False] * n)
+
+    def walk():
+        for i in range(1, n):
+            p = parent[i]
+            kind = boiler(label[i], article[p])
+            out[i] = out[p] or kind == 2 or kind == 1 and not free[i]
+            article[i] = article[p] or (_is_main(label[i]) and not out[i])
+
+    walk()
+    while True:
+        stays = sum(t for t, o in zip(text, out) if not o)
+        top = [i for i in range(1, n) if out[i] and not out[parent[i]] and not free[i] and not hard[i] and boiler(label[i], article[parent[i]]) == 1]
+        best = max(top, key=lambda i: below[i], default=0)
+        if not best or below[best] <= stays:
+            return out, article, free
+        commented = {w[1:] for w in re.split(r"(?=[.@!])", label[best])[1:]} & COMMENT_WORDS
+        if not core[best] and (commented or below[best] < OVERRULE * stays):
+            return out, article, free
+        free[best] = True
+        walk()
 
 
 def _is_main(label: str) -> bool:
@@ -270,19 +327,13 @@ def main_nodes(parent: list[int], label: list[str], article: list[bool], text: n
     """Which nodes are or stand in the main node, by the text on each node; ``article``: nodes in article or main elements."""
     n = len(parent)
 
-    def sums(own):
-        below = own.copy()
-        for i in range(n - 1, 0, -1):  # parents come before their children
-            below[parent[i]] += below[i]
-        return below
-
-    below = sums(text)
+    below = sums_below(parent, text)
     roots = [i for i in range(1, n) if article[i] and not article[parent[i]]]
     held = sum(below[i] for i in roots)
     if roots and 2 * held >= below[0]:
         roots = [i for i in roots if held and below[i] >= MOST * held] or roots
     else:
-        below, at = sums(np.where(article, 0.0, text)), 0
+        below, at = sums_below(parent, np.where(article, 0.0, text)), 0
         while below[0] > 0 and (big := [k for k in range(at + 1, n) if parent[k] == at and below[k] >= MOST * below[0] and not label[k].startswith(("p", "h1", "h2", "h3"))]):
             at = big[0]
         roots = [at]
@@ -306,11 +357,7 @@ class Wrapper:
         for t in template or ():
             vary[t["node"]] -= t["once"]
         self.menu = (own > 0) & (link >= LINKED * own)
-        self.article, self.boiler = [False] * n, [False] * n
-        for i in range(1, n):
-            p = self.parent[i]
-            self.boiler[i] = self.boiler[p] or boiler(self.label[i], self.article[p])
-            self.article[i] = self.article[p] or (_is_main(self.label[i]) and not self.boiler[i])
+        self.boiler, self.article, self.lifted = left_out(self.parent, self.label, np.where(self.menu, 0.0, vary))
         self.main = main_nodes(self.parent, self.label, self.article, np.where(np.array(self.boiler) | self.menu, 0.0, vary))
 
 
@@ -324,12 +371,13 @@ def extract(html: str | None, wrapper: Wrapper) -> str:
         return ""
     partner = _matched(page.skeleton, wrapper.reference)
     n = len(page.label)
-    out_, main, article = [False] * n, [False] * n, [False] * n
-    for i in range(n):
-        p, j = page.parent[i], partner[i]
-        if i:
-            out_[i] = out_[p] or boiler(page.label[i], article[p]) or (j >= 0 and bool(wrapper.menu[j]))
-            article[i] = article[p] or (_is_main(page.label[i]) and not out_[i])
+    own = np.zeros(n)
+    for node, text, linked in page.blocks:
+        own[node] += len(text) if linked < LINKED * len(text) else 0
+    out_, article, _ = left_out(page.parent, page.label, own, [j >= 0 and wrapper.lifted[j] for j in partner])
+    main = [False] * n
+    for i, j in enumerate(partner):
+        out_[i] = out_[i] or i > 0 and (out_[page.parent[i]] or (j >= 0 and bool(wrapper.menu[j])))
     for i, j in enumerate(partner):
         main[i] = wrapper.main[j] if j >= 0 else main[page.parent[i]]
     hashes = _text_hashes([t for _, t, _ in page.blocks]) if wrapper.template else None
