@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages, each on all that its predecessor kept. Every stage's result is written as Parquet and read again.
 
 All stages but the last return the columns of ``documents``; the last adds ``copy_no`` and ``mix_key``. Columns that an input has besides
-these five are dropped. Null ids, texts and sources are treated as each operator's module says; empty input gives empty output.
+these five are dropped. A document without an id is examined under a key of its own (:func:`litprops.llm.store.named`) and keeps its null id if
+it stays. Documents of one id are decided together: if one of them is rejected, all go. Null texts and sources are treated as each
+operator's module says; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litprops.llm import decontaminate, langid, line_dedup, mixing, ngram_join
-from litprops.llm.store import Scratch, only_ids
+from litprops.llm.store import Scratch, named, only_ids, unnamed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language is at least this likely, or if it has no letter.
@@ -19,40 +21,43 @@ MIN_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known with enough certainty."""
+    docs = named(docs)
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
     found = langid.predict(docs, model)
     bad = found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)).select("doc_id")
     bad = Scratch(spark, "language-id").put(bad.distinct(), "rejected")
-    return only_ids(docs.select(*COLUMNS), bad, "doc_id", "left_anti")
+    return unnamed(only_ids(docs.select(*COLUMNS), bad, "doc_id", "left_anti"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that repeat an earlier one; a document that had lines and has none left goes."""
-    scratch = Scratch(spark, "line-dedup-stage")
+    scratch, docs = Scratch(spark, "line-dedup-stage"), named(docs)
     gone = line_dedup.repeated_lines(docs, scratch)
     docs, ids = docs.select(*COLUMNS), gone.select("doc_id")
     same = only_ids(docs, ids, "doc_id", "left_anti")
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("int")))
     cut = only_ids(docs, ids, "doc_id").join(gone.withColumnRenamed("lines", "gone"), "doc_id").withColumn("left", left)
-    cut = cut.filter(F.exists("left", lambda x: F.trim(x) != "")).withColumn("text", F.array_join("left", "\n"))
-    return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
+    cut = cut.filter(F.exists("left", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("text", F.array_join("left", "\n"))
+    return unnamed(same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
-    groups = ngram_join.near_duplicates(docs)
-    return only_ids(docs.select(*COLUMNS), groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    docs = named(docs)
+    groups = ngram_join.near_duplicates(docs, keyed=True)
+    return unnamed(only_ids(docs.select(*COLUMNS), groups.filter("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    docs = named(docs)
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return only_ids(docs.select(*COLUMNS), found.select("doc_id").distinct(), "doc_id", "left_anti")
+    return unnamed(only_ids(docs.select(*COLUMNS), found.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and shuffle documents so that sources have their target weights."""
-    return mixing.mix(docs.select(*COLUMNS))
+    return unnamed(mixing.mix(named(docs.select(*COLUMNS))))
 
 
 STAGES = [
