@@ -222,6 +222,45 @@ def test_decision_list():
         hit |= quality._covers(r, x)
     assert (hit == bad).mean() > 0.98
     assert quality.learn(x, np.zeros(len(x), bool)) == []
+    assert any(len(r) > 1 for r in rules)  # one part of the bad rows needs a conjunction
+    few = quality.learn(x[:90], bad[:90])
+    assert few and sum(quality._covers(r, x) for r in few).astype(bool)[bad].mean() > 0.5
+
+
+def test_next_start_after_a_weak_rule():
+    """The statistic with the most gain gives no rule that holds on the pruning rows; another one does."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 900
+    bad = rng.random(n) < 0.3
+    x = np.column_stack([np.where(np.arange(n) % 3 == 0, rng.random(n), bad + 0.1 * rng.random(n)), np.where(bad & (rng.random(n) < 0.6), 5.0, rng.random(n))])
+    rules = quality.learn(x, bad)
+    assert rules and all(r[0][0] == 1 for r in rules)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_learned_list_on_held_out_labels(spark, sf):
+    """Learned on half of the labels, judged on the other half; the Spark verdict equals the list applied in plain Python."""
+    import numpy as np
+
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet")
+    docs, labels = read("documents"), read("labels")
+    rules = quality.learn_rules(docs, labels.filter("doc_id % 2 = 0"))
+    assert rules
+    names = list(quality.features())
+    told = quality.statistics(docs).withColumn("base", quality.base_failed()).withColumn("fine", quality.verdict(rules)).withColumns(quality.features())
+    rows = told.join(labels, "doc_id").select("doc_id", "quality", "base", "fine", *[F.col(k) for k in names]).collect()
+    x = np.array([r[4:] for r in rows])
+    out = np.zeros(len(rows), bool)
+    for r in rules:
+        out |= quality._covers(r, x)
+    assert [r.fine for r in rows] == (~out).tolist()
+    held = [(r.quality, not r.base and r.fine) for r in rows if r.doc_id % 2]
+    bad, good = [k for q, k in held if q == 0], [k for q, k in held if q == 1]
+    assert sum(bad) <= 0.05 * len(bad) and len(bad) > 20
+    base_lost = sum(r.base for r in rows if r.doc_id % 2 and r.quality == 1)
+    assert len(good) - sum(good) - base_lost <= 0.01 * len(good)
 
 
 def test_language(docs, none):
