@@ -25,7 +25,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litprops.llm.store import Scratch
+from litprops.llm.store import Scratch, only_ids
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The base patterns. Possessive quantifiers and looks behind change no match; they keep the time linear in the text.
@@ -171,7 +171,7 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, total``: how often each of ``patterns`` is followed by a word, in all texts."""
     words = docs.select(_words(_normal(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w"))
     keys = words.filter(F.size("w") > 1).select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: _patterns(F.col("w"), i)))).alias("pattern"))
-    return keys.join(patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    return only_ids(keys, patterns, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def score_graph(edges: DataFrame, totals: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from litprops.llm import hard_negatives, pii, queries, runs
+from litprops.llm import hard_negatives, pii, queries, runs, store
 
 DOCS = "doc_id long, text string, key string, base int, runs int, start int, kept string"
 
@@ -230,7 +230,10 @@ def test_time_grows_with_the_text(spark):
     assert time.time() - start < 120
 
 
-def test_contexts_find_unseen_identifiers(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_contexts_find_unseen_identifiers(spark, monkeypatch, sent):
+    """Also with patterns too many to be sent to every task."""
+    monkeypatch.setattr(store, "MAX_BROADCAST_IDS", sent)
     seeds = [f"please call me at +1 (132) 555-{n} soon" for n in (1352, 2210, 3301, 4404, 5510, 6600)]
     mails = [f"write to the address {name}@mail.example.com or not" for name in ("ann", "bob", "cid", "dan", "eve")]
     other = ["we met at noon", "the year 1999 was", "the address of the house", "order 555-0001 came", "the the 1234567890123456 the the"]
