@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litprops.operators.spread import lookup_join
+from litprops.operators.spread import contiguous_index, lookup_join, null_safe_join
 
 LOSSES = ("mse", "consistency", "bias", "ranking")
 
@@ -39,19 +39,21 @@ def range_scores(preds: DataFrame, ranges: DataFrame, on: Sequence[str], by: Seq
     )
 
 
-def _pair_loss(items: Column) -> Column:
-    """``struct(sum, n)`` of softplus(clamp(p_low - p_high, +-50)) over pairs with y_high > y_low inside one small array."""
+def _pair_loss(items: Column, others: Column | None = None) -> Column:
+    """``struct(sum, n)`` of softplus(clamp(p_low - p_high, +-50)) over pairs with y_high > y_low: the higher one from one small array, the lower one
+    from the same or from ``others``."""
+    others = items if others is None else others
 
     def against(hi):
-        lower = F.filter(items, lambda lo: lo["y"] < hi["y"])
+        lower = F.filter(others, lambda lo: lo["y"] < hi["y"])
         return F.struct(
             F.aggregate(lower, F.lit(0.0), lambda s, lo: s + F.log1p(F.exp(F.greatest(F.lit(-50.0), F.least(F.lit(50.0), lo["p"] - hi["p"]))))).alias("s"),
-            F.size(lower).alias("n"),
+            F.size(lower).cast("bigint").alias("n"),
         )
 
     return F.aggregate(
         F.transform(items, against),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n")),
         lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n")),
     )
 
@@ -95,6 +97,34 @@ def consistency_and_bias(df: DataFrame, article: Sequence[str], by: Sequence[str
     )
 
 
+def whole_article_losses(df: DataFrame, article: Sequence[str], by: Sequence[str] = (), y: str = "y", p: str = "p", block_rows: int = 512) -> DataFrame:
+    """The four losses over whole articles, not only inside batches: ``by..., articles, n, mse, consistency, bias, ranking``.
+
+    Ranking compares all rows of an article that differ in ``y``. Rows in the order of ``y`` are cut into blocks of ``block_rows``, every two blocks of an
+    article (and every block with itself) are a cell, and a cell is scored inside one array of at most two blocks. So an article of any size is
+    exact, its pairs are spread over as many tasks as it has cells, and pairs are never rows; each row is copied once per block of its article.
+    """
+    keys = [*by, *article]
+    known = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*keys, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"))
+    e = F.col("_p") - F.col("_y")
+    per = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sq"), F.when(F.count(F.lit(1)) > 1, F.var_pop(e)).alias("var"), F.avg(e).alias("m"))
+    ranked = contiguous_index(known, "_y", "_rank", keys, ["_p"])
+    last = ranked.groupBy(*keys).agg(F.floor(F.max("_rank") / block_rows).alias("_last"))
+    blocks = null_safe_join(ranked.withColumn("_block", F.floor(F.col("_rank") / block_rows)), last, keys)
+    cell = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_last")), lambda k: F.struct(F.least("_block", k).alias("_lo"), F.greatest("_block", k).alias("_hi")))
+    placed = blocks.select(*keys, "_y", "_p", "_block", F.inline(cell))
+    own = F.col("_block") == F.col("_lo")
+    side = lambda mine: F.collect_list(F.when(mine, F.struct(F.col("_y").alias("y"), F.col("_p").alias("p"))))
+    cells = placed.groupBy(*keys, "_lo", "_hi").agg(side(own).alias("low"), side(~own).alias("high"))
+    scored = cells.withColumn("pairs", _pair_loss(F.when(F.col("_lo") == F.col("_hi"), F.col("low")).otherwise(F.col("high")), F.col("low")))
+    pairs = scored.groupBy(*keys).agg(F.sum("pairs.s").alias("s"), F.sum("pairs.n").alias("pairs"))
+    zero = F.lit(0.0)
+    return null_safe_join(per, pairs, keys).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("articles"), F.sum("n").alias("n"), (F.sum("sq") / F.sum("n")).alias("mse"), F.coalesce(F.avg("var"), zero).alias("consistency"),
+        F.coalesce(F.avg(F.col("m") * F.col("m")), zero).alias("bias"), F.coalesce(F.avg(F.when(F.col("pairs") > 0, F.col("s") / F.col("pairs"))), zero).alias("ranking"),
+    )
+
+
 def is_article_aware(weights: dict[str, float]) -> bool:
     return any(weights.get(k, 0) > 0 for k in LOSSES[1:])
 

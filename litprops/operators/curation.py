@@ -67,11 +67,11 @@ def leaks_target(text: Column, value: Column) -> Column:
 
 def property_report(records: DataFrame, prop: str = "property", article: str = "article_key") -> DataFrame:
     """Records and distinct articles per property, and once over all properties (articles are not summed)."""
-    # Distinct pairs first: a hot article is one line per task, and no task holds a set of articles.
-    per = records.groupBy(prop, article).agg(F.count(F.lit(1)).alias("n"))
-    detail = per.groupBy(prop).agg(F.sum("n").alias("records"), F.count(article).alias("articles"))
-    every = per.groupBy(article).agg(F.sum("n").alias("n")).agg(F.sum("n").alias("records"), F.count(article).alias("articles"))
-    return detail.unionByName(every.withColumn(prop, F.lit(None).cast("string")).select(prop, "records", "articles"))
+    # Distinct pairs first: a hot article is one line per task, and no task holds a set of articles. Grouping sets then count the pairs and, once
+    # more without their property, the articles; the records are read once.
+    pairs = records.groupBy(prop, article).agg(F.count(F.lit(1)).alias("n"))
+    told = pairs.groupingSets([[prop, article], [article]], prop, article).agg(F.sum("n").alias("n"), F.grouping(prop).alias("_all"))
+    return told.groupBy("_all", prop).agg(F.sum("n").alias("records"), F.count(article).alias("articles")).drop("_all")
 
 
 def publication_pairs(records: DataFrame, doi: Column, prop: str = "property") -> DataFrame:

@@ -6,6 +6,9 @@ Inputs: ``atoms(mol_id, component, atom)`` and ``bonds(mol_id, component, a, b)`
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ PAD = -1_000_000  # fixed value: path position without a node
 ATOM_TYPES, BOND_TYPES = 102, 5  # fixed values: vocabulary size
 _NONE = 999  # fixed value: vocabulary key of "no atom / no bond"
 _PART = ["mol_id", "component"]
+_PATH_COLUMNS = [*_PART, "src", "dst", "path", "via"]
+_PATH_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+MOST_BONDS = 100_000  # bonds of a component that one row may hold (about 3 MB)
 _CHUNK = 65_536  # atoms per numbering chunk of one component
 
 
@@ -77,13 +83,51 @@ def _steps(nodes: DataFrame) -> DataFrame:
     return both.unionByName(stay)
 
 
-def shortest_paths(nodes: DataFrame, max_length: int = 5) -> DataFrame:
+def _walk(iterator: Iterator[pa.RecordBatch], max_length: int) -> Iterator[pa.RecordBatch]:
+    """All shortest paths of components given as one row of bonds each; level by level from every atom."""
+    for batch in iterator:
+        out: list[list] = [[] for _ in range(6)]
+        for mol, part, bonds in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            near: dict[int, list[tuple[int, int]]] = {}
+            for b in bonds:
+                near.setdefault(b["lo"], []).append((b["hi"], b["node"]))
+                near.setdefault(b["hi"], []).append((b["lo"], b["node"]))
+            for start in near:
+                known, level = set(), {}
+                for step in range(max_length + 1):
+                    found: dict[int, tuple[tuple, tuple]] = {} if step else {start: ((start,), ())}
+                    for atom, (path, via) in level.items():
+                        for other, node in near[atom]:
+                            # the smallest path to an atom goes over smallest paths to those before it
+                            if other not in known and (other not in found or path < found[other][0][:-1]):
+                                found[other] = ((*path, other), (*via, node))
+                    for end, (path, via) in found.items():
+                        for column, value in zip(out, (mol, part, start, end, path, via)):
+                            column.append(value)
+                    known.update(found)
+                    level = found
+        yield pa.RecordBatch.from_pydict(dict(zip(_PATH_COLUMNS, (pa.array(v, t) for v, t in zip(out, [batch.schema.field(0).type, batch.schema.field(1).type, *_PATH_TYPES])))))
+
+
+def shortest_paths(nodes: DataFrame, max_length: int = 5, most: int = MOST_BONDS) -> DataFrame:
     """Shortest atom paths of up to ``max_length`` bonds, both directions, one per pair (smallest atom sequence).
 
-    ``(mol_id, component, src, dst, path, via)``: ``path`` are atoms, ``via`` the bond nodes. One join and one aggregate per step: a
-    path either grows by a bond or stays as it is, then the shortest, smallest one per pair is kept. The plan is a straight chain
-    of ``max_length`` steps, nothing is computed twice.
+    ``(mol_id, component, src, dst, path, via)``: ``path`` are atoms, ``via`` the bond nodes. A component of up to ``most`` bonds is one row of
+    bonds, made by one shuffle, and its paths are walked inside it. Larger ones, if there are any, are walked by joins, see :func:`joined_paths`.
     """
+    bonds = nodes.filter("role = 0").select(*_PART, F.struct(*[F.col(c).cast("bigint").alias(c) for c in ("lo", "hi")], "node").alias("b"))
+    sizes = bonds.groupBy(*_PART).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > most).select(*_PART)
+    any_large = not large.isEmpty()
+    small = bonds.join(large, _PART, "left_anti") if any_large else bonds
+    kinds = [f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in _PART]
+    schema = ", ".join([*kinds, "src bigint", "dst bigint", "path array<bigint>", "via array<int>"])
+    walked = small.groupBy(*_PART).agg(F.collect_list("b").alias("bonds")).mapInArrow(lambda it: _walk(it, max_length), schema)
+    return walked.unionByName(joined_paths(nodes.join(large, _PART, "left_semi"), max_length)) if any_large else walked
+
+
+def joined_paths(nodes: DataFrame, max_length: int = 5) -> DataFrame:
+    """The paths of :func:`shortest_paths` for components too large for one row: one join and one aggregate per step. A path either grows by a bond or stays as it is, then the shortest, smallest one per pair is kept."""
     steps = _steps(nodes)
     state = steps.filter("node IS NULL").select(
         *_PART, F.col("a").alias("src"), F.col("a").alias("dst"), F.array("a").alias("path"), F.array().cast("array<int>").alias("via")

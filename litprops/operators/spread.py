@@ -1,7 +1,8 @@
 """Building blocks that keep hot keys and global orders off single tasks.
 
 * :func:`lookup_join`   many rows per key against a table that is unique by key; heavy keys are salted.
-* :func:`running_total` prefix sums over an order, cut into buckets, so no window ever holds the whole table or a whole group.
+* :func:`running_total`, :func:`contiguous_index` prefix sums and numbers over an order, cut into ranges, so no window ever holds the whole table
+  or a whole group.
 * :func:`grouped_median` exact median by selection: count per bucket, then sort only the bucket that holds the middle.
 
 Bucket borders are literals found in one approximate-quantile pass, so every branch of a plan, and every retry, sees the same ones.
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litprops.session import settle
+
 HEAVY_ROWS = 2_000_000  # rows of one key that a single task may take
 HEAVY_KEYS = 10_000  # most keys ever salted; a key below the cut holds less than 1/10,000 of the rows
 
@@ -147,6 +150,17 @@ def with_bucket(df: DataFrame, order: str, cuts: list[float], name: str = "_buck
     return out.withColumn(name, F.col(name).cast("int")).drop("_x")
 
 
+def in_order(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` cut into ranges of ``order`` and written to the shared folder: ``_part`` numbers the ranges in order, ``_at`` the rows of a range.
+
+    Spark samples the borders, so ranges are even whatever the size and the skew of the table; equal rows of ``order`` share a range.
+    Written once, every later step and every retry sees the same numbers.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    numbered = placed.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))})
+    return settle(numbered.drop("_id"), "ranges")
+
+
 def running_total(
     df: DataFrame,
     order: str,
@@ -159,20 +173,19 @@ def running_total(
 ) -> DataFrame:
     """Inclusive prefix sum of ``value`` by ``order`` (then ``ties``), restarted for each ``by`` key.
 
-    While no key holds more than ``HEAVY_ROWS`` rows one window per key does. Otherwise, and always for the whole table, rows meet
-    only inside ``(by, bucket)``, and bucket totals (a small table) give the offset. ``bucket`` replaces the quantile buckets by any
-    expression that does not fall as ``order`` rises; ``cuts`` gives their borders.
+    One plan at all sizes: rows meet only inside ``(by, range)``, see :func:`in_order`, and the totals of ranges (a small table) give the
+    offset, so neither the whole table nor a heavy key is one window. ``bucket`` replaces the ranges by any expression that does not fall as
+    ``order`` rises, which saves the sort where such an expression is known; ``cuts`` gives borders of it.
     """
     by = list(by)
-    value = F.col(value) if isinstance(value, str) else value
-    df = df.withColumn("_v", value)
-    if by and bucket is None and cuts is None and largest_group(df, by) <= HEAVY_ROWS:
-        every = Window.partitionBy(*by).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum("_v").over(every)).drop("_v")
+    df = df.withColumn("_v", F.col(value) if isinstance(value, str) else value)
+    inner = [order, *ties]
     if bucket is not None:
         cut = df.withColumn("_bucket", bucket)
+    elif cuts is not None:
+        cut = with_bucket(df, order, cuts)
     else:
-        cut = with_bucket(df, order, borders(df, order) if cuts is None else cuts)
+        cut, inner = in_order(df, [*by, *inner]).withColumnRenamed("_part", "_bucket"), ["_at"]
     keys = by + ["_bucket"]
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -181,14 +194,28 @@ def running_total(
         .withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
         .drop("_t")
     )
-    inside = Window.partitionBy(*keys).orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*keys).orderBy(*inner).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumn("_run", F.sum("_v").over(inside))
-    return null_safe_join(local, offsets, keys).withColumn(out, F.col("_run") + F.col("_off")).drop("_v", "_run", "_off", "_bucket")
+    return null_safe_join(local, offsets, keys).withColumn(out, F.col("_run") + F.col("_off")).drop("_v", "_run", "_off", "_bucket", "_at")
 
 
 def contiguous_index(df: DataFrame, order: str, out: str = "idx", by: Sequence[str] = (), ties: Sequence[str] = (), **kw) -> DataFrame:
-    """0, 1, 2, ... in ``order``, without a single-task window."""
-    return running_total(df, order, F.lit(1).cast("bigint"), out, by, ties, **kw).withColumn(out, F.col(out) - 1)
+    """0, 1, 2, ... in ``order``, without a single-task window.
+
+    A row's number is that of its range's first row plus its place in the range, see :func:`in_order`; no window over rows at all. With
+    ``by`` the least number of the key is taken off. ``bucket`` or ``cuts`` take the way of :func:`running_total`.
+    """
+    if kw:
+        return running_total(df, order, F.lit(1).cast("bigint"), out, by, ties, **kw).withColumn(out, F.col(out) - 1)
+    by = list(by)
+    rows = in_order(df, [*by, order, *ties])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    firsts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = rows.join(F.broadcast(firsts), "_part").withColumn("_g", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+    if not by:
+        return numbered.withColumnRenamed("_g", out)
+    least = numbered.groupBy(*by).agg(F.min("_g").alias("_least"))
+    return null_safe_join(numbered, least, by).withColumn(out, F.col("_g") - F.col("_least")).drop("_g", "_least")
 
 
 def rank_in_group(df: DataFrame, by: Sequence[str], fraction: Column, out: str, ties: Sequence[str] = (), target_rows: int | None = None) -> DataFrame:

@@ -49,13 +49,27 @@ def check_counts(records: DataFrame, tokens: DataFrame, by: Sequence[str]) -> Da
     return want.join(have, "dataset", "left").withColumn("cached", F.coalesce("cached", F.lit(0))).withColumn("complete", F.col("records") == F.col("cached"))
 
 
+def _words(df: DataFrame, by: Sequence[str], out: str) -> DataFrame:
+    """Which rows are there, as one bit per row: ``by..., _word, out`` with 64 rows to a word."""
+    row = F.col("row_idx").cast("bigint")
+    bit = F.expr("shiftleft(1L, CAST(pmod(row_idx, 64) AS INT))")
+    return df.filter("row_idx IS NOT NULL").groupBy(*by, F.floor(row / 64).alias("_word")).agg(F.bit_or(bit).alias(out))
+
+
 def missing_vectors(records: DataFrame, tokens: DataFrame, dims: dict[str, Sequence[str]]) -> DataFrame:
-    """Expected (record, model, input type) without vectors. ``dims`` are config lists, so every record is exploded a few times."""
-    expected = records.select("dataset", "row_idx")
+    """Expected (record, model, input type) without vectors. ``dims`` are config lists.
+
+    Rows are compared as bits, 64 at a time, so records times settings are never rows: token rows shrink to words before they are shuffled, and only
+    words that lack a bit are opened again.
+    """
+    expected = _words(records, ["dataset"], "_want")
     for name, values in dims.items():
         expected = expected.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    keys = ["dataset", *dims, "row_idx"]
-    return expected.join(tokens.select(*keys), keys, "left_anti")
+    keys = ["dataset", *dims]
+    have = _words(tokens, keys, "_have")
+    lacking = expected.join(have, [*keys, "_word"], "left").withColumn("_lack", F.col("_want").bitwiseAND(F.bitwise_not(F.coalesce("_have", F.lit(0).cast("bigint")))))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.bit_get(F.col("_lack"), i) == 1)
+    return lacking.filter("_lack <> 0").select(*keys, "_word", F.explode(places).alias("_at")).select(*keys, (F.col("_word") * 64 + F.col("_at")).alias("row_idx"))
 
 
 def token_counts(tokens: DataFrame, by: Sequence[str]) -> DataFrame:

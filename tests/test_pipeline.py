@@ -230,3 +230,47 @@ def test_features_once_per_structure(spark):
 def test_settled_table_is_shared(spark):
     df = settle(spark.range(3), "t")
     assert df.count() == 3 and shared_dir(spark).removeprefix("file:") in df.inputFiles()[0]
+
+
+def test_missing_rows_as_bits(spark):
+    have = [(r, m) for r in (-130, -64, -1, 0, 1, 63, 64, 5000, 2**40) for m in "ab" if (r + ord(m)) % 3]
+    records = spark.createDataFrame([("d", r) for r in (-130, -64, -1, 0, 1, 63, 64, 5000, 2**40)] * 2 + [("d", None)], "dataset string, row_idx long")
+    tokens = spark.createDataFrame([("d", m, "1", r, 0) for r, m in have] * 3, "dataset string, model string, input_type string, row_idx long, pos int")
+    got = rows(cache.missing_vectors(records, tokens, {"model": ["a", "b"], "input_type": ["1", "9"]}), "model", "input_type", "row_idx")
+    want = [("d", m, t, r) for m in "ab" for t in "19" for r in (-130, -64, -1, 0, 1, 63, 64, 5000, 2**40) if t == "9" or (r, m) not in have]
+    assert got == want
+    assert cache.missing_vectors(records.limit(0), tokens, {"model": ["a"], "input_type": ["1"]}).count() == 0
+
+
+def test_stream_without_its_checkpoint(spark, tmp_path):
+    """A lost checkpoint, a batch that fails before its commit, and new files: every file comes out once, and nothing is overwritten."""
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def arrive(*names):
+        spark.createDataFrame([(n, json.dumps([GOOD]), "") for n in names], "filename string, content string, reasoning string").coalesce(1).write.mode("append").parquet(inbox)
+
+    def run(checkpoint):
+        ingest.run_routed(ingest.stream_responses(spark, inbox), "Tg", out, str(tmp_path / checkpoint))
+        back = spark.read.parquet(out)
+        return sorted((r.filename, r.batch_id) for r in back.select("filename", "batch_id").collect())
+
+    arrive("a", "b")
+    assert run("first") == [("a", 0), ("b", 0)]
+    assert run("lost") == [("a", 0), ("b", 0)]
+    arrive("c")
+    assert run("lost again") == [("a", 0), ("b", 0), ("c", 1)]
+    arrive("d")
+    fail = {"now": True}
+
+    def step(batch, folder):
+        batch.select("filename").write.mode("overwrite").parquet(folder)
+        if fail.pop("now", False):
+            raise RuntimeError("executor lost")
+
+    other = str(tmp_path / "other")
+    sink = ingest.committed(step, other)
+    with pytest.raises(Exception, match="executor lost"):
+        ingest.drain(ingest.stream_responses(spark, inbox), sink, str(tmp_path / "x"))
+    ingest.drain(ingest.stream_responses(spark, inbox), sink, str(tmp_path / "y"))
+    assert sorted(r.filename for r in spark.read.parquet(other).collect()) == ["a", "b", "c", "d"]
+    assert ingest.commits(spark, other).count() == 3

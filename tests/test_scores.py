@@ -270,3 +270,27 @@ def test_evaluate_job(data):
     assert losses.first()["rows"] == len(test)
     with pytest.raises(ValueError):
         regress.evaluate(named, named, [])
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 512])
+def test_whole_article_losses(spark, block):
+    """Every pair of rows of an article counts once, whatever the blocks; ties in y, single rows, null targets and null articles."""
+    rng = np.random.default_rng(block)
+    data = [("d", ["a", "b", None][int(k)], float(y), float(p)) for k, y, p in zip(rng.integers(0, 3, 60), rng.integers(0, 9, 60), rng.normal(size=60))]
+    data += [("d", "one", 1.0, 2.0), ("d", "a", None, 1.0), ("e", "flat", 2.0, 1.0), ("e", "flat", 2.0, 5.0)]
+    df = spark.createDataFrame(data, "dataset string, article string, y double, p double").repartition(5)
+    got = {r.dataset: r for r in am.whole_article_losses(df, ["article"], ["dataset"], block_rows=block).collect()}
+    for name in "de":
+        groups = {}
+        for d, a, y, p in data:
+            if d == name and y is not None:
+                groups.setdefault(a, []).append((y, p))
+        pair = [[math.log1p(math.exp(max(-50, min(50, q - p)))) for y, p in g for z, q in g if y > z] for g in groups.values()]
+        e = [[p - y for y, p in g] for g in groups.values()]
+        want = {
+            "mse": np.mean(np.concatenate(e) ** 2), "consistency": np.mean([np.var(x) for x in e if len(x) > 1]), "bias": np.mean([np.mean(x) ** 2 for x in e]),
+            "ranking": np.mean([np.mean(x) for x in pair if x]) if any(pair) else 0.0,
+        }
+        assert got[name].articles == len(groups) and got[name].n == sum(map(len, groups.values()))
+        for k, v in want.items():
+            assert got[name][k] == pytest.approx(v)

@@ -59,6 +59,28 @@ def test_contiguous_index_any_borders(spark, skewed, cuts):
     assert got == [(i, i) for i in range(120)]
 
 
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("ranges", [1, 5, 40])
+def test_numbers_over_ranges(spark, skewed, by, ranges):
+    """One plan for any number of ranges, also with a third of the rows in one key, NULL keys, ties and nothing at all."""
+    pdf, df = skewed
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = spread.contiguous_index(df, "y", "i", by, ["id"]).select("id", "i")
+        total = spread.running_total(df, "y", "id", "t", by, ["id"]).select("id", "t")
+        got, sums = dict(rows(numbered)), dict(rows(total))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = pdf.sort_values(["y", "id"])
+    groups = ordered.groupby("k", dropna=False) if by else ordered.groupby(lambda _: 0)
+    assert got == dict(zip(ordered["id"], groups.cumcount()))
+    assert sums == dict(zip(ordered["id"], groups["id"].cumsum()))
+    assert spread.contiguous_index(df.limit(0), "y", "i", by).count() == spread.running_total(df.limit(0), "y", "id", "t", by).count() == 0
+
+
 @pytest.mark.parametrize("cuts", [None, [], [-0.5, 0.0, 0.3], [100.0]])
 def test_grouped_median(spark, skewed, cuts):
     pdf, df = skewed

@@ -221,8 +221,10 @@ def plain_paths(bonds, longest):
     return best
 
 
-def test_paths(molecules):
-    got = {(r["mol_id"], r["component"], r["src"], r["dst"]): (r["path"], r["via"]) for r in graph.shortest_paths(graph.triplet_nodes(*molecules), 5).collect()}
+@pytest.mark.parametrize("most", [graph.MOST_BONDS, 3, 0])
+def test_paths(molecules, most):
+    """All components as rows, some of them, or none."""
+    got = {(r["mol_id"], r["component"], r["src"], r["dst"]): (r["path"], r["via"]) for r in graph.shortest_paths(graph.triplet_nodes(*molecules), 5, most).collect()}
     for (m, c), (bonds, _) in plain_nodes().items():
         number = {b: i for i, b in enumerate(bonds)}
         want = plain_paths(bonds, 5)

@@ -109,6 +109,19 @@ def article_losses(spark, d):
     return rounded(_losses(spark, d), *am.LOSSES, digits=6)
 
 
+@query(
+    f"""WITH {REC}, z AS (SELECT dataset, article_key % 20 AS article, y/100000 AS y, p/100000 AS p FROM rec),
+a AS (SELECT dataset, article, count(*) AS n, sum((p-y)*(p-y)) AS sq, CASE WHEN count(*) > 1 THEN var_pop(p-y) END AS v, avg(p-y) AS m FROM z GROUP BY ALL),
+pr AS (SELECT dataset, article, avg(ln(1 + exp(greatest(-50, least(50, j.p - i.p))))) AS l FROM z i JOIN z j USING (dataset, article) WHERE i.y > j.y GROUP BY ALL)
+SELECT dataset, count(*) AS articles, sum(n)::BIGINT AS n, {R('sum(sq)/sum(n)', 6)} AS mse, {R('coalesce(avg(v), 0)', 6)} AS consistency, {R('avg(m*m)', 6)} AS bias, {R('coalesce(avg(l), 0)', 6)} AS ranking
+FROM a LEFT JOIN pr USING (dataset, article) GROUP BY dataset"""
+)
+def whole_article_losses(spark, d):
+    """The losses over whole articles (here twenty large ones per dataset), every pair of rows compared."""
+    z = records(spark, d).select("dataset", (F.col("article_key") % 20).alias("article"), (F.col("y") / 100000).alias("y"), (F.col("p") / 100000).alias("p"))
+    return rounded(am.whole_article_losses(z, ["article"], ["dataset"], block_rows=64), *am.LOSSES, digits=6)
+
+
 @query(
     f"""WITH {_LOSS} SELECT sum(n)::BIGINT AS rows, {R("sum(mse*n)/sum(n)", 6)} AS mse, {R("sum(consistency*n)/sum(n)", 6)} AS consistency, {R("sum(bias*n)/sum(n)", 6)} AS bias,
  {R("sum(ranking*n)/sum(n)", 6)} AS ranking, {R("sum((mse + 0.1*consistency + 0.2*ranking)*n)/sum(n)", 6)} AS total FROM los"""
