@@ -14,7 +14,8 @@ A document's set is its distinct five-word shingles. Steps:
    below (where a pair's first common shingle stands at places ``i, j``, it has at most ``min(a - i, b - j)`` in common). The trees of all lists
    of a batch are walked together, many node pairs at a time. A list of more than :data:`CELL` items is cut into blocks by hash, and every
    two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Bitmaps
-   have one width, so what is shuffled grows with the number of postings.
+   have one width, so what is shuffled grows with the number of postings. A pair is left to the list of an earlier common shingle, where the
+   first four shingles of both show that there is one; so pairs with many common shingles are not found once for each.
 5. Pairs that the leaves cannot rule out are compared by bitmaps as wide as their sets are large, then by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
@@ -43,6 +44,8 @@ FREQUENT = 100_000
 LEAF, FAN = 8, 4
 #: Bits of a bitmap, and node pairs compared at a time.
 SKETCH, AT_ONCE = 512, 4096
+#: First shingles of a prefix that travel with its postings.
+HEAD = 4
 #: Posting lists with more items than this are dealt into cells of at most about twice as many.
 CELL = 2000
 
@@ -204,9 +207,16 @@ def _children(start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _met_before(head: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have a common shingle among the first ones of both that stands before the shared one: they meet in that shingle's list."""
+    known = np.arange(HEAD) < pos[:, None]
+    return ((head[i][:, :, None] == head[j][:, None, :]) & known[i][:, :, None] & known[j][:, None, :]).any(axis=(1, 2))
+
+
+def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Item pairs of one list and of different components that positions and bitmaps cannot rule out: dual traversal of every list's tree with
-    itself, many node pairs at a time. Items with a ``side`` (not negative) pair with those of another side only."""
+    itself, many node pairs at a time. Items with a ``side`` (not negative) pair with those of another side only. With ``head`` (the first
+    shingles of each item's set) pairs that surely meet in an earlier list are left to it."""
     levels = build_trees(first, n, comp, left, bits)
     roots = np.arange(len(levels[-1].n0))
     found, stack = [], [(len(levels) - 1, roots, roots)]
@@ -229,6 +239,8 @@ def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None
         i, j = i[ok], j[ok]
         need = _need(n[i], n[j], percent)
         ok = np.minimum(left[i], left[j]) >= need
+        if head is not None:
+            ok[ok] = ~_met_before(head, n - left, i[ok], j[ok])
         i, j, need = i[ok], j[ok], need[ok]
         x, y = bits[i], bits[j]
         most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
@@ -243,6 +255,15 @@ def _bitmaps(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), SKETCH // 8).view(np.uint64)
 
 
+def _heads(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    flat, row = column.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    out = np.zeros((len(sizes), HEAD), np.int64)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
+
+
 def _search(percent: int):
     """Over rows sorted by token, cell and size: one tree per cell of a posting list. The cells of a batch are searched together; a cell that
     goes on in the next batch is held back."""
@@ -252,7 +273,7 @@ def _search(percent: int):
         first = np.concatenate(([0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(cell)]))
         n, comp, rep = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "rep"))
         side = np.where(cell[:, 1] != cell[:, 2], rows.column("block").to_numpy(), -1)
-        i, j = tree_pairs(first, n, comp, n - rows.column("pos").to_numpy(), _bitmaps(rows.column("sign")), percent, side)
+        i, j = tree_pairs(first, n, comp, n - rows.column("pos").to_numpy(), _bitmaps(rows.column("sign")), percent, side, _heads(rows.column("head")))
         pairs = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -356,9 +377,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keyed: bool = False) ->
     scratch.drop("posts")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
     mixed = mixed.select("token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
-    items = placed.join(mixed, "token").join(base.select("rep", "sign"), "rep")
+    items = placed.join(mixed, "token").join(base.select("rep", "sign", F.slice("prefix", 1, HEAD).alias("head")), "rep")
     items = items.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign")
+    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign", "head")
     cell = ["token", "row", "column"]
     found = items.repartition(*cell).sortWithinPartitions(*cell, "n", "rep").mapInArrow(_search(percent), "a long, b long")
     more = _verified(scratch.put(found, "found"), base, texts, scratch, "tree", percent)

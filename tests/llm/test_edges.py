@@ -120,6 +120,20 @@ def test_signature_tree_keeps_every_link():
     i, j = ngram_join.tree_pairs(whole, n, comp, n, signs, 80, side)
     assert set(zip(i.tolist(), j.tolist())) == {(i, j) for i, j in got if comp[i] != comp[j] and side[i] != side[j]}
     assert ngram_join.tree_pairs(whole, n, np.zeros(len(n), int), n, signs, 80)[0].size == 0
+    # over all posting lists, links stay and are found about once
+    lists, rows = {}, []
+    for k, v in enumerate(sets):
+        for pos, token in enumerate(v[: len(v) - -(-80 * len(v) // 100) + 1].tolist()):
+            lists.setdefault(token, []).append((k, pos))
+    head = np.zeros((len(sets), ngram_join.HEAD), np.int64)
+    for k, v in enumerate(sets):
+        head[k, : min(len(v), ngram_join.HEAD)] = v[: ngram_join.HEAD].view(np.int64)
+    found = []
+    for posts in lists.values():
+        k, pos = np.array(posts).T
+        i, j = ngram_join.tree_pairs(np.array([0, len(k)]), n[k], k, n[k] - pos, signs[k], 80, None, head[k])
+        found += list(zip(k[i].tolist(), k[j].tolist()))
+    assert want <= set(found) and len(found) < 1.2 * len(set(found))
 
 
 def plain_passages(rows, size=20):
