@@ -6,9 +6,12 @@ import itertools
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litprops.operators.spread import contiguous_index
+
+
 def pairs(d1: Sequence[float], d2: Sequence[float], rule: str) -> list[list]:
     """``[d1, d2]`` values of a constrained dimension: rule ``d1_gt_d2`` or ``d1_eq_2d2``."""
     tests = {"d1_gt_d2": lambda a, b: a > b, "d1_eq_2d2": lambda a, b: a == 2 * b}
@@ -76,6 +79,17 @@ def trial_results(trials: DataFrame, results: DataFrame) -> DataFrame:
     return trials.join(results, "trial", "inner")
 
 
+def trial_number(name: Column | str) -> Column:
+    """The number at the end of a trial's name; NULL without one."""
+    return F.regexp_extract(F.col(name) if isinstance(name, str) else name, r"(\d+)\z", 1).try_cast("bigint")
+
+
+def trial_order(trials: DataFrame, name: str = "trial_name", out: str = "position") -> DataFrame:
+    """Trials numbered from 1 by their number, not by its text (``trial_9`` before ``trial_10``); names without a number come last, by name."""
+    ordered = trials.withColumns({"_none": trial_number(name).isNull(), "_number": F.coalesce(trial_number(name), F.lit(0).cast("bigint"))})
+    return contiguous_index(ordered.withColumn("_key", F.struct("_none", "_number", name)), "_key", out).withColumn(out, F.col(out) + 1).drop("_none", "_number", "_key")
+
+
 def best_trial(scored: DataFrame, metric: str, larger_is_better: bool = True) -> DataFrame:
     """The best trial on a validation metric; the smallest trial number wins a tie."""
     order = F.desc(metric) if larger_is_better else F.asc(metric)

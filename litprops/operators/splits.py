@@ -90,3 +90,8 @@ def sizes(split: DataFrame) -> DataFrame:
     return split.groupBy("dataset", "split_name").agg(
         *[F.count_if(F.col("part") == p).alias(p) for p in ("train", "val", "test")], F.count(F.lit(1)).alias("total")
     )
+
+
+def stacked(records: DataFrame, split: DataFrame, parts: Sequence[str] = ("train", "val"), prop: str = "property") -> DataFrame:
+    """Rows of several properties (datasets) under each other, in the wanted parts, with their property: the input of a joint fit."""
+    return gather(records, split.filter(F.col("part").isin(*parts))).withColumnRenamed("dataset", prop)

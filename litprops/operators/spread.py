@@ -209,9 +209,9 @@ def contiguous_index(df: DataFrame, order: str, out: str = "idx", by: Sequence[s
         return running_total(df, order, F.lit(1).cast("bigint"), out, by, ties, **kw).withColumn(out, F.col(out) - 1)
     by = list(by)
     rows = in_order(df, [*by, order, *ties])
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
-    firsts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    numbered = rows.join(F.broadcast(firsts), "_part").withColumn("_g", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    firsts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = rows.join(F.broadcast(firsts), "_part").withColumn("_g", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
     if not by:
         return numbered.withColumnRenamed("_g", out)
     least = numbered.groupBy(*by).agg(F.min("_g").alias("_least"))

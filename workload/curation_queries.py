@@ -8,14 +8,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from litprops.functions.text import normalize_doi
-from litprops.operators import curation, regress, splits, validate
+from litprops.operators import curation, mining, regress, splits, validate, vectors
+from litprops.operators.metrics import regression_metrics
 from litprops.operators.spread import contiguous_index
 from litprops.session import settle, shared_dir
 from litprops.sources import records as records_source
 from litprops.sources import sinks
 from litprops.sources.json_arrays import read_json_arrays
 from litprops.streaming import ingest
-from workload.bindings import REC, entry_json, records
+from workload.bindings import REC, SPLIT, entry_json, records, split
 from workload.mining_queries import ERRORS
 from workload.registry import R, query, rnd, rounded, table
 
@@ -157,6 +158,81 @@ def record_arrays_read(spark, d):
     )
 
 
+# ---- sinks, read back
+
+
+def _folder(spark, what):
+    return f"{shared_dir(spark).rstrip('/')}/litprops-{what}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {SPLIT} SELECT dataset, split_name, part, pos, row_idx FROM split")
+def splits_written(spark, d):
+    """The long split table, written by dataset and split and read back."""
+    folder = _folder(spark, "splits")
+    sinks.write_splits(split(spark, d), folder)
+    return records_source.read_splits(spark, folder).select("dataset", "split_name", "part", "pos", "row_idx")
+
+
+@query("SELECT filename, count(*) AS times FROM (SELECT 'f' || o_orderkey AS filename FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'f' || o_orderkey FROM orders WHERE o_orderkey % 7 = 0) GROUP BY filename")
+def no_data_written(spark, d):
+    """Files without data, appended by two runs."""
+    folder, k = _folder(spark, "no-data"), F.col("o_orderkey")
+    for n in (5, 7):
+        sinks.write_no_data(table(spark, d, "orders").filter(k % n == 0).select(F.concat(F.lit("f"), k.cast("string")).alias("filename")), folder)
+    return spark.read.schema("filename STRING").json(f"{folder}/no_data").groupBy("filename").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0 OR o_orderkey % 32 = 7)")
+def pending_after_done(spark, d):
+    """Work left after two runs marked what they finished."""
+    folder, o = _folder(spark, "done"), table(spark, d, "orders")
+    sinks.mark_done(o.filter("o_custkey % 3 = 0").select("o_custkey"), folder)
+    sinks.mark_done(o.filter("o_orderkey % 32 = 7").select("o_custkey"), folder)
+    return mining.pending(o.select("o_custkey").distinct(), spark.read.schema("o_custkey BIGINT").parquet(f"{folder}/done"), "o_custkey")
+
+
+@query("""SELECT 'f' || o_orderkey AS filename, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS first, o_orderpriority AS reasoning, CASE WHEN o_orderkey % 4 = 0 THEN 'no answer' END AS error FROM orders""")
+def trace_written(spark, d):
+    """What each stage made of each file, with the model's reasoning."""
+    folder, k = _folder(spark, "trace"), F.col("o_orderkey")
+    entries = F.when(k % 4 != 0, F.array(F.struct(F.col("o_custkey").alias("n"))))
+    stage = table(spark, d, "orders").select(
+        F.concat(F.lit("f"), k.cast("string")).alias("filename"), entries.alias("stage1_entries"), entries.alias("stage2_entries"), entries.alias("final_entries"),
+        F.col("o_orderpriority").alias("stage1_reasoning"), F.lit("r").alias("stage2_reasoning"), F.when(k % 4 == 0, "no answer").alias("error"),
+    )
+    sinks.write_trace(stage, folder)
+    back = spark.read.schema("filename STRING, final_entries STRING, stage1_reasoning STRING, error STRING").json(f"{folder}/trace")
+    return back.select("filename", F.get_json_object("final_entries", "$[0].n").cast("bigint").alias("first"), F.col("stage1_reasoning").alias("reasoning"), "error")
+
+
+@query(f"WITH {REC} SELECT dataset, part, count(*) AS n, {R('sqrt(avg((y-p)*(y-p)))')} AS rmse, {R('avg(abs(y-p))')} AS mae FROM rec GROUP BY ALL")
+def metrics_written(spark, d):
+    """Metric rows as CSV, read back unchanged."""
+    folder = _folder(spark, "metrics")
+    sinks.write_metrics(regression_metrics(records(spark, d), ["dataset", "part"]), folder)
+    back = spark.read.option("header", True).schema("dataset STRING, part STRING, n BIGINT, r2 DOUBLE, rmse DOUBLE, mae DOUBLE").csv(folder)
+    return rounded(back.drop("r2"), "rmse", "mae")
+
+
+@query(f"WITH {REC} SELECT row_idx, dataset, y, p, CASE part WHEN 'train' THEN 'before' ELSE 'after' END AS stage FROM rec")
+def predictions_written(spark, d):
+    """Prediction rows, one folder per stage."""
+    folder = _folder(spark, "predictions")
+    rows = records(spark, d).select("row_idx", "dataset", "y", "p", F.when(F.col("part") == "train", "before").otherwise("after").alias("stage"))
+    sinks.write_predictions(rows, folder, "stage")
+    return spark.read.schema("row_idx BIGINT, dataset STRING, y DOUBLE, p DOUBLE, stage STRING").json(folder)
+
+
+@query("SELECT vec_id // 5 AS row_idx, string_agg(vec_id || '=' || label, ' ' ORDER BY vec_id) AS weights FROM embeddings GROUP BY ALL")
+def token_weights_written(spark, d):
+    """Weights of every token of a record (here its label), as a list per record."""
+    folder = _folder(spark, "weights")
+    tokens = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("row_idx"), F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("token"), F.col("label").cast("double").alias("alpha"))
+    sinks.write_token_weights(vectors.token_weights(tokens, ["row_idx"]), folder)
+    back = spark.read.schema("row_idx BIGINT, weights ARRAY<STRUCT<pos: BIGINT, token: STRING, weight: DOUBLE>>").json(folder)
+    return back.select("row_idx", F.array_join(F.transform("weights", lambda w: F.concat(w["token"], F.lit("="), w["weight"].cast("bigint").cast("string"))), " ").alias("weights"))
+
+
 # ---- regression on vectors (no SQL: iterative or linear-algebra results)
 
 

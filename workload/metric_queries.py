@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litprops.operators import article_metrics as am
@@ -318,9 +317,7 @@ def fixed_batches(spark, d):
 @query(f"WITH {SPLIT} SELECT dataset AS property, split_name, part, count(*) AS n, sum(row_idx)::BIGINT AS checksum FROM split WHERE part <> 'test' GROUP BY ALL")
 def joint_training_rows(spark, d):
     """Training and validation rows of all properties, stacked with their property."""
-    rows = splits.gather(records(spark, d).select("dataset", "row_idx", "y"), split(spark, d))
-    stacked = rows.filter("part = 'train'").unionByName(rows.filter("part = 'val'")).withColumnRenamed("dataset", "property")
-    return stacked.groupBy("property", "split_name", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("row_idx").alias("checksum"))
+    return splits.stacked(records(spark, d).select("dataset", "row_idx", "y"), split(spark, d)).groupBy("property", "split_name", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("row_idx").alias("checksum"))
 
 
 @query(
@@ -375,5 +372,4 @@ def append_rows(spark, d):
 def trial_order(spark, d):
     """Trials by number, not by text (a few dozen names)."""
     names = table(spark, d, "part").select(F.concat(F.lit("trial_"), F.col("p_size").cast("string")).alias("trial_name")).distinct()
-    number = F.regexp_extract("trial_name", r"(\d+)\z", 1).cast("int")
-    return names.select("trial_name", F.row_number().over(Window.orderBy(number)).cast("bigint").alias("position"))
+    return grid.trial_order(names)
