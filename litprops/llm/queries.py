@@ -96,7 +96,8 @@ def op6_line_dedup(spark, sf_dir):
 WITH s AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
 r AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM s) * sqrt(size) / (SELECT sum(sqrt(size)) FROM s) / size ELSE 1 END AS rate FROM s),
 c AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
-  SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) AS p FROM r, range(0, 200) t(k))),
+  SELECT source, k, exp(-rate + k * ln(rate) - CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) AS p
+  FROM (SELECT source, rate, unnest(range(0, CAST(rate + 12 * sqrt(rate) + 60 AS BIGINT))) AS k FROM r))),
 u AS (SELECT *, CAST(('0x' || substr(md5('mix:' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 n AS (SELECT u.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.c <= u.u) AS n FROM u),
 e AS (SELECT *, unnest(range(1, n + 1)) AS k FROM n)
@@ -109,11 +110,12 @@ def op9_mixing_sources(spark, sf_dir):
 @query(
     rf"""
 WITH d AS (SELECT doc_id, {words(ASCII_LOWER)} AS w FROM documents),
-b AS (SELECT item_id, w AS item FROM (SELECT item_id, {words(ASCII_LOWER)} AS w FROM benchmark) WHERE len(w) > 0),
-m(k, m) AS (VALUES (0, [0, 1, 2, 3, 6, 7]), (1, [0, 1, 3, 5, 6, 7])),
-ds AS (SELECT doc_id, k, p, list_transform(m, lambda o: w[p + o]) AS s FROM (SELECT doc_id, k, m, w, unnest(range(1, len(w) + 1 - m[6])) AS p FROM d, m)),
-bs AS (SELECT item_id, k, p, list_transform(m, lambda o: item[p + o]) AS s FROM (SELECT item_id, k, m, item, unnest(range(1, len(item) + 1 - m[6])) AS p FROM b, m)),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.k = bs.k AND ds.s = bs.s),
+b AS (SELECT item_id, w AS item, least(13, len(w)) AS size, size - CAST(ceil(80 * size / 100.0) AS INTEGER) AS replaced,
+  CAST(ceil((size - replaced) / (replaced + 1.0)) AS INTEGER) AS run FROM (SELECT item_id, {words(ASCII_LOWER)} AS w FROM benchmark) WHERE len(w) > 0),
+-- so many words at least stand unchanged in a row wherever that many may be replaced
+ds AS (SELECT doc_id, run, p, array_to_string(w[p:p + run - 1], ' ') AS s FROM (SELECT doc_id, run, w, unnest(range(1, len(w) + 2 - run)) AS p FROM d, (SELECT DISTINCT run FROM b))),
+bs AS (SELECT item_id, run, p, array_to_string(item[p:p + run - 1], ' ') AS s FROM (SELECT item_id, run, item, unnest(range(1, len(item) + 2 - run)) AS p FROM b)),
+h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs ON ds.run = bs.run AND ds.s = bs.s),
 s AS (SELECT doc_id, item_id, len(item) AS n_item, least(13, len(item)) AS size, list_transform(
     range(greatest(0, -shift) + 1, least(len(item), len(w) - shift) + 1), lambda p: CAST(item[p] = w[p + shift] AS INTEGER)) AS same
   FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
