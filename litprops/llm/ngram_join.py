@@ -15,7 +15,7 @@ A document's set is its distinct five-word shingles. Steps:
    of a batch are walked together, many node pairs at a time. A list of more than :data:`CELL` items is cut into blocks by hash, and every
    two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Bitmaps
    have one width, so what is shuffled grows with the number of postings. A pair is left to the list of an earlier common shingle, where the
-   first four shingles of both show that there is one; so pairs with many common shingles are not found once for each.
+   first sixteen shingles of both show that there is one; so pairs with many common shingles are not found once for each.
 5. Pairs that the leaves cannot rule out are compared by bitmaps as wide as their sets are large, then by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
@@ -44,8 +44,8 @@ FREQUENT = 100_000
 LEAF, FAN = 8, 4
 #: Bits of a bitmap, and node pairs compared at a time.
 SKETCH, AT_ONCE = 512, 4096
-#: First shingles of a prefix that travel with its postings.
-HEAD = 4
+#: First shingles of a prefix that travel with its postings (128 bytes).
+HEAD = 16
 #: Posting lists with more items than this are dealt into cells of at most about twice as many.
 CELL = 2000
 
@@ -210,7 +210,11 @@ def _children(start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 def _met_before(head: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs have a common shingle among the first ones of both that stands before the shared one: they meet in that shingle's list."""
     known = np.arange(HEAD) < pos[:, None]
-    return ((head[i][:, :, None] == head[j][:, None, :]) & known[i][:, :, None] & known[j][:, None, :]).any(axis=(1, 2))
+    met = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4 * AT_ONCE):
+        a, b = i[k : k + 4 * AT_ONCE], j[k : k + 4 * AT_ONCE]
+        met[k : k + len(a)] = ((head[a][:, :, None] == head[b][:, None, :]) & known[a][:, :, None] & known[b][:, None, :]).any(axis=(1, 2))
+    return met
 
 
 def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
