@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litprops.operators.spread import attach_small, contiguous_index
+
 
 def write_routed(validated: DataFrame, folder: str, entry: str = "entry", source_file: str = "filename") -> None:
     """Valid entries to ``folder/route=extracted``, error rows with their errors and ``source_file`` to ``folder/route=format_errors``.
@@ -39,6 +43,21 @@ def write_dataset(records: DataFrame, folder: str) -> None:
     (writer.partitionBy("dataset") if "dataset" in out.columns else writer).json(folder)
 
 
+def write_json_arrays(records: DataFrame, folder: str, order: str, fields: Sequence[str], dataset: str = "dataset") -> None:
+    """Records of each dataset as one JSON array in one file, in ``order``, under ``folder/dataset=...``; a record without a dataset has no file.
+
+    A file is one task's, so every dataset has a number and its rows go to the task of that number. A repartition by the name would be left out
+    of the plan after a join by the name, and the joined rows may lie anywhere once adaptive execution has turned that join into a broadcast.
+    """
+    rows = contiguous_index(records, order, "_at", [dataset])
+    sizes = rows.groupBy(dataset).agg(F.max("_at").alias("_last")).filter(F.col(dataset).isNotNull())
+    numbered = sizes.withColumn("_file", F.row_number().over(Window.orderBy(dataset)) - 1)  # over one row per dataset
+    line = F.concat(F.when(F.col("_at") == 0, "[").otherwise(" ,"), F.to_json(F.struct(*fields)), F.when(F.col("_at") == F.col("_last"), "]").otherwise(""))
+    lines = attach_small(rows, numbered, [dataset], "inner").select(dataset, "_at", "_file", line.alias("line"))
+    placed = lines.repartitionById(max(1, numbered.count()), "_file").sortWithinPartitions(dataset, "_at")
+    placed.select(dataset, "line").write.partitionBy(dataset).text(folder)
+
+
 def write_splits(split: DataFrame, folder: str) -> None:
     split.write.mode("overwrite").partitionBy("dataset", "split_name").parquet(folder)
 

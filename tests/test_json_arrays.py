@@ -76,3 +76,27 @@ def test_broken_files_are_named(spark, tmp_path, split):
             read(spark, folder, split)
         with pytest.raises(Exception, match=f"bad{i}.json"):
             read_json_arrays(spark, str(folder)).count()
+
+
+def test_each_dataset_is_written_as_one_file(spark, tmp_path):
+    """Rows of a dataset meet in one file, in order, also where a join by dataset is turned into a broadcast while the job runs."""
+    from litprops.sources.sinks import write_json_arrays
+
+    data = [(i, None if i % 10 == 9 else f"d {i % 3}", i / 2) for i in range(3000)]
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.files.maxPartitionBytes": "4000"}
+    old = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        rows = spark.createDataFrame(data, "row_idx long, dataset string, y double").repartition(16)
+        write_json_arrays(rows, str(tmp_path / "out"), "row_idx", ["row_idx", "dataset", "y"])
+        back = read_json_arrays(spark, str(tmp_path / "out" / "*" / "*.txt")).select("position", F.to_json("entry").alias("e")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    for name in ("d 0", "d 1", "d 2"):
+        files = list((tmp_path / "out").glob(f"dataset={name}/*.txt"))
+        want = [{"row_idx": i, "dataset": d, "y": y} for i, d, y in data if d == name]
+        assert len(files) == 1 and json.loads(files[0].read_text()) == want
+    assert len(back) == sum(d is not None for _, d, _ in data)
+    assert all(json.loads(r.e)["row_idx"] == [i for i, d, _ in data if d == json.loads(r.e)["dataset"]][r.position] for r in back)

@@ -145,11 +145,7 @@ def _nested_records(spark, d):
 def record_arrays_read(spark, d):
     """One JSON array per dataset, each in one file, cut into splits and read back with list positions."""
     folder = f"{shared_dir(spark).rstrip('/')}/litprops-arrays-{uuid.uuid4().hex}"
-    r = contiguous_index(_nested_records(spark, d), "row_idx", "at", ["dataset"])
-    sizes = r.groupBy("dataset").agg(F.max("at").alias("last"))
-    line = F.concat(F.when(F.col("at") == 0, "[").otherwise(" ,"), F.to_json(F.struct("row_idx", "dataset", "y", "note", "monomers")), F.when(F.col("at") == F.col("last"), "]").otherwise(""))
-    lines = r.join(sizes, "dataset").select("dataset", "at", line.alias("line"))
-    lines.repartition("dataset").sortWithinPartitions("dataset", "at").select("dataset", "line").write.partitionBy("dataset").text(folder)
+    sinks.write_json_arrays(_nested_records(spark, d), folder, "row_idx", ["row_idx", "dataset", "y", "note", "monomers"])
     back = read_json_arrays(spark, f"{folder}/*/*.txt")
     take = lambda path, kind: F.variant_get("entry", path, kind)
     return back.select(
