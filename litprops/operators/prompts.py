@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litprops.functions.hashing import pick
 from litprops.functions.text import json_string, python_json_numbers, python_json_spacing
 from litprops.functions.variants import child, elements, is_kind
+from litprops.operators.spread import attach_small
 
 STRUCT = "struct"
 WITH = "analysis_with_hierarchical_structure"
@@ -130,11 +131,11 @@ def missing_input(df: DataFrame, entry: str, input_type: int, by: list[str]) ->
 
 def extraction_prompt(df: DataFrame, templates: DataFrame, text: str = "text", prop: str = "property") -> DataFrame:
     """Template of each row's property, a line feed, the article text. ``templates`` is ``(property, template)``, one row per property;
-    a property without a template is an error."""
-    known = templates.select(F.col("property").alias("_known"), F.col("template").alias("_template"))
+    a property without a template is an error. Properties are few and each has very many articles, so whole texts never move by property."""
+    known = templates.select(F.col("property").alias(prop), F.col("template").alias("_template"))
     missing = F.raise_error(F.concat(F.lit("no prompt template for property "), F.coalesce(F.col(prop), F.lit("NULL"))))
     template = F.when(F.col("_template").isNull(), missing).otherwise(F.col("_template"))
-    return df.join(known, F.col(prop) == F.col("_known"), "left").withColumn("prompt", F.concat(template, F.lit("\n"), F.col(text))).drop("_known", "_template")
+    return attach_small(df, known, [prop]).withColumn("prompt", F.concat(template, F.lit("\n"), F.col(text))).select(*dict.fromkeys([*df.columns, "prompt"]))
 
 
 def default_extraction_template(prop: str) -> str:

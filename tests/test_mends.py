@@ -37,6 +37,15 @@ def test_unknown_property_is_an_error(spark):
         prompts.extraction_prompt(df, templates).collect()
 
 
+def test_articles_do_not_move_by_property(spark):
+    """A property has very many articles, so whole texts are never shuffled by it."""
+    templates = spark.createDataFrame([("a", "Do a.")], "property string, template string")
+    df = spark.createDataFrame([(i, "a", "t" * i) for i in range(9)], "doc_id int, property string, text string")
+    out = prompts.extraction_prompt(df, templates)
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString() and out.columns == [*df.columns, "prompt"]
+    assert {r.doc_id: r.prompt for r in out.collect()} == {i: "Do a.\n" + "t" * i for i in range(9)}
+
+
 def test_broken_record_file_is_an_error(spark, tmp_path):
     (tmp_path / "tg.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     assert records.read_record_json(spark, str(tmp_path)).count() == 2
