@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litprops.operators import article_metrics as am
 from litprops.operators import articles, baseline, batches, grid, metrics, regress, scaling, splits
+from litprops.operators.spread import null_safe_join
 from litprops.plans import jobs
 from tests.conftest import rows
 
@@ -294,3 +295,29 @@ def test_whole_article_losses(spark, block):
         assert got[name].articles == len(groups) and got[name].n == sum(map(len, groups.values()))
         for k, v in want.items():
             assert got[name][k] == pytest.approx(v)
+
+
+@pytest.mark.parametrize("spread", [0.5, 40.0])
+def test_whole_article_losses_of_large_articles(spark, monkeypatch, spread):
+    """An article is eight blocks however small ``block_rows`` is, so its rows are not copied once per ``block_rows`` rows; a bounded block
+    gives more of them. Predictions near each other, far from each other, NaN and infinite ones."""
+    rng = np.random.default_rng(7)
+    data = [("big", float(y), float(p)) for y, p in zip(rng.integers(0, 900, 3000), rng.normal(size=3000) * spread)]
+    data += [("odd", float(i % 4), p) for i, p in enumerate([1.0, float("nan"), float("inf"), -float("inf"), 3.0, 0.0, -1.0, float("nan")])]
+    if spread == 0.5:
+        data = [r for r in data if r[0] == "big"]
+    df = spark.createDataFrame(data, "article string, y double, p double")
+    means = []
+    for name in {a for a, _, _ in data}:
+        y, p = np.array([r[1:] for r in data if r[0] == name]).T
+        with np.errstate(invalid="ignore"):
+            x = p[:, None] - p[None, :]
+        means.append(np.log1p(np.exp(np.where(np.isnan(x), 50.0, np.clip(x, -50, 50))))[y[:, None] < y[None, :]].mean())
+    placed = []
+    monkeypatch.setattr(am, "null_safe_join", lambda a, b, on, *how: placed.append((a, b)) or null_safe_join(a, b, on, *how))
+    for most in (65_536, 100):
+        monkeypatch.setattr(am, "MOST_BLOCK", most)
+        placed.clear()
+        assert am.whole_article_losses(df, ["article"], block_rows=1).first().ranking == pytest.approx(np.mean(means), rel=1e-9)
+        last = placed[0][1].filter("article = 'big'").first()["_last"]
+        assert last + 1 == (8 if most > 1000 else 30)
