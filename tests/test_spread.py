@@ -119,3 +119,8 @@ def test_hashable_looks_inside(spark):
 def test_widen(spark):
     assert spread.widen(spark.range(0, 100, 1, 2), 4).rdd.getNumPartitions() == 4
     assert spread.widen(spark.range(0, 100, 1, 6), 4).rdd.getNumPartitions() == 6
+
+
+def test_widen_bounds_the_rows_of_a_task(spark):
+    assert spread.widen(spark.range(0, 1001, 1, 4), 4, 100).rdd.getNumPartitions() == 11
+    assert spread.widen(spark.range(0, 0, 1, 4), 4, 100).rdd.getNumPartitions() == 4

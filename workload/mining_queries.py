@@ -126,7 +126,7 @@ ERRORS = f"""{ENTRY}, chk AS (SELECT row_idx, filename, entry_text, CASE WHEN js
 
 
 def _validated(spark, d):
-    entries = widen(entry_json(spark, d)).select("row_idx", "filename", F.try_parse_json("entry_text").alias("entry"))
+    entries = entry_json(spark, d).select("row_idx", "filename", F.try_parse_json("entry_text").alias("entry"))
     return validate.validate(entries, "entry", "price")
 
 
@@ -239,7 +239,7 @@ def _prompt_records(spark, d):
         ),
         F.lit('"properties":{"price":{"value":[1],"unit":'), F.when(k % 3 == 0, "null").otherwise('"EUR"'), F.lit("}}}"),
     )
-    return widen(table(spark, d, "part").select(k.alias("row_idx"), entry.alias("entry")))
+    return widen(table(spark, d, "part")).select(k.alias("row_idx"), entry.alias("entry"))
 
 
 _RATIO = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{shown}'" for i, (_, shown) in enumerate(_NUMBERS) if shown) + " ELSE p_size::VARCHAR END"
