@@ -121,6 +121,16 @@ def test_widen(spark):
     assert spread.widen(spark.range(0, 100, 1, 6), 4).rdd.getNumPartitions() == 6
 
 
+def test_deal_bounds_the_rows_of_a_task(spark):
+    """Adaptive execution leaves the given number of partitions alone, equal keys meet, and few rows move no more than before."""
+    df = spark.range(4000).select((F.col("id") % 500).alias("k"), "id")
+    parts = spark.sparkContext.defaultParallelism * 5
+    dealt = spread.deal(df, ["k"], 4000, 4000 // parts).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.spark_partition_id().alias("part"))
+    assert {(r.k, r.n) for r in dealt.collect()} == {(k, 8) for k in range(500)}
+    assert dealt.select("part").distinct().count() > spark.sparkContext.defaultParallelism * 3
+    assert spread.deal(df, ["k"], 4000) is df
+
+
 def test_widen_bounds_the_rows_of_a_task(spark):
     assert spread.widen(spark.range(0, 1001, 1, 4), 4, 100).rdd.getNumPartitions() == 11
     assert spread.widen(spark.range(0, 0, 1, 4), 4, 100).rdd.getNumPartitions() == 4
