@@ -13,10 +13,11 @@ A document's set is its distinct five-word shingles. Steps:
    a pair of nodes inside one component, of unfit sizes, with too few common bits or too late positions is dropped with all that stands
    below (where a pair's first common shingle stands at places ``i, j``, it has at most ``min(a - i, b - j)`` in common). The trees of all lists
    of a batch are walked together, many node pairs at a time. A list of more than :data:`CELL` items is cut into blocks by hash, and every
-   two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Bitmaps
-   have one width, so what is shuffled grows with the number of postings. A pair is left to the list of an earlier common shingle, where the
-   first sixteen shingles of both show that there is one; so pairs with many common shingles are not found once for each.
-5. Pairs that the leaves cannot rule out are compared by bitmaps as wide as their sets are large, then by whole sets. Links of steps 3 and 5 make the components.
+   two blocks make a cell with a tree of its own; so no task holds a whole long list, and every two items meet in exactly one cell. Of lists
+   with the same members only the first in the order is searched, which has every pair of the others. A pair is left to the list of an earlier
+   common shingle, where the last sixteen lists before show that there is one; so pairs with many common shingles are not found once for each.
+   The bitmaps of the trees have one width, and what the leaves have left is compared by bitmaps that grow with the sets up to :data:`WIDE` bits.
+5. The pairs found are compared by bitmaps as wide as their sets are large, then by whole sets. Links of steps 3 and 5 make the components.
 
 Shingles are compared as 64-bit hashes, sets in step 1 by 128 bits.
 
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litprops.llm.store import Scratch, components, named, only_ids, unnamed
@@ -44,8 +45,10 @@ FREQUENT = 100_000
 LEAF, FAN = 8, 4
 #: Bits of a bitmap, and node pairs compared at a time.
 SKETCH, AT_ONCE = 512, 4096
-#: First shingles of a prefix that travel with its postings (128 bytes).
+#: Earlier shingles of a prefix that travel with a posting (128 bytes).
 HEAD = 16
+#: Bits of the widest bitmap that travels with a posting.
+WIDE = 1 << 14
 #: Posting lists with more items than this are dealt into cells of at most about twice as many.
 CELL = 2000
 
@@ -105,9 +108,9 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def signature(s: np.ndarray) -> bytes:
-    """Bitmap of a set with two to four bits for each shingle; the width is a power of two, so that wide ones fold onto narrow ones."""
-    width = max(64, 1 << int(2 * len(s) - 1).bit_length())
+def signature(s: np.ndarray, most: int = 1 << 62) -> bytes:
+    """Bitmap of a set with two to four bits for each shingle, ``most`` in all; the width is a power of two, so that wide ones fold onto narrow ones."""
+    width = min(most, max(64, 1 << int(2 * len(s) - 1).bit_length()))
     bits = np.zeros(width, bool)
     bits[((s >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -125,7 +128,7 @@ def may_be_similar(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
 def _post(frequent: np.ndarray, percent: int):
     def run(iterator):
         for part in batches(iterator):
-            ids, sizes, prefixes, signs, wide = [], [], [], [], []
+            ids, sizes, prefixes, signs, leaves, wide = [], [], [], [], [], []
             for d, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1))):
                 n = len(s)
                 if not n:
@@ -139,10 +142,12 @@ def _post(frequent: np.ndarray, percent: int):
                 sizes.append(n)
                 prefixes.append(ordered[: n - -(-percent * n // 100) + 1].view(np.int64))
                 signs.append(sketch(s))
+                leaves.append(signature(s, WIDE))
                 wide.append(signature(s))
+            bitmaps = [pa.array(v, pa.binary()) for v in (signs, leaves, wide)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.binary()), pa.array(wide, pa.binary())],
-                names=["rep", "n", "prefix", "sign", "wide"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), *bitmaps],
+                names=["rep", "n", "prefix", "sign", "leaf", "wide"],
             )
 
     return run
@@ -207,9 +212,9 @@ def _children(start: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
     return i[keep], j[keep]
 
 
-def _met_before(head: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs have a common shingle among the first ones of both that stands before the shared one: they meet in that shingle's list."""
-    known = np.arange(HEAD) < pos[:, None]
+def _met_before(head: np.ndarray, many: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have a common shingle among the first ``many`` of ``head``, which stand before the shared one: they meet in that shingle's list."""
+    known = np.arange(HEAD) < many[:, None]
     met = np.zeros(len(i), bool)
     for k in range(0, len(i), 4 * AT_ONCE):
         a, b = i[k : k + 4 * AT_ONCE], j[k : k + 4 * AT_ONCE]
@@ -217,10 +222,30 @@ def _met_before(head: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray)
     return met
 
 
-def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None = None, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _fit(leaves: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs the bitmaps of their own widths allow; those of one width are compared together, the wider one of a pair folded onto the other."""
+    width = np.array([len(b) for b in leaves])
+    kinds = width[i] * (1 << 32) + width[j]
+    fit = np.zeros(len(i), bool)
+    for kind in np.unique(kinds).tolist():
+        of, low = np.flatnonzero(kinds == kind), min(kind >> 32, kind & 0xFFFFFFFF)
+        step = max(1, (1 << 19) // low)
+        for k in range(0, len(of), step):
+            at = of[k : k + step]
+            x, y = (np.bitwise_or.reduce(np.stack([leaves[p] for p in v[at].tolist()]).reshape(len(at), -1, low), axis=1) for v in (i, j))
+            a, b = n[i[at]], n[j[at]]
+            most = np.minimum(a - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), b - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            fit[at] = most >= _need(a, b, percent)
+    return fit
+
+
+def tree_pairs(
+    first, n, comp, left, bits, percent: int, side: np.ndarray | None = None, head: np.ndarray | None = None, many: np.ndarray | None = None, leaves: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Item pairs of one list and of different components that positions and bitmaps cannot rule out: dual traversal of every list's tree with
     itself, many node pairs at a time. Items with a ``side`` (not negative) pair with those of another side only. With ``head`` (the first
-    shingles of each item's set) pairs that surely meet in an earlier list are left to it."""
+    shingles of each item's set, or ``many`` others that stand before the shared one) pairs that surely meet in an earlier list are left to it.
+    With ``leaves`` (a bitmap of its own width for each item) what the trees have left is compared by them."""
     levels = build_trees(first, n, comp, left, bits)
     roots = np.arange(len(levels[-1].n0))
     found, stack = [], [(len(levels) - 1, roots, roots)]
@@ -244,11 +269,15 @@ def tree_pairs(first, n, comp, left, bits, percent: int, side: np.ndarray | None
         need = _need(n[i], n[j], percent)
         ok = np.minimum(left[i], left[j]) >= need
         if head is not None:
-            ok[ok] = ~_met_before(head, n - left, i[ok], j[ok])
+            ok[ok] = ~_met_before(head, n - left if many is None else many, i[ok], j[ok])
         i, j, need = i[ok], j[ok], need[ok]
         x, y = bits[i], bits[j]
         most = np.minimum(n[i] - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), n[j] - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-        found.append((i[most >= need], j[most >= need]))
+        i, j = i[most >= need], j[most >= need]
+        if leaves is not None and len(i):
+            fit = _fit(leaves, n, i, j, percent)
+            i, j = i[fit], j[fit]
+        found.append((i, j))
     return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in (zip(*found) if found else ((), ())))
 
 
@@ -259,13 +288,18 @@ def _bitmaps(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(len(column), SKETCH // 8).view(np.uint64)
 
 
-def _heads(column: pa.ChunkedArray) -> np.ndarray:
+def _leaves(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_buffer(), np.uint64) for b in column]
+
+
+def _heads(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The earlier shingles of every item, and how many there are."""
     column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
     flat, row = column.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
     out = np.zeros((len(sizes), HEAD), np.int64)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    return out
+    return out, sizes
 
 
 def _search(percent: int):
@@ -277,7 +311,8 @@ def _search(percent: int):
         first = np.concatenate(([0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, [len(cell)]))
         n, comp, rep = (rows.column(c).to_numpy().astype(np.int64) for c in ("n", "comp", "rep"))
         side = np.where(cell[:, 1] != cell[:, 2], rows.column("block").to_numpy(), -1)
-        i, j = tree_pairs(first, n, comp, n - rows.column("pos").to_numpy(), _bitmaps(rows.column("sign")), percent, side, _heads(rows.column("head")))
+        left, bits, leaves = n - rows.column("pos").to_numpy(), _bitmaps(rows.column("sign")), _leaves(rows.column("leaf"))
+        i, j = tree_pairs(first, n, comp, left, bits, percent, side, *_heads(rows.column("head")), leaves)
         pairs = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1), axis=0) if len(i) else np.empty((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -308,6 +343,17 @@ def _cells(blocks: Column, block: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(block, k).alias("row"), F.greatest(block, k).alias("column")))
 
 
+def _lists(placed: DataFrame) -> DataFrame:
+    """``token, blocks`` of the posting lists to search: those that hold more than one component, and of lists with the same members the first.
+    Members are compared by two 64-bit hashes, added up in halves of 32 bits; the place of one member tells which list is first."""
+    keys = [F.xxhash64("who", F.lit(k)) for k in range(2)]
+    halves = [h for k in keys for h in (F.shiftrightunsigned(k, 32), k.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    sums = [F.sum(h).alias(f"s{k}") for k, h in enumerate(halves)]
+    lists = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.min(F.struct("who", "pos")).alias("at"), *sums)
+    lists = lists.filter("x < y").groupBy("c", "at.who", *(f"s{k}" for k in range(4))).agg(F.min(F.struct("at.pos", "token")).alias("list"))
+    return lists.select("list.token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
+
+
 def _likely(percent: int):
     def run(iterator):
         for batch in iterator:
@@ -358,9 +404,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keyed: bool = False) ->
 
     scratch.drop("described")
     copies = members.filter("rep <> doc_id or n = 0").select("doc_id")
-    base = only_ids(texts, copies, "doc_id", "left_anti").mapInArrow(_post(frequent, percent), "rep long, n int, prefix array<long>, sign binary, wide binary")
-    base = scratch.put(base, "base")
-    posts = base.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
+    base = only_ids(texts, copies, "doc_id", "left_anti").mapInArrow(_post(frequent, percent), "rep long, n int, prefix array<long>, sign binary, leaf binary, wide binary")
+    # ``who`` tells texts apart that stand under one id
+    base = scratch.put(base.withColumn("who", F.xxhash64("rep", "prefix")), "base")
+    posts = base.select("rep", "n", "who", F.posexplode("prefix").alias("pos", "token"))
     # of two similar sets the smaller one has its first common shingle among these, so a list without one links nothing
     early = F.col("n") - F.col("pos") >= F.ceil(2 * percent * F.col("n") / (100 + percent))
     shared = posts.groupBy("token").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.max(early).alias("early")).filter("lo < hi and early").drop("early")
@@ -376,14 +423,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, keyed: bool = False) ->
     star = _verified(near.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")), base, texts, scratch, "star", percent)
     first = scratch.put(components(star, scratch, "first"), "first")
 
-    placed = posts.select("token", "rep", "n", "pos").join(first, posts.rep == first.node, "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp"))
+    placed = posts.select("token", "rep", "who", "n", "pos").join(first, posts.rep == first.node, "left").select("token", "rep", "who", "n", "pos", F.coalesce("component", "rep").alias("comp"))
     placed = scratch.put(placed, "placed")
     scratch.drop("posts")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
-    mixed = mixed.select("token", F.when(F.col("c") > CELL, F.ceil(F.col("c") / CELL)).otherwise(1).cast("int").alias("blocks"))
-    items = placed.join(mixed, "token").join(base.select("rep", "sign", F.slice("prefix", 1, HEAD).alias("head")), "rep")
+    items = placed.join(_lists(placed), "token").repartition("rep")
+    before = Window.partitionBy("rep", "who").orderBy("pos").rowsBetween(-HEAD, -1)
+    items = items.withColumn("head", F.collect_list("token").over(before)).join(base.select("rep", "who", "sign", "leaf"), ["rep", "who"])
     items = items.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign", "head")
+    items = items.select("token", F.inline(_cells(F.col("blocks"), F.col("block"))), "comp", "n", "pos", "rep", "block", "sign", "leaf", "head")
     cell = ["token", "row", "column"]
     found = items.repartition(*cell).sortWithinPartitions(*cell, "n", "rep").mapInArrow(_search(percent), "a long, b long")
     more = _verified(scratch.put(found, "found"), base, texts, scratch, "tree", percent)

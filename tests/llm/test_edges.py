@@ -83,6 +83,34 @@ def test_long_posting_lists_in_cells(spark, monkeypatch):
     assert got[2000] == got[3] == got[1] == want and len({c for _, c in want.values()}) > 5
 
 
+def test_trees_leave_pairs_of_a_shared_passage_out(spark, monkeypatch):
+    """Long documents round one passage, just under the threshold, and a few copies of them: the trees find next to nothing but links, each about
+    once, where every two documents share some 80 posting lists and 512 bits are too few to tell their own words apart."""
+    rng = random.Random(29)
+    shared = [f"s{i}" for i in range(1200)]
+    texts = {i: " ".join(shared + [f"w{rng.randrange(10**9)}" for _ in range(265)]) for i in range(40)}
+    texts |= {100 + i: " ".join(texts[i].split(" ")[: 1380 + 9 * i]) for i in range(6)}
+    rows, put = {}, ngram_join.Scratch.put
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "put", counted)
+    found = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == plain_components(texts)
+    assert rows["found"] <= 3 * len(texts)
+
+
+def test_lists_with_the_same_members_are_searched_once(spark):
+    """The first list of equal members stays, whatever its token; members count as often as they are posted, texts of one id apart."""
+    rows = [(t, who, pos, who // 10) for t, at in ((9, {11: 0, 21: 2}), (3, {11: 1, 21: 3}), (5, {11: 2, 21: 4, 31: 0}), (4, {11: 3, 22: 0}), (7, {41: 0, 42: 1})) for who, pos in at.items()]
+    rows += [(6, 11, 4, 1), (6, 11, 4, 1), (6, 31, 1, 3), (8, 21, 5, 2), (8, 21, 5, 2), (8, 31, 2, 3)]
+    placed = spark.createDataFrame(rows, "token long, who long, pos int, comp long")
+    assert {tuple(r) for r in ngram_join._lists(placed).collect()} == {(9, 1), (5, 1), (4, 1), (6, 1), (8, 1)}
+
+
 def test_cells_hold_every_pair_once(spark):
     """A list's items meet in one cell each, and a cell of two blocks pairs only items of different blocks."""
     cells = spark.range(5).select("id", F.inline(ngram_join._cells(F.lit(5), F.col("id").cast("int")))).collect()
