@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litprops.operators.spread import attach_small, contiguous_index
+from litprops.operators.spread import attach_small, placed_index
 
 
 def write_routed(validated: DataFrame, folder: str, entry: str = "entry", source_file: str = "filename") -> None:
@@ -48,13 +48,16 @@ def write_json_arrays(records: DataFrame, folder: str, order: str, fields: Seque
 
     A file is one task's, so every dataset has a number and its rows go to the task of that number. A repartition by the name would be left out
     of the plan after a join by the name, and the joined rows may lie anywhere once adaptive execution has turned that join into a broadcast.
+    Before that, rows stay in their ranges of the order, and the lines are made there: tasks by the name would be as few as the datasets, and what
+    each of them sends to a file a single block that the file's task fetches whole.
     """
-    rows = contiguous_index(records, order, "_at", [dataset])
-    sizes = rows.groupBy(dataset).agg(F.max("_at").alias("_last")).filter(F.col(dataset).isNotNull())
+    rows = placed_index(records.select(*dict.fromkeys([*fields, dataset, order])), [dataset, order], "_row")
+    sizes = rows.groupBy(dataset).agg(F.min("_row").alias("_first"), F.max("_row").alias("_last")).filter(F.col(dataset).isNotNull())
     numbered = sizes.withColumn("_file", F.row_number().over(Window.orderBy(dataset)) - 1)  # over one row per dataset
-    line = F.concat(F.when(F.col("_at") == 0, "[").otherwise(" ,"), F.to_json(F.struct(*fields)), F.when(F.col("_at") == F.col("_last"), "]").otherwise(""))
-    lines = attach_small(rows, numbered, [dataset], "inner").select(dataset, "_at", "_file", line.alias("line"))
-    placed = lines.repartitionById(max(1, numbered.count()), "_file").sortWithinPartitions(dataset, "_at")
+    start, end = F.when(F.col("_row") == F.col("_first"), "[").otherwise(" ,"), F.when(F.col("_row") == F.col("_last"), "]").otherwise("")
+    line = F.concat(start, F.to_json(F.struct(*fields)), end)
+    lines = attach_small(rows, numbered, [dataset], "inner").select(dataset, "_row", "_file", line.alias("line"))
+    placed = lines.repartitionById(max(1, numbered.count()), "_file").sortWithinPartitions(dataset, "_row")
     placed.select(dataset, "line").write.partitionBy(dataset).text(folder)
 
 

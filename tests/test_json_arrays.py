@@ -100,3 +100,32 @@ def test_each_dataset_is_written_as_one_file(spark, tmp_path):
         assert len(files) == 1 and json.loads(files[0].read_text()) == want
     assert len(back) == sum(d is not None for _, d, _ in data)
     assert all(json.loads(r.e)["row_idx"] == [i for i, d, _ in data if d == json.loads(r.e)["dataset"]][r.position] for r in back)
+
+
+@pytest.mark.parametrize("segments", [1, 3])
+def test_no_segment_is_shuffled_or_sorted(spark, tmp_path, segments):
+    """Chunks of few segments: objects cross their borders inside a split. Only pieces at borders meet by a shuffle, and no window holds a split's rows."""
+    rng = random.Random(segments)
+    data = [entry(rng) for _ in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(data), encoding="utf-8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", segments)
+    try:
+        df = read_json_arrays(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = {r.position: json.loads(r.e) for r in df.select("position", F.to_json("entry").alias("e")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict(enumerate(data))
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lines_are_not_dealt_by_dataset_before_they_go_to_files(spark, tmp_path, monkeypatch):
+    """Tasks that make lines are the ranges of the order: by the dataset there would be one task, whose lines are one block of a shuffle."""
+    from litprops.sources.sinks import write_json_arrays
+
+    seen, kind = [], type(spark.range(1))
+    deal = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, *a: seen.append(self._jdf.queryExecution().executedPlan().toString()) or deal(self, *a))
+    write_json_arrays(spark.range(200).selectExpr("id AS row_idx", "'d' AS dataset"), str(tmp_path / "out"), "row_idx", ["row_idx"])
+    assert len(seen) == 1 and "hashpartitioning(dataset" not in seen[0] and "hashpartitioning(coalesce(dataset" not in seen[0]
+    assert json.loads(next((tmp_path / "out" / "dataset=d").glob("*.txt")).read_text()) == [{"row_idx": i} for i in range(200)]
